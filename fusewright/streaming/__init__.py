@@ -1,0 +1 @@
+"""fusewright.streaming"""
