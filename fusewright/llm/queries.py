@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, packing, urlfilter
+from . import media, mixing, ngram_join, packing, urlfilter
 from .common import table
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -27,7 +31,7 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_packing, op6_mixing, op7_media, op9_urls)
+    f.__name__: f for f in (op1_ngram_join, op3_packing, op6_mixing, op7_media, op9_urls)
 }
 
 ORACLES: dict[str, str] = {"op6_mixing": mixing.ORACLE, "op9_urls": urlfilter.ORACLE}
