@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, ngram_join, packing, urlfilter
+from . import media, mixing, ngram_join, packing, toxicity, urlfilter
 from .common import table
 
 
@@ -14,6 +14,11 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_column(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -31,7 +36,7 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_join, op3_packing, op6_mixing, op7_media, op9_urls)
+    f.__name__: f for f in (op1_ngram_join, op2_toxicity, op3_packing, op6_mixing, op7_media, op9_urls)
 }
 
 ORACLES: dict[str, str] = {"op6_mixing": mixing.ORACLE, "op9_urls": urlfilter.ORACLE}
