@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, ngram_join, packing, secrets, toxicity, urlfilter
+from . import media, mixing, ngram_join, packing, pii, secrets, toxicity, urlfilter
 from .common import table
 
 
@@ -39,8 +39,12 @@ def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_join, op2_toxicity, op3_packing, op5_secrets, op6_mixing, op7_media, op9_urls)
+    f.__name__: f for f in (op1_ngram_join, op2_toxicity, op3_packing, op5_secrets, op6_mixing, op7_media, op9_urls, op10_pii)
 }
 
 ORACLES: dict[str, str] = {"op6_mixing": mixing.ORACLE, "op9_urls": urlfilter.ORACLE}

@@ -77,7 +77,7 @@ def labelled_examples(n: int = 240, seed: int = 5) -> dict[str, list[str]]:
         lambda: "-".join(pick(string.digits, rng.randint(2, 5)) for _ in range(rng.randint(3, 6))),
         lambda: rng.choice("=-_.") * rng.randint(16, 60),
         lambda: word().title() + "".join(word().title() for _ in range(rng.randint(2, 5))) + rng.choice(["", str(rng.randint(0, 9))]),
-        lambda: pick(string.ascii_uppercase, rng.randint(16, 30)),
+        lambda: pick(string.ascii_uppercase, rng.randint(3, 8)) + "-" + pick(string.digits, rng.randint(8, 12)),
         lambda: "+".join(word() for _ in range(rng.randint(3, 6))),
     )
     out = {k: [f() for _ in range(n)] for k, f in formats.items()}
