@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixing, ngram_join, packing, pii, secrets, toxicity, urlfilter
+from . import hamming_search, licenses, media, mixing, ngram_join, packing, pii, secrets, toxicity, urlfilter
 from .common import table
 
 
@@ -23,6 +23,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_hamming_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return hamming_search.search(rows, rows.where("vec_id % 50 = 0"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -35,6 +40,10 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
@@ -44,7 +53,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_join, op2_toxicity, op3_packing, op5_secrets, op6_mixing, op7_media, op9_urls, op10_pii)
+    f.__name__: f for f in (op1_ngram_join, op2_toxicity, op3_packing, op4_hamming_search, op5_secrets, op6_mixing, op7_media, op8_licenses, op9_urls, op10_pii)
 }
 
-ORACLES: dict[str, str] = {"op6_mixing": mixing.ORACLE, "op9_urls": urlfilter.ORACLE}
+ORACLES: dict[str, str] = {"op4_hamming_search": hamming_search.ORACLE, "op6_mixing": mixing.ORACLE, "op9_urls": urlfilter.ORACLE}
