@@ -44,29 +44,34 @@ def reads(seg: DataFrame) -> DataFrame:
     Split reads: one supplementary; the split read is the segment of the same mate; the first mate
     lies on the other strand of its contig. Hard clips are allowed on the supplementary only.
     """
-    routed = route(seg)
     keep = Window.partitionBy("read_key")
-    chimeric = routed.withColumn("__any", F.max(c("route") != "proper").over(keep)).withColumn("__n", F.count("*").over(keep)).where("__any and __n <= 3")
-    row = F.struct("supplementary", *[c(f) for f in FIELDS], "paired", "dup_flag")
-    g = chimeric.groupBy("read_key", "read_group").agg(F.sort_array(F.collect_list(F.struct(c("supplementary").alias("s"), (~c("first")).alias("o"), row.alias("r")))).alias("x"))
-    supp = F.filter("x", lambda y: y["s"])
-    main = F.filter("x", lambda y: ~y["s"])
-    g = g.withColumn("sp", F.get(supp, F.lit(0))["r"]).withColumn("a", F.get(main, F.lit(0))["r"]).withColumn("b", F.get(main, F.lit(1))["r"]).withColumn("n", F.size("x")).withColumn("n_sp", F.size(supp))
-    paired = F.coalesce(c("a.paired"), F.lit(False))
-    pair_split = paired & (c("n") == 3) & (c("n_sp") == 1)
-    single_split = ~paired & (c("n") == 2) & (c("n_sp") == 1)
-    discordant = paired & (c("n") == 2) & (c("n_sp") == 0)
-    split_is_a = c("a.first") == c("sp.first")
-    m2 = F.when(pair_split, F.when(split_is_a, c("a")).otherwise(c("b"))).when(single_split, c("a")).otherwise(c("b"))
-    m1 = F.when(pair_split, F.when(split_is_a, c("b")).otherwise(c("a"))).otherwise(c("a"))
-    g = g.withColumn("m1", m1).withColumn("m2", m2).withColumn("is_split", pair_split | single_split).withColumn("single_end", single_split)
+    d = route(seg).withColumns(
+        {
+            "__any": F.max(c("route") != "proper").over(keep),
+            "__n": F.count("*").over(keep),
+            "__sp": F.sum(c("supplementary").cast("int")).over(keep),
+            "__paired": F.max("paired").over(keep),
+            "__mate": F.max(F.when(c("supplementary"), c("first"))).over(keep),
+        }
+    ).where("__any and ((__paired and __n = 3 and __sp = 1) or (not __paired and __n = 2 and __sp = 1) or (__paired and __n = 2 and __sp = 0))")
+    split = c("__sp") == 1
+    role = (
+        F.when(c("supplementary"), F.lit("sp"))
+        .when(split & c("__paired"), F.when(c("first") == c("__mate"), F.lit("m2")).otherwise(F.lit("m1")))
+        .when(split, F.lit("m2"))
+        .otherwise(F.when(c("first"), F.lit("m1")).otherwise(F.lit("m2")))
+    )
+    row = F.struct(*[c(f) for f in FIELDS])
+    one = lambda r: F.first(F.when(c("role") == r, row), ignorenulls=True).alias(r)
+    g = d.withColumn("role", role).groupBy("read_key", "read_group").agg(
+        F.first(split).alias("is_split"), F.first(split & ~c("__paired")).alias("single_end"), F.max(F.when(c("role") != "sp", c("dup_flag"))).alias("dup_flag"), one("m1"), one("m2"), one("sp")
+    )
+    g = g.withColumn("m1", F.when(c("single_end"), c("m2")).otherwise(c("m1"))).where("m1 is not null and m2 is not null")
     hard = lambda p: F.exists(c(f"{p}.ops"), lambda o: o["op"] == "H")
-    sound = discordant | (c("is_split") & clipped_at_end(c("sp.ops"), ~c("sp.strand")) & (single_split | ((c("m1.contig") == c("m2.contig")) & (c("m1.strand") != c("m2.strand")))))
+    mates = (c("m1.contig") == c("m2.contig")) & (c("m1.strand") != c("m2.strand"))
+    sound = ~c("is_split") | c("single_end") | (clipped_at_end(c("sp.ops"), ~c("sp.strand")) & mates)
     g = g.where(sound & ~hard("m1") & ~hard("m2"))
-    out = g.select(
-        "read_key", "read_group", "is_split", "single_end", (c("m1.dup_flag") | c("m2.dup_flag")).alias("dup_flag"),
-        *[c(f"{p}.{f}").alias(f"{p}_{f}") for p in ("m1", "m2") for f in FIELDS], *[F.when(c("is_split"), c(f"sp.{f}")).alias(f"sp_{f}") for f in FIELDS],
-    )
+    out = g.select("read_key", "read_group", "is_split", "single_end", "dup_flag", *[c(f"{p}.{f}").alias(f"{p}_{f}") for p in ("m1", "m2", "sp") for f in FIELDS])
     # a single-ended read's first mate is a copy that faces the split read
     return disjoint(out.withColumn("m1_strand", F.when(c("single_end"), ~c("m2_strand")).otherwise(c("m1_strand"))).withColumn("fate", F.lit("none")))
 

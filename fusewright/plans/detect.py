@@ -128,17 +128,18 @@ def with_genes(events: DataFrame, genes: DataFrame) -> DataFrame:
 def detect(spark: SparkSession, alignments: str, annotation: str, opt: Options = Options(), rules: DataFrame | None = None, variants: DataFrame | None = None, tags: DataFrame | None = None) -> DataFrame:
     """Events with fate, confidence and labels; sinks.result_table() makes the 30 columns of those whose fate is none.
 
-    Materialised once at the pivot: a checkpoint in the shared folder, since most later steps read events several times.
+    Dimensions, segments, reads and events are checkpointed in the shared folder: later steps read them several times, and their plans stay small.
     """
-    records = bam.bam(spark, alignments) if alignments.endswith(".bam") else text.sam(spark, alignments)
-    genes, _, exons = annotate.build(text.gtf(spark, annotation))
-    seg = assemble.segments(records)
-    reads, genes = annotate.annotate_reads(assemble.reads(seg), genes, exons)
-    reads = filtered_reads(with_gene_bounds(reads, genes), opt)
     if spark.sparkContext.getCheckpointDir() is None:
         import tempfile
 
         spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="fusewright-"))
+    records = bam.bam(spark, alignments) if alignments.endswith(".bam") else text.sam(spark, alignments)
+    genes, _, exons = annotate.build(text.gtf(spark, annotation))
+    genes, exons, seg = genes.checkpoint(), exons.checkpoint(), assemble.segments(records).checkpoint()
+    reads, genes = annotate.annotate_reads(assemble.reads(seg).checkpoint(), genes, exons)
+    genes = genes.checkpoint()
+    reads = filtered_reads(with_gene_bounds(reads.checkpoint(), genes), opt)
     s = sides(reads).checkpoint()
     e = pivot.pivot_events(s, opt.cap).withColumn("event_id", event_id())
     own = s.withColumn("event_id", event_id())
@@ -149,7 +150,7 @@ def detect(spark: SparkSession, alignments: str, annotation: str, opt: Options =
     )
     pairs = s.where("role = 'discordant'").select("gene1", "gene2", "dir1", "dir2", c("bp1").alias("pos1"), c("bp2").alias("pos2"), "read_key")
     e = pivot.discordant_support(e, pairs, opt.fragment_length).withColumn("disc", F.greatest("disc", "near_pairs")).drop("near_pairs")
-    e = with_genes(e.join(per, "event_id"), genes)
+    e = with_genes(e.join(per, "event_id"), genes).checkpoint()
     sites = intervals.boundary_sites(exons)
     e = intervals.spliced(e, sites, "gene1", "dir1", "bp1", "spliced1")
     e = intervals.spliced(e, sites, "gene2", "dir2", "bp2", "spliced2")
@@ -166,7 +167,7 @@ def detect(spark: SparkSession, alignments: str, annotation: str, opt: Options =
         v = variants.select(*[f"{x}{i}" for x in ("contig", "pos", "dir") for i in (1, 2)])
         e = pivot.nearest_variant(e, v, opt.sv_distance)
     if opt.on("merge_adjacent"):
-        e = ef.merge_adjacent(e)
+        e = ef.merge_adjacent(e).checkpoint()
     partners = stats.partner_counts(e)
     for i in (1, 2):
         e = e.join(partners.select(c("gene").alias(f"gene{i}"), c("partners").alias(f"p{i}")), f"gene{i}", "left").fillna(1, [f"p{i}"])
@@ -193,7 +194,7 @@ def detect(spark: SparkSession, alignments: str, annotation: str, opt: Options =
         e = ef.select_best(e)
     if opt.on("isoforms"):
         e = ef.isoforms(e)
-    e = ef.assign_confidence(e)
+    e = ef.assign_confidence(e.checkpoint())
     e = e.withColumns({"type": ev.event_type(opt.itd_length), "confidence_label": ev.confidence_label(c("confidence")), "five": stats.transcript_start()})
     for i in (1, 2):
         e = e.withColumn(f"strand_label{i}", ev.strand_label(c(f"g{i}_strand"), c(f"g{i}_dummy"), c(f"strand{i}"), c("ambiguous")))

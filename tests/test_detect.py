@@ -24,7 +24,7 @@ def files(tmp_path_factory):
     rows = []
     for k in range(12):  # split reads: G1 up to 2000, then G2 from 20001
         s = seq(80, k)
-        rows += [f"s{k}\t97\t1\t{1700 + k * 9}\t60\t60M\t1\t1961\t0\t{s[:60]}\t*", f"s{k}\t147\t2\t20001\t60\t40S40M\t1\t1\t0\t{s}\t*\tSA:Z:x", f"s{k}\t2195\t1\t1961\t60\t40M40S\t1\t1\t0\t{s}\t*\tSA:Z:x"]
+        rows += [f"s{k}\t97\t1\t{1700 + k * 9}\t60\t60M\t1\t1961\t0\t{s[:60]}\t*", f"s{k}\t147\t1\t1961\t60\t40M40S\t1\t1\t0\t{s}\t*\tSA:Z:x", f"s{k}\t2195\t2\t20001\t60\t40S40M\t1\t1\t0\t{s}\t*\tSA:Z:x"]
     for k in range(8):  # pairs
         rows += [f"d{k}\t65\t1\t{1901 + k * 5}\t60\t50M\t2\t20011\t0\t{seq(50, 30 + k)}\t*", f"d{k}\t145\t2\t{20011 + k * 6}\t60\t50M\t1\t1901\t0\t{seq(50, 60 + k)}\t*"]
     rows += [r.replace("d0\t", "dup\t") for r in rows if r.startswith("d0\t")]
