@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, settled, slices
+from .common import Scratch, settled, slices, small_batches
 from .components import components
 
 GRAM = 5
@@ -34,8 +34,8 @@ PART, WHOLE = 100, 80
 #: Share of the hash range whose shingles are low; entities above which a shingle is hot.
 LOW, HOT = 0.26, 32
 #: Shingles that a mapper gathers before it deals them out; bytes of them that a reducer gets.
-CHUNK, REDUCER = 2_000_000, 24 << 20
-REMEMBERED = 400_000
+CHUNK, REDUCER = 500_000, 16 << 20
+REMEMBERED = 200_000
 #: Bits of the filter that picks the texts to read again.
 BLOOM = 1 << 23
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -172,7 +172,7 @@ def _deal(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lows, ents, seen, held = [], [], set(), 0
-        for b in slices(batches, 1, 32 << 20):
+        for b in slices(batches, 1, 4 << 20):
             for ent, low in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if low and ent not in seen:
                     seen.add(ent)
@@ -249,13 +249,13 @@ def _gather(t: pa.Table) -> pa.Table:
 
 
 def _bits_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches, 3):
         rows = zip(*[b.column(i).to_pylist() for i in range(2, 6)])
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array([may_link(*r) for r in rows], pa.bool_()))
 
 
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches, 2):
         rows = zip(b.column(2).to_pylist(), b.column(3).to_pylist())
         keep = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in rows]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -411,4 +411,5 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     takes part; it is never a component's id unless all of the component's ids are null. Repeated
     rows appear as often as in the input. Empty table: empty result. Other columns are ignored.
     """
-    return NgramJoin(docs).run()
+    with small_batches(docs.sparkSession):
+        return NgramJoin(docs).run()
