@@ -12,6 +12,7 @@ a time, so that memory doesn't grow with the partition.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from bisect import bisect_left
 from collections import deque
@@ -32,23 +33,37 @@ GRID = 64
 #: A block is planned once it has this many tokens.
 BLOCK = 1 << 20
 #: Words whose tokens a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 _SENTENCE = re.compile(r"(?<=[.!?])[ \t\r]+|\n+")
 #: White space that str.split() and the tokenizer don't treat alike, or that isn't ASCII.
 _ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Words that are split here, and the vocabulary's pattern over them, in lower case.
+_LATIN = re.compile(r"[!-~\xa1\xab\xbb\xbf\xc0-\u0148\u014a-\u017f]+")
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|[\W_]+")
 #: One for each worker and vocabulary.
 _encoders: dict[str, "WordEncoder"] = {}
 
 
 class WordEncoder:
-    """Ids of texts, by words: the vocabulary's own splitting never crosses white space, so a word's ids hold anywhere."""
+    """Ids of texts, by words: the vocabulary's own splitting never crosses white space, so a word's ids hold anywhere.
+
+    Words of Latin letters, digits and signs are normalised and split here as the vocabulary says
+    (NFC, lower case, its pattern), and only parts not met before go through its merges, many in one
+    call; the last id of each part is one that ends a word. All other words go through the vocabulary whole.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.parts = Tokenizer.from_file(path), {}, {}
+        self.old: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), np.bool_)
+        self.ends[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]] = True
 
     @staticmethod
     def of(path: str) -> WordEncoder:
@@ -60,11 +75,39 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, words: set[str]) -> None:
-        if new := [w for w in words if w not in self.known]:
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known = {}
-                new = list(words)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)))
+        known, old = self.known, self.old
+        new = [w for w in words if w not in known]
+        if len(known) + len(new) > REMEMBERED:  # a full memory becomes the old one, from which words in use come back
+            self.known, self.old = known, old = {}, known
+            new = list(words)
+        if old:
+            known.update((w, old[w]) for w in new if w in old)
+            new = [w for w in new if w not in known]
+        if len(self.parts) > REMEMBERED:
+            self.parts, self.old_parts = {}, self.parts
+        plain = []
+        for w in new:
+            if _LATIN.fullmatch(w) and "<|" not in w:
+                plain.append((w, _PARTS.findall((w if w.isascii() else unicodedata.normalize("NFC", w)).lower())))
+            else:
+                known[w] = self.whole(w)
+        parts = {p for _, ps in plain for p in ps if p not in self.parts}
+        if self.old_parts:
+            back = {p: self.old_parts[p] for p in parts if p in self.old_parts}
+            self.parts.update(back)
+            parts -= back.keys()
+        parts = list(parts)
+        for i in range(0, len(parts), 4096):
+            some = parts[i : i + 4096]
+            ids = np.array(self.merges.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            at = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(at) == len(some):
+                self.parts.update(zip(some, (ids[a:b].tobytes() for a, b in zip([0, *at], at))))
+            else:
+                self.parts.update((p, self.whole(p)) for p in some)
+        get = self.parts.__getitem__
+        for w, ps in plain:
+            known[w] = get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))
 
     def sentences(self, text: str) -> list[bytes]:
         """The ids of each sentence."""
