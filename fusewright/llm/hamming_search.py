@@ -27,8 +27,12 @@ def code_of(vector: Column) -> Column:
 
 
 def segments(count: int) -> list[tuple[int, int]]:
-    """(shift, width) of segments that are about as wide as the index has bits of codes."""
-    m = min(16, max(2, round(BITS / max(1.0, log2(max(2, count))))))
+    """(shift, width) of segments two bits narrower than the logarithm of the number of codes.
+
+    A looked-up value and a code found cost a row each; with segments as wide as the logarithm most
+    of the rows would be values that no code has.
+    """
+    m = min(16, max(2, round(BITS / max(4.0, log2(max(2, count)) - 2))))
     edges = [BITS * i // m for i in range(m + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
