@@ -33,8 +33,8 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 _DIGIT = re.compile("[0-9]")
 #: Symbols of the automata: digits, letters that are hexadecimal digits, other letters; signs stay.
 _CLASSES = str.maketrans({**dict.fromkeys("0123456789", "d"), **dict.fromkeys("abcdef", "h"), **dict.fromkeys("ghijklmnopqrstuvwxyz", "l"), **dict.fromkeys("ABCDEF", "H"), **dict.fromkeys("GHIJKLMNOPQRSTUVWXYZ", "U")})
-#: Log likelihood ratio that a candidate needs, in all and by character; characters of a candidate that are scored.
-LEAST, LEAST_EACH, SCORED = 15.0, 0.5, 512
+#: Log likelihood ratio that a candidate needs, in all and by character.
+LEAST, LEAST_EACH = 15.0, 0.5
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -91,8 +91,8 @@ class Grammar:
     clean: automata.Automaton
 
     def classify(self, candidate: str) -> tuple[str, float]:
-        """The likeliest format and its log likelihood ratio to no credential."""
-        symbols = candidate[:SCORED].translate(_CLASSES)
+        """The likeliest format of the whole candidate and its log likelihood ratio to no credential."""
+        symbols = candidate.translate(_CLASSES)
         best = max(((a.loglik(symbols), k) for k, a in self.formats.items()))
         return best[1], best[0] - self.clean.loglik(symbols)
 
@@ -103,7 +103,7 @@ class Grammar:
             c = m.group()
             if _DIGIT.search(c) and not any(a < m.end() and m.start() < b for _, a, b in taken):
                 kind, score = _classified(self, c) if len(c) <= 128 else self.classify(c)
-                if score >= LEAST and score >= LEAST_EACH * min(len(c), SCORED):
+                if score >= LEAST and score >= LEAST_EACH * len(c):
                     out.append((kind, m.start(), m.end()))
         return out
 

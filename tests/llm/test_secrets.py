@@ -59,6 +59,15 @@ def test_formats_on_new_examples():
         assert share <= 0.02 if kind == "" else share >= 0.8, (kind, share)
 
 
+def test_whole_candidates_are_scored():
+    g = secrets.learn()
+    token = "ghp_a8Fk29xLq0ZpT7vYw3RbNc5MdE1uHs6JoGiK"
+    long = "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.eyJ" + "Qz7Rk2mWx9" * 200 + "." + "b4Tn8Lp0Ys" * 4 + "abc"
+    assert [x[1:] for x in g.spans(long, [])] == [(0, len(long))]
+    run = "=" * 512 + "/" + "/".join([token] * 60)  # what follows the 512th character counts too
+    assert g.spans(run[:512], []) == [] and [x[1:] for x in g.spans(run, [])] == [(0, len(run))]
+
+
 def test_merged_states_are_a_loop():
     a = automata.infer(["ab" * k for k in range(1, 30)] * 20)
     assert len(a.end) <= 4 and a.loglik("ab" * 12) > a.loglik("ab" * 11 + "ba")
