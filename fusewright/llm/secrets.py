@@ -30,7 +30,6 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-_DIGIT = re.compile("[0-9]")
 #: Symbols of the automata: digits, letters that are hexadecimal digits, other letters; signs stay.
 _CLASSES = str.maketrans({**dict.fromkeys("0123456789", "d"), **dict.fromkeys("abcdef", "h"), **dict.fromkeys("ghijklmnopqrstuvwxyz", "l"), **dict.fromkeys("ABCDEF", "H"), **dict.fromkeys("GHIJKLMNOPQRSTUVWXYZ", "U")})
 #: Log likelihood ratio that a candidate needs, in all and by character.
@@ -85,23 +84,35 @@ def labelled_examples(n: int = 240, seed: int = 5) -> dict[str, list[str]]:
     return out
 
 
+def plain_runs(n: int = 120, seed: int = 5) -> list[str]:
+    """More strings that are no credentials, without digits: one letter or sign again and again, and long runs of words."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice(string.ascii_lowercase) for _ in range(rng.randint(2, 9)))
+    kinds = (
+        lambda: rng.choice(string.ascii_letters) * rng.randint(16, 200),
+        lambda: rng.choice("=-_./+") * rng.randint(16, 200),
+        *(lambda sign=x: sign.join(word() for _ in range(rng.randint(8, 40))) for x in "/-_.+"),
+    )
+    return [f() for f in kinds for _ in range(n)]
+
+
 @dataclass
 class Grammar:
     formats: dict[str, automata.Automaton]
-    clean: automata.Automaton
+    clean: tuple[automata.Automaton, ...]
 
     def classify(self, candidate: str) -> tuple[str, float]:
         """The likeliest format of the whole candidate and its log likelihood ratio to no credential."""
         symbols = candidate.translate(_CLASSES)
         best = max(((a.loglik(symbols), k) for k, a in self.formats.items()))
-        return best[1], best[0] - self.clean.loglik(symbols)
+        return best[1], best[0] - max(a.loglik(symbols) for a in self.clean)
 
     def spans(self, text: str, taken: Sequence[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
         """Candidates that pass and touch no base span."""
         out = []
         for m in _CANDIDATE.finditer(text):
             c = m.group()
-            if _DIGIT.search(c) and not any(a < m.end() and m.start() < b for _, a, b in taken):
+            if not any(a < m.end() and m.start() < b for _, a, b in taken):
                 kind, score = _classified(self, c) if len(c) <= 128 else self.classify(c)
                 if score >= LEAST and score >= LEAST_EACH * len(c):
                     out.append((kind, m.start(), m.end()))
@@ -120,10 +131,14 @@ def _classified(g: Grammar, candidate: str) -> tuple[str, float]:
 
 
 def learn(examples: Mapping[str, Sequence[str]] | None = None, alpha: float = 0.01) -> Grammar:
-    """examples: by format; those of "" are no credentials. With none given, labelled_examples()."""
+    """examples: by format; those of "" are no credentials. With none given, labelled_examples() and plain_runs().
+
+    What is no credential has two automata: one of all its examples, one of those without digits.
+    """
     by = {k: [x.translate(_CLASSES) for x in v] for k, v in (examples or labelled_examples()).items()}
-    clean = automata.infer(by.pop(""), alpha)
-    return Grammar({k: automata.infer(v, alpha) for k, v in sorted(by.items())}, clean)
+    clean = by.pop("")
+    plain = [x for x in clean if "d" not in x] + ([] if examples else [x.translate(_CLASSES) for x in plain_runs()])
+    return Grammar({k: automata.infer(v, alpha) for k, v in sorted(by.items())}, tuple(automata.infer(v, alpha) for v in ((clean, plain) if plain else (clean,))))
 
 
 def all_spans(text: str, grammar: Grammar) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
