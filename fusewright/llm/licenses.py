@@ -16,12 +16,12 @@ from .common import slices
 
 #: Known sentences, as patterns over normalised text (lower case, words and digits, one blank between).
 SENTENCES = (
-    ("mit-ref", r"(?:released|licensed|distributed|available)(?: under)? (?:the )?(?:terms of the )?mit licen[sc]e"),
+    ("mit-ref", r"(?:.* )?(?:released|licensed|distributed|available)(?: under)? (?:the )?(?:terms of the )?mit licen[sc]e"),
     ("mit-title", r"(?:the )?mit licen[sc]e(?: mit)?"),
     ("mit-grant", r"permission is hereby granted free of charge to any person obtaining a copy of this software .*"),
     ("mit-notice", r"the above copyright notice and this permission notice shall be included in all copies .*"),
     ("as-is", r"(?:the|this) software is provided (?:by .* )?as is .*"),
-    ("apache-ref", r"(?:released|licensed|distributed)(?: under)? (?:the )?(?:terms of the )?apache licen[sc]e(?: version)? 2(?: 0)?(?: the license)?"),
+    ("apache-ref", r"(?:.* )?(?:released|licensed|distributed)(?: under)? (?:the )?(?:terms of the )?apache licen[sc]e(?: version)? 2(?: 0)?(?: the license)?"),
     ("apache-terms", r"you may (?:not use this file except in compliance with the license|obtain a copy of the license at .*)"),
     ("gpl2-ref", r".*(?:licensed|released|distributed|redistribute it|modify it) under (?:the )?(?:terms of the )?gnu (?:general public licen[sc]e|gpl)(?: as published by the free software foundation)?(?: either)? (?:version|v) ?2(?: 0)?(?: .*)?"),
     ("gpl3-ref", r".*(?:licensed|released|distributed|redistribute it|modify it) under (?:the )?(?:terms of the )?gnu (?:general public licen[sc]e|gpl)(?: as published by the free software foundation)?(?: either)? (?:version|v) ?3(?: 0)?(?: .*)?"),
@@ -29,9 +29,9 @@ SENTENCES = (
     ("bsd-grant", r"redistribution and use in source and binary forms .* are permitted .*"),
     ("bsd-endorse", r".*neither the name of .* may be used to endorse or promote products .*"),
     ("mpl-ref", r".*(?:subject to|under) the (?:terms of the )?mozilla public licen[sc]e v(?:ersion)? ?2 0.*"),
-    ("cc-by-nc", r"(?:this work is )?(?:licensed|released)(?: under)?(?: a| the)? (?:cc by nc|creative commons attribution non ?commercial)(?: (?:sa|nd))?(?: \d \d)?(?: international)?(?: license)?"),
-    ("cc-by", r"(?:this work is )?(?:licensed|released)(?: under)?(?: a| the)? (?:cc by|creative commons attribution)(?: sa)?(?: \d \d)?(?: international)?(?: license)?"),
-    ("cc0", r"(?:this work is )?(?:licensed|released|dedicated)(?: under)?(?: to)? (?:cc0|the public domain).*"),
+    ("cc-by-nc", r"(?:.* )?(?:licensed|released)(?: under)?(?: a| the)? (?:cc by nc|creative commons attribution non ?commercial)(?: (?:sa|nd))?(?: \d \d)?(?: international)?(?: license)?"),
+    ("cc-by", r"(?:.* )?(?:licensed|released)(?: under)?(?: a| the)? (?:cc by|creative commons attribution)(?: sa)?(?: \d \d)?(?: international)?(?: license)?"),
+    ("cc0", r"(?:.* )?(?:licensed|released|dedicated)(?: under)?(?: to)? (?:cc0|the public domain).*"),
     ("reserved", r".*all rights reserved"),
 )
 #: Ordered rules. A rule's sentences must follow each other, with at most GAP other known sentences between.
@@ -56,10 +56,20 @@ RULES = (
 GAP = 2
 #: What a licence allows: free for any use, free with conditions on derived works, or not for every use.
 FAMILY = {"MIT": "permissive", "Apache-2.0": "permissive", "BSD-3-Clause": "permissive", "BSD-2-Clause": "permissive", "CC-BY": "permissive", "CC0": "permissive", "GPL-2.0": "copyleft", "GPL-3.0": "copyleft", "LGPL": "copyleft", "MPL-2.0": "copyleft", "CC-BY-NC": "restricted", "Proprietary": "restricted"}
-_SPLIT = re.compile(r"[.!?;:](?=\s|$)|\n\s*\n|\n(?=\S)")
+_SENTENCE_END, _LINE_END = re.compile(r"[.!?;:](?=\s|$)|\n\s*\n"), re.compile(r"\n(?=\S)")
 _PATTERNS = tuple((k, re.compile(p)) for k, p in SENTENCES)
+
+
+def _wrapped(pattern: str) -> re.Pattern[str]:
+    """The pattern over normalised lines with line ends between; what is known (group 1) starts at a line or after the pattern's own lead-in."""
+    for own, lead in ((".*", ".*?"), ("(?:.* )?", "(?:.*?[ \n])?"), ("", "(?:.*?\n)?")):
+        if pattern.startswith(own):
+            return re.compile(f"{lead}({pattern[len(own) :].replace(' ', '[ \n]')})", re.DOTALL)
+
+
+_WRAPPED = tuple((k, _wrapped(p)) for k, p in SENTENCES)
 #: Each known sentence has one of these words.
-_HINT = re.compile(r"licen[sc]|permission|software is provided|redistribution|notice|obtain a copy|compliance|endorse|rights reserved|cc0|public domain", re.IGNORECASE)
+_HINT = re.compile(r"licen[sc]|permission|software is provided|redistribution|notice|obtain a copy|compliance|endorse|rights reserved|cc0|public domain".replace(" ", "[^a-z0-9]+"), re.IGNORECASE)
 _NOISE = re.compile(r"[^a-z0-9]+")
 
 
@@ -67,29 +77,61 @@ def normalised(sentence: str) -> str:
     return _NOISE.sub(" ", sentence.lower()).strip()
 
 
-def sentences(text: str) -> Iterator[tuple[int, int]]:
-    """Start and end of each sentence that isn't blank."""
-    at = 0
-    for m in _SPLIT.finditer(text):
+def pieces(text: str, end: re.Pattern[str], a: int, b: int) -> Iterator[tuple[int, int]]:
+    """Start and end of each piece of text[a:b] that isn't blank."""
+    at = a
+    for m in end.finditer(text, a, b):
         if text[at : m.start()].strip():
             yield at, m.start()
         at = m.end()
-    if text[at:].strip():
-        yield at, len(text)
+    if text[at:b].strip():
+        yield at, b
+
+
+def known_line(text: str, a: int, b: int) -> str | None:
+    """The first pattern that fits text[a:b]."""
+    s = text[a:b]
+    if not _HINT.search(s):
+        return None
+    n = normalised(s)
+    return next((k for k, p in _PATTERNS if p.fullmatch(n)), None)
+
+
+def known_wrapped(text: str, a: int, b: int) -> tuple[str, int] | None:
+    """The first pattern that fits the lines of text[a:b] joined, and the start of the line where what is known begins."""
+    starts, lines, at = [], [], a
+    for line in text[a:b].split("\n"):
+        n = normalised(line)
+        if n:
+            starts.append(at)
+            lines.append(n)
+        at += len(line) + 1
+    if len(lines) < 2:
+        return None
+    joined = "\n".join(lines)
+    for k, p in _WRAPPED:
+        m = p.fullmatch(joined)
+        if m:
+            return k, starts[joined.count("\n", 0, m.start(1))]
+    return None
 
 
 def identify(text: str) -> list[tuple[str, int, int]]:
-    """(sentence id, start, end) of the known sentences, in order; the first pattern that fits a sentence counts."""
+    """(sentence id, start, end) of the known sentences, in order; the first pattern that fits a sentence counts.
+
+    Sentences end at sentence ends and blank lines. A sentence of more lines is read joined and line by
+    line; on the line where the joined reading begins, it takes the place of that line's other reading.
+    """
     if not _HINT.search(text):
         return []
     found = []
-    for a, b in sentences(text):
-        s = text[a:b]
-        if _HINT.search(s):
-            n = normalised(s)
-            k = next((k for k, p in _PATTERNS if p.fullmatch(n)), None)
-            if k:
-                found.append((k, a, b))
+    for a, b in pieces(text, _SENTENCE_END, 0, len(text)):
+        if _HINT.search(text, a, b):
+            own = [(k, p, q) for p, q in pieces(text, _LINE_END, a, b) if (k := known_line(text, p, q))]
+            whole = known_wrapped(text, a, b)
+            if whole and not any(k == whole[0] and p <= whole[1] < q for k, p, q in own):
+                own = sorted([x for x in own if not x[1] <= whole[1] < x[2]] + [(*whole, b)], key=lambda x: x[1])
+            found += own
     return found
 
 

@@ -94,3 +94,66 @@ def test_licenses(spark):
             _, a, b = x.split(":")
             assert licenses.identify(t[int(a) : int(b)] + ".")
     assert licenses.scan(df.limit(0)).count() == 0
+
+
+MIT_BODY = """Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+"""
+BSD_BODY = """Copyright (c) 2020, Some One
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+{endorse}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.
+"""
+ENDORSE = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+APACHE_BODY = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing.
+"""
+WRAPPED = {
+    MIT_BODY: "MIT",
+    "".join(f"# {x}".rstrip() + "\n" for x in MIT_BODY.splitlines()): "MIT",
+    BSD_BODY.format(endorse=ENDORSE): "BSD-3-Clause",
+    BSD_BODY.format(endorse=""): "BSD-2-Clause",
+    APACHE_BODY: "Apache-2.0",
+    "".join(f" * {x}".rstrip() + "\n" for x in APACHE_BODY.splitlines()): "Apache-2.0",
+    "This project is licensed under the MIT License.": "MIT",
+    "This software is released under the MIT License.": "MIT",
+    "Some words. This project is\nreleased under\nthe MIT License.": "MIT",
+    "Code is distributed under the Apache License, Version 2.0.": "Apache-2.0",
+    "The data are licensed under the Creative Commons Attribution\nNonCommercial 4.0 International License.": "CC-BY-NC",
+    "All rights\nreserved.": "Proprietary",
+    "This program is licensed under the GNU GPL version 3\nReleased under the MIT License\nLicensed under CC BY 4.0": "GPL-3.0,MIT,CC-BY",
+    "Words wrapped\nover lines of a notice\nwith no license.": "",
+}
+
+
+def test_wrapped_texts():
+    for t, want in WRAPPED.items():
+        known = licenses.identify(t)
+        assert [a for _, a, _ in known] == sorted(a for _, a, _ in known)
+        assert ",".join(dict.fromkeys(n for n, _, _ in licenses.match([k for k, _, _ in known]))) == want, (t, known)
