@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter, defaultdict
 
 import pandas as pd
@@ -147,7 +148,7 @@ def kmer_index(seq: str, k: int = K) -> dict[str, list[int]]:
 
 
 def align(read: str, gene: str, index: dict[str, list[int]], least: float, k: int = K, introns: int = 1) -> bool:
-    """Whether a read aligns to a sequence: k-mer seeds are extended without gaps; one jump to a later seed stands for an intron."""
+    """Whether a read aligns to a sequence: k-mer seeds are extended without gaps; one jump to a later seed, whichever of all places, stands for an intron."""
     need = int(least * len(read))
 
     def extend(i: int, j: int) -> tuple[int, int]:
@@ -165,9 +166,11 @@ def align(read: str, gene: str, index: dict[str, list[int]], least: float, k: in
         score, n = extend(i, j)
         best = score
         if jumps and best < need and i + n + k <= len(read):
-            for j2 in index.get(read[i + n : i + n + k], ())[:50]:
-                if j2 > j + n:
-                    best = max(best, score + walk(i + n, j2, jumps - 1))
+            places = index.get(read[i + n : i + n + k], ())  # sorted
+            for at in range(bisect_right(places, j + n), len(places)):
+                best = max(best, score + walk(i + n, places[at], jumps - 1))
+                if best >= need:
+                    break
         return best
 
     return any(walk(i, j, introns) >= need - i for i in range(0, max(1, len(read) - need + 1)) for j in index.get(read[i : i + k], ()))

@@ -122,6 +122,14 @@ def test_realignment():
     assert transcripts.align(gene[:12] + gene[25:37], gene, ix, 0.8)
 
 
+def test_realignment_past_many_seeds():
+    gene = "ACGTTGCAAGCTTACGGATCCATTGCAGGCTAACCGTTAGC"
+    read, seed = gene[:12] + gene[25:37], gene[25:33]
+    for long in ((seed + "T") * 120 + gene, gene[:14] + (seed + "T") * 120 + gene[20:]):  # false places before the first part, and between the two
+        assert transcripts.align(read, long, transcripts.kmer_index(long), 0.8)
+    assert not transcripts.align(read, gene[25:37] + (seed + "T") * 120 + gene[:14], transcripts.kmer_index(gene[25:37] + (seed + "T") * 120 + gene[:14]), 0.8)
+
+
 def test_mismatches(spark):
     df = spark.createDataFrame([("ACGTA", "5M", True, "ACGAA"), ("NNACG", "2S3M", False, "ACG"), ("NNACG", "2S3M", True, "ACG")], "s string, g string, f boolean, r string")
     assert [tuple(r.x) for r in df.select(transcripts.mismatches("s", "g", "f", "r").alias("x")).collect()] == [(1, 5), (0, 3), (1, 3)]
