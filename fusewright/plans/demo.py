@@ -696,6 +696,13 @@ def kmer_codes(t: Tables) -> DataFrame:
     return _dna(t, "benchmark", "item_id").where("length(seq) >= 8").select("item_id", sq.kmer_code(F.substring("seq", 1, 8)).alias("code"))
 
 
+@query(f"SELECT item_id, pos, list_sum(list_transform(range(0, 8), lambda i: (CASE substr(s, pos + i + 1, 1) WHEN 'T' THEN 0 WHEN 'G' THEN 1 WHEN 'C' THEN 2 ELSE 3 END) * (4 ** (7 - i))::BIGINT))::BIGINT AS code FROM (SELECT item_id, s, unnest(range(0, length(s) - 7)) AS pos FROM (SELECT item_id, {_DNA} AS s FROM benchmark))")
+def kmer_index_codes(t: Tables) -> DataFrame:
+    """The codes of all 8-mers with their places from 0; kmer_codes has each sequence's first only."""
+    places = _dna(t, "benchmark", "item_id").select("item_id", F.posexplode(sq.kmers(F.col("seq"), 8)).alias("pos", "kmer"))
+    return places.select("item_id", "pos", sq.kmer_code(F.col("kmer")).alias("code"))
+
+
 # text attributes
 
 

@@ -155,3 +155,12 @@ def test_plot_tables(spark):
     assert sorted((r.side, r.x0, r.x1) for r in lay.collect()) == [(1, 0, 99), (1, 300, 399), (2, 0, 49)]
     assert max(r.right for r in plots.scaled(lay).collect()) == 1.0
     assert [r.label for r in plots.scale_bar(spark.createDataFrame([(12345.0,), (40.0,)], "width double")).collect()] == ["2 kbp", "8 bp"]
+
+
+def test_every_kmer_has_a_code(spark, tmp_path):
+    from fusewright.plans.demo import QUERIES
+
+    texts = {1: "acgtgcatgcaagtc tta", 2: "short", 3: "exactly8", 4: None}
+    spark.createDataFrame(list(texts.items()), "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted(map(tuple, QUERIES["kmer_index_codes"](spark, str(tmp_path)).select("item_id", "pos").collect()))
+    assert got == [(i, p) for i, t in texts.items() for p in range(sum(x.isalpha() for x in t or "") - 7)]
