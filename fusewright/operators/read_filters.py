@@ -160,12 +160,12 @@ def filter_low_entropy(reads: DataFrame, content: float = 0.6, k: int = 3) -> Da
     return reads.withColumn("fate", F.when(open_ & F.coalesce(low, F.lit(False)), F.lit("low_entropy")).otherwise(c("fate")))
 
 
-def read_filters() -> list[tuple[str, Column]]:
-    """Stateless read steps in their order, for discard_all()."""
+def read_filters(distance: int = 10_000, length: int = 6) -> list[tuple[str, Column]]:
+    """Stateless read steps in their order, for discard_all(); distance is that of read_through, length that of homopolymer."""
     return [
-        ("read_through", read_through()),
+        ("read_through", read_through(distance)),
         ("inconsistently_clipped", inconsistently_clipped()),
-        ("homopolymer", homopolymer()),
+        ("homopolymer", homopolymer(length)),
         ("small_insert_size", small_insert_size()),
         ("long_gap", long_gap()),
         ("same_gene", same_gene()),

@@ -17,6 +17,10 @@ from ..sources import bam, sinks, text
 c = F.col
 
 
+#: Options of steps that detect() doesn't call yet; other values than the defaults are refused.
+IDLE = ("mismappers", "homologs", "strandedness", "mismatch_p", "quantile", "top_viruses", "covered_fraction", "itd_fraction", "itd_support")
+
+
 @dataclass(frozen=True)
 class Options:
     """Thresholds and switches; out-of-range values are errors."""
@@ -58,6 +62,11 @@ class Options:
                 raise ValueError(f"{name} must not be negative")
         if self.strandedness not in ("yes", "no", "reverse"):
             raise ValueError("strandedness is yes, no or reverse")
+        if self.homopolymer < 1:
+            raise ValueError("homopolymer must be positive")
+        for name in IDLE:
+            if getattr(self, name) != getattr(Options, name):
+                raise ValueError(f"{name} has no effect yet: the chain doesn't call its step")
 
     def on(self, step: str) -> bool:
         return step not in self.disabled
@@ -71,7 +80,7 @@ def filtered_reads(reads: DataFrame, opt: Options) -> DataFrame:
     d = rf.mark_multimappers(d.drop("contig1", "contig2", "pos1", "pos2"))
     known, viral = sq.wildcard_regex(opt.interesting), sq.wildcard_regex(opt.viral)
     odd = ~c("m1_contig").rlike(known) | ~c("m2_contig").rlike(known) | F.coalesce(~c("sp_contig").rlike(known), F.lit(False))
-    steps = [("uninteresting_contigs", odd), ("viral_contigs", rf.viral_only(viral)), *rf.read_filters()]
+    steps = [("uninteresting_contigs", odd), ("viral_contigs", rf.viral_only(viral)), *rf.read_filters(opt.read_through, opt.homopolymer)]
     d = fate.discard_all(d, [(n, p) for n, p in steps if opt.on(n)])
     return rf.filter_low_entropy(d, opt.kmer_content) if opt.on("low_entropy") else d
 

@@ -91,3 +91,19 @@ def test_threshold(spark):
     h = lambda rows: spark.createDataFrame(rows, "reads int, n int")
     assert ef.recovery_threshold(h([(2, 500), (3, 150), (5, 60)])) == 4
     assert ef.recovery_threshold(h([(2, 20)])) == 1
+
+
+@pytest.mark.parametrize("idle", [{"strandedness": "yes"}, {"mismatch_p": 0.5}, {"mismappers": 0.5}, {"itd_support": 3}])
+def test_options_without_effect_are_refused(idle):
+    with pytest.raises(ValueError, match="no effect"):
+        detect.Options(**idle)
+
+
+def test_read_filters_take_their_options(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(detect.rf, "read_filters", lambda *a: seen.setdefault("given", a) and [])
+    monkeypatch.setattr(detect.rf, "duplicate_key", lambda d: d)
+    monkeypatch.setattr(detect.rf, "mark_multimappers", lambda d: d)
+    cols = "m1_contig string, m2_contig string, sp_contig string, fate string"
+    detect.filtered_reads(spark.createDataFrame([], cols), detect.Options(read_through=5, homopolymer=4, disabled=frozenset({"duplicates", "low_entropy"})))
+    assert seen["given"] == (5, 4)
