@@ -13,13 +13,17 @@ from pyspark.sql import functions as F
 
 #: What separates words: space and the controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes that a writer of scratch tables gathers.
+ROW_GROUP = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where that is unset (tests) a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. In local mode only (tests), one of its own where that is unset."""
     sc = spark.sparkContext
     told = sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
+        if not told and not (sc.master or "").split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(told or tempfile.mkdtemp(prefix="fusewright-"))
     return (told or sc.getCheckpointDir()).rstrip("/")
 
@@ -32,7 +36,7 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:

@@ -1,22 +1,28 @@
 """Near duplicates by an exact Jaccard join of word shingles.
 
-Texts with one and the same shingle set become one entity. Candidate pairs share a shingle of
-their prefix, in an order of all shingles that puts those of many texts last. A pair's bitmaps,
-hashed parity signatures as long as its size band asks, bound the overlap from above by counting
-bits; only pairs that pass intersect their sorted arrays.
+Texts with one and the same shingle set become one node. Nodes that share a shingle of their
+prefix, in an order of all shingles that puts those of many texts last, form a candidate group.
+A group's members are dealt to tiles of neighbouring size bands; within a tile, hashed parity
+bitmaps bound each pair's overlap from above by counting bits. Only pairs that pass go on, and
+their sorted arrays are intersected.
 
 The order. A shingle is low if its hash lies under a fixed share of the hash range, and hot if more
-than HOT entities have it. Low shingles that aren't hot come first, by hash. An entity of n
-shingles with n - ceil(0.8 n) + 1 of them has its whole prefix there, so each of its links shares
-one. The others ("deep": small texts, or texts made of what many share) can miss only each other,
-and are joined among themselves with the rarest shingles first.
-
-Large groups. First the members of a group are compared with one of them; components of these
-links then leave only pairs across components, so that a group of k copies costs k comparisons.
+than HOT nodes have it. Low shingles that aren't hot come first, by hash. A node of n shingles with
+n - ceil(0.8 n) + 1 of them has its whole prefix there, so each of its links shares one. The others
+("deep": small texts, or texts made of what many share) can miss only each other, and are grouped
+among themselves with the rarest shingles first.
+
+Large groups. Components are asked for, so pairs of one component need no look. First a group's
+members are compared with a few of them, the same few wherever the same nodes meet. Then tiles
+compare members outside the group's largest component with all others, and each member names only
+its best partners of other components (LIMITS); what these link is contracted before the next
+round. The last round has no limit, and no round follows one in which none was reached. So a group
+of k copies costs a few k exact comparisons, and what isn't contracted costs bit counts.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,12 +40,19 @@ PART, WHOLE = 100, 80
 #: Share of the hash range whose shingles are low; entities above which a shingle is hot.
 LOW, HOT = 0.26, 32
 #: Shingles that a mapper gathers before it deals them out; bytes of them that a reducer gets.
-CHUNK, REDUCER = 500_000, 16 << 20
-REMEMBERED = 200_000
-#: Bits of the filter that picks the texts to read again.
-BLOOM = 1 << 23
+CHUNK, REDUCER = 300_000, 6 << 20
+#: Words, and nodes already dealt, that a worker remembers.
+REMEMBERED, DEALT = 100_000, 200_000
+#: Members that all others of a group are compared with first; partners that a member names, by round.
+CENTRES, LIMITS = 4, (2, 32, None)
+#: Rows and bytes of bitmaps on either side of a tile; sizes grow by this factor from band to band (over WHOLE / PART, so that links join neighbouring bands).
+TILE_ROWS, TILE_BYTES, BAND = 1024, 4 << 20, 1.26
+#: The filter that picks the texts to read again: bits for each, and at most; with more texts a join picks them.
+FILTER_BITS, FILTER_MOST = 12, 1 << 25
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _LOW = np.uint64(int(LOW * 2**64))
+#: Stands for a null doc_id where texts are read again.
+NO_ID = -(1 << 63)
 
 
 class _Words(dict):
@@ -74,10 +87,10 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(mixed(h))
 
 
-def entity(s: np.ndarray) -> int:
-    """A digest of a set, as a signed long."""
-    h = xxhash.xxh3_64_intdigest(s.tobytes(), len(s))
-    return h - (1 << 64) if h >> 63 else h
+def digest(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set, as two signed longs."""
+    d = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes(), len(s)), "<i8")
+    return int(d[0]), int(d[1])
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -112,19 +125,22 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return PART * inter >= WHOLE * (len(a) + len(b) - inter)
 
 
+SETS = "doc_id bigint, n bigint, key bigint, key2 bigint, n_low bigint, low binary, bits binary"
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) -> a row of sets() each."""
+    """(doc_id, text) -> a row of SETS each."""
     for b in slices(batches, 1):
-        ns, ents, low, maps = [], [], [], []
+        ns, keys, low, maps = [], [], [], []
         for t in b.column(1).cast(pa.binary()).to_pylist():
             s = shingles(t or b"")
             ns.append(len(s))
-            ents.append(entity(s))
+            keys.append(digest(s))
             low.append(s[: int(np.searchsorted(s, _LOW))].tobytes())
             maps.append(bitmap(s))
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(ns, pa.int64()), pa.array(ents, pa.int64()), pa.array([len(x) >> 3 for x in low], pa.int64()), pa.array(low, pa.binary()), pa.array(maps, pa.binary())],
-            names=["doc_id", "n", "ent", "n_low", "low", "bits"],
+            [b.column(0), pa.array(ns, pa.int64()), *(pa.array(x, pa.int64()) for x in zip(*keys)), pa.array([len(x) >> 3 for x in low], pa.int64()), pa.array(low, pa.binary()), pa.array(maps, pa.binary())],
+            names=["doc_id", "n", "key", "key2", "n_low", "low", "bits"],
         )
 
 
@@ -133,10 +149,10 @@ def _blob(tok: np.ndarray, ent: np.ndarray) -> bytes:
 
 
 def _deal(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(ent, low) -> (bucket, kind, blob): shingles and their entities, dealt by shingle.
+    """(key, low) -> (bucket, kind, blob): shingles and their keys, dealt by shingle.
 
-    A shingle that is hot within a chunk is hot: of its entities only the least goes on, marked as
-    hot (kind 1), and the others are compared with it (kind 2); how many such shingles an entity
+    A shingle that is hot within a chunk is hot: of its keys only the least goes on, marked as
+    hot (kind 1), and the others are compared with it (kind 2); how many such shingles a key
     has is kind 3. So a shingle that a third of all texts have isn't sent to one task.
     """
 
@@ -182,7 +198,7 @@ def _deal(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             if held >= CHUNK:
                 yield batch(list(chunk(lows, ents)))
                 lows, ents, held = [], [], 0
-                if len(seen) > 1_000_000:
+                if len(seen) > DEALT:
                     seen = set()
         if held:
             yield batch(list(chunk(lows, ents)))
@@ -261,60 +277,131 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _bloom_slots(ids: np.ndarray) -> list[np.ndarray]:
+def folded(maps: list[bytes]) -> np.ndarray:
+    """Bitmaps folded to the shortest one's length, a row each."""
+    words = min(map(len, maps)) >> 3
+    out = np.empty((len(maps), words), np.uint64)
+    for i, m in enumerate(maps):
+        x = np.frombuffer(m, np.uint64)
+        out[i] = x if len(x) == words else np.bitwise_xor.reduce(x.reshape(-1, words), axis=0)
+    return out
+
+
+def tile_pairs(node: np.ndarray, root: np.ndarray, n: np.ndarray, maps: list[bytes], left: np.ndarray, right: np.ndarray, limit: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, cut): for each left row its best right partners of other roots whose sizes and bit counts leave room for a link; cut: there were more than limit."""
+    bits = folded(maps)
+    rows, cols = np.flatnonzero(left), np.flatnonzero(right)
+    step = max(1, (1 << 19) // max(1, len(cols) * bits.shape[1]))
+    for k in range(0, len(rows), step):
+        i = rows[k : k + step, None]
+        na, nb = n[i], n[cols][None, :]
+        ok = (root[i] != root[cols]) & (PART * np.minimum(na, nb) >= WHOLE * np.maximum(na, nb))
+        if not ok.any():
+            continue
+        apart = np.bitwise_count(bits[i[:, 0], None, :] ^ bits[cols][None, :, :]).sum(axis=2, dtype=np.int64)
+        ok &= PART * (na + nb - apart) >= WHOLE * (na + nb + apart)
+        cut = np.zeros(len(i), np.bool_)
+        if limit is not None:
+            cut = ok.sum(axis=1) > limit
+            for r in np.flatnonzero(cut):
+                found = np.flatnonzero(ok[r])
+                ok[r, found[np.argsort(apart[r, found], kind="stable")[limit:]]] = False
+        r, c = np.nonzero(ok)
+        a, b = node[i[r, 0]], node[cols[c]]
+        yield np.minimum(a, b), np.maximum(a, b), cut[r]
+
+
+def _tiles(limit: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(tile, node, root, n, is_left, is_right, bits), sorted by tile -> (a, b, cut). A tile's rows may be spread over batches; no more than one tile is held."""
+
+    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        cols = [t.column(c).to_numpy() for c in ("node", "root", "n", "is_left", "is_right")]
+        if cols[3].any() and (cols[1] != cols[1][0]).any():
+            for a, b, cut in tile_pairs(*cols[:3], t.column("bits").to_pylist(), *cols[3:], limit):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(cut)], names=["a", "b", "cut"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in slices(batches, 6):
+            tile = b.column(0).to_numpy()
+            at = [0, *(np.flatnonzero(tile[1:] != tile[:-1]) + 1).tolist(), len(tile)]
+            for x, y in zip(at, at[1:]):
+                if held and held[0].column(0)[0].as_py() != tile[x]:
+                    yield from pairs(pa.Table.from_batches(held))
+                    held = []
+                held.append(b.slice(x, y - x))
+        if held:
+            yield from pairs(pa.Table.from_batches(held))
+
+    return run
+
+
+def _filter_slots(ids: np.ndarray, bits: int) -> list[np.ndarray]:
     h = mixed(ids.astype(np.int64).view(np.uint64) + _C[0])
-    return [((h >> np.uint64(s)) % np.uint64(BLOOM)).astype(np.int64) for s in (0, 20, 40)]
+    return [((h >> np.uint64(s)) % np.uint64(bits)).astype(np.int64) for s in (0, 20, 40)]
 
 
-def _bloom(ids: DataFrame) -> np.ndarray:
-    """A filter of fixed size over a column of longs; tasks' filters are joined in a few tasks, then one comes to the driver."""
+def _filter(ids: DataFrame, bits: int) -> np.ndarray:
+    """A filter of so many bits over a column of longs; tasks' filters are joined in a few tasks, then one comes to the driver."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(BLOOM, np.bool_)
+        out = np.zeros(bits, np.bool_)
         some = False
         for b in batches:
             some = some or b.num_rows > 0
-            for s in _bloom_slots(b.column(0).to_numpy(zero_copy_only=False)):
-                bits[s] = True
+            for s in _filter_slots(b.column(0).to_numpy(zero_copy_only=False), bits):
+                out[s] = True
         if some:
-            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(out).tobytes()], pa.binary())], names=["bits"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(BLOOM // 8, np.uint8)
+        out = np.zeros(bits // 8, np.uint8)
         for b in batches:
             for x in b.column(0):
-                bits |= np.frombuffer(x.as_buffer(), np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
+                out |= np.frombuffer(x.as_buffer(), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["bits"])
 
     got = ids.mapInArrow(fill, "bits binary").coalesce(4).mapInArrow(merge, "bits binary").collect()
-    out = np.zeros(BLOOM // 8, np.uint8)
+    out = np.zeros(bits // 8, np.uint8)
     for r in got:
         out |= np.frombuffer(bytes(r.bits), np.uint8)
     return out
 
 
 def _sets_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(ent, full) of the entities in reps (ent, rep): their texts are found by the filter over rep, and read again."""
-    bits = docs.sparkSession.sparkContext.broadcast(_bloom(reps.select("rep")))
+    """(node, full) of the nodes in reps (key, key2, node, rep): rep is a doc_id of theirs, and those texts are read again."""
+    count = reps.count()
+    bits = max(1 << 16, 1 << (FILTER_BITS * count).bit_length())
+    small = bits <= FILTER_MOST
+    if small:
+        sent = docs.sparkSession.sparkContext.broadcast(_filter(reps.select("rep"), bits))
+    else:
+        rep = F.coalesce("doc_id", F.lit(NO_ID))
+        docs = docs.join(reps.select("rep").distinct(), rep == F.col("rep"), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for b in slices(batches, 1):
-            ids = b.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
-            hit = np.ones(len(ids), np.bool_)
-            for s in _bloom_slots(ids):
-                hit &= (bits.value[s >> 3] >> (7 - (s & 7)) & 1).astype(np.bool_)
-            ents, full = [], []
-            for t in b.filter(pa.array(hit)).column(1).cast(pa.binary()).to_pylist():
+            if small:
+                hit = np.ones(b.num_rows, np.bool_)
+                for s in _filter_slots(b.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False), bits):
+                    hit &= (sent.value[s >> 3] >> (7 - (s & 7)) & 1).astype(np.bool_)
+                b = b.filter(pa.array(hit))
+            keys, full = [], []
+            for t in b.column(1).cast(pa.binary()).to_pylist():
                 s = shingles(t or b"")
-                e = entity(s)
-                if e not in seen:
-                    seen.add(e)
-                    ents.append(e)
+                k = digest(s)
+                if k not in seen:
+                    seen.add(k)
+                    keys.append(k)
                     full.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ents, pa.int64()), pa.array(full, pa.binary())], names=["ent", "full"])
+            if len(seen) > DEALT:
+                seen = set()
+            x, y = zip(*keys) if keys else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(full, pa.binary())], names=["key", "key2", "full"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "ent bigint, full binary").join(reps.select("ent"), "ent", "left_semi")
+    found = docs.select("doc_id", "text").mapInArrow(run, "key bigint, key2 bigint, full binary")
+    return found.join(reps.select("key", "key2", "node"), ["key", "key2"]).select("node", "full")
 
 
 class NgramJoin:
@@ -324,79 +411,121 @@ class NgramJoin:
         self.docs, self.spark = docs.select("doc_id", "text"), docs.sparkSession
         self.scratch = Scratch(self.spark, "ngram-join")
 
-    def verified(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The links among distinct pairs (a, b)."""
-        x = self.ents.select(F.col("ent").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
-        y = self.ents.select(F.col("ent").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
+    def full(self, reps: DataFrame, name: str) -> DataFrame:
+        """A row (node, full) for each of reps. Rows that share a doc_id may give a node's set from more than one task."""
+        out = self.scratch.table(_sets_of(self.docs, reps), f"full-{name}")
+        return out if out.count() == reps.count() else out.dropDuplicates(["node"])
+
+    def verified(self, pairs: DataFrame, name: str) -> DataFrame | None:
+        """The links among distinct pairs of nodes (a, b)."""
+        x = self.ents.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
+        y = self.ents.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
         sized = pairs.join(x, "a").join(y, "b").where(f"{PART} * least(na, nb) >= {WHOLE} * greatest(na, nb)")
         near = self.scratch.table(sized.select("a", "b", "na", "bits_a", "nb", "bits_b").mapInArrow(_bits_pass, "a bigint, b bigint"), f"near-{name}")
         if near.isEmpty():
-            return near
-        needed = near.select(F.explode(F.array("a", "b")).alias("ent")).distinct().join(self.ents.select("ent", "rep"), "ent")
-        full = self.scratch.table(_sets_of(self.docs, needed), f"full-{name}")
-        one, two = full.select(F.col("ent").alias("a"), F.col("full").alias("full_a")), full.select(F.col("ent").alias("b"), F.col("full").alias("full_b"))
+            return None
+        needed = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        needed = self.scratch.table(self.ents.select("key", "key2", "node", "rep").join(needed, "node", "left_semi"), f"needed-{name}")
+        full = self.full(needed, name)
+        one, two = full.select(F.col("node").alias("a"), F.col("full").alias("full_a")), full.select(F.col("node").alias("b"), F.col("full").alias("full_b"))
         return self.scratch.table(near.join(one, "a").join(two, "b").select("a", "b", "full_a", "full_b").mapInArrow(_exact, "a bigint, b bigint"), f"links-{name}")
 
-    def across(self, members: DataFrame, roots: DataFrame) -> DataFrame:
-        """Distinct pairs of entities of one group (gid, ent) whose components differ."""
-        m = members.join(roots.withColumnRenamed("node", "ent"), "ent", "left").withColumn("root", F.coalesce("root", "ent"))
-        open_ = m.groupBy("gid").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gid")
-        m = m.join(open_, "gid", "left_semi").join(self.ents.select("ent", "n"), "ent")
-        a, b = m.select("gid", *[F.col(c).alias(f"{c}_a") for c in ("ent", "root", "n")]), m.select("gid", *[F.col(c).alias(f"{c}_b") for c in ("ent", "root", "n")])
-        pairs = a.join(b, "gid").where(f"ent_a < ent_b and root_a <> root_b and {PART} * least(n_a, n_b) >= {WHOLE} * greatest(n_a, n_b)")
-        return pairs.select(F.col("ent_a").alias("a"), F.col("ent_b").alias("b")).distinct()
-
     def deep_members(self, hot: DataFrame) -> DataFrame:
-        """(gid, ent): prefixes of the deep entities, the rarest shingles among them first."""
-        deep = self.scratch.table(
-            self.ents.join(hot, "ent", "left").where(f"n_low - coalesce(hot, 0) < n - ceil({WHOLE} * n / {PART}) + 1").select("ent", "rep", "n"), "deep"
-        )
-        full = _sets_of(self.docs, deep)
+        """(gid, node): prefixes of the deep nodes, the rarest shingles among them first. hot: (key, hot)."""
+        prefix = f"n - ceil({WHOLE} * n / {PART}) + 1"
+        deep = self.scratch.table(self.ents.join(hot, "key", "left").where(f"n_low - coalesce(hot, 0) < {prefix}").select("key", "key2", "node", "rep", "n"), "deep")
 
         def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in slices(batches, 1):
                 sets = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
-                ent = np.repeat(b.column(0).to_numpy(), [len(s) for s in sets])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets), pa.int64()), pa.array(ent, pa.int64())], names=["gid", "ent"])
+                node = np.repeat(b.column(0).to_numpy(), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets), pa.int64()), pa.array(node, pa.int64())], names=["gid", "node"])
 
-        rows = self.scratch.table(full.mapInArrow(spread, "gid bigint, ent bigint"), "deep-rows")
+        rows = self.scratch.table(self.full(deep, "deep").mapInArrow(spread, "gid bigint, node bigint"), "deep-rows")
         shared = rows.groupBy("gid").agg(F.count("*").alias("df")).where("df > 1")
-        kept = rows.join(shared, "gid").join(deep.select("ent", "n"), "ent")
-        own = Window.partitionBy("ent")
+        kept = rows.join(shared, "gid").join(deep.select("node", "n"), "node")
+        own = Window.partitionBy("node")
         ranked = kept.withColumn("rank", F.row_number().over(own.orderBy("df", "gid")) + F.col("n") - F.count("*").over(own))
-        return ranked.where(f"rank <= n - ceil({WHOLE} * n / {PART}) + 1").select("gid", "ent")
+        return self.scratch.table(ranked.where(f"rank <= {prefix}").select("gid", "node"), "deep-members")
+
+    def by_node(self, pairs: DataFrame) -> DataFrame:
+        """Pairs of keys as pairs of nodes."""
+        x, y = self.ents.select(F.col("key").alias("a"), F.col("node").alias("node_a")), self.ents.select(F.col("key").alias("b"), F.col("node").alias("node_b"))
+        return pairs.join(x, "a").join(y, "b").select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+
+    def first_pairs(self, small: DataFrame, groups: DataFrame, deep: DataFrame) -> DataFrame:
+        """Members of small groups with one of them, hot shingles' pairs, and members of deep groups with a few."""
+        star = small.select(F.expr("ents[0]").alias("a"), F.explode(F.expr("slice(ents, 2, size(ents))")).alias("b"))
+        star = star.unionByName(groups.where("kind = 2").select(F.expr("ents[0]").alias("a"), F.expr("ents[1]").alias("b"))).distinct()
+        centres = deep.groupBy("gid").agg(F.array_distinct(F.array(*(F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(CENTRES)))).alias("centres"))
+        around = deep.join(centres, "gid").select("node", F.explode("centres").alias("centre"))
+        around = around.where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+        return self.by_node(star).unionByName(around).distinct()
+
+    def tiles(self, members: DataFrame, roots: DataFrame, limit: int | None, name: str) -> DataFrame:
+        """(a, b, cut) of the groups (gid, node) whose members have more than one root."""
+        m = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        counted = m.groupBy("gid", "root").agg(F.count("*").alias("k"))
+        open_ = counted.groupBy("gid").agg(F.max_by("root", "k").alias("major"), F.sum("k").alias("members"), F.count("*").alias("roots")).where("roots > 1")
+        sizes = self.ents.select("node", "n", F.floor(F.log("n") / math.log(BAND)).alias("band"), F.octet_length("bits").alias("bytes"))
+        m = self.scratch.table(m.join(open_, "gid").join(sizes, "node").withColumn("minor", F.expr("root <> major")).drop("major", "roots"), f"open-{name}")
+        blocks = F.ceil(F.greatest(F.count("*") / TILE_ROWS, F.sum("bytes") / TILE_BYTES))
+        large = self.scratch.table(m.groupBy("gid").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("k")).where(f"k > {TILE_ROWS} or bytes > {TILE_BYTES}").select("gid"), f"large-{name}")
+        once = m.join(large, "gid", "left_anti").select(F.col("gid").alias("tile"), "node", "root", "n", F.col("minor").alias("is_left"), F.lit(True).alias("is_right"))
+        m = m.join(large, "gid", "left_semi")
+        left, right = m.where("minor"), m
+
+        def side(x: DataFrame, y: DataFrame, is_left: bool) -> DataFrame:
+            """Rows of x, once for each block of y in the bands beside theirs."""
+            own = x.groupBy("gid", "band").agg(blocks.alias("own_blocks"))
+            other = y.groupBy("gid", F.col("band").alias("band2")).agg(blocks.alias("blocks"))
+            met = own.join(other, "gid").where("abs(band - band2) <= 1")
+            rows = x.join(met, ["gid", "band"]).withColumn("mine", F.pmod(F.xxhash64("node"), "own_blocks")).withColumn("theirs", F.explode(F.expr("sequence(0L, blocks - 1)")))
+            at = ("band", "mine", "band2", "theirs") if is_left else ("band2", "theirs", "band", "mine")
+            return rows.select(F.xxhash64("gid", *at).alias("tile"), "node", "root", "n", F.lit(is_left).alias("is_left"), F.lit(not is_left).alias("is_right"))
+
+        dealt = once.unionByName(side(left, right, True)).unionByName(side(right, left, False)).join(self.ents.select("node", "bits"), "node")
+        dealt = dealt.select("tile", "node", "root", "n", "is_left", "is_right", "bits").repartition("tile").sortWithinPartitions("tile")
+        found = dealt.mapInArrow(_tiles(limit), "a bigint, b bigint, cut boolean")
+        return self.scratch.table(found.groupBy("a", "b").agg(F.max("cut").alias("cut")), f"found-{name}")
 
     def run(self) -> DataFrame:
-        sets = self.scratch.table(self.docs.mapInArrow(_sets, "doc_id bigint, n bigint, ent bigint, n_low bigint, low binary, bits binary"), "sets")
-        rep = F.coalesce("doc_id", F.lit(-(1 << 63)))
-        self.ents = self.scratch.table(
-            sets.where("n > 0").groupBy("ent").agg(F.first("n").alias("n"), F.first("n_low").alias("n_low"), F.first("bits").alias("bits"), F.min("doc_id").alias("least_id"), F.min(rep).alias("rep")),
-            "ents",
-        )
+        sets = self.scratch.table(self.docs.mapInArrow(_sets, SETS), "sets")
+        rep = F.coalesce("doc_id", F.lit(NO_ID))
+        # the written table fixes the nodes' numbers
+        ents = sets.where("n > 0").groupBy("key", "key2").agg(F.first("n").alias("n"), F.first("n_low").alias("n_low"), F.first("bits").alias("bits"), F.min("doc_id").alias("least_id"), F.min(rep).alias("rep"))
+        self.ents = self.scratch.table(ents.withColumn("node", F.monotonically_increasing_id()), "ents")
         total = self.ents.agg(F.sum("n_low")).first()[0] or 0
         buckets = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), total * 16 // REDUCER + 1)
-        dealt = sets.where("n > 0").select("ent", "low").mapInArrow(_deal(buckets), "bucket bigint, kind int, blob binary")
+        dealt = sets.where("n > 0").select("key", "low").mapInArrow(_deal(buckets), "bucket bigint, kind int, blob binary")
         groups = self.scratch.table(dealt.groupBy("bucket").applyInArrow(_gather, GROUPS), "groups")
-        small = groups.where("kind = 0").select("ents").distinct()
-        star = small.select(F.expr("ents[0]").alias("a"), F.explode(F.expr("slice(ents, 2, size(ents))")).alias("b"))
-        star = star.unionByName(groups.where("kind = 2").select(F.expr("least(ents[0], ents[1])").alias("a"), F.expr("greatest(ents[0], ents[1])").alias("b"))).distinct()
-        links = self.verified(star, "star")
-        roots = components(links)
-        members = small.withColumn("gid", F.xxhash64("ents")).select("gid", F.explode("ents").alias("ent"))
-        # hot shingles of an entity: at most those hot within one chunk and those found so by the reducers
-        hot = groups.where("kind > 2").groupBy(F.expr("ents[0]").alias("ent")).agg(
+        # hot shingles of a key: at most those hot within one chunk and those found so by the reducers
+        hot = groups.where("kind > 2").groupBy(F.expr("ents[0]").alias("key")).agg(
             (F.coalesce(F.max(F.expr("if(kind = 3, n, 0)")), F.lit(0)) + F.coalesce(F.sum(F.expr("if(kind = 4, n, 0)")), F.lit(0))).alias("hot")
         )
-        rest = self.across(members.unionByName(self.deep_members(hot)), roots)
-        more = self.verified(self.scratch.table(rest, "rest"), "rest")
-        if not more.isEmpty():
-            roots = components(links.unionByName(more))
+        small = groups.where("kind = 0").select("ents").distinct()
+        deep = self.deep_members(hot)
+        tried = self.scratch.table(self.first_pairs(small, groups, deep), "first")
+        links = self.verified(tried, "first")
+        roots = components(links if links is not None else tried.limit(0))
+        members = small.select(F.xxhash64("ents").alias("gid"), F.explode("ents").alias("key")).join(self.ents.select("key", "node"), "key").select("gid", "node")
+        members = self.scratch.table(members.unionByName(deep), "members")
+        for limit in LIMITS:
+            name = f"upto-{limit}"
+            found = self.tiles(members, roots, limit, name)
+            fresh = self.scratch.table(found.select("a", "b").join(tried, ["a", "b"], "left_anti"), f"fresh-{name}")
+            links = self.verified(fresh, name)
+            if links is not None:
+                roots = components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+                tried = tried.unionByName(fresh)
+            if found.where("cut").isEmpty():
+                break
         roots = settled(roots)
-        least = self.ents.join(roots.withColumnRenamed("node", "ent"), "ent").groupBy("root").agg(F.min("least_id").alias("component_id"))
-        found = roots.join(least, "root").select(F.col("node").alias("ent"), "component_id")
-        own = self.ents.select("ent", "least_id").join(found, "ent", "left").select("ent", F.coalesce("component_id", "least_id").alias("component_id"))
-        light = sets.select("doc_id", "n", "ent")
-        out = light.where("n > 0").join(own, "ent").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+        least = self.ents.join(roots, "node").groupBy("root").agg(F.min("least_id").alias("component_id"))
+        found = roots.join(least, "root").select("node", "component_id")
+        own = self.ents.select("key", "key2", "node", "least_id").join(found, "node", "left").select("key", "key2", F.coalesce("component_id", "least_id").alias("component_id"))
+        light = sets.select("doc_id", "n", "key", "key2")
+        out = light.where("n > 0").join(own, ["key", "key2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
         out = out.unionByName(light.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
         out = settled(out)
         self.scratch.drop()
@@ -407,9 +536,10 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (the least doc_id reachable by links, itself included).
 
     Null, empty and blank texts have no shingles and are linked with nothing. Texts under five
-    words have one shingle, the whole sequence. Equal texts are always linked. Null doc_id: the row
-    takes part; it is never a component's id unless all of the component's ids are null. Repeated
-    rows appear as often as in the input. Empty table: empty result. Other columns are ignored.
+    words have one shingle, the whole sequence. Equal texts are always linked. Very long texts are
+    taken whole. Null doc_id: the row takes part; it is never a component's id unless all of the
+    component's ids are null. Repeated rows appear as often as in the input. Empty table: empty
+    result. Other columns are ignored, whatever their names.
     """
     with small_batches(docs.sparkSession):
         return NgramJoin(docs).run()

@@ -55,14 +55,55 @@ def corpus(seed):
     return [(i * 3 % 1009, t) for i, t in rows] + [(2000, None), (2001, ""), (2002, " \n"), rows[0], rows[0], (None, texts[0]), (None, "nobody else has this text")]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_against_all_pairs(spark, seed):
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_against_all_pairs(spark, seed, monkeypatch):
+    if seed > 1:  # many small tiles, a join in place of the filter, one partner a member at first
+        for k, v in {"TILE_ROWS": 8, "TILE_BYTES": 4096, "FILTER_MOST": 1, "LIMITS": (1, 2, None), "HOT": 12, "CENTRES": 1}.items():
+            monkeypatch.setattr(ngram_join, k, v)
     rows = corpus(seed)
     df = spark.createDataFrame([(d, t, 1, 2, "x") for d, t in rows], SCHEMA).repartition(3)
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_join(df).collect()), key=str)
     assert got == brute_force(rows)
 
 
+def test_near_copies_of_one_another(spark):
+    """3,000 texts whose pairs are mostly no links: each changes some words of one text that isn't there itself."""
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(5000)}" for _ in range(140)]
+    rows = []
+    for i in range(3000):
+        t = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4])):
+            t[rng.randrange(140)] = f"x{rng.randrange(5000)}"
+        rows.append((i, " ".join(t)))
+    df = spark.createDataFrame([(d, t, 1, 2, "x") for d, t in rows], SCHEMA).repartition(3)
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_join(df).collect()}
+    sets = [ngram_join.shingles(t.encode()) for _, t in rows]
+    every = np.unique(np.concatenate(sets))
+    m = np.zeros((3000, len(every)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, np.searchsorted(every, s)] = 1
+    inter, n = m @ m.T, m.sum(1)
+    link = 100 * inter >= 80 * (n[:, None] + n[None, :] - inter)
+    root, todo = np.full(3000, -1), []
+    for i in range(3000):
+        if root[i] < 0:
+            todo = [i]
+            root[i] = i
+            while todo:
+                near = np.flatnonzero(link[todo.pop()] & (root < 0))
+                root[near] = i
+                todo += near.tolist()
+    assert [got[i] for i in range(3000)] == root.tolist()
+
+
+def test_columns_of_helpers_names_and_a_long_text(spark):
+    text = " ".join(f"w{i * i % 7919}" for i in range(60_000))
+    rows = [(5, text, 1, 1, b"", 1, 1), (3, text + " end", 1, 1, b"", 1, 1)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, node bigint, n bigint, bits binary, key bigint, component_id bigint")
+    assert sorted((r.doc_id, r.component_id) for r in ngram_join.ngram_join(df).collect()) == [(3, 3), (5, 3)]
+
+
 def test_empty_table(spark):
     assert ngram_join.ngram_join(spark.createDataFrame([], SCHEMA)).count() == 0
 
