@@ -15,9 +15,9 @@ among themselves with the rarest shingles first.
 Large groups. Components are asked for, so pairs of one component need no look. First a group's
 members are compared with a few of them, the same few wherever the same nodes meet. Then tiles
 compare members outside the group's largest component with all others, and each member names only
-its best partners of other components (LIMITS); what these link is contracted before the next
-round. The last round has no limit, and no round follows one in which none was reached. So a group
-of k copies costs a few k exact comparisons, and what isn't contracted costs bit counts.
+its best partners of other components (LIMITS); what these link is contracted, and members that had
+more partners name them all in the last round. So a group of k copies costs a few k exact
+comparisons, and what isn't contracted costs bit counts.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ CHUNK, REDUCER = 300_000, 6 << 20
 #: Words, and nodes already dealt, that a worker remembers.
 REMEMBERED, DEALT = 100_000, 200_000
 #: Members that all others of a group are compared with first; partners that a member names, by round.
-CENTRES, LIMITS = 4, (2, 32, None)
+CENTRES, LIMITS = 4, (8, None)
 #: Rows and bytes of bitmaps on either side of a tile; sizes grow by this factor from band to band (over WHOLE / PART, so that links join neighbouring bands).
 TILE_ROWS, TILE_BYTES, BAND = 1024, 4 << 20, 1.26
 #: The filter that picks the texts to read again: bits for each, and at most; with more texts a join picks them.
@@ -206,6 +206,7 @@ def _deal(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return run
 
 
+FOUND = "a bigint, b bigint, cut_a boolean, cut_b boolean"
 GROUPS = "kind int, ents array<bigint>, n bigint"
 
 
@@ -277,9 +278,8 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def folded(maps: list[bytes]) -> np.ndarray:
-    """Bitmaps folded to the shortest one's length, a row each."""
-    words = min(map(len, maps)) >> 3
+def folded(maps: list[bytes], words: int) -> np.ndarray:
+    """Bitmaps folded to so many words of 64 bits, a row each."""
     out = np.empty((len(maps), words), np.uint64)
     for i, m in enumerate(maps):
         x = np.frombuffer(m, np.uint64)
@@ -287,38 +287,42 @@ def folded(maps: list[bytes]) -> np.ndarray:
     return out
 
 
-def tile_pairs(node: np.ndarray, root: np.ndarray, n: np.ndarray, maps: list[bytes], left: np.ndarray, right: np.ndarray, limit: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(a, b, cut): for each left row its best right partners of other roots whose sizes and bit counts leave room for a link; cut: there were more than limit."""
-    bits = folded(maps)
-    rows, cols = np.flatnonzero(left), np.flatnonzero(right)
-    step = max(1, (1 << 19) // max(1, len(cols) * bits.shape[1]))
-    for k in range(0, len(rows), step):
-        i = rows[k : k + step, None]
-        na, nb = n[i], n[cols][None, :]
-        ok = (root[i] != root[cols]) & (PART * np.minimum(na, nb) >= WHOLE * np.maximum(na, nb))
-        if not ok.any():
-            continue
-        apart = np.bitwise_count(bits[i[:, 0], None, :] ^ bits[cols][None, :, :]).sum(axis=2, dtype=np.int64)
-        ok &= PART * (na + nb - apart) >= WHOLE * (na + nb + apart)
-        cut = np.zeros(len(i), np.bool_)
-        if limit is not None:
-            cut = ok.sum(axis=1) > limit
-            for r in np.flatnonzero(cut):
-                found = np.flatnonzero(ok[r])
-                ok[r, found[np.argsort(apart[r, found], kind="stable")[limit:]]] = False
-        r, c = np.nonzero(ok)
-        a, b = node[i[r, 0]], node[cols[c]]
-        yield np.minimum(a, b), np.maximum(a, b), cut[r]
+def tile_pairs(node: np.ndarray, root: np.ndarray, n: np.ndarray, maps: list[bytes], left: np.ndarray, right: np.ndarray, limit: int | None) -> Iterator[tuple[np.ndarray, ...]]:
+    """(a, b, cut_a, cut_b): for each left row its best right partners of other roots whose sizes and bit counts leave room for a link; cut: that row has more than limit."""
+    words = np.array([len(m) >> 3 for m in maps])
+    for w in np.unique(words[left]).tolist():
+        # sizes of a link's sides are so close that their bitmaps' lengths differ by a factor of two at most
+        rows, cols = np.flatnonzero(left & (words == w)), np.flatnonzero(right & (2 * words >= w) & (words <= 2 * w))
+        fold = min(w, int(words[cols].min(initial=w)))
+        x, y = folded([maps[i] for i in rows], fold), folded([maps[i] for i in cols], fold)
+        step = max(1, (1 << 19) // max(1, len(cols) * fold))
+        for k in range(0, len(rows), step):
+            i = rows[k : k + step, None]
+            na, nb = n[i], n[cols][None, :]
+            ok = (root[i] != root[cols]) & (PART * np.minimum(na, nb) >= WHOLE * np.maximum(na, nb))
+            if not ok.any():
+                continue
+            apart = np.bitwise_count(x[k : k + step, None, :] ^ y[None, :, :]).sum(axis=2, dtype=np.int64)
+            ok &= PART * (na + nb - apart) >= WHOLE * (na + nb + apart)
+            cut = np.zeros(len(i), np.bool_)
+            if limit is not None:
+                cut = ok.sum(axis=1) > limit
+                for r in np.flatnonzero(cut):
+                    found = np.flatnonzero(ok[r])
+                    ok[r, found[np.argsort(apart[r, found], kind="stable")[limit:]]] = False
+            r, c = np.nonzero(ok)
+            a, b = node[i[r, 0]], node[cols[c]]
+            yield np.minimum(a, b), np.maximum(a, b), cut[r] & (a < b), cut[r] & (a > b)
 
 
 def _tiles(limit: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(tile, node, root, n, is_left, is_right, bits), sorted by tile -> (a, b, cut). A tile's rows may be spread over batches; no more than one tile is held."""
+    """(tile, node, root, n, is_left, is_right, bits), sorted by tile -> FOUND. A tile's rows may be spread over batches; no more than one tile is held."""
 
     def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
         cols = [t.column(c).to_numpy() for c in ("node", "root", "n", "is_left", "is_right")]
         if cols[3].any() and (cols[1] != cols[1][0]).any():
-            for a, b, cut in tile_pairs(*cols[:3], t.column("bits").to_pylist(), *cols[3:], limit):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(cut)], names=["a", "b", "cut"])
+            for found in tile_pairs(*cols[:3], t.column("bits").to_pylist(), *cols[3:], limit):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b", "cut_a", "cut_b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -462,13 +466,17 @@ class NgramJoin:
         around = around.where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
         return self.by_node(star).unionByName(around).distinct()
 
-    def tiles(self, members: DataFrame, roots: DataFrame, limit: int | None, name: str) -> DataFrame:
-        """(a, b, cut) of the groups (gid, node) whose members have more than one root."""
+    def tiles(self, members: DataFrame, roots: DataFrame, limit: int | None, name: str, again: DataFrame | None) -> DataFrame:
+        """FOUND of the groups (gid, node) whose members have more than one root. again (node): what named as many partners as it could; all members at first."""
         m = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        if again is not None:
+            m = m.join(members.join(again, "node", "left_semi").select("gid").distinct(), "gid", "left_semi")
         counted = m.groupBy("gid", "root").agg(F.count("*").alias("k"))
         open_ = counted.groupBy("gid").agg(F.max_by("root", "k").alias("major"), F.sum("k").alias("members"), F.count("*").alias("roots")).where("roots > 1")
         sizes = self.ents.select("node", "n", F.floor(F.log("n") / math.log(BAND)).alias("band"), F.octet_length("bits").alias("bytes"))
-        m = self.scratch.table(m.join(open_, "gid").join(sizes, "node").withColumn("minor", F.expr("root <> major")).drop("major", "roots"), f"open-{name}")
+        m = m.join(open_, "gid").join(sizes, "node")
+        m = m.withColumn("minor", F.expr("root <> major")) if again is None else m.join(again.withColumn("minor", F.lit(True)), "node", "left").withColumn("minor", F.coalesce("minor", F.lit(False)))
+        m = self.scratch.table(m.drop("major", "roots"), f"open-{name}")
         blocks = F.ceil(F.greatest(F.count("*") / TILE_ROWS, F.sum("bytes") / TILE_BYTES))
         large = self.scratch.table(m.groupBy("gid").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("k")).where(f"k > {TILE_ROWS} or bytes > {TILE_BYTES}").select("gid"), f"large-{name}")
         once = m.join(large, "gid", "left_anti").select(F.col("gid").alias("tile"), "node", "root", "n", F.col("minor").alias("is_left"), F.lit(True).alias("is_right"))
@@ -486,8 +494,8 @@ class NgramJoin:
 
         dealt = once.unionByName(side(left, right, True)).unionByName(side(right, left, False)).join(self.ents.select("node", "bits"), "node")
         dealt = dealt.select("tile", "node", "root", "n", "is_left", "is_right", "bits").repartition("tile").sortWithinPartitions("tile")
-        found = dealt.mapInArrow(_tiles(limit), "a bigint, b bigint, cut boolean")
-        return self.scratch.table(found.groupBy("a", "b").agg(F.max("cut").alias("cut")), f"found-{name}")
+        found = dealt.mapInArrow(_tiles(limit), FOUND).groupBy("a", "b").agg(F.max("cut_a").alias("cut_a"), F.max("cut_b").alias("cut_b"))
+        return self.scratch.table(found, f"found-{name}")
 
     def run(self) -> DataFrame:
         sets = self.scratch.table(self.docs.mapInArrow(_sets, SETS), "sets")
@@ -510,15 +518,17 @@ class NgramJoin:
         roots = components(links if links is not None else tried.limit(0))
         members = small.select(F.xxhash64("ents").alias("gid"), F.explode("ents").alias("key")).join(self.ents.select("key", "node"), "key").select("gid", "node")
         members = self.scratch.table(members.unionByName(deep), "members")
+        again = None
         for limit in LIMITS:
             name = f"upto-{limit}"
-            found = self.tiles(members, roots, limit, name)
+            found = self.tiles(members, roots, limit, name, again)
             fresh = self.scratch.table(found.select("a", "b").join(tried, ["a", "b"], "left_anti"), f"fresh-{name}")
             links = self.verified(fresh, name)
             if links is not None:
                 roots = components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
                 tried = tried.unionByName(fresh)
-            if found.where("cut").isEmpty():
+            again = self.scratch.table(found.select(F.explode(F.expr("filter(array(if(cut_a, a, null), if(cut_b, b, null)), x -> x is not null)")).alias("node")).distinct(), f"cut-{name}")
+            if again.isEmpty():
                 break
         roots = settled(roots)
         least = self.ents.join(roots, "node").groupBy("root").agg(F.min("least_id").alias("component_id"))
