@@ -1,8 +1,8 @@
 """Packing documents into token sequences by order-preserving dynamic programming.
 
 Documents stay in the order of their partition and form one stream of tokens. Windows of at most
-2048 tokens cover the stream; they may end after a document, after a sentence of one, or, where a
-sentence is long, within it. A window costs its padding, and its end costs a truncation penalty
+2048 tokens cover the stream; they end after a document, after a sentence of one, or, in a sentence
+longer than a window, within it. A window costs its padding, and its end costs a truncation penalty
 unless a document ends there. The cheapest cuts come from dynamic programming: a monotone queue
 holds the best starts of windows that are padded, and the starts of windows whose length is a
 power of two, which need no padding, are looked up. The stream is planned a block of documents at
@@ -14,7 +14,6 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
-from bisect import bisect_left
 from collections import deque
 from collections.abc import Callable, Iterator
 
@@ -28,42 +27,50 @@ from .common import slices
 WINDOW, END = 2048, 1
 #: What a cut costs, in tokens of padding: after a sentence, and within one.
 SENTENCE_CUT, HARD_CUT = 8, 64
-#: Within a sentence a window may end every so many tokens.
+#: Within a sentence longer than a window, a window may end every so many tokens.
 GRID = 64
 #: A block is planned once it has this many tokens.
 BLOCK = 1 << 20
 #: Words whose tokens a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 900_000
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
-_SENTENCE = re.compile(r"(?<=[.!?])[ \t\r]+|\n+")
-#: White space that str.split() and the tokenizer don't treat alike, or that isn't ASCII.
+#: White space that str.split() and the tokenizer don't treat alike, or that isn't ASCII; and what stands for a line's end.
 _ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_LINE = "\x00"
 #: Words that are split here, and the vocabulary's pattern over them, in lower case.
 _LATIN = re.compile(r"[!-~\xa1\xab\xbb\xbf\xc0-\u0148\u014a-\u017f]+")
 _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|[\W_]+")
+#: The vocabulary's signs for bytes: printable ones of Latin-1 stand for themselves, the others follow from 256 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SIGNS = dict(zip(_PLAIN, map(chr, _PLAIN))) | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PLAIN)))}
 #: One for each worker and vocabulary.
 _encoders: dict[str, "WordEncoder"] = {}
 
 
-class WordEncoder:
+class WordEncoder(dict):
     """Ids of texts, by words: the vocabulary's own splitting never crosses white space, so a word's ids hold anywhere.
 
-    Words of Latin letters, digits and signs are normalised and split here as the vocabulary says
-    (NFC, lower case, its pattern), and only parts not met before go through its merges, many in one
-    call; the last id of each part is one that ends a word. All other words go through the vocabulary whole.
+    The dictionary numbers the words met so far; their ids stand one after another in flat. Words of
+    Latin letters, digits and signs are normalised and split here as the vocabulary says (NFC, lower
+    case, its pattern), and their parts go through its merges. All other words go through the
+    vocabulary whole. A full memory is emptied between texts.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.parts = Tokenizer.from_file(path), {}, {}
-        self.old: dict[str, bytes] = {}
-        self.old_parts: dict[str, bytes] = {}
-        self.merges = Tokenizer(self.tokenizer.model)
-        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), np.bool_)
-        self.ends[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]] = True
+        super().__init__()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.merges = self.tokenizer.model.tokenize
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.flat, self.at = np.zeros(1 << 16, "<u4"), 0
+        self.begin, self.count, self.stops = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.bool_)
+        self[_LINE] = 0
+        self.stops[0] = True
 
     @staticmethod
     def of(path: str) -> WordEncoder:
@@ -71,130 +78,122 @@ class WordEncoder:
             _encoders[path] = WordEncoder(path)
         return _encoders[path]
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, words: set[str]) -> None:
-        known, old = self.known, self.old
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > REMEMBERED:  # a full memory becomes the old one, from which words in use come back
-            self.known, self.old = known, old = {}, known
-            new = list(words)
-        if old:
-            known.update((w, old[w]) for w in new if w in old)
-            new = [w for w in new if w not in known]
-        if len(self.parts) > REMEMBERED:
-            self.parts, self.old_parts = {}, self.parts
-        plain = []
-        for w in new:
-            if _LATIN.fullmatch(w) and "<|" not in w:
-                plain.append((w, _PARTS.findall((w if w.isascii() else unicodedata.normalize("NFC", w)).lower())))
-            else:
-                known[w] = self.whole(w)
-        parts = {p for _, ps in plain for p in ps if p not in self.parts}
-        if self.old_parts:
-            back = {p: self.old_parts[p] for p in parts if p in self.old_parts}
-            self.parts.update(back)
-            parts -= back.keys()
-        parts = list(parts)
-        for i in range(0, len(parts), 4096):
-            some = parts[i : i + 4096]
-            ids = np.array(self.merges.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            at = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(at) == len(some):
-                self.parts.update(zip(some, (ids[a:b].tobytes() for a, b in zip([0, *at], at))))
-            else:
-                self.parts.update((p, self.whole(p)) for p in some)
-        get = self.parts.__getitem__
-        for w, ps in plain:
-            known[w] = get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))
-
-    def sentences(self, text: str) -> list[bytes]:
-        """The ids of each sentence."""
-        if _ODD_SPACE.search(text):
-            return [self.whole(text)]
-        parts = [s.split() for s in _SENTENCE.split(text)]
-        self.learn({w for p in parts for w in p})
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in parts if p]
-
-
-def plan(ends: list[int], penalties: list[int], window: int = WINDOW) -> list[int]:
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def again(self, part: str) -> list[int]:
+        """The ids of letters in lower case or of one sign, from memory if met as a word."""
+        i = self.get(part)
+        return [t.id for t in self.merges(part)] if i is None else self.flat[self.begin[i] : self.begin[i] + self.count[i]].tolist()
+
+    def parts(self, word: str) -> list[int]:
+        if word.isascii():
+            word = word.lower()
+            if word.isalpha():
+                return self.again(word)
+            if word[-1] in ".,;:!?" and word[:-1].isalpha():
+                return self.again(word[:-1]) + self.again(word[-1])
+            return [t.id for p in _PARTS.findall(word) for t in self.merges(p)]
+        found = _PARTS.findall(unicodedata.normalize("NFC", word).lower())
+        return [t.id for p in found for t in self.merges("".join(map(_SIGNS.__getitem__, p.encode())))]
+
+    def __missing__(self, word: str) -> int:
+        ids = self.parts(word) if _LATIN.fullmatch(word) and "<|" not in word else self.whole(word)
+        i, n = len(self), len(ids)
+        if i == len(self.begin):
+            self.begin, self.count, self.stops = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count, self.stops))
+        while self.at + n > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.at : self.at + n] = ids
+        self.begin[i], self.count[i], self.stops[i] = self.at, n, word[-1] in ".!?"
+        self.at += n
+        self[word] = i
+        return i
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a text with the end id, and the places where its sentences end, the last one where the text ends."""
+        if _LINE in text or (any(x in text for x in "\x1c\x1d\x1e\x1f") if text.isascii() else _ODD_SPACE.search(text)):
+            ids = np.append(self.whole(text), np.uint32(END)).astype("<u4")
+            return ids, np.array([len(ids)])
+        if len(self) > REMEMBERED:
+            self.forget()
+        words = (text.replace("\n", f" {_LINE} ") if "\n" in text else text).split()
+        w = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        n = self.count[w]
+        after = np.cumsum(n)
+        total = int(after[-1]) if len(w) else 0
+        ids = np.empty(total + 1, "<u4")
+        ids[:total] = self.flat[np.repeat(self.begin[w] - (after - n), n) + np.arange(total)]
+        ids[total] = END
+        ends = after[self.stops[w]]
+        return ids, np.append(np.unique(ends[(ends > 0) & (ends < total)]), total + 1)
+
+
+def plan(ends: np.ndarray, penalties: np.ndarray, window: int = WINDOW) -> list[int]:
     """The ends of the cheapest windows. ends: allowed ends, rising, the last is the stream's; none is over window after its predecessor.
 
     Padding of a window of n tokens is window - n, but none if n is a power of two.
     """
-    if not ends:
+    if not len(ends):
         return []
-    points = [0, *ends]
-    powers = [1 << k for k in range(window.bit_length() - 1, -1, -1)]
+    points = np.concatenate([[0], ends])
+    where = np.full(int(points[-1]) + 1, -1, np.int32)
+    where[points] = np.arange(len(points))
+    exact: dict[int, list[int]] = {}  # of a point: those a power of two before it
+    for k in range(window.bit_length()):
+        back = points - (1 << k)
+        found = np.flatnonzero(back >= 0)
+        i = where[back[found]]
+        for j, x in zip(found[i >= 0].tolist(), i[i >= 0].tolist()):
+            exact.setdefault(j, []).append(x)
     cost, came = [0] * len(points), [0] * len(points)
-    at = {0: 0}
     queue: deque[tuple[int, int, int]] = deque([(0, 0, 0)])  # (cost + position, position, index), costs rising
-    for j in range(1, len(points)):
-        p = points[j]
+    for j, (p, penalty) in enumerate(zip(ends.tolist(), penalties.tolist()), 1):
         while p - queue[0][1] > window:
             queue.popleft()
-        head = queue[0]
-        best, i = head[0] + window - p, head[2]
-        for step in powers:
-            k = at.get(p - step)
-            if k is not None and cost[k] < best:
+        key, _, i = queue[0]
+        best = key + window - p
+        for k in exact.get(j, ()):
+            if cost[k] < best:
                 best, i = cost[k], k
-        cost[j], came[j] = best + penalties[j - 1], i
-        at[p] = j
-        key = cost[j] + p
+        best += penalty
+        cost[j], came[j] = best, i
+        key = best + p
         while queue and queue[-1][0] >= key:
             queue.pop()
         queue.append((key, p, j))
     out, j = [], len(points) - 1
     while j:
-        out.append(points[j])
+        out.append(int(points[j]))
         j = came[j]
     return out[::-1]
 
 
-def cut_points(lengths: list[list[int]], grid: int = GRID) -> tuple[list[int], list[int]]:
-    """Allowed ends and their penalties, from the lengths of each document's sentences (the end id counts to the last)."""
-    ends, penalties, at = [], [], 0
-    for doc in lengths:
-        last = len(doc) - 1
-        for k, n in enumerate(doc):
-            if n > grid:
-                inner = range(at + grid, at + n, grid)
-                ends += inner
-                penalties += [HARD_CUT] * len(inner)
-            at += n
-            ends.append(at)
-            penalties.append(0 if k == last else SENTENCE_CUT)
+def cut_points(docs: list[np.ndarray], window: int = WINDOW, grid: int = GRID) -> tuple[np.ndarray, np.ndarray]:
+    """Allowed ends in the stream and their penalties, from the places in each document where its sentences end."""
+    base = np.cumsum([0, *(int(d[-1]) for d in docs)])
+    ends = np.concatenate([d + b for d, b in zip(docs, base)])
+    penalties = np.full(len(ends), SENTENCE_CUT)
+    penalties[np.cumsum([len(d) for d in docs]) - 1] = 0
+    before = np.concatenate([[0], ends[:-1]])
+    inner = [np.arange(before[i] + grid, ends[i], grid) for i in np.flatnonzero(ends - before > window).tolist()]
+    if inner:
+        more = np.concatenate(inner)
+        ends, penalties = np.concatenate([ends, more]), np.concatenate([penalties, np.full(len(more), HARD_CUT)])
+        order = np.argsort(ends, kind="stable")
+        ends, penalties = ends[order], penalties[order]
     return ends, penalties
 
 
-def pack_block(docs: list[tuple[int | None, list[bytes]]], first_id: int, window: int = WINDOW) -> tuple[list[tuple], int]:
-    """Rows of SCHEMA for one block, and the next sequence's id. Each document: its id and the ids of its sentences, end id included."""
-    ends, penalties = cut_points([[len(s) >> 2 for s in sentences] for _, sentences in docs])
-    # a stream's last window may be short: let it end in powers of two
-    if ends:
-        tail = ends[-1]
-        extra, back = [], ends[-1]
-        for k in range(window.bit_length() - 1, -1, -1):
-            if (tail % window) >> k & 1:
-                back -= 1 << k
-                extra.append(back)
-        have = set(ends)
-        for x in extra:
-            if x > 0 and x not in have:
-                i = bisect_left(ends, x)
-                ends.insert(i, x)
-                penalties.insert(i, HARD_CUT)
-    cuts = plan(ends, penalties, window)
+def pack_block(docs: list[tuple[int | None, np.ndarray, np.ndarray]], first_id: int, window: int = WINDOW) -> tuple[list[tuple], int]:
+    """Rows of SCHEMA for one block, and the next sequence's id. Each document: its id, its ids and its sentences' ends."""
+    cuts = plan(*cut_points([ends for _, _, ends in docs], window), window)
     rows, at, c, begun = [], 0, 0, 0  # begun: where the open window began
-    for doc_id, sentences in docs:
-        ids = b"".join(sentences)
-        total, start = len(ids) >> 2, 0
+    for doc_id, ids, _ in docs:
+        total, start = len(ids), 0
         while start < total:
             n = min(total - start, cuts[c] - at)
-            rows.append((doc_id, start, n, zlib.crc32(ids[start * 4 : (start + n) * 4]), total, first_id + c, at - begun))
+            rows.append((doc_id, start, n, zlib.crc32(ids[start : start + n]), total, first_id + c, at - begun))
             start, at = start + n, at + n
             if at == cuts[c]:
                 c, begun = c + 1, at
@@ -208,14 +207,12 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def _packer(path: str, window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = WordEncoder.of(path), np.array([END], "<u4").tobytes()
+        encoder = WordEncoder.of(path)
         next_id, docs, held = TaskContext.get().partitionId() << 40, [], 0
         for b in slices(batches, 1):
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                sentences = encoder.sentences(text or "") or [b""]
-                sentences[-1] += end
-                docs.append((doc_id, sentences))
-                held += sum(map(len, sentences)) >> 2
+                docs.append((doc_id, *encoder.encode(text or "")))
+                held += len(docs[-1][1])
                 if held >= BLOCK:
                     rows, next_id = pack_block(docs, next_id, window)
                     docs, held = [], 0
@@ -235,8 +232,8 @@ def default_vocabulary() -> str:
 def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Ids of a whole document, then the end id, each in exactly one piece; a sequence's pieces lie
-    without gaps from offset 0. Sequences are numbered within their partition of the input, so
+    Ids of a whole document, very long ones too, then the end id, each in exactly one piece; a
+    sequence's pieces lie without gaps from offset 0. Sequences are numbered within their partition of the input, so
     there is no shuffle and no global counter. Null and blank text: the end id alone. Null doc_id
     stays null; repeated rows are packed each. Empty table: empty result. Other columns are ignored.
     """

@@ -29,7 +29,7 @@ def test_plan_is_optimal(seed):
     rng = np.random.default_rng(seed)
     ends = np.cumsum(rng.integers(1, 16, 60)).tolist()
     penalties = rng.integers(0, 9, 60).tolist()
-    cuts = packing.plan(ends, penalties, 32)
+    cuts = packing.plan(np.array(ends), np.array(penalties), 32)
     assert cuts[-1] == ends[-1] and set(cuts) <= set(ends)
     total, before = 0, 0
     for c in cuts:
@@ -68,5 +68,38 @@ def test_pieces_hold_every_id_once(spark):
     assert padding < 0.02 * sum(r.length for r in rows)
 
 
+def test_ids_are_the_tokenizers():
+    rng = np.random.default_rng(3)
+    signs = list("abcdeABCDÉéñßœĿ0123456789.,!?'\"-_*@#<|>()") + ["'s", "'LL", "\u0301", "ı", "中", "😀", "\x07", " ", " ", " ", "\n", "\t", "\r\n", "\x0b", "\u2003", "<|endoftext|>", "\x00", "\x1d"]
+    tokenizer, encoder = Tokenizer.from_file(packing.default_vocabulary()), packing.WordEncoder(packing.default_vocabulary())
+    for k in range(4000):
+        text = "".join(rng.choice(signs, rng.integers(0, 40), p=None))
+        ids, ends = encoder.encode(text)
+        assert ids.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1], repr(text)
+        assert ends[-1] == len(ids) and (np.diff(ends) > 0).all() and ends[0] > 0
+        if k == 2000:
+            encoder.forget()
+
+
+def test_cuts_lie_at_sentence_ends():
+    """Only a sentence longer than a window is cut inside."""
+    rng = np.random.default_rng(4)
+    docs = []
+    for i in range(60):
+        sizes = rng.choice([3, 17, 60, 300, 900, 2048], rng.integers(1, 9))
+        if i == 30:
+            sizes = np.append(sizes, 7000)
+        ends = np.cumsum(sizes)
+        docs.append((i, rng.integers(0, 9, ends[-1]).astype("<u4"), ends))
+    rows, n = packing.pack_block(docs, 5)
+    assert {r[5] for r in rows} == set(range(5, n))
+    for doc_id, start, length, *_ in rows:
+        ends, end = docs[doc_id][2], start + length
+        inside = np.flatnonzero((ends > end) & (np.concatenate([[0], ends[:-1]]) < end))
+        assert all(np.diff(np.concatenate([[0], ends]))[k] > packing.WINDOW for k in inside)
+    ids, ends = packing.WordEncoder(packing.default_vocabulary()).encode("One two. Three\n\nfour! five")
+    assert len(ends) == 4
+
+
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA)).count() == 0
