@@ -67,6 +67,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """The name, or one made longer until no column of docs has it, upper and lower case taken for the same."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def columns_of(docs: DataFrame) -> list[Column]:
+    """All columns, whatever signs their names hold."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """Columns by number: mapInArrow doesn't take names with dots."""
+    return docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+
+
 def held_out(doc_id: Column) -> Column:
     """crc32(doc_id as text) mod 5 is 0: such labels are never learnt from."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0

@@ -50,16 +50,17 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float
     )
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """Per row of docs: doc_id, source, size, source_size, target, taken, epochs.
+def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, carry: Sequence[Column] = ()) -> DataFrame:
+    """Per row of docs: doc_id, source, size, source_size, target, taken, epochs, and what carry names (columns _0, _1, ...).
 
     taken: words of this document in the mix: size for each full epoch, and in the last epoch what
     of it lies before the source's cut (one document of a source may be taken in part). epochs: how
     many times it appears, a partial one included. Reruns agree: the key is a digest of doc_id.
 
     Null source: a source of its own, the last. Null or blank text: size 0, nothing taken. Null
-    doc_id: an id like any other. Repeated rows: each counts by itself; ties of the key go by
-    doc_id, then size. Empty table: empty result. Other columns of docs are ignored.
+    doc_id: an id like any other. Very long texts count whole. Repeated rows: each counts by itself;
+    ties of the key go by doc_id, then size. Empty table: empty result. Other columns of docs are
+    ignored, whatever their names.
     """
     base = docs.select(
         F.col("doc_id"),
@@ -67,6 +68,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
         F.coalesce("source", F.lit("")).alias("source"),
         word_count(F.col("text")).alias("size"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("key"),
+        *(c.alias(f"_{i}") for i, c in enumerate(carry)),
     ).withColumn("part", F.substring("key", 1, 3))
     base = settled(base)  # so that texts are read and counted once
     parts = base.groupBy("known", "source", "part").agg(F.sum("size").alias("part_size"))
@@ -91,6 +93,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
             (whole * size + F.col("part_taken")).cast("long").alias("taken"),
             (whole + (F.col("part_taken") > 0).cast("long")).alias("epochs"),
             "part_taken",
+            *(f"_{i}" for i in range(len(carry))),
         )
     )
 

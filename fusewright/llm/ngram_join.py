@@ -28,10 +28,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, settled, slices, small_batches
+from .common import WORD, Scratch, columns_of, settled, slices, small_batches, unused
 from .components import components
 
 GRAM = 5
@@ -125,11 +125,11 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return PART * inter >= WHOLE * (len(a) + len(b) - inter)
 
 
-SETS = "doc_id bigint, n bigint, key bigint, key2 bigint, n_low bigint, low binary, bits binary"
+SETS = "doc_id bigint, text_a bigint, text_b bigint, n bigint, key bigint, key2 bigint, n_low bigint, low binary, bits binary"
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) -> a row of SETS each."""
+    """(doc_id, text, text_a, text_b) -> a row of SETS each."""
     for b in slices(batches, 1):
         ns, keys, low, maps = [], [], [], []
         for t in b.column(1).cast(pa.binary()).to_pylist():
@@ -139,8 +139,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low.append(s[: int(np.searchsorted(s, _LOW))].tobytes())
             maps.append(bitmap(s))
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array(ns, pa.int64()), *(pa.array(x, pa.int64()) for x in zip(*keys)), pa.array([len(x) >> 3 for x in low], pa.int64()), pa.array(low, pa.binary()), pa.array(maps, pa.binary())],
-            names=["doc_id", "n", "key", "key2", "n_low", "low", "bits"],
+            [b.column(0), b.column(2), b.column(3), pa.array(ns, pa.int64()), *(pa.array(x, pa.int64()) for x in zip(*keys)), pa.array([len(x) >> 3 for x in low], pa.int64()), pa.array(low, pa.binary()), pa.array(maps, pa.binary())],
+            names=["doc_id", "text_a", "text_b", "n", "key", "key2", "n_low", "low", "bits"],
         )
 
 
@@ -492,13 +492,14 @@ class NgramJoin:
             at = ("band", "mine", "band2", "theirs") if is_left else ("band2", "theirs", "band", "mine")
             return rows.select(F.xxhash64("gid", *at).alias("tile"), "node", "root", "n", F.lit(is_left).alias("is_left"), F.lit(not is_left).alias("is_right"))
 
-        dealt = once.unionByName(side(left, right, True)).unionByName(side(right, left, False)).join(self.ents.select("node", "bits"), "node")
+        dealt = once if large.isEmpty() else once.unionByName(side(left, right, True)).unionByName(side(right, left, False))
+        dealt = dealt.join(self.ents.select("node", "bits"), "node")
         dealt = dealt.select("tile", "node", "root", "n", "is_left", "is_right", "bits").repartition("tile").sortWithinPartitions("tile")
         found = dealt.mapInArrow(_tiles(limit), FOUND).groupBy("a", "b").agg(F.max("cut_a").alias("cut_a"), F.max("cut_b").alias("cut_b"))
         return self.scratch.table(found, f"found-{name}")
 
     def run(self) -> DataFrame:
-        sets = self.scratch.table(self.docs.mapInArrow(_sets, SETS), "sets")
+        sets = self.scratch.table(self.docs.select("*", *(c.alias(k) for c, k in zip(text_digest(F.col("text")), ("text_a", "text_b")))).mapInArrow(_sets, SETS), "sets")
         rep = F.coalesce("doc_id", F.lit(NO_ID))
         # the written table fixes the nodes' numbers
         ents = sets.where("n > 0").groupBy("key", "key2").agg(F.first("n").alias("n"), F.first("n_low").alias("n_low"), F.first("bits").alias("bits"), F.min("doc_id").alias("least_id"), F.min(rep).alias("rep"))
@@ -532,20 +533,45 @@ class NgramJoin:
                 break
         roots = settled(roots)
         least = self.ents.join(roots, "node").groupBy("root").agg(F.min("least_id").alias("component_id"))
-        found = roots.join(least, "root").select("node", "component_id")
-        own = self.ents.select("key", "key2", "node", "least_id").join(found, "node", "left").select("key", "key2", F.coalesce("component_id", "least_id").alias("component_id"))
-        light = sets.select("doc_id", "n", "key", "key2")
-        out = light.where("n > 0").join(own, ["key", "key2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-        out = out.unionByName(light.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+        found = roots.join(least, "root").select("node", "root", "component_id")
+        own = self.ents.select("key", "key2", "node", "least_id").join(found, "node", "left")
+        own = own.select("key", "key2", F.coalesce("component_id", "least_id").alias("component_id"), F.coalesce("root", "node").alias("component"))
+        light = sets.select("doc_id", F.col("n").alias("n_shingles"), "key", "key2", "text_a", "text_b")
+        columns = ["doc_id", "n_shingles", "component_id", "component", "text_a", "text_b"]
+        out = light.where("n_shingles > 0").join(own, ["key", "key2"]).select(columns)
+        out = out.unionByName(light.where("n_shingles = 0").withColumns({"component_id": F.col("doc_id"), "component": F.lit(None).cast("bigint")}).select(columns))
         out = settled(out)
         self.scratch.drop()
         return out
 
 
+def text_digest(text: Column) -> tuple[Column, Column]:
+    """128 bits of a text, as two longs."""
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component: the least doc_id's (null last), then the one of the least text digest.
+
+    Rows without words all stay. Of rows that agree in doc_id and text one stays, any of them. Null
+    doc_ids: such rows are compared like all others. Very long texts are taken whole. Empty table:
+    empty result. All columns stay, whatever their names.
+    """
+    names = [unused(docs, x) for x in ("row_known", "row_id", "row_a", "row_b")]
+    text_a, text_b = text_digest(F.col("text"))
+    ids = F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0).cast("bigint"))
+    first = F.min(F.struct(*(c.alias(k) for c, k in zip((*ids, F.col("text_a"), F.col("text_b")), names)))).alias("first")
+    kept = ngram_join(docs).where("n_shingles > 0").groupBy("component").agg(first).select("first.*")
+    keyed = docs.withColumns(dict(zip(names, (*ids, text_a, text_b))))
+    rows = keyed.join(kept, names, "left_semi").dropDuplicates(names).select(*columns_of(docs))
+    return rows.unionByName(docs.where(~F.coalesce("text", F.lit("")).rlike(WORD)))
+
+
 def ngram_join(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (the least doc_id reachable by links, itself included).
 
-    Null, empty and blank texts have no shingles and are linked with nothing. Texts under five
+    Then component (a number of this run, null without words) and text_a, text_b (text_digest()), by
+    which rows can be told apart where ids are null or repeated. Null, empty and blank texts have no shingles and are linked with nothing. Texts under five
     words have one shingle, the whole sequence. Equal texts are always linked. Very long texts are
     taken whole. Null doc_id: the row takes part; it is never a component's id unless all of the
     component's ids are null. Repeated rows appear as often as in the input. Empty table: empty

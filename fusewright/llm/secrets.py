@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import automata
-from .common import slices
+from .common import numbered, slices
 
 #: The base kinds, in order, and their patterns.
 KINDS = ("assign", "access", "hex")
@@ -189,12 +189,12 @@ def redacted(text: str, grammar: Grammar) -> str:
 def redact(docs: DataFrame, grammar: Grammar | None = None) -> DataFrame:
     """docs with every secret of text replaced by its kind in brackets; all rows and columns stay, null texts too."""
     sent = docs.sparkSession.sparkContext.broadcast(grammar or learn())
-    at = docs.columns.index("text")
+    at, names = docs.columns.index("text"), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, at):
             new = [t if t is None else redacted(t, sent.value) for t in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if i == at else c for i, c in enumerate(b.columns)], names=b.schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if i == at else c for i, c in enumerate(b.columns)], names=names)
 
-    out = docs.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema]))
+    out = numbered(docs).mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema]))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

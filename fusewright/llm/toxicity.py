@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import held_out, slices
+from .common import held_out, numbered, slices
 
-#: At most this many labelled rows are learnt from (by the least digests of their ids).
-SAMPLE = 12_000
-#: Bytes of the sampled texts that come to the driver, at most; each text is whole.
-SAMPLE_BYTES = 48 << 20
+#: At most this many labelled rows are learnt from (by the least digests of their ids), none of them longer than so many characters.
+SAMPLE, SAMPLE_CHARS = 12_000, 200_000
+#: Characters of the sampled texts that come to the driver, at most.
+SAMPLE_ALL = 48 << 20
 LEXICON = 400
 #: Words of second person in the four languages, and letters that digits and signs stand for.
 SECOND = frozenset("you your yours yourself du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos usted tú ti tuyo vosotros".split())
@@ -146,45 +146,50 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model of at most sample labelled documents, none of them held out; the sample is the rows of least md5(doc_id)."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int = SAMPLE_CHARS, total: int = SAMPLE_ALL) -> Model:
+    """A model of a bounded sample of the labelled documents, none of them held out.
+
+    The sample: rows in the order of md5(doc_id), at most sample of them and at most total
+    characters; texts longer than longest characters, and rows with which the sum would exceed
+    total, are passed over and the next ones taken. It bounds what is learnt from only; all rows
+    are scored, whole.
+    """
+    key = F.md5(F.col("doc_id").cast("string").cast("binary"))
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label")).orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(sample)
+    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label")).orderBy(key, "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most sample rows
-    rows = rows.where("text is not null").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    got = rows.select(F.md5(F.col("doc_id").cast("string").cast("binary")).alias("key"), "label", "text").orderBy("key").toLocalIterator()
+    rows = rows.where(F.col("text").isNotNull() & (F.length("text") <= longest)).groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     texts, ys, held = [], [], 0
-    for r in got:
-        held += len(r.text)
-        if held > SAMPLE_BYTES:
-            break
-        texts.append(r.text)
-        ys.append(r.label)
+    for r in rows.select(key.alias("key"), "label", "text").orderBy("key").toLocalIterator():
+        if held + len(r.text) <= total:
+            held += len(r.text)
+            texts.append(r.text)
+            ys.append(r.label)
     return fit(texts, ys)
 
 
 SCHEMA = "doc_id bigint, held_out boolean, score double, predicted int"
 
 
-def score_column(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
-    """keep: the columns of docs and score; else doc_id, held_out, score, predicted.
+def score_column(docs: DataFrame, model: Model, keep: str | None = None) -> DataFrame:
+    """keep: the columns of docs and the score under this name; else doc_id, held_out, score, predicted.
 
-    Null and empty texts are scored like any text without words. Null doc_id: held_out as for an
+    Null and empty texts are scored like any text without words; very long ones are scored whole. Null doc_id: held_out as for an
     empty id. Repeated rows and equal texts get equal scores. Empty table: empty result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     src = docs if keep else docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
-    at = src.columns.index("text")
+    at, names = src.columns.index("text"), [*src.columns, keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, at):
             s = sent.value.score([t or "" for t in b.column(at).to_pylist()])
             if keep:
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], names=[*b.schema.names, "toxic_score"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], names=names)
             else:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     from pyspark.sql import types as T
 
-    schema = T.StructType([*src.schema.fields, T.StructField("toxic_score", T.DoubleType())]) if keep else SCHEMA
-    return src.mapInArrow(run, schema)
+    schema = T.StructType([*src.schema.fields, T.StructField(keep, T.DoubleType())]) if keep else SCHEMA
+    return (numbered(src) if keep else src).mapInArrow(run, schema)
