@@ -2,7 +2,8 @@
 
 For each credential format a probabilistic automaton is inferred from labelled examples by merging
 statistically compatible states of their prefix tree; one more is inferred from strings that are no
-credentials. Every candidate string of a text is scored by how much likelier its best format is.
+credentials. Every candidate is scored by how much likelier its best format is: each run of key
+letters and signs of any length, and, where a run as a whole doesn't pass, its parts.
 """
 
 from __future__ import annotations
@@ -11,9 +12,11 @@ import hashlib
 import random
 import re
 import string
+from bisect import bisect_right
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +32,11 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 #: A run shorter than asked fails wherever it is begun, so the least lengths can stand in the patterns.
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]+")
+#: Parts of a run lie between path signs, or between repeated signs.
+_PART = re.compile(r"(?:(?!([-_.=+/])\1)[A-Za-z0-9+_-])+")
+#: Runs that a worker remembers not to pass, the longest of them.
+REMEMBERED, SHORT = 300_000, 64
 #: Symbols of the automata: digits, letters that are hexadecimal digits, other letters; signs stay.
 _CLASSES = str.maketrans({**dict.fromkeys("0123456789", "d"), **dict.fromkeys("abcdef", "h"), **dict.fromkeys("ghijklmnopqrstuvwxyz", "l"), **dict.fromkeys("ABCDEF", "H"), **dict.fromkeys("GHIJKLMNOPQRSTUVWXYZ", "U")})
 #: Log likelihood ratio that a candidate needs, in all and by character.
@@ -78,6 +85,11 @@ def labelled_examples(n: int = 240, seed: int = 5) -> dict[str, list[str]]:
         lambda: word().title() + "".join(word().title() for _ in range(rng.randint(2, 5))) + rng.choice(["", str(rng.randint(0, 9))]),
         lambda: pick(string.ascii_uppercase, rng.randint(3, 8)) + "-" + pick(string.digits, rng.randint(8, 12)),
         lambda: "+".join(word() for _ in range(rng.randint(3, 6))),
+        *[lambda: rng.choice([str.lower, str.title])(pick(string.ascii_lowercase, rng.randint(1, 15))) + rng.choice(["", "", "."])] * 4,
+        lambda: pick(string.ascii_uppercase, rng.randint(1, 6)) + rng.choice(["", "", "."]),
+        *[lambda: pick(string.digits, rng.randint(1, 15)) + rng.choice(["", "."])] * 2,
+        lambda: word() + pick(string.digits, rng.randint(1, 6)),
+        lambda: f"{rng.randint(1, 31)}.{rng.randint(1, 12)}.{rng.randint(1900, 2040)}",
     )
     out = {k: [f() for _ in range(n)] for k, f in formats.items()}
     out[""] = [f() for f in clean for _ in range(n // 2)]
@@ -107,15 +119,41 @@ class Grammar:
         best = max(((a.loglik(symbols), k) for k, a in self.formats.items()))
         return best[1], best[0] - max(a.loglik(symbols) for a in self.clean)
 
+    def passes(self, candidate: str) -> str | None:
+        """The format of a candidate likely enough to be a credential."""
+        kind, score = self.classify(candidate)
+        return kind if score >= LEAST and score >= LEAST_EACH * len(candidate) else None
+
+    def within(self, run: str) -> list[tuple[str, int, int]]:
+        """A run that passes as a whole, else its parts that do."""
+        kind = self.passes(run)
+        if kind:
+            return [(kind, 0, len(run))]
+        parts = [m.span() for m in _PART.finditer(run)]
+        if parts in ([], [(0, len(run))]):
+            return []
+        return [(kind, a, b) for a, b in parts if (kind := self.passes(run[a:b]))]
+
     def spans(self, text: str, taken: Sequence[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-        """Candidates that pass and touch no base span."""
+        """Candidates that pass, without those that lie within a base span. taken: by start."""
+        cleared, found = _cleared(self), {}
+        for run in set(_CANDIDATE.findall(text)) - cleared:
+            if spans := self.within(run):
+                found[run] = spans
+            elif len(run) <= SHORT:
+                cleared.add(run)
+        if len(cleared) > REMEMBERED:
+            cleared.clear()
+        if not found:
+            return []
+        starts, ends = [a for _, a, _ in taken], list(accumulate((b for _, _, b in taken), max))
         out = []
         for m in _CANDIDATE.finditer(text):
-            c = m.group()
-            if not any(a < m.end() and m.start() < b for _, a, b in taken):
-                kind, score = _classified(self, c) if len(c) <= 128 else self.classify(c)
-                if score >= LEAST and score >= LEAST_EACH * len(c):
-                    out.append((kind, m.start(), m.end()))
+            for kind, a, b in found.get(m.group(), ()):
+                a, b = a + m.start(), b + m.start()
+                i = bisect_right(starts, a)
+                if not i or ends[i - 1] < b:
+                    out.append((kind, a, b))
         return out
 
     def __hash__(self) -> int:
@@ -125,9 +163,10 @@ class Grammar:
         return self is other
 
 
-@lru_cache(100_000)
-def _classified(g: Grammar, candidate: str) -> tuple[str, float]:
-    return g.classify(candidate)
+@lru_cache(4)
+def _cleared(g: Grammar) -> set[str]:
+    """Runs of which a worker knows that nothing in them passes."""
+    return set()
 
 
 def learn(examples: Mapping[str, Sequence[str]] | None = None, alpha: float = 0.01) -> Grammar:
@@ -158,8 +197,10 @@ SCHEMA = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sh
 def scan(docs: DataFrame, grammar: Grammar | None = None) -> DataFrame:
     """Per row of docs: doc_id, counts of the base kinds, base_sha256, spans.
 
-    Null and empty texts have no spans. Whole texts are scanned. Repeated rows give equal results;
-    null doc_id stays null. Empty table: empty result. Other columns are ignored.
+    Null and empty texts have no spans. Whole texts are scanned, however long, in time linear in
+    text and spans. Of formats that are equally likely the last by name is given. Spans of the
+    method may touch base spans, but none lies within one. Repeated rows give equal results; null
+    doc_id stays null. Empty table: empty result. Other columns are ignored, whatever their names.
     """
     sent = docs.sparkSession.sparkContext.broadcast(grammar or learn())
 

@@ -84,6 +84,22 @@ def test_candidates_without_digits():
         assert g.spans(x, []) == [], x[:40]
 
 
+def test_parts_of_long_runs():
+    """What doesn't pass as a whole is scored by parts, and only what a base span covers is left out."""
+    g = secrets.learn()
+    key = "ghp_aB3dE6gH9jK2mN5pQ8sT1vW4"
+    for head in ("x" * 600 + "/", "-" * 80, "=" * 5, "https://a.example.com/some/path/", "/".join(["alpha"] * 150) + "/"):
+        found = g.spans(head + key, [])
+        assert found and found[-1][2] == len(head) + len(key) and found[-1][1] <= len(head) + 2, head[:20]
+    text = f"token = {key}"
+    assert g.spans(text, secrets.base_spans(text)) == []
+    assert [s[1:] for s in g.spans(text, [("assign", 0, 20)])] == [(8, len(text))]
+    many = " ".join(f"token = {key}{i:04d} {key}{i:04d}" for i in range(3000))
+    assert len(secrets.all_spans(many, g)[1]) == 6000
+    for x in ["a", "deadbeef", "12345678", "word.", "2024-01-01", "MAX_VALUE_OF_SOMETHING", "Internationalisation"]:
+        assert g.spans(x, []) == [], x
+
+
 def test_merged_states_are_a_loop():
     a = automata.infer(["ab" * k for k in range(1, 30)] * 20)
     assert len(a.end) <= 4 and a.loglik("ab" * 12) > a.loglik("ab" * 11 + "ba")
