@@ -2,16 +2,17 @@
 
 A rule is a pattern over host and path. It is filed under the rarest of its literal tokens, by
 counts over all URLs. A URL's tokens fetch the rules filed under them, and only those rules'
-regular expressions run.
+regular expressions run. A few rules stand in the plan; more of them are a table joined by token.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -32,12 +33,12 @@ class Rule:
 
     @property
     def regex(self) -> str:
-        return rf"^(?:[^/]*\.)?{re.escape(self.host)}{re.escape(self.path)}"
+        return rf"^(?:[^/]*\.)?{re.escape(self.host)}{re.escape(self.path) or '(?=/|$)'}"
 
     def tokens(self) -> list[str]:
         """Literal tokens that each matching URL has whole: all but a last one that the path leaves open."""
         found = [x for x in re.split(TOKEN, self.name) if x]
-        return found if re.search(r"[^A-Za-z0-9]$", self.name) else found[:-1]
+        return found if not self.path or re.search(r"[^A-Za-z0-9]$", self.name) else found[:-1]
 
 
 #: The rules of the production query.
@@ -48,8 +49,8 @@ RULES = (
     Rule("block", "net", "/es/"),
     Rule("block", "net", "/fr/"),
 )
-#: More rules than this don't fit a plan's literal; split them over several calls.
-MOST_RULES = 20_000
+#: Up to so many rules stand in the plan.
+IN_PLAN = 2_000
 
 
 def host_of(url: Column) -> Column:
@@ -64,40 +65,54 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def told(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """Rows that the driver holds as a table, by one literal."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    said = json.dumps([dict(zip(names, r)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(said), f"array<struct<{schema.replace(' ', ':')}>>".replace(",:", ","))))
+
+
 def token_counts(urls: DataFrame, tokens: Sequence[str]) -> dict[str, int]:
     """How many URLs have each of the rules' tokens; as many rows as there are tokens come to the driver."""
-    seen = urls.select(F.explode(F.array_distinct(F.split("place", TOKEN))).alias("token"))
-    return {r["token"]: r["n"] for r in seen.where(F.col("token").isin(list(tokens))).groupBy("token").agg(F.count("*").alias("n")).collect()}
+    wanted = told(urls.sparkSession, [(t,) for t in tokens], "token string")
+    seen = urls.select(F.explode(F.array_distinct(F.split("place", TOKEN))).alias("token")).join(wanted, "token", "left_semi")
+    return {r["token"]: r["n"] for r in seen.groupBy("token").agg(F.count("*").alias("n")).collect()}
 
 
-def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, default: str = "allow") -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, default: str = "allow", in_plan: int = IN_PLAN) -> DataFrame:
     """Per row of pages: page_id, host, path, rule, verdict.
 
     The longest rule that fits decides (equal ones: the first in name order); with none, rule is
     null and the verdict is default. Null url or one without "://": host and path are empty, so no
-    rule fits. Repeated rows: each is judged. Empty table: empty result. Other columns are ignored.
+    rule fits. Very long urls are read whole. Repeated rows: each is judged. Empty table: empty
+    result. Other columns are ignored, whatever their names. Any number of rules.
     """
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MOST_RULES} fit a plan")
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).withColumn("place", F.concat("host", "path"))
     wanted = sorted({t for r in rules for t in r.tokens()})
     counts = token_counts(urls, wanted) if wanted else {}
-    filed: dict[str, list[Rule]] = {}
-    for r in sorted(rules, key=lambda r: (-len(r.name), r.name)):
-        # a rule without a whole token is tried on every URL
-        filed.setdefault(min(r.tokens(), key=lambda t: (counts.get(t, 0), t), default=""), []).append(r)
-
-    def entry(r: Rule) -> Column:
-        return F.struct(F.lit(-len(r.name)).alias("order"), F.lit(r.name).alias("name"), F.lit(r.verdict).alias("verdict"), F.lit(r.regex).alias("regex"))
-
-    none = F.array(entry(Rule("", "", "")))
+    # a rule without a whole token is filed under "", which every URL has
+    filed = [(min(r.tokens(), key=lambda t: (counts.get(t, 0), t), default=""), -len(r.name), r.name, r.verdict, r.regex) for r in sorted(rules, key=lambda r: (-len(r.name), r.name))]
+    tokens = F.array_union(F.array(F.lit("")), F.array_distinct(F.split("place", TOKEN)))
     if not filed:
         return urls.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    index = F.create_map(*[x for t, rs in filed.items() for x in (F.lit(t), F.array(*map(entry, rs)))])
-    tokens = F.array_union(F.array(F.lit("")), F.array_distinct(F.split("place", TOKEN)))
-    fetched = F.flatten(F.transform(tokens, lambda t: F.coalesce(index[t], F.slice(none, 1, 0))))
-    fits = F.filter(fetched, lambda r: F.regexp_like(F.col("place"), r["regex"]))
-    return urls.withColumn("best", F.array_min(fits)).select("page_id", "host", "path", F.col("best.name").alias("rule"), F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict"))
+    if len(filed) <= in_plan:
+        best = _best_in_plan(urls, tokens, filed)
+    else:
+        index = told(pages.sparkSession, filed, "token string, order int, name string, verdict string, regex string")
+        fits = urls.select("place").distinct().select("place", F.explode(tokens).alias("token")).join(index, "token").where("regexp_like(place, regex)")
+        best = urls.join(fits.groupBy("place").agg(F.min(F.struct("order", "name", "verdict")).alias("best")), "place", "left")
+    return best.select("page_id", "host", "path", F.col("best.name").alias("rule"), F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict"))
+
+
+def _best_in_plan(urls: DataFrame, tokens: Column, filed: Sequence[tuple[str, int, str, str, str]]) -> DataFrame:
+    """urls with best (order, name, verdict): one projection, no join."""
+    entries: dict[str, list[Column]] = {}
+    for token, *entry in filed:
+        entries.setdefault(token, []).append(F.struct(*(F.lit(x).alias(k) for k, x in zip(("order", "name", "verdict", "regex"), entry))))
+    none = F.slice(F.array(next(iter(entries.values()))[0]), 1, 0)
+    index = F.create_map(*[x for t, rs in entries.items() for x in (F.lit(t), F.array(*rs))])
+    fetched = F.flatten(F.transform(tokens, lambda t: F.coalesce(index[t], none)))
+    return urls.withColumn("best", F.array_min(F.filter(fetched, lambda r: F.regexp_like(F.col("place"), r["regex"]))))
 
 
 #: judge() with the production rules over the table pages, for DuckDB.

@@ -70,6 +70,25 @@ def test_urls(spark):
     many = [urlfilter.Rule("block", f"h{i}.org", "/") for i in range(300)]
     df = df.select("page_id", F.concat(F.lit("http://a.h"), F.col("page_id"), F.lit(".org/")).alias("url"))
     assert {r.rule for r in urlfilter.judge(df, many).collect()} == {f"h{i}.org/" for i in range(len(cases))}
+    many = [urlfilter.Rule("block", f"h{i}.org", "/") for i in range(30_000)]
+    assert {r.rule for r in urlfilter.judge(df, many).collect()} == {f"h{i}.org/" for i in range(len(cases))}
+
+
+def slow_judge(host, path, rules):
+    """By trying every rule, without regular expressions."""
+    fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+    return min(((-len(r.name), r.name, r.verdict) for r in fits), default=(0, None, "allow"))[1:]
+
+
+def test_rules_as_a_table(spark):
+    rng = np.random.default_rng(2)
+    hosts, paths = ["com", "a.com", "b.a.com", "net", "x-y.net", "org"], ["/", "/a", "/a/", "/a/b", "/%41", ""]
+    rules = [urlfilter.Rule(str(rng.choice(["allow", "block"])), h, p) for h in hosts[1:] for p in paths[:5] if rng.random() < 0.6] + [urlfilter.Rule("block", "a.com", "")]
+    urls = [f"http://{rng.choice(['', 'w.', 'w.b.', 'x-'])}{rng.choice(hosts)}{rng.choice(paths)}{rng.choice(['', 'a', '/b/c', '?q'])}" for _ in range(600)] + ["http://a.com/" + "a/" * 30_000]
+    df = spark.createDataFrame([(i, u, "n") for i, u in enumerate(urls + [None, ""])], "page_id bigint, url string, place string")
+    one, two = urlfilter.judge(df, rules).collect(), urlfilter.judge(df, rules, in_plan=0).collect()
+    assert sorted(map(str, one)) == sorted(map(str, two)) and len(one) == len(urls) + 2
+    assert [r for r in one if (r.rule, r.verdict) != slow_judge(r.host, r.path, rules)] == []
 
 
 def test_media(spark):
