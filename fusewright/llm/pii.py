@@ -10,7 +10,8 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections.abc import Iterator, Sequence
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -67,21 +68,24 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-#: Generators: kind and pattern, wider than the base ones.
+#: Generators: kind and pattern, wider than the base ones. Runs are entered at their start only, so that long ones cost no more than their length.
 GENERATORS = (
-    ("mail_words", re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[({]? ?\b(?:at|AT)\b ?[\])}]? ?[A-Za-z0-9-]{1,63}(?: ?[\[({]? ?\b(?:dot|DOT)\b ?[\])}]? ?[A-Za-z0-9-]{2,63}){1,3}")),
-    ("digits", re.compile(r"(?<![\w.])[+(]?[0-9](?:[ ().-]{0,2}[0-9]){6,18}(?![\w])")),
-    ("iban", re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b")),
+    ("mail_words", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+ ?[\[({<]? ?(?i:\bat\b|(?<=\s)@(?=\s)) ?[\])}>]? ?[A-Za-z0-9-]+(?: ?[\[({<]? ?(?i:\bdot\b) ?[\])}>]? ?[A-Za-z0-9-]{2,})+")),
+    ("digits", re.compile(r"(?<![\w.])[+(]?[0-9](?:[ ()./-]{0,3}[0-9]){6,}(?![\w])")),
+    ("iban", re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")),
     ("hexpairs", re.compile(r"(?<![\w:-])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![\w:-])")),
+    ("ipv6", re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f]*:)(?!(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![\w:]))(?:[0-9A-Fa-f]{1,4})?(?:::?[0-9A-Fa-f]{1,4}){2,8}(?:::)?(?![\w:])")),
 )
-_MAIL_HINT = re.compile(r"\b(?:dot|DOT)\b")
+_MAIL_HINT = re.compile(r"\bdot\b", re.IGNORECASE)
 #: Words before a span that speak for and against personal data.
 FOR = frozenset("phone tel telephone mobile cell call fax contact reach text whatsapp email mail mailto write ssn social passport iban account card visa mastercard born dob device mac".split())
 AGAINST = frozenset("version isbn order invoice ref page pages figure eq section model build serial price total sku part date year years km mb id".split())
+TLDS = "com org net edu gov io de fr es it uk eu info".split()
 _CONTEXT = re.compile(r"[A-Za-z]+")
+_LAST = re.compile(r"[A-Za-z]*$")
 FEATURES = (
     "kind", "length", "digits", "groups", "longest_group", "shortest_group", "spaces", "dashes", "dots", "brackets", "plus", "luhn", "ssn_shape", "phone_shape",
-    "year_first", "distinct_digits", "for", "against", "letters", "currency", "percent", "iban_check",
+    "year_first", "distinct_digits", "for", "against", "letters", "currency", "percent", "iban_check", "colons", "dates", "bracketed", "tld",
 )
 
 
@@ -101,7 +105,7 @@ def features(text: str, kind: int, a: int, b: int) -> list[float]:
         kind, b - a, len(digits), len(groups), max(sizes), min(sizes), s.count(" "), s.count("-"), s.count("."), s.count("(") + s.count("["), s.count("+"),
         bool(digits) and luhn(digits), sizes == [3, 2, 4], sizes in ([3, 3, 4], [3, 4], [2, 4, 4], [1, 3, 3, 4], [4, 3, 3], [2, 2, 2, 2, 2]), digits[:2] in ("19", "20") and sizes[0] == 4,
         len(set(digits)), sum(w in FOR for w in before), sum(w in AGAINST for w in before), sum(c.isalpha() for c in s), any(c in around for c in "$€£"), "%" in around,
-        kind == 2 and iban_check(s),
+        kind == 2 and iban_check(s), s.count(":"), sum(1900 <= int(g) <= 2040 for g in groups if len(g) == 4), sum(c in "[({<" for c in s), _LAST.search(s).group().lower() in TLDS,
     ]
 
 
@@ -132,14 +136,18 @@ def labelled_examples(n: int = 3000, seed: int = 11) -> list[tuple[str, int, int
         s += next(c for c in "0123456789" if luhn(s + c))
         return rng.choice([s, "-".join(s[i : i + 4] for i in range(0, 16, 4)), " ".join(s[i : i + 4] for i in range(0, 16, 4))])
 
+    at, dot = lambda: rng.choice(["at", "at", "AT", "At"]), lambda: rng.choice(["dot", "dot", "DOT", "Dot"])
+
     yes = (
         lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"{d(3)}-{d(3)}-{d(4)}", lambda: f"{d(3)}.{d(3)}.{d(4)}", lambda: f"{d(3)}-{d(2)}-{d(4)}", lambda: f"+{d(2)} {d(3)} {d(4)} {d(3)}", card, iban,
-        lambda: f"{word()}.{word()} at {word()} dot com", lambda: f"{word()} [at] {word()} [dot] org", lambda: ":".join(rng.choice("0123456789abcdef") + rng.choice("0123456789ABCDEF") for _ in range(6)),
+        lambda: f"{word()}.{word()} {at()} {word()} {dot()} {rng.choice(TLDS)}", lambda: f"{word()}{rng.choice(['', '_', '.', '-'])}{word()} [{at()}] {word()} [{dot()}] {rng.choice(TLDS)}", lambda: f"{word()}{d(2)} ({at()}) {word()} ({dot()}) {word()} ({dot()}) {rng.choice(TLDS)}",
+        lambda: f"{word()} {at()} {word()} {dot()} {rng.choice(TLDS)}", lambda: f"0{d(2)} {d(4)} {d(4)}", lambda: f"(0{d(2)}) {d(4)} {d(4)}", lambda: f"0{d(3)}/{d(6)}", lambda: " ".join(["0" + d(1), *(d(2) for _ in range(4))]), lambda: f"00{d(2)} {d(3)} {d(7)}",
+        lambda: ":".join(f"{rng.randrange(1, 65536):x}" for _ in range(8)), lambda: f"{rng.choice(['2001:db8', '2a02:26f0', 'fe80'])}::{rng.randrange(16, 65536):x}:{rng.randrange(16, 65536):x}", lambda: ":".join(rng.choice("0123456789abcdef") + rng.choice("0123456789ABCDEF") for _ in range(6)),
     )
     no = (
         lambda: f"{rng.randint(1900, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", lambda: f"{rng.randint(1900, 2030)}-{rng.randint(1900, 2030)}", lambda: d(rng.randint(7, 19)),
         lambda: f"{d(1)}.{d(2)}.{d(1)}.{d(4)}", lambda: f"{d(4)} {d(4)}", lambda: f"978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", lambda: f"{rng.randint(1, 999)}.{d(8)}", lambda: f"{d(2)}-{d(2)}-{d(4)}",
-        lambda: " ".join(d(rng.randint(1, 3)) for _ in range(rng.randint(4, 8))), lambda: f"{d(4)}-{d(4)}-{d(4)}-{d(4)}", lambda: f"look at {word()} dot {word()}", lambda: f"GB{d(2)} {d(4)} {d(4)} {d(4)}",
+        lambda: " ".join(d(rng.randint(1, 3)) for _ in range(rng.randint(4, 8))), lambda: f"{d(4)}-{d(4)}-{d(4)}-{d(4)}", lambda: f"look at {word()} dot {word()}", lambda: f"the {word()} at the dot matrix", lambda: f"{rng.randint(1, 23)}:{d(2)}:{d(2)}", lambda: ":".join(d(rng.randint(1, 2)) for _ in range(rng.randint(3, 5))), lambda: d(rng.randint(20, 60)), lambda: f"{d(2)}/{d(2)}/{rng.randint(1900, 2030)}", lambda: f"GB{d(2)} {d(4)} {d(4)} {d(4)}",
         lambda: f"{d(6)}-{d(6)}", lambda: f"{d(2)}.{d(2)}.{rng.randint(1900, 2030)}",
     )
     out = []
@@ -162,18 +170,45 @@ class Model:
     thresholds: list[float]
 
     def spans(self, text: str, taken: Sequence[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-        """Selected candidates that touch no base span; of two that overlap the likelier, then the longer."""
-        found = [c for c in candidates(text) if not any(a < c[2] and c[1] < b for _, a, b in taken)]
+        """Selected candidates that touch no base span; of two that overlap the likelier, then the longer, then the first."""
+        free = Places((a, b) for _, a, b in taken)
+        found = [c for c in candidates(text) if not free.touched(*c[1:])]
         if not found:
             return []
         p = self.trees.probability(np.array([features(text, *c) for c in found], float))
         out: list[tuple[str, int, int]] = []
+        own = Places(())
         for x, (k, a, b) in sorted(zip(p.tolist(), found), key=lambda x: (-x[0], x[1][1] - x[1][2], x[1])):
-            if x >= self.thresholds[k] and not any(a < e and s < b for _, s, e in out):
+            if x >= self.thresholds[k] and not own.touched(a, b):
+                own.add(a, b)
                 out.append((GENERATORS[k][0], a, b))
         return out
 
 
+class Places:
+    """Places of a text that are taken, as intervals apart from each other, by start."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(b, self.ends[-1])
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def touched(self, a: int, b: int) -> bool:
+        i = bisect_left(self.starts, b)
+        return i > 0 and self.ends[i - 1] > a
+
+    def add(self, a: int, b: int) -> None:
+        """An interval that touches none."""
+        i = bisect_left(self.starts, a)
+        self.starts.insert(i, a)
+        self.ends.insert(i, b)
+
+
 def learn(examples: Sequence[tuple[str, int, int, int, int]] | None = None, precision: float = 0.97) -> Model:
     """Trees of the labelled spans, and for each generator the least threshold with the wanted precision on the later third."""
     rows = list(examples or labelled_examples())
@@ -217,7 +252,7 @@ SCHEMA = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone big
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """Per row of docs: doc_id, counts of the base kinds, base_sha256, spans.
 
-    Null and empty texts have no spans. Whole texts are scanned. Repeated rows give equal results;
+    Null and empty texts have no spans. Whole texts are scanned, however long. Repeated rows give equal results;
     null doc_id stays null. Empty table: empty result. Other columns are ignored.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model or learn())

@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+
 from fusewright.llm import pii
 
 SCHEMA = "doc_id bigint, text string, spans string, n_ip int"
@@ -53,6 +55,47 @@ def test_held_out_examples():
     assert tp / (tp + fp) > 0.93 and tp / (tp + fn) > 0.8
 
 
+#: Written by hand, not by the training templates.
+PERSONAL = [
+    "Ring me on (020) 7946 0958 tomorrow", "write to john.doe At mail Dot com please", "jane_doe [AT] example [DOT] org", "server 2001:db8::ff00:42:8329 answered", "SSN: 078-05-1120",
+    "call 555-867-5309 now", "IBAN GB82 WEST 1234 5698 7654 32 is mine", "mac 00:1A:2B:3C:4D:5E seen", "tel. 030/1234567", "Telefon 0171 2345678 bitte", "from fe80::1ff:fe23:4567:890a", "ring 01 23 45 67 89",
+    "mail: sam (at) post (dot) co (dot) uk",
+]
+CLEAN = [
+    "ISBN 978-3-16-148410-0", "Version 10.15.7.1234567", "between 2021-03-04 and 2022-05-06", "order 1234567890", "12:30:45 sharp", "look at the dot on the page", "population 1 234 567 890",
+    "build 20240131235959", "pages 100-200, 300-400", "ratio 1:2:3:4", "1914-1918 and 1939-1945", "we met at noon dot dot dot", "a score of 3:2", "sum 1,000,000.00 in total", "part 0000000000000001",
+]
+
+
+def test_texts_not_of_the_templates():
+    m = pii.learn()
+    assert all(pii.candidates(t) for t in PERSONAL)
+    assert sum(bool(m.spans(t, [])) for t in PERSONAL) >= 11 and sum(bool(m.spans(t, [])) for t in CLEAN) <= 1
+
+
+def slow_spans(m, text, taken):
+    """Selected spans by comparing each candidate with all spans."""
+    out = []
+    free = [c for c in pii.candidates(text) if not any(a < c[2] and c[1] < b for _, a, b in taken)]
+    scored = [(float(m.trees.probability(np.array([pii.features(text, *c)], float))[0]), c) for c in free]
+    for p, (k, a, b) in sorted(scored, key=lambda x: (-x[0], x[1][1] - x[1][2], x[1])):
+        if p >= m.thresholds[k] and not any(a < e and s < b for _, s, e in out):
+            out.append((pii.GENERATORS[k][0], a, b))
+    return out
+
+
+def test_method_spans_by_brute_force():
+    m = pii.learn()
+    rng = random.Random(6)
+    pieces = PERSONAL + CLEAN + ["a@b.com", "+1 (743) 555-3824", "1.2.3.4", "4111 1111 1111 1111", "2001:db8::1 00:1A:2B:3C:4D:5E"]
+    for _ in range(60):
+        text = rng.choice([" ", ", ", "-", ""]).join(rng.choice(pieces) for _ in range(rng.randint(1, 30)))
+        base = pii.base_spans(text)
+        assert m.spans(text, base) == slow_spans(m, text, base)
+    text = " ".join("a@b.com call 555-867-5309 now" for _ in range(4000))
+    assert len(pii.all_spans(text, m)[1]) == 8000
+
+
 def test_redacted():
     m = pii.learn()
     assert pii.redacted("write a@b.c or +1 (743) 555-3824.", m) == "write [email] or [phone]."
