@@ -14,8 +14,9 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from array import array
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,10 +68,8 @@ class WordEncoder(dict):
 
     def forget(self) -> None:
         self.clear()
-        self.flat, self.at = np.zeros(1 << 16, "<u4"), 0
-        self.begin, self.count, self.stops = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.bool_)
-        self[_LINE] = 0
-        self.stops[0] = True
+        self.flat, self.begin, self.count, self.stops = array("I"), array("q"), array("q"), array("b")
+        self.keep(_LINE, ())
 
     @staticmethod
     def of(path: str) -> WordEncoder:
@@ -81,6 +80,15 @@ class WordEncoder(dict):
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
+    def keep(self, word: str, ids: Iterable[int]) -> int:
+        i, at = len(self.begin), len(self.flat)
+        self.flat.extend(ids)
+        self.begin.append(at)
+        self.count.append(len(self.flat) - at)
+        self.stops.append(word[-1] in ".!?" or word == _LINE)
+        self[word] = i
+        return i
+
     def again(self, part: str) -> list[int]:
         """The ids of letters in lower case or of one sign, from memory if met as a word."""
         i = self.get(part)
@@ -98,17 +106,7 @@ class WordEncoder(dict):
         return [t.id for p in found for t in self.merges("".join(map(_SIGNS.__getitem__, p.encode())))]
 
     def __missing__(self, word: str) -> int:
-        ids = self.parts(word) if _LATIN.fullmatch(word) and "<|" not in word else self.whole(word)
-        i, n = len(self), len(ids)
-        if i == len(self.begin):
-            self.begin, self.count, self.stops = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count, self.stops))
-        while self.at + n > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.at : self.at + n] = ids
-        self.begin[i], self.count[i], self.stops[i] = self.at, n, word[-1] in ".!?"
-        self.at += n
-        self[word] = i
-        return i
+        return self.keep(word, self.parts(word) if _LATIN.fullmatch(word) and "<|" not in word else self.whole(word).tolist())
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a text with the end id, and the places where its sentences end, the last one where the text ends."""
@@ -119,13 +117,14 @@ class WordEncoder(dict):
             self.forget()
         words = (text.replace("\n", f" {_LINE} ") if "\n" in text else text).split()
         w = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        n = self.count[w]
+        flat, begin, count, stops = np.frombuffer(self.flat or b"\0\0\0\0", "<u4"), np.frombuffer(self.begin, np.int64), np.frombuffer(self.count, np.int64), np.frombuffer(self.stops, np.bool_)
+        n = count[w]
         after = np.cumsum(n)
         total = int(after[-1]) if len(w) else 0
         ids = np.empty(total + 1, "<u4")
-        ids[:total] = self.flat[np.repeat(self.begin[w] - (after - n), n) + np.arange(total)]
+        ids[:total] = flat[np.repeat(begin[w] - (after - n), n) + np.arange(total)]
         ids[total] = END
-        ends = after[self.stops[w]]
+        ends = after[stops[w]]
         return ids, np.append(np.unique(ends[(ends > 0) & (ends < total)]), total + 1)
 
 
