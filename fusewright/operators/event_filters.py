@@ -29,13 +29,14 @@ def merge_adjacent(df: DataFrame, reach: int = 5) -> DataFrame:
     """Of events with split reads that are shifts of each other by up to reach, the best supported takes the others' split reads.
 
     A shift keeps bp1 + bp2 if the directions are equal, else bp2 - bp1, so this diagonal is part of
-    the window's key and no pairs are formed. The best is the one of most split reads, then the
-    first by bp1; a discarded one gets the fate merge_adjacent.
+    the window's key and no pairs are formed. The best is the one of most supporting reads, then of
+    most listed split reads of any fate (listed_split), then the first by bp1; a discarded one gets
+    the fate merge_adjacent.
     """
     live = (c("fate") == NONE) & (ev.split_reads() > 0)
     line = F.when(c("dir1") == c("dir2"), c("bp1") + c("bp2")).otherwise(c("bp2") - c("bp1"))
     near = Window.partitionBy(*KEY, "contig1", "contig2", "__line", "__live").orderBy("bp1").rangeBetween(-reach, reach)
-    best = F.max(F.struct(ev.split_reads().alias("n"), (-c("bp1")).alias("at"))).over(near)
+    best = F.max(F.struct(ev.support().alias("n"), c("listed_split").alias("listed"), (-c("bp1")).alias("at"))).over(near)
     marked = df.withColumn("__line", line).withColumn("__live", live).withColumn("__best", best)
     wins = c("__best.at") == -c("bp1")
     marked = marked.withColumn("__wins", wins)
@@ -49,6 +50,28 @@ def merge_adjacent(df: DataFrame, reach: int = 5) -> DataFrame:
     )
 
 
+def multimappers(evidence: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """evidence (read_group, read_key, event_id, role, score, fate) and events with the losers' fate multimappers, and events' counters without them.
+
+    Of a fragment's alignments the one of the best score stays; of equal ones that whose event has
+    most support, then coding genes, then the first by breakpoints. An event that loses all its reads
+    gets the fate too.
+    """
+    facts = events.select("event_id", ev.support().alias("support"), _bool("g1_coding").alias("coding1"), _bool("g2_coding").alias("coding2"), "contig1", "contig2", "bp1", "bp2", "dir1", "dir2")
+    order = [F.col("support").desc(), F.col("coding1").desc(), F.col("coding2").desc(), "contig1", "contig2", "bp1", "bp2", "dir1", "dir2", "event_id"]
+    # a read stands in several events: its best one speaks for it
+    known = evidence.join(facts, "event_id", "left").withColumn("__n", F.row_number().over(Window.partitionBy("read_key").orderBy(*order))).where("__n = 1").drop("__n")
+    ranked = known.withColumn("__rank", F.row_number().over(Window.partitionBy("read_group").orderBy(F.col("score").desc(), *order, "read_key")))
+    lost = ranked.where("__rank > 1").select("read_key", F.lit(True).alias("__lost"))
+    marked = discard(evidence.join(lost, "read_key", "left"), "multimappers", c("__lost"))
+    gone = marked.where(c("fate") == "multimappers").groupBy("event_id").agg(*(F.sum((c("role") == r).cast("int")).alias(f"__{k}") for r, k in (("split1", "split1"), ("split2", "split2"), ("discordant", "disc"))))
+    out = events.join(gone, "event_id", "left")
+    open_ = (c("fate") == NONE) & c("__split1").isNotNull() & (ev.support() > 0)
+    out = out.withColumn("__open", open_).withColumns({k: F.when(c("__open"), F.greatest(F.lit(0), c(k) - c(f"__{k}"))).otherwise(c(k)).cast("bigint") for k in ("split1", "split2", "disc")})
+    out = out.withColumn("fate", F.when(c("__open") & (ev.support() == 0), F.lit("multimappers")).otherwise(c("fate")))
+    return marked.drop("__lost"), out.drop("__open", "__split1", "__split2", "__disc")
+
+
 def best_alignment(alignments: DataFrame, group: str = "read_group") -> DataFrame:
     """Of a fragment's alignments (read_group, read_key, score, support, coding, bp1, bp2, fate) all but the best get the fate multimappers."""
     w = Window.partitionBy(group)
@@ -62,10 +85,10 @@ def non_coding_neighbors() -> Column:
 
 
 def intragenic_exonic(fraction: float = 0.33) -> Column:
-    """spliced_distance: distance along the transcripts of the gene."""
+    """Both breakpoints in exons of one gene, though under fraction of what lies between them is exonic, or all of it. spliced_distance: along the gene's transcripts."""
     near = ev.same_gene() | ev.overlaps_both_genes()
     d = ev.distance()
-    return near & c("exonic1") & c("exonic2") & ~(c("spliced1") & c("spliced2")) & ((c("spliced_distance") == d) | (c("spliced_distance") / F.greatest(d, F.lit(1)) > 1 - fraction))
+    return near & c("exonic1") & c("exonic2") & ~(c("spliced1") & c("spliced2")) & ((c("spliced_distance") == d) | (c("spliced_distance") / F.greatest(d, F.lit(1)) < fraction))
 
 
 def min_support(least: int = 2) -> Column:

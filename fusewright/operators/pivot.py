@@ -33,6 +33,7 @@ def pivot_events(reads: DataFrame, cap: int = CAP) -> DataFrame:
         count("split2")("split2"),
         count("discordant")("disc"),
         F.count("*").alias("listed"),
+        F.count(F.when(c("role") != "discordant", 1)).alias("listed_split"),
         F.max("exonic1").alias("exonic1"),
         F.max("exonic2").alias("exonic2"),
         anchor(1),
@@ -80,28 +81,6 @@ def nearest_variant(events: DataFrame, variants: DataFrame, reach: int = 100_000
     return events.join(found, "event_id", "left")
 
 
-def rule_matches(events: DataFrame, rules: DataFrame, reach: int = 0, width: int = 100_000, ordered: bool = False) -> DataFrame:
-    """(event_id, rule_id) of rules (c1, s1, e1, c2, s2, e2) whose regions hold the breakpoints, in either order unless ordered; reach widens them.
-
-    Both sides meet in bins of the first region.
-    """
-    r = rules.withColumn("__bin", F.explode(F.sequence(F.floor((c("s1") - reach) / width), F.floor((c("e1") + reach) / width))))
-
-    def one(a: int, b: int) -> DataFrame:
-        e = events.select("event_id", c(f"contig{a}").alias("__ca"), c(f"bp{a}").alias("__pa"), c(f"contig{b}").alias("__cb"), c(f"bp{b}").alias("__pb")).withColumn("__ebin", F.floor(c("__pa") / width))
-        fits = c("__pa").between(c("s1") - reach, c("e1") + reach) & (c("__cb") == c("c2")) & c("__pb").between(c("s2") - reach, c("e2") + reach)
-        return e.join(r, (c("__ca") == c("c1")) & (c("__ebin") == c("__bin")) & fits).select("event_id", "rule_id")
-
-    return (one(1, 2) if ordered else one(1, 2).union(one(2, 1))).distinct()
-
-
-def tags(events: DataFrame, rules: DataFrame, **how: object) -> DataFrame:
-    """Adds tags: the sorted distinct tags of matching rules joined by commas, or a dot."""
-    hit = rule_matches(events, rules, **how).join(rules.select("rule_id", "tag"), "rule_id")
-    t = hit.groupBy("event_id").agg(F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("tags"))
-    return events.join(t, "event_id", "left").withColumn("tags", F.coalesce("tags", F.lit(".")))
-
-
 def capped(evidence: DataFrame, by: tuple[str, ...], order: str, cap: int = CAP) -> DataFrame:
     """The first cap rows of each key by name: the feature that bounds work on events with very many reads."""
     return evidence.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(order))).where(c("__n") <= cap).drop("__n")

@@ -26,21 +26,32 @@ def other(field: str) -> Column:
     return F.when(is_split(), c(f"sp_{field}")).otherwise(c(f"m1_{field}"))
 
 
-def mark_duplicates(reads: DataFrame, key: Sequence[str], order: str = "read_key") -> DataFrame:
-    """All rows of a key but the first by name get the fate duplicates; earlier fates stay. pos1 and pos2 swap by position only."""
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy(order))
+def mark_duplicates(reads: DataFrame, key: Sequence[str], order: str = "read_key", external: str | None = None) -> DataFrame:
+    """All live rows of a key but the first by name get the fate duplicates; rows that have a fate are neither counted nor changed.
+
+    external: the name of a boolean column by which another program marked duplicates; then the key has no say.
+    """
+    if external is not None:
+        return discard(reads, "duplicates", c(external))
+    rank = F.row_number().over(Window.partitionBy(*key, c("fate") == NONE).orderBy(order))
     return reads.withColumn("__rank", rank).transform(lambda d: discard(d, "duplicates", c("__rank") > 1)).drop("__rank")
 
 
+def ordered_ends(df: DataFrame, contig1: Column, contig2: Column, pos1: Column, pos2: Column) -> DataFrame:
+    """Adds contig1, contig2, pos1, pos2: the end of the lesser position first, with its contig; equal positions keep their order."""
+    ends = F.array(F.struct(contig1.alias("contig"), pos1.alias("pos")), F.struct(contig2.alias("contig"), pos2.alias("pos")))
+    d = df.withColumn("__ends", F.when(pos1 > pos2, F.reverse(ends)).otherwise(ends))
+    return d.withColumns({f"{k}{i + 1}": c("__ends")[i][k] for k in ("contig", "pos") for i in (0, 1)}).drop("__ends")
+
+
 def duplicate_key(reads: DataFrame) -> DataFrame:
-    """Adds contig1, contig2, pos1, pos2: unclipped 5' positions of the first mate and of the other end."""
+    """Adds contig1, contig2, pos1, pos2: unclipped 5' positions of the first mate and of the other end, in order."""
 
     def five(p: str) -> Column:
         return F.when(c(f"{p}_strand"), c(f"{p}_start") - cigar.preclip(c(f"{p}_ops"))).otherwise(c(f"{p}_end") + cigar.postclip(c(f"{p}_ops")))
 
-    a, b = five("m1"), F.when(is_split(), five("sp")).otherwise(five("m2"))
-    end_contig = F.when(is_split(), c("sp_contig")).otherwise(c("m2_contig"))
-    return reads.select("*", c("m1_contig").alias("contig1"), end_contig.alias("contig2"), F.least(a, b).alias("pos1"), F.greatest(a, b).alias("pos2"))
+    other_end = F.when(is_split(), five("sp")).otherwise(five("m2"))
+    return ordered_ends(reads, c("m1_contig"), F.when(is_split(), c("sp_contig")).otherwise(c("m2_contig")), five("m1"), other_end)
 
 
 def mark_multimappers(reads: DataFrame, group: str = "read_group") -> DataFrame:

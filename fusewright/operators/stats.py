@@ -81,13 +81,17 @@ def partner_counts(df: DataFrame) -> DataFrame:
     return pairs.where(c("n") >= c("m")).groupBy("gene").agg(F.count("*").alias("partners"))
 
 
+#: Shares of event classes where there are too few events to count.
+DEFAULT_SHARES = {"spliced": 10.0, "exonic": 65.0, "intronic": 10.0, "mixed": 15.0, "dup": 1.0, "inv": 1.0, "same": 0.0, "different": 100.0, "read_through": 0.0}
+
+
 def evalue(df: DataFrame, mapped: int, shares: dict[str, float] | None = None) -> Column:
     """Expected random events like this one. p1, p2: partners of the genes; l1, l2: exonic lengths; spliced_distance: within one gene.
 
     shares: numbers of spliced, exonic, intronic and mixed events; of duplications and inversions; of
     same-gene and other events; read_through is their fraction. Defaults stand for too few events.
     """
-    x = {"spliced": 10.0, "exonic": 65.0, "intronic": 10.0, "mixed": 15.0, "dup": 1.0, "inv": 1.0, "same": 0.0, "different": 100.0, "read_through": 0.0} | (shares or {})
+    x = DEFAULT_SHARES | (shares or {})
     s = ev.support()
     chance = lambda i: F.lit(10_000.0) / c(f"l{i}") * F.greatest(c(f"p{i}") - 1, F.lit(1))
     depth = F.when(s < 2, F.lit(1.0)).otherwise(F.greatest(F.lit(1.0), F.lit(mapped / 2e7) * F.pow(F.lit(0.02), s - 2)))
@@ -104,7 +108,7 @@ def evalue(df: DataFrame, mapped: int, shares: dict[str, float] | None = None) -
     outer = outer * F.when(ev.is_read_through(), F.pow(dist, -0.63)).when(ev.same_contig() & (ev.distance() < 400_000), F.pow(dist, -1.53)).otherwise(1.0)
     total = x["spliced"] + x["exonic"] + x["intronic"] + x["mixed"]
     place = (
-        F.when(c("spliced1") & c("spliced2"), x["spliced"])
+        F.when(c("spliced1") | c("spliced2"), x["spliced"])
         .when(c("exonic1") & c("exonic2"), max(x["spliced"], x["exonic"]))
         .when(~c("exonic1") & ~c("exonic2"), max(x["spliced"], x["intronic"]))
         .otherwise(max(x["spliced"], x["mixed"]))
@@ -114,6 +118,47 @@ def evalue(df: DataFrame, mapped: int, shares: dict[str, float] | None = None) -
     return F.when(ev.is_intragenic(), inner).otherwise(outer) * place * (4.0 / total) * rt
 
 
+def event_shares(df: DataFrame) -> dict[str, float]:
+    """The shares that evalue() asks for, counted over all events; too few of a class leave its defaults. One row comes to the driver."""
+    live = c("fate") == NONE
+    distal = live & (~ev.same_contig() | (ev.distance() > 500_000)) & (ev.support() >= 2) & (ev.split_reads() > 0) & ~c("g1_dummy") & ~c("g2_dummy")
+    one = c("spliced1") | c("spliced2")
+    inner = live & ev.same_gene() & (ev.split_reads() >= 2)
+    kinds = {
+        "spliced": distal & one, "exonic": distal & ~one & c("exonic1") & c("exonic2"), "intronic": distal & ~one & ~c("exonic1") & ~c("exonic2"), "mixed": distal & ~one & (c("exonic1") != c("exonic2")),
+        "dup": inner & (c("dir1") == ev.UP) & (c("dir2") == ev.DOWN), "inv": inner & (c("dir1") == c("dir2")),
+        "same": c("spliced1") & c("spliced2") & ev.same_gene(), "different": c("spliced1") & c("spliced2") & ~ev.same_gene(),
+    }
+    n = df.agg(*(F.count(F.when(p, 1)).alias(k) for k, p in kinds.items())).first().asDict()
+    of = df.where(~c("g1_dummy") & ~c("g2_dummy") & (ev.split_reads() > 0)).select(F.explode(F.array("gene1", "gene2")).alias("gene"), ev.is_read_through().alias("through"))
+    genes = of.groupBy("gene").agg(F.max("through").alias("through")).agg(F.count("*").alias("n"), F.count(F.when(c("through"), 1)).alias("k")).first()
+    out: dict[str, float] = {"read_through": genes.k / genes.n if genes.n else 0.0}
+    places = [n[k] for k in ("spliced", "exonic", "intronic", "mixed")]
+    if sum(places) >= 100 and all(places):
+        out |= dict(zip(("spliced", "exonic", "intronic", "mixed"), map(float, places)))
+    for pair in (("dup", "inv"), ("same", "different")):
+        if sum(n[k] for k in pair) >= 100:
+            out |= {k: float(n[k]) for k in pair}
+    return out
+
+
+def strandedness(split: DataFrame, sites: DataFrame, least: int = 100, threshold: float = 0.95) -> str:
+    """yes, reverse or no: whether spliced split reads lie on their gene's strand.
+
+    split: split reads (m2_contig, m2_strand, m2_start, m2_end, m2_genes, sp_contig, sp_strand, sp_start,
+    m1_strand, m1_first, m2_first, and gene_strand of the only gene). sites: intervals.boundary_sites().
+    Reads count if both parts lie on one contig and strand within 400,000, in one gene, at a splice
+    site of it; under least of them decide nothing. All reads are counted. Two numbers come to the driver.
+    """
+    near = (c("m2_contig") == c("sp_contig")) & (c("m2_strand") == c("sp_strand")) & (F.abs(c("m2_start") - c("sp_start")) < 400_000) & (F.size("m2_genes") == 1)
+    d = split.where(near).withColumns({"gene": F.element_at("m2_genes", 1), "direction": F.when(c("m2_strand"), F.lit(ev.UP)).otherwise(F.lit(ev.DOWN)), "pos": F.when(c("m2_strand"), c("m2_start")).otherwise(c("m2_end"))})
+    agrees = (c("m2_first") & (c("m2_strand") == c("gene_strand"))) | (c("m1_first") & (c("m1_strand") == c("gene_strand")))
+    n, k = d.join(sites, ["gene", "direction", "pos"], "left_semi").agg(F.count("*"), F.count(F.when(agrees, 1))).first()
+    if n < least:
+        return "no"
+    return "reverse" if k < (1 - threshold) * n else "yes" if k > threshold * n else "no"
+
+
 def strand_vote(evidence: DataFrame) -> DataFrame:
     """evidence (event_id, role, forward (null: ambiguous), read_fate) -> event_id, strand, ambiguous: the majority of all reads but hairpin pairs; a tie is ambiguous."""
     votes = evidence.where(~((c("role") == "discordant") & (c("read_fate") == "hairpin")))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import events as ev
 from ..functions import sequence as sq
 from ..operators import event_filters as ef
-from ..operators import fate, intervals, pivot, stats
+from ..operators import fate, intervals, pivot, rules, stats
 from ..operators import read_filters as rf
 
 GENE = "{g} * 20000 AS g{i}_start, {g} * 20000 + 30000 + ({g} % 3) * 40000 AS g{i}_end, {g} % 3 <> 0 AS g{i}_strand, {g} % 11 = 5 AS g{i}_dummy, {g} % 2 = 0 AS g{i}_coding"
@@ -60,7 +60,7 @@ FROM (SELECT gene1, gene2, contig1, contig2, bp1, bp2, dir1, dir2,
              CAST(count(CASE WHEN role = 'split1' AND fate = 'none' THEN 1 END) AS BIGINT) AS split1,
              CAST(count(CASE WHEN role = 'split2' AND fate = 'none' THEN 1 END) AS BIGINT) AS split2,
              CAST(count(CASE WHEN role = 'discordant' AND fate = 'none' THEN 1 END) AS BIGINT) AS disc,
-             count(*) AS listed, max(exonic1) AS exonic1, max(exonic2) AS exonic2
+             count(*) AS listed, count(CASE WHEN role <> 'discordant' THEN 1 END) AS listed_split, max(exonic1) AS exonic1, max(exonic2) AS exonic2
       FROM reads_v GROUP BY gene1, gene2, contig1, contig2, bp1, bp2, dir1, dir2) AS e
 """
 
@@ -145,9 +145,18 @@ def fates(df: DataFrame) -> DataFrame:
 DUP = "contig1, contig2, bp1, bp2, dir1, dir2"
 
 
-@query(f"SELECT read_key, CASE WHEN fate = 'none' AND row_number() OVER (PARTITION BY {DUP} ORDER BY read_key) > 1 THEN 'duplicates' ELSE fate END AS fate FROM reads_v")
+@query(
+    """SELECT read_key, CASE WHEN fate = 'none' AND row_number() OVER (PARTITION BY fate = 'none', CASE WHEN start1 > start2 THEN contig2 ELSE contig1 END, CASE WHEN start1 > start2 THEN contig1 ELSE contig2 END,
+       least(start1, start2), greatest(start1, start2) ORDER BY read_key) > 1 THEN 'duplicates' ELSE fate END AS fate FROM reads_v"""
+)
 def mark_duplicates(t: Tables) -> DataFrame:
-    return rf.mark_duplicates(t.reads, DUP.split(", ")).select("read_key", "fate")
+    d = rf.ordered_ends(t.reads, F.col("contig1"), F.col("contig2"), F.col("start1"), F.col("start2"))
+    return rf.mark_duplicates(d, ["contig1", "contig2", "pos1", "pos2"]).select("read_key", "fate")
+
+
+@query("SELECT read_key, CASE WHEN fate = 'none' AND forward THEN 'duplicates' ELSE fate END AS fate FROM reads_v")
+def flagged_duplicates(t: Tables) -> DataFrame:
+    return rf.mark_duplicates(t.reads, [], external="forward").select("read_key", "fate")
 
 
 @query(f"SELECT avg(CASE WHEN n > 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS rate FROM (SELECT row_number() OVER (PARTITION BY {DUP} ORDER BY read_key) AS n, fate FROM reads_v WHERE fate = 'none')")
@@ -166,10 +175,37 @@ def best_alignment_per_read(t: Tables) -> DataFrame:
     return ef.best_alignment(t.reads.withColumn("support", F.col("gene1")).withColumn("coding", F.col("gene2") % 2)).select("read_key", "fate")
 
 
+#: Reads with their alignment's score, and the events that they support; a fragment is an order.
+MULTI = """, known AS (SELECT read_key, read_group, r.event_id, role, score, r.fate, row_number() OVER (PARTITION BY read_group ORDER BY score DESC, split1 + split2 + disc DESC, g1_coding DESC, g2_coding DESC,
+      e.contig1, e.contig2, e.bp1, e.bp2, e.dir1, e.dir2, e.event_id, read_key) AS n
+      FROM (SELECT *, concat_ws(':', gene1, gene2, bp1, bp2, dir1, dir2) AS event_id FROM reads_v) r JOIN events_v e USING (event_id)),
+    marked AS (SELECT *, CASE WHEN fate = 'none' AND n > 1 THEN 'multimappers' ELSE fate END AS after FROM known)"""
+
+
+def _evidence(t: Tables) -> DataFrame:
+    return t.reads.withColumn("event_id", F.concat_ws(":", "gene1", "gene2", "bp1", "bp2", "dir1", "dir2")).select("read_group", "read_key", "event_id", "role", "score", "fate")
+
+
+@query(MULTI + " SELECT read_key, after AS fate FROM marked")
+def multimapper_reads(t: Tables) -> DataFrame:
+    return ef.multimappers(_evidence(t), t.events)[0].select("read_key", "fate")
+
+
+@query(
+    MULTI
+    + f""", gone AS (SELECT event_id, count(CASE WHEN role = 'split1' THEN 1 END) AS a, count(CASE WHEN role = 'split2' THEN 1 END) AS b, count(CASE WHEN role = 'discordant' THEN 1 END) AS d FROM marked WHERE after = 'multimappers' GROUP BY event_id),
+    less AS (SELECT e.event_id, e.fate, fate = 'none' AND a IS NOT NULL AND {SUP} > 0 AS o, split1, split2, disc, a, b, d FROM events_v e LEFT JOIN gone USING (event_id)),
+    done AS (SELECT event_id, fate, o, CASE WHEN o THEN greatest(0, split1 - a) ELSE split1 END AS split1, CASE WHEN o THEN greatest(0, split2 - b) ELSE split2 END AS split2, CASE WHEN o THEN greatest(0, disc - d) ELSE disc END AS disc FROM less)
+    SELECT event_id, split1, split2, disc, CASE WHEN o AND {SUP} = 0 THEN 'multimappers' ELSE fate END AS fate FROM done"""
+)
+def multimapper_events(t: Tables) -> DataFrame:
+    return ef.multimappers(_evidence(t), t.events)[1].select("event_id", "split1", "split2", "disc", "fate")
+
+
 @query(
     """SELECT gene1, gene2, bp1, bp2, dir1, dir2, least(count(CASE WHEN role = 'split1' AND fate = 'none' THEN 1 END), 300)::BIGINT AS split1,
        least(count(CASE WHEN role = 'split2' AND fate = 'none' THEN 1 END), 300)::BIGINT AS split2, least(count(CASE WHEN role = 'discordant' AND fate = 'none' THEN 1 END), 300)::BIGINT AS disc,
-       count(*) AS listed, bool_or(exonic1) AS exonic1, bool_or(exonic2) AS exonic2,
+       count(*) AS listed, count(CASE WHEN role <> 'discordant' THEN 1 END) AS listed_split, bool_or(exonic1) AS exonic1, bool_or(exonic2) AS exonic2,
        CASE WHEN dir1 = 'downstream' THEN min(start1) ELSE max(start1) END AS anchor1, CASE WHEN dir2 = 'downstream' THEN min(start2) ELSE max(start2) END AS anchor2
        FROM reads_v GROUP BY gene1, gene2, contig1, contig2, bp1, bp2, dir1, dir2"""
 )
@@ -228,7 +264,7 @@ def _predicate(name: str, condition: Callable[[], F.Column], sql: str) -> None:
 
 
 _predicate("non_coding_neighbors", ef.non_coding_neighbors, f"{RT} AND NOT g1_coding AND NOT g2_coding")
-_predicate("intragenic_exonic", ef.intragenic_exonic, f"(gene1 = gene2 OR {OVER}) AND exonic1 AND exonic2 AND NOT (spliced1 AND spliced2) AND (spliced_distance = bp2 - bp1 OR spliced_distance / greatest(bp2 - bp1, 1) > 1 - 0.33::DOUBLE)")
+_predicate("intragenic_exonic", ef.intragenic_exonic, f"(gene1 = gene2 OR {OVER}) AND exonic1 AND exonic2 AND NOT (spliced1 AND spliced2) AND (spliced_distance = bp2 - bp1 OR spliced_distance / greatest(bp2 - bp1, 1) < 0.33::DOUBLE)")
 _predicate("min_support", ef.min_support, f"{SUP} < 2 OR ({OVER} AND split1 + split2 < 2)")
 _predicate("relative_support", ef.relative_support, f"evalue >= 0.3::DOUBLE OR ({INTRA} AND split1 + split2 = 0)")
 _predicate("intronic", ef.intronic, "exonic_reads = 0 AND NOT viral1 AND NOT viral2")
@@ -309,7 +345,7 @@ def select_best(t: Tables) -> DataFrame:
 
 @query(
     """, live AS (SELECT *, CASE WHEN dir1 = dir2 THEN bp1 + bp2 ELSE bp2 - bp1 END AS line FROM events_v WHERE fate = 'none' AND split1 + split2 > 0),
-    best AS (SELECT a.event_id, sum(b.split1)::BIGINT AS s1, sum(b.split2)::BIGINT AS s2, arg_max(b.event_id, (b.split1 + b.split2, -b.bp1)) AS winner FROM live a JOIN live b
+    best AS (SELECT a.event_id, sum(b.split1)::BIGINT AS s1, sum(b.split2)::BIGINT AS s2, arg_max(b.event_id, (b.split1 + b.split2 + b.disc, b.listed_split, -b.bp1)) AS winner FROM live a JOIN live b
       ON a.gene1 = b.gene1 AND a.gene2 = b.gene2 AND a.dir1 = b.dir1 AND a.dir2 = b.dir2 AND a.contig1 = b.contig1 AND a.contig2 = b.contig2 AND a.line = b.line AND abs(a.bp1 - b.bp1) <= 7 GROUP BY a.event_id)
     SELECT e.event_id, CASE WHEN winner IS NULL OR winner = e.event_id THEN e.fate ELSE 'merge_adjacent' END AS fate,
       CASE WHEN winner = e.event_id THEN s1 ELSE e.split1 END AS split1, CASE WHEN winner = e.event_id THEN s2 ELSE e.split2 END AS split2
@@ -438,6 +474,29 @@ def labels(t: Tables) -> DataFrame:
 
 # statistics
 
+#: The shares of event classes, with their defaults where they are too few.
+SHARES = f"""
+    , distal AS (SELECT *, spliced1 OR spliced2 AS one FROM events_v WHERE fate = 'none' AND (contig1 <> contig2 OR bp2 - bp1 > 500000) AND {SUP} >= 2 AND split1 + split2 > 0 AND NOT g1_dummy AND NOT g2_dummy),
+    a AS (SELECT count(CASE WHEN one THEN 1 END) AS spliced, count(CASE WHEN NOT one AND exonic1 AND exonic2 THEN 1 END) AS exonic, count(CASE WHEN NOT one AND NOT exonic1 AND NOT exonic2 THEN 1 END) AS intronic,
+          count(CASE WHEN NOT one AND exonic1 <> exonic2 THEN 1 END) AS mixed FROM distal),
+    b AS (SELECT count(CASE WHEN dir1 = 'upstream' AND dir2 = 'downstream' THEN 1 END) AS dup, count(CASE WHEN dir1 = dir2 THEN 1 END) AS inv FROM events_v WHERE fate = 'none' AND gene1 = gene2 AND split1 + split2 >= 2),
+    d AS (SELECT count(CASE WHEN gene1 = gene2 THEN 1 END) AS same, count(CASE WHEN gene1 <> gene2 THEN 1 END) AS different FROM events_v WHERE spliced1 AND spliced2),
+    g AS (SELECT gene, bool_or(rt) AS rt FROM (SELECT unnest([gene1, gene2]) AS gene, {RT} AS rt FROM events_v WHERE NOT g1_dummy AND NOT g2_dummy AND split1 + split2 > 0) GROUP BY gene),
+    h AS (SELECT coalesce(count(CASE WHEN rt THEN 1 END) / nullif(count(*), 0), 0)::DOUBLE AS read_through FROM g)"""
+
+
+@query(
+    SHARES
+    + """ SELECT CASE WHEN ok THEN spliced ELSE 10 END::DOUBLE AS spliced, CASE WHEN ok THEN exonic ELSE 65 END::DOUBLE AS exonic, CASE WHEN ok THEN intronic ELSE 10 END::DOUBLE AS intronic, CASE WHEN ok THEN mixed ELSE 15 END::DOUBLE AS mixed,
+      CASE WHEN dup + inv >= 100 THEN dup ELSE 1 END::DOUBLE AS dup, CASE WHEN dup + inv >= 100 THEN inv ELSE 1 END::DOUBLE AS inv, CASE WHEN same + different >= 100 THEN same ELSE 0 END::DOUBLE AS same,
+      CASE WHEN same + different >= 100 THEN different ELSE 100 END::DOUBLE AS different, round(read_through, 9) AS read_through
+      FROM (SELECT *, spliced + exonic + intronic + mixed >= 100 AND spliced > 0 AND exonic > 0 AND intronic > 0 AND mixed > 0 AS ok FROM a, b, d, h)"""
+)
+def event_shares(t: Tables) -> DataFrame:
+    got = stats.DEFAULT_SHARES | stats.event_shares(t.events)
+    return t.spark.range(1).select(*(F.round(F.lit(v), 9).alias(k) for k, v in got.items()))
+
+
 PARTNERS = """, both_ AS (SELECT gene1 AS gene, gene2 AS other, bp1, bp2 FROM events_v WHERE fate = 'none' AND gene1 <> gene2 UNION ALL SELECT gene2, gene1, bp1, bp2 FROM events_v WHERE fate = 'none' AND gene1 <> gene2),
     first_ AS (SELECT gene, bp1, bp2, min(other) AS other FROM both_ GROUP BY ALL), n_ AS (SELECT gene, count(DISTINCT other) AS n FROM first_ GROUP BY gene)"""
 
@@ -452,7 +511,7 @@ def partner_counts(t: Tables) -> DataFrame:
         * CASE WHEN d < 1000 THEN pow(greatest(400.0::DOUBLE, d) / 1000, -2.0::DOUBLE) ELSE 1 END * CASE WHEN d < 400 THEN pow(d / 400, -4.58::DOUBLE) ELSE 1 END
       ELSE CASE WHEN {SUP} >= 1 THEN pow({SUP} - 0.73::DOUBLE, -2.28::DOUBLE) * pow(10::DOUBLE, -1.75::DOUBLE) ELSE 1 END
         * CASE WHEN {RT} THEN pow(greatest(bp2 - bp1, 1) / 400000::DOUBLE, -0.63::DOUBLE) WHEN contig1 = contig2 AND bp2 - bp1 < 400000 THEN pow(greatest(bp2 - bp1, 1) / 400000::DOUBLE, -1.53::DOUBLE) ELSE 1 END END
-      * CASE WHEN spliced1 AND spliced2 THEN 10 WHEN exonic1 AND exonic2 THEN 65 WHEN NOT exonic1 AND NOT exonic2 THEN 10 ELSE 15 END * 0.04::DOUBLE, 1e-30)), 6) AS log_evalue
+      * CASE WHEN spliced1 OR spliced2 THEN 10 WHEN exonic1 AND exonic2 THEN 65 WHEN NOT exonic1 AND NOT exonic2 THEN 10 ELSE 15 END * 0.04::DOUBLE, 1e-30)), 6) AS log_evalue
     FROM (SELECT *, greatest(spliced_distance, 1)::DOUBLE AS d, greatest(10000.0::DOUBLE / l1 * greatest(p1 - 1, 1), 10000.0::DOUBLE / l2 * greatest(p2 - 1, 1))
       * CASE WHEN {SUP} < 2 THEN 1 ELSE greatest(1.0::DOUBLE, 2.5::DOUBLE * pow(0.02::DOUBLE, {SUP} - 2)) END AS base FROM events_v)"""
 )
@@ -591,31 +650,75 @@ def dummy_islands(t: Tables) -> DataFrame:
 
 # rules and variants
 
-RULES = "SELECT s_suppkey AS rule_id, s_suppkey % 4 AS c1, (s_suppkey % 40) * 20000 AS s1, (s_suppkey % 40) * 20000 + 40 AS e1, (s_suppkey + 1) % 4 AS c2, (40 + s_suppkey % 10) * 20000 AS s2, (40 + s_suppkey % 10) * 20000 + 30 AS e2, concat('t', CAST(s_suppkey % 3 AS STRING)) AS tag FROM {supplier}"
-_RULES = f", rules AS ({RULES.replace('{supplier}', 'supplier')})"
+_G, _H = "(s_suppkey % 40)", "(40 + s_suppkey % 10)"
+_SPAN = "CASE {k} WHEN 'gene' THEN {g} * 20000 WHEN 'range' THEN {g} * 20000 - 1000 WHEN 'position' THEN {g} * 20000 + s_suppkey % 5 * {step} END AS {p}_start, CASE {k} WHEN 'gene' THEN {g} * 20000 + 30000 + {g} % 3 * 40000 WHEN 'range' THEN {g} * 20000 + 60000 WHEN 'position' THEN {g} * 20000 + s_suppkey % 5 * {step} END AS {p}_end"
+#: A rule for each supplier, of all kinds.
+RULES = f"""
+SELECT rule_id, a_kind, b_kind, {_G} % 4 AS a_contig, {_H} % 4 AS b_contig, {_SPAN.format(k="a_kind", g=_G, p="a", step=7)}, {_SPAN.format(k="b_kind", g=_H, p="b", step=11)},
+       CASE WHEN s_suppkey % 5 = 0 THEN s_suppkey % 2 = 0 END AS a_strand, CASE WHEN s_suppkey % 7 = 0 THEN s_suppkey % 2 = 1 END AS b_strand,
+       CASE WHEN a_kind = 'gene' THEN {_G} END AS a_gene_id, CASE WHEN b_kind = 'gene' THEN {_H} END AS b_gene_id, tag
+FROM (SELECT *, s_suppkey AS rule_id, concat('t', CAST(s_nationkey AS STRING)) AS tag,
+             CASE s_suppkey % 3 WHEN 0 THEN 'range' WHEN 1 THEN 'position' ELSE 'gene' END AS a_kind,
+             CASE s_suppkey % 13 WHEN 0 THEN 'any' WHEN 1 THEN 'split_read_donor' WHEN 2 THEN 'split_read_acceptor' WHEN 3 THEN 'split_read_any' WHEN 4 THEN 'discordant_mates' WHEN 5 THEN 'read_through'
+               WHEN 6 THEN 'low_support' WHEN 7 THEN 'filter_spliced' WHEN 8 THEN 'not_both_spliced' WHEN 9 THEN 'range' WHEN 10 THEN 'position' ELSE 'gene' END AS b_kind
+      FROM {{supplier}}) AS r
+"""
+_RULES = f", rules AS ({RULES.format(supplier='supplier')})"
 
 
 def _rules(t: Tables) -> DataFrame:
     return t.spark.sql(RULES, supplier=t.table("supplier"))
 
 
-HIT = "contig1 = c1 AND bp1 BETWEEN s1 - {r} AND e1 + {r} AND contig2 = c2 AND bp2 BETWEEN s2 - {r} AND e2 + {r}"
-TIH = "contig2 = c1 AND bp2 BETWEEN s1 - {r} AND e1 + {r} AND contig1 = c2 AND bp1 BETWEEN s2 - {r} AND e2 + {r}"
+def fits(p: str, i: int, reach: int = 0) -> str:
+    """SQL of one side of a rule."""
+    there = f"(contig{i} = {p}_contig AND ({p}_strand IS NULL OR ambiguous OR strand{i} = {p}_strand))"
+    part = f"""CASE WHEN g{i}_start >= {p}_start AND g{i}_end <= {p}_end THEN 1 WHEN g{i}_start < {p}_start AND g{i}_end > {p}_end THEN ({p}_end - {p}_start) / (g{i}_end - g{i}_start + 1)
+      WHEN g{i}_start BETWEEN {p}_start AND {p}_end THEN ({p}_end - g{i}_start) / (g{i}_end - g{i}_start + 1) WHEN g{i}_end BETWEEN {p}_start AND {p}_end THEN (g{i}_end - {p}_start) / (g{i}_end - g{i}_start + 1) ELSE 0 END"""
+    return f"""coalesce(CASE {p}_kind WHEN 'range' THEN {there} AND {part} > 0.5::DOUBLE
+      WHEN 'position' THEN {there} AND (bp{i} = {p}_start OR (split1 + split2 = 0 AND CASE WHEN dir{i} = 'downstream' THEN bp{i} BETWEEN {p}_start - {reach} AND {p}_start ELSE bp{i} BETWEEN {p}_start AND {p}_start + {reach} END))
+      WHEN 'gene' THEN gene{i} = {p}_gene_id WHEN 'any' THEN true WHEN 'split_read_donor' THEN disc + split{i} = 0 WHEN 'split_read_acceptor' THEN disc + split{3 - i} = 0 WHEN 'split_read_any' THEN disc = 0
+      WHEN 'discordant_mates' THEN split1 + split2 = 0 WHEN 'read_through' THEN {RT} WHEN 'low_support' THEN evalue > 0.3::DOUBLE WHEN 'filter_spliced' THEN evalue > 0.3::DOUBLE AND spliced1 AND spliced2
+      WHEN 'not_both_spliced' THEN NOT spliced1 OR NOT spliced2 END, false)"""
+
+
+EITHER = "(({a1}) AND ({b2})) OR (({a2}) AND ({b1}))"
+#: The first region at the 5' side; either way round if that isn't known and the breakpoints lie apart.
+_FREE = "(bp1 + bp2 + gene1) % 3 = 0 AND NOT (contig1 = contig2 AND abs(bp2 - bp1) < 1000000)"
+_TWO = "(bp1 + bp2 + gene1) % 3 = 2"
+
 
+def _ordered(reach: int = 0) -> str:
+    return f"(({_FREE} OR NOT {_TWO}) AND {fits('a', 1, reach)} AND {fits('b', 2, reach)}) OR (({_FREE} OR {_TWO}) AND {fits('a', 2, reach)} AND {fits('b', 1, reach)})"
 
-@query(_RULES + f" SELECT DISTINCT event_id, rule_id FROM events_v JOIN rules ON ({HIT.format(r=10)}) OR ({TIH.format(r=10)})")
+
+def _sided(t: Tables) -> DataFrame:
+    return t.events.withColumn("five", (F.col("bp1") + F.col("bp2") + F.col("gene1")) % 3)
+
+
+@query(_RULES + " SELECT event_id, rule_id FROM events_v JOIN rules ON " + EITHER.format(a1=fits("a", 1, 25), b2=fits("b", 2, 25), a2=fits("a", 2, 25), b1=fits("b", 1, 25)))
 def blacklist_bins(t: Tables) -> DataFrame:
-    return pivot.rule_matches(t.events, _rules(t), reach=10)
+    return rules.rule_hits(t.events, _rules(t), reach=25)
 
 
-@query(_RULES + f" SELECT DISTINCT event_id, rule_id FROM events_v JOIN rules ON {HIT.format(r=0)}")
+@query(_RULES + f" SELECT event_id, rule_id FROM events_v JOIN rules ON {_ordered()}")
 def known_pairs(t: Tables) -> DataFrame:
-    return pivot.rule_matches(t.events, _rules(t), ordered=True)
+    return rules.rule_hits(_sided(t), _rules(t), ordered=True)
+
+
+@query(
+    _RULES
+    + f""", h AS (SELECT event_id, bool_or(a_kind = 'position' AND b_kind = 'position') AS exact FROM events_v JOIN rules ON {_ordered(25)} GROUP BY event_id)
+    SELECT event_id, CASE WHEN fate IN ('relative_support', 'min_support') AND gene1 <> gene2 AND exact IS NOT NULL
+      AND (exact OR {SUP} >= 2 OR ({BOTH} AND cov1 + cov2 < 200 AND (contig1 <> contig2 OR abs(bp2 - bp1) > 1000000))) THEN 'none' ELSE fate END AS fate FROM events_v LEFT JOIN h USING (event_id)"""
+)
+def known_fusions(t: Tables) -> DataFrame:
+    return fates(rules.recover_known(_sided(t), _rules(t), 25))
 
 
-@query(_RULES + f", h AS (SELECT event_id, string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags FROM events_v JOIN rules ON {HIT.format(r=0)} GROUP BY event_id) SELECT event_id, coalesce(tags, '.') AS tags FROM events_v LEFT JOIN h USING (event_id)")
+@query(_RULES + f", h AS (SELECT event_id, string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags FROM events_v JOIN rules ON {_ordered()} GROUP BY event_id) SELECT event_id, coalesce(tags, '.') AS tags FROM events_v LEFT JOIN h USING (event_id)")
 def tag_events(t: Tables) -> DataFrame:
-    return pivot.tags(t.events, _rules(t), ordered=True).select("event_id", "tags")
+    return rules.tags(_sided(t), _rules(t)).select("event_id", "tags")
 
 
 VARIANTS = "SELECT o_orderkey % 4 AS contig1, o_custkey % 4 AS contig2, CASE WHEN o_orderkey % 2 = 0 THEN 'downstream' ELSE 'upstream' END AS dir1, CASE WHEN o_orderkey % 3 = 0 THEN 'downstream' ELSE 'upstream' END AS dir2, (o_orderkey * 7919) % 800000 AS pos1, (o_custkey * 104729 + o_orderkey) % 1000000 AS pos2 FROM {orders}"

@@ -12,6 +12,7 @@ from ..functions import sequence as sq
 from ..operators import annotate, assemble, fate, intervals, pivot, stats
 from ..operators import event_filters as ef
 from ..operators import read_filters as rf
+from ..operators import rules as rule_steps
 from ..sources import bam, sinks, text
 
 c = F.col
@@ -193,7 +194,7 @@ def detect(spark: SparkSession, alignments: str, annotation: str, opt: Options =
         e = ef.many_spliced(e, opt.spliced_events)
     e = e.checkpoint()
     if rules is not None and opt.on("blacklist"):
-        hit = pivot.rule_matches(e, rules, reach=opt.fragment_length).select("event_id").distinct().withColumn("__hit", F.lit(True))
+        hit = rule_steps.rule_hits(e, rules, opt.fragment_length, opt.evalue).select("event_id").distinct().withColumn("__hit", F.lit(True))
         e = fate.discard(e.join(hit, "event_id", "left"), "blacklist", c("__hit")).drop("__hit")
     late = [("marginal_read_through", ef.marginal_read_through()), ("short_anchor", ef.short_anchor(opt.anchor)), ("end_to_end", ef.end_to_end())]
     e = fate.discard_all(e, [(n, p) for n, p in late if opt.on(n)])
@@ -207,7 +208,7 @@ def detect(spark: SparkSession, alignments: str, annotation: str, opt: Options =
     e = e.withColumns({"type": ev.event_type(opt.itd_length), "confidence_label": ev.confidence_label(c("confidence")), "five": stats.transcript_start()})
     for i in (1, 2):
         e = e.withColumn(f"strand_label{i}", ev.strand_label(c(f"g{i}_strand"), c(f"g{i}_dummy"), c(f"strand{i}"), c("ambiguous")))
-    return pivot.tags(e, tags, ordered=True) if tags is not None else e
+    return rule_steps.tags(e, tags) if tags is not None else e
 
 
 def ranked(events: DataFrame) -> DataFrame:
