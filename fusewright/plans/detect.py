@@ -7,19 +7,21 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import cigar
 from ..functions import events as ev
 from ..functions import sequence as sq
 from ..operators import annotate, assemble, fate, intervals, pivot, stats
 from ..operators import event_filters as ef
 from ..operators import read_filters as rf
 from ..operators import rules as rule_steps
+from ..session import shared_dir
 from ..sources import bam, sinks, text
 
 c = F.col
 
 
 #: Options of steps that detect() doesn't call yet; other values than the defaults are refused.
-IDLE = ("mismappers", "homologs", "strandedness", "mismatch_p", "quantile", "top_viruses", "covered_fraction", "itd_fraction", "itd_support")
+IDLE = ("mismappers", "homologs", "mismatch_p", "quantile", "top_viruses", "covered_fraction")
 
 
 @dataclass(frozen=True)
@@ -39,7 +41,7 @@ class Options:
     read_through: int = 10_000
     kmer_content: float = 0.6
     fragment_length: int = 200
-    strandedness: str = "no"
+    strandedness: str = "auto"
     spliced_events: int = 4
     mismatch_p: float = 0.01
     cap: int = 300
@@ -61,8 +63,8 @@ class Options:
         for name in ("support", "anchor", "homopolymer", "sv_distance", "read_through", "fragment_length", "cap", "itd_length", "itd_support"):
             if getattr(self, name) < 0:
                 raise ValueError(f"{name} must not be negative")
-        if self.strandedness not in ("yes", "no", "reverse"):
-            raise ValueError("strandedness is yes, no or reverse")
+        if self.strandedness not in ("auto", "yes", "no", "reverse"):
+            raise ValueError("strandedness is auto, yes, no or reverse")
         if self.homopolymer < 1:
             raise ValueError("homopolymer must be positive")
         for name in IDLE:
@@ -86,14 +88,38 @@ def filtered_reads(reads: DataFrame, opt: Options) -> DataFrame:
     return rf.filter_low_entropy(d, opt.kmer_content) if opt.on("low_entropy") else d
 
 
-def with_gene_bounds(reads: DataFrame, genes: DataFrame) -> DataFrame:
-    """Adds fw_gene_end and rv_gene_start of the segments' largest genes (-1 without any), and at_splice_site."""
+def with_gene_bounds(reads: DataFrame, genes: DataFrame, sites: DataFrame) -> DataFrame:
+    """Adds fw_gene_end and rv_gene_start of the segments' largest genes (-1 without any), and at_splice_site: whether a split read begins at a site of a gene of its own."""
     g = genes.select(c("id").alias("__id"), c("start").alias("__s"), c("end").alias("__e"))
     first = F.when(c("is_split"), F.when(~c("m2_strand"), c("m2_genes")).otherwise(c("sp_genes"))).otherwise(F.when(c("m1_strand"), c("m1_genes")).otherwise(c("m2_genes")))
     other = F.when(c("is_split"), F.when(~c("m2_strand"), c("sp_genes")).otherwise(c("m2_genes"))).otherwise(F.when(c("m1_strand"), c("m2_genes")).otherwise(c("m1_genes")))
     fw = reads.select("read_key", F.explode(first).alias("__id")).join(g, "__id").groupBy("read_key").agg(F.max("__e").alias("fw_gene_end"))
     rv = reads.select("read_key", F.explode(other).alias("__id")).join(g, "__id").groupBy("read_key").agg(F.min("__s").alias("rv_gene_start"))
-    return reads.join(fw, "read_key", "left").join(rv, "read_key", "left").fillna(-1, ["fw_gene_end", "rv_gene_start"]).withColumn("at_splice_site", F.lit(False))
+    return reads.join(fw, "read_key", "left").join(rv, "read_key", "left").fillna(-1, ["fw_gene_end", "rv_gene_start"]).transform(lambda d: _at_splice_site(d, sites))
+
+
+def _at_splice_site(reads: DataFrame, sites: DataFrame) -> DataFrame:
+    way, pos = F.when(c("m2_strand"), F.lit(ev.UP)).otherwise(F.lit(ev.DOWN)), F.when(c("m2_strand"), c("m2_start")).otherwise(c("m2_end"))
+    asks = reads.where("is_split").select("read_key", F.explode("m2_genes").alias("gene"), way.alias("direction"), pos.alias("pos"))
+    hit = asks.join(sites, ["gene", "direction", "pos"], "left_semi").select("read_key").distinct().withColumn("at_splice_site", F.lit(True))
+    return reads.join(hit, "read_key", "left").withColumn("at_splice_site", F.coalesce("at_splice_site", F.lit(False)))
+
+
+def stranded(reads: DataFrame, genes: DataFrame, sites: DataFrame, kind: str) -> DataFrame:
+    """Adds the predicted strands of the segments; auto asks the spliced split reads for the library's kind."""
+    if kind == "auto":
+        g = genes.select(c("id").alias("__id"), c("strand").alias("gene_strand"))
+        kind = stats.strandedness(reads.where("is_split").withColumn("__id", F.get("m2_genes", F.lit(0))).join(g, "__id"), sites)
+    return assemble.assign_strands(reads, kind)
+
+
+def same_coding_exon(events: DataFrame, exons: DataFrame, longest: int, slack: int = 7) -> DataFrame:
+    """Adds whether both breakpoints of a short event in one gene lie in the coding part of one exon, give or take slack."""
+    asks = events.where(ev.is_tandem_duplication(longest) & c("exonic1") & c("exonic2") & c("g1_coding")).select("event_id", c("gene1").alias("gene"), "bp1", "bp2")
+    x = exons.where("coding_start is not null").select("gene", "coding_start", "coding_end")
+    holds = lambda b: (c("coding_start") <= c(b) + slack) & (c("coding_end") + slack >= c(b))
+    hit = asks.join(x, "gene").where(holds("bp1") & holds("bp2")).select("event_id").distinct().withColumn("same_coding_exon", F.lit(True))
+    return events.join(hit, "event_id", "left").withColumn("same_coding_exon", F.coalesce("same_coding_exon", F.lit(False)))
 
 
 def sides(reads: DataFrame) -> DataFrame:
@@ -104,11 +130,11 @@ def sides(reads: DataFrame) -> DataFrame:
     way = lambda p: F.when(c(f"{p}_strand"), F.lit(ev.DOWN)).otherwise(F.lit(ev.UP))
     back = F.when(c("m2_strand"), F.lit(ev.UP)).otherwise(F.lit(ev.DOWN))
 
-    def side(contig: F.Column, pos: F.Column, d: F.Column, genes: F.Column, exonic: F.Column, start: F.Column, kind: str) -> F.Column:
-        return F.struct(contig.alias("contig"), pos.alias("pos"), d.alias("dir"), genes.alias("genes"), exonic.alias("exonic"), start.alias("start"), F.lit(kind).alias("kind"))
+    def side(contig: F.Column, pos: F.Column, d: F.Column, genes: F.Column, exonic: F.Column, start: F.Column, kind: str, p: str) -> F.Column:
+        return F.struct(contig.alias("contig"), pos.alias("pos"), d.alias("dir"), genes.alias("genes"), exonic.alias("exonic"), start.alias("start"), F.lit(kind).alias("kind"), c(f"{p}_predicted").alias("forward"))
 
-    a = F.when(c("is_split"), side(c("m2_contig"), s2, back, c("m2_genes"), c("m2_exonic"), inner("m1"), "a")).otherwise(side(c("m1_contig"), outer("m1"), way("m1"), c("m1_genes"), c("m1_exonic"), inner("m1"), "a"))
-    b = F.when(c("is_split"), side(c("sp_contig"), outer("sp"), way("sp"), c("sp_genes"), c("sp_exonic"), inner("sp"), "b")).otherwise(side(c("m2_contig"), outer("m2"), way("m2"), c("m2_genes"), c("m2_exonic"), inner("m2"), "b"))
+    a = F.when(c("is_split"), side(c("m2_contig"), s2, back, c("m2_genes"), c("m2_exonic"), inner("m1"), "a", "m2")).otherwise(side(c("m1_contig"), outer("m1"), way("m1"), c("m1_genes"), c("m1_exonic"), inner("m1"), "a", "m1"))
+    b = F.when(c("is_split"), side(c("sp_contig"), outer("sp"), way("sp"), c("sp_genes"), c("sp_exonic"), inner("sp"), "b", "sp")).otherwise(side(c("m2_contig"), outer("m2"), way("m2"), c("m2_genes"), c("m2_exonic"), inner("m2"), "b", "m2"))
     d = reads.select("read_key", "read_group", "multimapper", "is_split", "fate", a.alias("x"), b.alias("y"))
     key = lambda s: F.struct(c(f"{s}.contig"), c(f"{s}.pos"))
     swapped = key("y") < key("x")
@@ -117,7 +143,7 @@ def sides(reads: DataFrame) -> DataFrame:
     role = F.when(~c("is_split"), F.lit("discordant")).when(c("swapped"), F.lit("split2")).otherwise(F.lit("split1"))
     return d.select(
         "read_key", "read_group", "multimapper", "fate", role.alias("role"), "gene1", "gene2",
-        *[c(f"{s}.{f}").alias(f"{n}{i}") for i, s in ((1, "lo"), (2, "hi")) for f, n in (("contig", "contig"), ("pos", "bp"), ("dir", "dir"), ("exonic", "exonic"), ("start", "start"))],
+        *[c(f"{s}.{f}").alias(f"{n}{i}") for i, s in ((1, "lo"), (2, "hi")) for f, n in (("contig", "contig"), ("pos", "bp"), ("dir", "dir"), ("exonic", "exonic"), ("start", "start"))], c("lo.forward").alias("forward"),
     )
 
 
@@ -135,42 +161,47 @@ def with_genes(events: DataFrame, genes: DataFrame) -> DataFrame:
     return events
 
 
-def detect(spark: SparkSession, alignments: str, annotation: str, opt: Options = Options(), rules: DataFrame | None = None, variants: DataFrame | None = None, tags: DataFrame | None = None) -> DataFrame:
+def detect(spark: SparkSession, alignments: str, annotation: str, opt: Options = Options(), rules: DataFrame | None = None, variants: DataFrame | None = None, tags: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """Events with fate, confidence and labels; sinks.result_table() makes the 30 columns of those whose fate is none.
 
+    rules, known and tags are rows of sources.text.rules(): the block list, the known pairs (5', 3') and the tagged ones.
+
     Dimensions, segments, reads and events are checkpointed in the shared folder: later steps read them several times, and their plans stay small.
     """
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="fusewright-"))
+    shared_dir(spark)
     records = bam.bam(spark, alignments) if alignments.endswith(".bam") else text.sam(spark, alignments)
     genes, _, exons = annotate.build(text.gtf(spark, annotation))
     genes, exons, seg = genes.checkpoint(), exons.checkpoint(), assemble.segments(records).checkpoint()
     reads, genes = annotate.annotate_reads(assemble.reads(seg).checkpoint(), genes, exons)
-    genes = genes.checkpoint()
-    reads = filtered_reads(with_gene_bounds(reads.checkpoint(), genes), opt)
+    genes, sites = genes.checkpoint(), intervals.boundary_sites(exons).checkpoint()
+    reads = stranded(reads.checkpoint(), genes, sites, opt.strandedness)
+    reads = filtered_reads(with_gene_bounds(reads, genes, sites), opt)
+    contigs = seg.select("contig").distinct()
+    at_home = lambda r: None if r is None else rule_steps.located(r, genes.where(~F.coalesce("is_dummy", F.lit(False))), contigs).checkpoint()
+    rules, tags, known = at_home(rules), at_home(tags), at_home(known)
     s = sides(reads).checkpoint()
     e = pivot.pivot_events(s, opt.cap).withColumn("event_id", event_id())
     own = s.withColumn("event_id", event_id())
     per = own.groupBy("event_id").agg(
         F.sum(F.when((c("fate") == fate.NONE) & ~c("multimapper"), 1).otherwise(0)).alias("unique_reads"),
         F.sum(F.when((c("fate") == fate.NONE) & (c("exonic1") | c("exonic2")), 1).otherwise(0)).alias("exonic_reads"),
+        F.sum(F.when((c("role") != "discordant") & c("fate").isin(fate.NONE, "hairpin", "inconsistently_clipped", "mismatches"), 1).otherwise(0)).alias("all_split"),
         F.array_join(F.array_sort(F.collect_set("read_group")), ",").alias("read_identifiers"),
     )
+    votes = stats.strand_vote(own.select("event_id", "role", "forward", c("fate").alias("read_fate")))
     pairs = s.where("role = 'discordant'").select("gene1", "gene2", "dir1", "dir2", c("bp1").alias("pos1"), c("bp2").alias("pos2"), "read_key")
     e = pivot.discordant_support(e, pairs, opt.fragment_length).withColumn("disc", F.greatest("disc", "near_pairs")).drop("near_pairs")
-    e = with_genes(e.join(per, "event_id"), genes).checkpoint()
-    sites = intervals.boundary_sites(exons)
+    e = with_genes(e.join(per, "event_id"), genes).join(votes, "event_id", "left").checkpoint()
     e = intervals.spliced(e, sites, "gene1", "dir1", "bp1", "spliced1")
     e = intervals.spliced(e, sites, "gene2", "dir2", "bp2", "spliced2")
-    blocks = seg.where(~c("supplementary")).select(c("read_key").alias("fragment"), "contig", c("start").alias("s"), c("end").alias("e"))
-    cov = stats.coverage(blocks)
+    blocks = seg.where(~c("supplementary")).select(c("read_key").alias("fragment"), "contig", F.explode(cigar.blocks(c("start"), c("ops"))).alias("b"))
+    cov = stats.coverage(blocks.select("fragment", "contig", c("b.s").alias("s"), (c("b.e") - 1).alias("e")))
     for i in (1, 2):  # depth on the retained side
         e = e.withColumn("__back", F.when(c(f"dir{i}") == ev.UP, F.lit(ev.DOWN)).otherwise(F.lit(ev.UP)))
         e = stats.depth_at(e, cov, f"contig{i}", f"bp{i}", "__back", f"cov{i}").drop("__back")
     viral = sq.wildcard_regex(opt.viral)
-    e = e.withColumns({"viral1": c("contig1").rlike(viral), "viral2": c("contig2").rlike(viral), "ambiguous": F.lit(True), "strand1": c("g1_strand"), "strand2": c("g2_strand")})
+    e = e.withColumns({"viral1": c("contig1").rlike(viral), "viral2": c("contig2").rlike(viral), "ambiguous": F.coalesce("ambiguous", F.lit(True)), "strand1": F.coalesce("strand", F.lit(True))}).drop("strand")
+    e = e.withColumn("strand2", c("strand1") != (c("dir1") == c("dir2"))).withColumn("five", stats.transcript_start())
     if variants is None:
         e = e.withColumn("gbp1", F.lit(None).cast("int")).withColumn("gbp2", F.lit(None).cast("int"))
     else:
@@ -183,38 +214,56 @@ def detect(spark: SparkSession, alignments: str, annotation: str, opt: Options =
         e = e.join(partners.select(c("gene").alias(f"gene{i}"), c("partners").alias(f"p{i}")), f"gene{i}", "left").fillna(1, [f"p{i}"])
     e = e.join(annotate.spliced_distance(exons, e), "event_id", "left").withColumn("spliced_distance", F.coalesce("spliced_distance", ev.distance().cast("bigint"))).checkpoint()
     mapped = assemble.mapped_reads(seg, sq.wildcard_regex(opt.interesting)).first()[0]
-    e = e.withColumn("evalue", stats.evalue(e, mapped))
-    early = [("non_coding_neighbors", ef.non_coding_neighbors()), ("intragenic_exonic", ef.intragenic_exonic(opt.exonic_fraction)), ("min_support", ef.min_support(opt.support)), ("relative_support", ef.relative_support(opt.evalue)), ("intronic", ef.intronic())]
+    e = e.withColumn("evalue", stats.evalue(e, mapped, stats.event_shares(e)))
+    early = [("non_coding_neighbors", ef.non_coding_neighbors()), ("intragenic_exonic", ef.intragenic_exonic(opt.exonic_fraction)), ("min_support", ef.min_support(opt.support)), ("relative_support", ef.relative_support(opt.evalue))]
     e = fate.discard_all(e, [(n, p) for n, p in early if opt.on(n)])
+    if opt.on("internal_tandem_duplication"):
+        rate = reads.agg(F.coalesce(F.avg((c("fate") == "duplicates").cast("double")), F.lit(0.0))).first()[0]
+        e = same_coding_exon(e, exons, opt.itd_length).withColumn("duplicate_rate", F.lit(rate))
+        e = ef.tandem_duplications(e, opt.itd_length, opt.itd_support, opt.itd_fraction, opt.cap).drop("duplicate_rate")
+    if opt.on("intronic"):
+        e = fate.discard(e, "intronic", ef.intronic())
+    if known is not None and opt.on("known_fusions"):
+        e = rule_steps.recover_known(e.checkpoint(), known, opt.fragment_length, opt.evalue)
     if opt.on("spliced"):
         e = ef.recover_spliced(e)
     if opt.on("select_best"):
         e = ef.select_best(e)
+    if opt.on("marginal_read_through"):
+        e = fate.discard(e, "marginal_read_through", ef.marginal_read_through())
     if opt.on("many_spliced"):
         e = ef.many_spliced(e, opt.spliced_events)
     e = e.checkpoint()
+    if variants is not None and opt.on("no_genomic_support"):
+        e = fate.discard(ef.assign_confidence(e), "no_genomic_support", ef.no_genomic_support()).drop("confidence").checkpoint()
     if rules is not None and opt.on("blacklist"):
         hit = rule_steps.rule_hits(e, rules, opt.fragment_length, opt.evalue).select("event_id").distinct().withColumn("__hit", F.lit(True))
         e = fate.discard(e.join(hit, "event_id", "left"), "blacklist", c("__hit")).drop("__hit")
-    late = [("marginal_read_through", ef.marginal_read_through()), ("short_anchor", ef.short_anchor(opt.anchor)), ("end_to_end", ef.end_to_end())]
+    late = [("short_anchor", ef.short_anchor(opt.anchor)), ("end_to_end", ef.end_to_end())]
     e = fate.discard_all(e, [(n, p) for n, p in late if opt.on(n)])
-    if opt.on("genomic_support"):
+    if variants is not None and opt.on("genomic_support"):
         e = ef.recover_genomic(e)
-    if opt.on("select_best"):
+    if opt.on("select_best") and (opt.on("many_spliced") or (variants is not None and opt.on("genomic_support"))):
         e = ef.select_best(e)
     if opt.on("isoforms"):
         e = ef.isoforms(e)
     e = ef.assign_confidence(e.checkpoint())
-    e = e.withColumns({"type": ev.event_type(opt.itd_length), "confidence_label": ev.confidence_label(c("confidence")), "five": stats.transcript_start()})
+    e = e.withColumns({"type": ev.event_type(opt.itd_length), "confidence_label": ev.confidence_label(c("confidence"))})
     for i in (1, 2):
         e = e.withColumn(f"strand_label{i}", ev.strand_label(c(f"g{i}_strand"), c(f"g{i}_dummy"), c(f"strand{i}"), c("ambiguous")))
     return rule_steps.tags(e, tags) if tags is not None else e
 
 
 def ranked(events: DataFrame) -> DataFrame:
-    """The result table of the passing events in output order."""
+    """The result table of the passing events in output order, the 5' gene first."""
     best = ef.output_order(events.where(c("fate") == fate.NONE)).orderBy("place")
-    return sinks.result_table(best)
+    return sinks.result_table(sinks.five_prime_first(best, c("five") == 2))
+
+
+def discarded(events: DataFrame) -> DataFrame:
+    """The same columns of the events that a step discarded, in no order; the step's name stands in filters, and reads aren't listed."""
+    rest = events.where(c("fate") != fate.NONE).withColumn("filters", c("fate")).drop("read_identifiers")
+    return sinks.result_table(sinks.five_prime_first(rest, c("five") == 2))
 
 
 def remaining(events: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -17,3 +19,14 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. In local mode only (tests), one of its own where that is unset."""
+    sc = spark.sparkContext
+    told = sc.getConf().get("spark.checkpoint.dir")
+    if sc.getCheckpointDir() is None:
+        if not told and (sc.master or "").split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(told or tempfile.mkdtemp(prefix="fusewright-"))
+    return (told or sc.getCheckpointDir()).rstrip("/")

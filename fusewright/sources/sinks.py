@@ -12,7 +12,7 @@ COLUMNS = (
     "retained_protein_domains closest_genomic_breakpoint1 closest_genomic_breakpoint2 gene_id1 gene_id2 transcript_id1 transcript_id2 direction1 direction2 filters fusion_transcript peptide_sequence read_identifiers"
 ).split()
 #: Columns that come in pairs, and swap when the second gene is 5'.
-PAIRED = ("gene", "strand", "contig", "bp", "site", "split", "cov", "gbp", "gene_id", "transcript_id", "dir", "domains")
+PAIRED = ("gene", "name", "strand", "strand_label", "contig", "bp", "site", "split", "cov", "gbp", "gene_id", "transcript_id", "dir", "domains")
 
 
 def five_prime_first(events: DataFrame, second: Column) -> DataFrame:

@@ -93,7 +93,7 @@ def test_threshold(spark):
     assert ef.recovery_threshold(h([(2, 20)])) == 1
 
 
-@pytest.mark.parametrize("idle", [{"strandedness": "yes"}, {"mismatch_p": 0.5}, {"mismappers": 0.5}, {"itd_support": 3}])
+@pytest.mark.parametrize("idle", [{"homologs": 0.5}, {"mismatch_p": 0.5}, {"mismappers": 0.5}, {"top_viruses": 3}])
 def test_options_without_effect_are_refused(idle):
     with pytest.raises(ValueError, match="no effect"):
         detect.Options(**idle)
