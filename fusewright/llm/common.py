@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -98,3 +100,18 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 8 <
         each = max(1, int(b.num_rows * most_bytes / max(1, b.column(column).nbytes)))
         for i in range(0, b.num_rows, each):
             yield b.slice(i, each)
+
+
+_tenant: list = []
+
+
+def tenant(name: str, forget: Callable[[], object] = lambda: None) -> None:
+    """To be called where a task begins: workers outlive tasks, so what another operator remembers in this one is dropped, and memory returned."""
+    if _tenant and _tenant[0] != name:
+        _tenant[1]()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+    _tenant[:] = [name, forget]

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import slices, tenant
 
 #: Known sentences, as patterns over normalised text (lower case, words and digits, one blank between).
 SENTENCES = (
@@ -163,6 +163,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tenant("licenses")
         for b in slices(batches, 1):
             rows = []
             for t in b.column(1).to_pylist():

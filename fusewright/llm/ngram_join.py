@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, columns_of, settled, slices, small_batches, unused
+from .common import WORD, Scratch, columns_of, settled, slices, small_batches, tenant, unused
 from .components import components
 
 GRAM = 5
@@ -130,6 +130,7 @@ SETS = "doc_id bigint, text_a bigint, text_b bigint, n bigint, key bigint, key2
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, text_a, text_b) -> a row of SETS each."""
+    tenant("ngram_join", _words.clear)
     for b in slices(batches, 1):
         ns, keys, low, maps = [], [], [], []
         for t in b.column(1).cast(pa.binary()).to_pylist():
@@ -187,6 +188,7 @@ def _deal(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary()))], names=["bucket", "kind", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tenant("ngram_join", _words.clear)
         lows, ents, seen, held = [], [], set(), 0
         for b in slices(batches, 1, 4 << 20):
             for ent, low in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -212,6 +214,7 @@ GROUPS = "kind int, ents array<bigint>, n bigint"
 
 def _gather(t: pa.Table) -> pa.Table:
     """A bucket's shingles -> distinct groups of 2 to HOT entities (kind 0), pairs from hot ones (kind 2), counts of hot shingles by mapper (kind 3) and of those found here (kind 4)."""
+    tenant("ngram_join", _words.clear)
     toks, ents, marked, pairs, counts = [], [], [], [], []
     for kind, blob in zip(t.column("kind").to_pylist(), t.column("blob").to_pylist()):
         half = len(blob) // 2
@@ -272,6 +275,7 @@ def _bits_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    tenant("ngram_join", _words.clear)
     for b in slices(batches, 2):
         rows = zip(b.column(2).to_pylist(), b.column(3).to_pylist())
         keep = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in rows]
@@ -325,6 +329,7 @@ def _tiles(limit: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b", "cut_a", "cut_b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tenant("ngram_join", _words.clear)
         held: list[pa.RecordBatch] = []
         for b in slices(batches, 6):
             tile = b.column(0).to_numpy()
@@ -365,7 +370,8 @@ def _filter(ids: DataFrame, bits: int) -> np.ndarray:
                 out |= np.frombuffer(x.as_buffer(), np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["bits"])
 
-    got = ids.mapInArrow(fill, "bits binary").coalesce(4).mapInArrow(merge, "bits binary").collect()
+    # settled, so that the two functions don't keep two workers a task
+    got = settled(ids.mapInArrow(fill, "bits binary")).coalesce(4).mapInArrow(merge, "bits binary").collect()
     out = np.zeros(bits // 8, np.uint8)
     for r in got:
         out |= np.frombuffer(bytes(r.bits), np.uint8)
@@ -384,6 +390,7 @@ def _sets_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
         docs = docs.join(reps.select("rep").distinct(), rep == F.col("rep"), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tenant("ngram_join", _words.clear)
         seen: set[tuple[int, int]] = set()
         for b in slices(batches, 1):
             if small:

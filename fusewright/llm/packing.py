@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import slices, tenant
 
 WINDOW, END = 2048, 1
 #: What a cut costs, in tokens of padding: after a sentence, and within one.
@@ -207,6 +207,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def _packer(path: str, window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.of(path)
+        tenant(f"packing {path}", encoder.forget)
         next_id, docs, held = TaskContext.get().partitionId() << 40, [], 0
         for b in slices(batches, 1):
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import boosting
-from .common import slices
+from .common import slices, tenant
 
 #: The base kinds, in order, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -258,6 +258,7 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model or learn())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tenant("pii")
         for b in slices(batches, 1):
             rows = []
             for t in b.column(1).to_pylist():

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import automata
-from .common import numbered, slices
+from .common import numbered, slices, tenant
 
 #: The base kinds, in order, and their patterns.
 KINDS = ("assign", "access", "hex")
@@ -205,6 +205,7 @@ def scan(docs: DataFrame, grammar: Grammar | None = None) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(grammar or learn())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tenant("secrets", _cleared.cache_clear)
         for b in slices(batches, 1):
             rows = []
             for t in b.column(1).to_pylist():
@@ -233,6 +234,7 @@ def redact(docs: DataFrame, grammar: Grammar | None = None) -> DataFrame:
     at, names = docs.columns.index("text"), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tenant("secrets", _cleared.cache_clear)
         for b in slices(batches, at):
             new = [t if t is None else redacted(t, sent.value) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if i == at else c for i, c in enumerate(b.columns)], names=names)

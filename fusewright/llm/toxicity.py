@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import held_out, numbered, slices
+from .common import held_out, numbered, slices, tenant
 
 #: At most this many labelled rows are learnt from (by the least digests of their ids), none of them longer than so many characters.
 SAMPLE, SAMPLE_CHARS = 12_000, 200_000
@@ -33,7 +33,7 @@ _OBFUSCATED = re.compile(r"[^\W\d_]+[*@$!013457]+[^\W\d_]|(.)\1{3}")
 _PUNCT = re.compile(r"[^\w\s]")
 NEAR, SPELLED = 5, 4
 #: Different strings between white space that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 FEATURES = (
     "log_words", "hits", "hit_density", "distinct_hits", "log_odds_sum", "log_odds_max", "log_odds_mean", "strong_hits", "strong_density",
@@ -182,6 +182,7 @@ def score_column(docs: DataFrame, model: Model, keep: str | None = None) -> Data
     at, names = src.columns.index("text"), [*src.columns, keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tenant(f"toxicity {id(sent.value)}", sent.value.__post_init__)
         for b in slices(batches, at):
             s = sent.value.score([t or "" for t in b.column(at).to_pylist()])
             if keep:
