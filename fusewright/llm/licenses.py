@@ -20,15 +20,39 @@ SENTENCES = (
     ("mit-title", r"(?:the )?mit licen[sc]e(?: mit)?"),
     ("mit-grant", r"permission is hereby granted free of charge to any person obtaining a copy of this software .*"),
     ("mit-notice", r"the above copyright notice and this permission notice shall be included in all copies .*"),
+    ("isc-disclaimer", r"the software is provided as is and the author disclaims all warranties.*"),
+    ("zlib-disclaimer", r"this software is provided as is without any express or implied warranty"),
     ("as-is", r"(?:the|this) software is provided (?:by .* )?as is .*"),
     ("apache-ref", r"(?:.* )?(?:released|licensed|distributed)(?: under)? (?:the )?(?:terms of the )?apache licen[sc]e(?: version)? 2(?: 0)?(?: the license)?"),
     ("apache-terms", r"you may (?:not use this file except in compliance with the license|obtain a copy of the license at .*)"),
     ("gpl2-ref", r".*(?:licensed|released|distributed|redistribute it|modify it) under (?:the )?(?:terms of the )?gnu (?:general public licen[sc]e|gpl)(?: as published by the free software foundation)?(?: either)? (?:version|v) ?2(?: 0)?(?: .*)?"),
     ("gpl3-ref", r".*(?:licensed|released|distributed|redistribute it|modify it) under (?:the )?(?:terms of the )?gnu (?:general public licen[sc]e|gpl)(?: as published by the free software foundation)?(?: either)? (?:version|v) ?3(?: 0)?(?: .*)?"),
+    ("agpl-ref", r".*under (?:the )?(?:terms of the )?(?:gnu affero general public licen[sc]e|agpl).*"),
     ("lgpl-ref", r".*under (?:the )?(?:terms of the )?gnu lesser general public licen[sc]e.*"),
+    ("gpl-title", r"gnu general public licen[sc]e(?: version| v)? ?3(?: 29 june 2007)?"),
+    ("gpl2-title", r"gnu general public licen[sc]e(?: version| v)? ?2(?: june 1991)?"),
+    ("agpl-title", r"gnu affero general public licen[sc]e(?: version| v)? ?3(?: 19 november 2007)?"),
+    ("lgpl-title", r"gnu lesser general public licen[sc]e(?: version| v)? ?(?:3|2 1)(?: 29 june 2007| february 1999)?"),
+    ("gpl-warranty", r"this (?:program|library) is distributed in the hope that it will be useful but without any warranty.*"),
+    ("apache-title", r"apache licen[sc]e(?: version)? 2 0(?: january 2004)?"),
+    ("apache-as-is", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis.*"),
+    ("isc-grant", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided .*"),
+    ("0bsd-grant", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc-ref", r"(?:.* )?(?:released|licensed|distributed|available)(?: under)? (?:the )?(?:terms of the )?isc licen[sc]e"),
+    ("bsd-ref", r"(?:.* )?(?:released|licensed|distributed|available)(?: under)? (?:the |a )?(?:terms of the )?(?:new |modified |simplified )?(?:bsd(?: [23] clause)?|[23] clause bsd)(?: style)? licen[sc]e"),
+    ("zlib-grant", r"permission is granted to anyone to use this software for any purpose including commercial applications .*"),
+    ("unlicense-release", r"this is free and unencumbered software released into the public domain"),
+    ("unlicense-grant", r"anyone is free to copy modify publish use compile sell or distribute this software .*"),
+    ("boost-grant", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation .*"),
+    ("boost-ref", r"(?:.* )?(?:released|licensed|distributed)(?: under)? (?:the )?boost software licen[sc]e(?: version)? 1 0"),
+    ("epl-ref", r".*(?:under|terms of) (?:the )?(?:terms of the )?eclipse public licen[sc]e(?: v| version)? ?(?:1 0|2 0).*"),
+    ("mpl-notice", r"if a copy of the mpl was not distributed with this file you can obtain one at .*"),
+    ("wtfpl", r"(?:.* )?do what the f\w+ you want to public licen[sc]e.*"),
+    ("cc-by-nd", r"(?:.* )?(?:licensed|released)(?: under)?(?: a| the)? (?:cc by nd|creative commons attribution no ?derivatives)(?: \d \d)?(?: international)?(?: license)?"),
+    ("cc-by-sa", r"(?:.* )?(?:licensed|released)(?: under)?(?: a| the)? (?:cc by sa|creative commons attribution share ?alike)(?: \d \d)?(?: international)?(?: license)?"),
     ("bsd-grant", r"redistribution and use in source and binary forms .* are permitted .*"),
     ("bsd-endorse", r".*neither the name of .* may be used to endorse or promote products .*"),
-    ("mpl-ref", r".*(?:subject to|under) the (?:terms of the )?mozilla public licen[sc]e v(?:ersion)? ?2 0.*"),
+    ("mpl-ref", r".*(?:subject to|under) the (?:terms of the )?mozilla public licen[sc]e v(?:ersion)?(?: ?2 0.*)?"),
     ("cc-by-nc", r"(?:.* )?(?:licensed|released)(?: under)?(?: a| the)? (?:cc by nc|creative commons attribution non ?commercial)(?: (?:sa|nd))?(?: \d \d)?(?: international)?(?: license)?"),
     ("cc-by", r"(?:.* )?(?:licensed|released)(?: under)?(?: a| the)? (?:cc by|creative commons attribution)(?: sa)?(?: \d \d)?(?: international)?(?: license)?"),
     ("cc0", r"(?:.* )?(?:licensed|released|dedicated)(?: under)?(?: to)? (?:cc0|the public domain).*"),
@@ -40,14 +64,38 @@ RULES = (
     ("MIT", ("mit-grant", "as-is")),
     ("MIT", ("mit-ref",)),
     ("MIT", ("mit-title",)),
+    ("Apache-2.0", ("apache-ref", "apache-terms", "apache-as-is")),
     ("Apache-2.0", ("apache-ref", "apache-terms")),
     ("Apache-2.0", ("apache-ref",)),
     ("BSD-3-Clause", ("bsd-grant", "bsd-endorse", "as-is")),
     ("BSD-2-Clause", ("bsd-grant", "as-is")),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-endorse")),
+    ("BSD", ("bsd-ref",)),
+    ("ISC", ("isc-grant", "isc-disclaimer")),
+    ("ISC", ("isc-ref",)),
+    ("0BSD", ("0bsd-grant", "isc-disclaimer")),
+    ("Zlib", ("zlib-disclaimer", "zlib-grant")),
+    ("Unlicense", ("unlicense-release", "unlicense-grant")),
+    ("Unlicense", ("unlicense-release",)),
+    ("BSL-1.0", ("boost-grant", "as-is")),
+    ("BSL-1.0", ("boost-ref",)),
+    ("EPL", ("epl-ref",)),
+    ("WTFPL", ("wtfpl",)),
+    ("Apache-2.0", ("apache-title",)),
+    ("AGPL-3.0", ("agpl-ref",)),
+    ("AGPL-3.0", ("agpl-title",)),
+    ("GPL-2.0", ("gpl2-ref", "gpl-warranty")),
+    ("GPL-3.0", ("gpl3-ref", "gpl-warranty")),
+    ("GPL-3.0", ("gpl-title",)),
+    ("GPL-2.0", ("gpl2-title",)),
+    ("LGPL", ("lgpl-title",)),
     ("GPL-2.0", ("gpl2-ref",)),
     ("GPL-3.0", ("gpl3-ref",)),
     ("LGPL", ("lgpl-ref",)),
+    ("MPL-2.0", ("mpl-ref", "mpl-notice")),
     ("MPL-2.0", ("mpl-ref",)),
+    ("CC-BY-ND", ("cc-by-nd",)),
+    ("CC-BY-SA", ("cc-by-sa",)),
     ("CC-BY-NC", ("cc-by-nc",)),
     ("CC-BY", ("cc-by",)),
     ("CC0", ("cc0",)),
@@ -55,7 +103,10 @@ RULES = (
 )
 GAP = 2
 #: What a licence allows: free for any use, free with conditions on derived works, or not for every use.
-FAMILY = {"MIT": "permissive", "Apache-2.0": "permissive", "BSD-3-Clause": "permissive", "BSD-2-Clause": "permissive", "CC-BY": "permissive", "CC0": "permissive", "GPL-2.0": "copyleft", "GPL-3.0": "copyleft", "LGPL": "copyleft", "MPL-2.0": "copyleft", "CC-BY-NC": "restricted", "Proprietary": "restricted"}
+FAMILY = {
+    "MIT": "permissive", "Apache-2.0": "permissive", "BSD-3-Clause": "permissive", "BSD-2-Clause": "permissive", "CC-BY": "permissive", "CC0": "permissive", "GPL-2.0": "copyleft", "GPL-3.0": "copyleft", "LGPL": "copyleft", "MPL-2.0": "copyleft", "CC-BY-NC": "restricted", "Proprietary": "restricted",
+    "BSD": "permissive", "ISC": "permissive", "0BSD": "permissive", "Zlib": "permissive", "Unlicense": "permissive", "BSL-1.0": "permissive", "WTFPL": "permissive", "EPL": "copyleft", "AGPL-3.0": "copyleft", "CC-BY-SA": "copyleft", "CC-BY-ND": "restricted",
+}
 _SENTENCE_END, _LINE_END = re.compile(r"[.!?;:](?=\s|$)|\n\s*\n"), re.compile(r"\n(?=\S)")
 _PATTERNS = tuple((k, re.compile(p)) for k, p in SENTENCES)
 
@@ -69,7 +120,7 @@ def _wrapped(pattern: str) -> re.Pattern[str]:
 
 _WRAPPED = tuple((k, _wrapped(p)) for k, p in SENTENCES)
 #: Each known sentence has one of these words.
-_HINT = re.compile(r"licen[sc]|permission|software is provided|redistribution|notice|obtain a copy|compliance|endorse|rights reserved|cc0|public domain".replace(" ", "[^a-z0-9]+"), re.IGNORECASE)
+_HINT = re.compile(r"licen[sc]|permission|software is provided|redistribution|notice|obtain a copy|compliance|endorse|rights reserved|cc0|public domain|cc by|creative commons|anyone is free|hope that it|software for any purpose|any express".replace(" ", "[^a-z0-9]+"), re.IGNORECASE)
 _NOISE = re.compile(r"[^a-z0-9]+")
 
 
@@ -158,8 +209,10 @@ SCHEMA = "doc_id bigint, n_sentences bigint, n_licenses bigint, licenses string,
 def scan(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, known sentences, licences found, their distinct names in order, the strictest family, spans.
 
-    family: restricted, copyleft, permissive, or none. Null and empty texts: none. Repeated rows give
-    equal results; null doc_id stays null. Empty table: empty result. Other columns are ignored.
+    family: restricted, copyleft, permissive, or none. Null and empty texts: none. Very long texts are
+    read whole. Of patterns and rules that fit alike the first listed counts. Repeated rows give equal
+    results; null doc_id stays null. Empty table: empty result. Other columns are ignored, whatever
+    their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

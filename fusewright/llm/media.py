@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import slices, tenant
 
 UNIT, RATE = 192, 8000
 #: Samples of a transform's window and of its step.
@@ -28,7 +28,7 @@ _HANN = np.hanning(WINDOW).astype(np.float64)
 
 SCHEMA = (
     "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, "
-    "media_sha256 string, feature string, n_pairs bigint"
+    "media_sha256 string, feature string, n_pairs bigint, fingerprint array<struct<time:int,code:int>>"
 )
 FULL_SCHEMA = "doc_id bigint, n_bytes bigint, media binary, fingerprint array<struct<time:int,code:int>>"
 
@@ -93,39 +93,44 @@ def fingerprint(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
     return times[order].astype(np.int32), codes[order].astype(np.int32)
 
 
+def _arrays(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
+    """A column of arrays of (time, code)."""
+    at = np.cumsum([0, *(len(t) for t, _ in found)]).astype(np.int32)
+    pairs = pa.StructArray.from_arrays([pa.array(np.concatenate([f[i] for f in found]), pa.int32()) for i in (0, 1)], names=["time", "code"])
+    return pa.ListArray.from_arrays(pa.array(at), pairs)
+
+
 def _rows(batches: Iterator[pa.RecordBatch], full: bool) -> Iterator[pa.RecordBatch]:
+    tenant("media")
     for b in slices(batches, 1, 4 << 20):
-        cols: list[list] = [[] for _ in range(4 if full else 9)]
-        for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        rows, found = [], []
+        for text in b.column(1).to_pylist():
             n, payload = payload_of(text)
             media = store(payload)
             back = read(media)
             times, codes = fingerprint(back)
+            found.append((times, codes))
             if full:
-                row = (doc_id, n, media, [{"time": t, "code": c} for t, c in zip(times.tolist(), codes.tolist())])
+                rows.append((n, media))
             else:
                 digest = hashlib.sha256(times.astype("<i4").tobytes() + codes.astype("<i4").tobytes()).hexdigest()
-                row = (doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), digest, len(times))
-            for c, v in zip(cols, row):
-                c.append(v)
-        if full:
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("time", pa.int32()), ("code", pa.int32())]))]
-            names = ["doc_id", "n_bytes", "media", "fingerprint"]
-        else:
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-            names = [x.split()[0] for x in SCHEMA.split(", ")]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+                rows.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), digest, len(times)))
+        kinds = [pa.int64(), pa.binary()] if full else [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+        names = [x.split()[0] for x in (FULL_SCHEMA if full else SCHEMA).split(", ")]
+        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds)), _arrays(found)], names=names)
 
 
 def media_column(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media (the WAV file), fingerprint (array of time and code) of every row.
 
-    Null text is empty; an empty text's payload is 192 spaces. Repeated rows and equal texts give
-    equal values. Null doc_id stays null. Empty table: empty result. Other columns are ignored.
+    Null text is empty; an empty text's payload is 192 spaces. Very long texts are stored whole and
+    transformed block by block. Of peaks that are equally strong the lower counts first. Repeated
+    rows and equal texts give equal values. Null doc_id stays null. Empty table: empty result. Other
+    columns are ignored, whatever their names.
     """
     return docs.select("doc_id", "text").mapInArrow(lambda it: _rows(it, True), FULL_SCHEMA)
 
 
 def media_digest(docs: DataFrame) -> DataFrame:
-    """media_column() with digests in place of the file and of the fingerprint (feature)."""
+    """media_column() with digests in place of the file, and one of the fingerprint beside it (feature)."""
     return docs.select("doc_id", "text").mapInArrow(lambda it: _rows(it, False), SCHEMA)

@@ -110,6 +110,30 @@ def test_media(spark):
     assert media.media_digest(df.limit(0)).count() == 0
 
 
+def slow_fingerprint(payload):
+    """By the transform's definition, maxima and pairs one by one."""
+    x = [b - 128.0 for b in payload] + [0.0] * media.WINDOW
+    n = media.WINDOW
+    waves = np.exp(-2j * np.pi * np.outer(np.arange(n // 2 + 1), np.arange(n)) / n)
+    window = [0.5 - 0.5 * np.cos(2 * np.pi * i / (n - 1)) for i in range(n)]
+    frames = []
+    for a in range(0, len(payload), media.STEP):
+        power = np.abs(waves @ np.array([x[a + i] * window[i] for i in range(n)]))
+        tops = [(power[k], -k) for k in range(1, n // 2) if power[k] > power[k - 1] and power[k] >= power[k + 1]]
+        frames.append([-k for _, k in sorted(tops, reverse=True)[: media.PEAKS]])
+    return sorted((t, (f << 12) | (g << 2) | gap) for t in range(len(frames)) for gap in range(1, media.REACH + 1) if t + gap < len(frames) for f in frames[t] for g in frames[t + gap])
+
+
+def test_fingerprints_by_definition(spark):
+    texts = ["Some prose, not long at all. " * 30, "b" * 100 + "a?! " * 200, "\u4e2d\u6587 und \xe4\xf6\xfc " * 60]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for r in media.media_digest(df).collect():
+        want = slow_fingerprint(media.payload_of(texts[r.doc_id])[1])
+        assert [(x.time, x.code) for x in r.fingerprint] == want
+        flat = np.array([t for t, _ in want], "<i4").tobytes() + np.array([k for _, k in want], "<i4").tobytes()
+        assert r.feature == hashlib.sha256(flat).hexdigest()
+
+
 def test_peaks_of_a_tone():
     t = np.arange(192 * 50)
     tone = (128 + 100 * np.sin(2 * np.pi * 40 * t / media.WINDOW)).astype(np.uint8).tobytes()

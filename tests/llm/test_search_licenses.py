@@ -1,3 +1,4 @@
+import pytest
 import random
 
 import numpy as np
@@ -157,3 +158,33 @@ def test_wrapped_texts():
         known = licenses.identify(t)
         assert [a for _, a, _ in known] == sorted(a for _, a, _ in known)
         assert ",".join(dict.fromkeys(n for n, _, _ in licenses.match([k for k, _, _ in known]))) == want, (t, known)
+
+
+MORE = {
+    "AGPL-3.0": "This program is free software under the terms of the GNU Affero General Public License, version 3.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE.",
+    "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it.",
+    "Unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, in any form.",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
+    "EPL": "All content is made available under the terms of the Eclipse Public License v2.0.",
+    "BSD": "This code is released under the BSD 3-Clause License.",
+    "CC-BY-SA": "This text is licensed under CC BY-SA 4.0.",
+    "CC-BY-ND": "This text is licensed under Creative Commons Attribution-NoDerivatives 4.0.",
+    "CC-BY": "This text is licensed under CC BY 4.0.",
+    "CC-BY-NC": "This text is licensed under CC BY-NC 4.0.",
+    "GPL-3.0": "This program is licensed under the GNU General Public License version 3.",
+    "Apache-2.0": "Apache License\nVersion 2.0, January 2004",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+}
+
+
+@pytest.mark.parametrize("name", MORE)
+def test_more_licences(name):
+    text = f"Some words before.\n\n{MORE[name]}\n\nAnd after."
+    found = licenses.match([k for k, _, _ in licenses.identify(text)])
+    assert [n for n, _, _ in found] == [name], licenses.identify(text)
+
+
+def test_every_licence_has_a_family():
+    assert {n for n, _ in licenses.RULES} == set(licenses.FAMILY) and {w for _, ws in licenses.RULES for w in ws} <= {k for k, _ in licenses.SENTENCES}
