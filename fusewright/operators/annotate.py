@@ -23,7 +23,9 @@ def build(gtf: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     cds = gtf.where("feature = 'CDS'").select(c("transcript_id").alias("t"), c("contig").alias("cc"), c("strand").alias("cs"), c("start").alias("c0"), c("end").alias("c1"))
     hit = (c("transcript_id") == c("t")) & (c("contig") == c("cc")) & (c("strand") == c("cs")) & (c("start") <= c("c1")) & (c("end") >= c("c0"))
     key = ["gene_key", "contig", "strand", "transcript_id", "start", "end"]
-    coded = ex.select(*key).distinct().join(cds, hit, "left").groupBy(*key).agg(F.max(F.greatest("start", "c0")).alias("coding_start"), F.max(F.least("end", "c1")).alias("coding_end"))
+    coded = ex.select(*key).distinct().join(cds, hit, "left").groupBy(*key).agg(F.max(F.when(c("c0").isNotNull(), F.struct(F.greatest("start", "c0").alias("a"), F.least("end", "c1").alias("b")))).alias("cds"))
+    # of several coding parts of one exon the last one counts, whole
+    coded = coded.select(*key, c("cds.a").alias("coding_start"), c("cds.b").alias("coding_end"))
     w = Window.partitionBy("transcript_id", "contig", "strand").orderBy("end", "start")
     e = coded.join(g.select("gene_key", "contig", "strand", c("id").alias("gene")), ["gene_key", "contig", "strand"])
     e = e.withColumns({"exon_rank": F.row_number().over(w), "n_exons": F.count("*").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "prev_end": F.lag("end").over(w), "next_start": F.lead("start").over(w)})

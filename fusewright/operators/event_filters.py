@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import events as ev
 from ..functions.events import DOWN, UP
+from ..session import shared_dir
 from .fate import NONE, discard, recover
 
 c = F.col
@@ -151,23 +152,29 @@ def pair_support(df: DataFrame) -> DataFrame:
     """Adds pair_reads: unique reads of all countable events of the gene pair with the same or with opposite directions.
 
     unique_reads is the number that an event counts for. A reciprocal event counts if it is no
-    read-through and is spliced on both sides or lies so that one genomic break explains both.
+    read-through and is spliced on both sides or lies so that one genomic break explains both. Those
+    spliced on both sides are summed by key; only the others, one row for each breakpoint pair, meet
+    the asking ones.
     """
     counted = c("fate").isin(*COUNTED) | ((c("fate") == "inconsistently_clipped") & ev.both_spliced())
     votes = df.where(counted & (c("unique_reads") > 0))
     same = votes.groupBy(*KEY).agg(F.sum("unique_reads").alias("__same"))
     flip = lambda x: F.when(c(x) == DOWN, F.lit(UP)).otherwise(F.lit(DOWN))
     back = votes.where(~ev.is_read_through()).select(*PAIR, flip("dir1").alias("dir1"), flip("dir2").alias("dir2"), c("bp1").alias("__b1"), c("bp2").alias("__b2"), ev.both_spliced().alias("__bs"), c("unique_reads").alias("__u"))
-    asks = df.where(ev.both_spliced()).select("event_id", *KEY, "bp1", "bp2")
-    fits = c("__bs") | (((c("dir1") == DOWN) != (c("bp1") > c("__b1"))) & ((c("dir2") == DOWN) != (c("bp2") > c("__b2"))))
-    opposite = asks.join(back, list(KEY)).where(fits).groupBy("event_id").agg(F.sum("__u").alias("__opposite"))
-    out = df.join(same, list(KEY), "left").join(opposite, "event_id", "left")
-    return out.withColumn("pair_reads", F.coalesce("__same", F.lit(0)) + F.coalesce("__opposite", F.lit(0))).drop("__same", "__opposite")
+    always = back.where("__bs").groupBy(*KEY).agg(F.sum("__u").alias("__always"))
+    some = back.where("not __bs").groupBy(*KEY, "__b1", "__b2").agg(F.sum("__u").alias("__u"))
+    asks = df.where(ev.both_spliced()).select(*KEY, "bp1", "bp2").distinct()
+    fits = ((c("dir1") == DOWN) != (c("bp1") > c("__b1"))) & ((c("dir2") == DOWN) != (c("bp2") > c("__b2")))
+    opposite = asks.join(some, list(KEY)).where(fits).groupBy(*KEY, "bp1", "bp2").agg(F.sum("__u").alias("__opposite"))
+    out = df.join(same, list(KEY), "left").join(always, list(KEY), "left").join(opposite, [*KEY, "bp1", "bp2"], "left")
+    total = F.coalesce("__same", F.lit(0)) + F.when(ev.both_spliced(), F.coalesce("__always", F.lit(0)) + F.coalesce("__opposite", F.lit(0))).otherwise(0)
+    return out.withColumn("pair_reads", total).drop("__same", "__always", "__opposite")
 
 
 def recover_spliced(df: DataFrame, most: int = 200) -> DataFrame:
     """Recovers events spliced on both sides whose pair has at least 2 reads, with a threshold that keeps their number moderate."""
-    df = pair_support(df)
+    shared_dir(df.sparkSession)
+    df = pair_support(df).checkpoint()  # the threshold and the result both read it
     eligible = ev.both_spliced() & ~ev.same_gene() & ~ev.overlaps_both_genes() & ~ev.is_read_through() & c("fate").isin(*FROM_LOW_SUPPORT) & (c("pair_reads") >= 2)
     least = recovery_threshold(df.where(eligible).groupBy(ev.support().alias("reads")).agg(F.count("*").alias("n")), most)
     proximal = (ev.same_contig() & (F.abs(ev.distance()) < 1_000_000)).cast("int")

@@ -93,6 +93,23 @@ def boundary_sites(exons: DataFrame, slack: int = 2) -> DataFrame:
     return at.distinct()
 
 
+def splice_sites(exons: DataFrame, slack: int = 2) -> DataFrame:
+    """boundary_sites() without the outer ends of transcripts (exons: gene, start, end, prev_end, next_start, coding_start, coding_end).
+
+    An outer end counts if the transcript has one exon only, a coding one, or if the coding part
+    begins or stops right there, so that the annotation misses what lies beyond.
+    """
+    prev, nxt, coded = F.col("prev_end").isNotNull(), F.col("next_start").isNotNull(), F.col("coding_start").isNotNull()
+    single = ~prev & ~nxt & coded
+    keep = {
+        "upstream": prev | single | F.coalesce(F.col("start") == F.col("coding_start"), F.lit(False)),
+        "downstream": nxt | single | F.coalesce(F.col("end") == F.col("coding_end"), F.lit(False)),
+    }
+    sides = F.array(*(F.when(keep[d], F.struct(F.lit(d).alias("direction"), F.col(e).alias("at"))) for d, e in (("upstream", "start"), ("downstream", "end"))))
+    at = exons.select("gene", F.explode(F.filter(sides, lambda x: x.isNotNull())).alias("s"))
+    return at.select("gene", "s.direction", F.explode(F.sequence(F.col("s.at") - slack, F.col("s.at") + slack)).alias("pos")).distinct()
+
+
 def spliced(events: DataFrame, sites: DataFrame, gene: str, direction: str, pos: str, name: str) -> DataFrame:
     """Adds a boolean: whether the breakpoint lies at a splice site of its gene; an equi-join, not a range join."""
     s = sites.select(F.col("gene").alias(gene), F.col("direction").alias(direction), F.col("pos").alias(pos), F.lit(True).alias(name))

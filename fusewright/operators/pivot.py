@@ -45,8 +45,9 @@ def pivot_events(reads: DataFrame, cap: int = CAP) -> DataFrame:
 def discordant_support(events: DataFrame, pairs: DataFrame, gap: int, cap: int = CAP) -> DataFrame:
     """Live events with the number of discordant pairs (gene1, gene2, dir1, dir2, pos1, pos2, read_key) that point at both breakpoints.
 
-    Within 2 of an exact breakpoint, else within gap. An equi-join on genes and directions with a band as residual;
-    AQE splits a hot gene pair. The count of one event is capped.
+    Within 2 of an exact breakpoint, else within gap. An equi-join on genes, directions and bins of the
+    first position as wide as the band, so a hot gene pair isn't all its events by all its pairs. The
+    count of one event is capped.
     """
     reach = F.when(ev.split_reads() > 0, F.lit(2)).otherwise(F.lit(gap))
 
@@ -54,8 +55,10 @@ def discordant_support(events: DataFrame, pairs: DataFrame, gap: int, cap: int =
         b, p = c(f"bp{i}"), c(f"pos{i}")
         return F.when(c(f"dir{i}") == ev.DOWN, (p <= b + reach) & (p >= b - gap)).otherwise((p >= b - reach) & (p <= b + gap))
 
-    key = ["gene1", "gene2", "dir1", "dir2"]
-    hits = events.where(c("fate") == NONE).join(pairs, key).where(points(1) & points(2))
+    key, width = ["gene1", "gene2", "dir1", "dir2", "__bin"], max(gap, 2)
+    at = F.floor(c("bp1") / width)
+    asks = events.where(c("fate") == NONE).select("event_id", *key[:4], "bp1", "bp2", "split1", "split2", F.explode(F.array(at - 1, at, at + 1)).alias("__bin"))
+    hits = asks.join(pairs.withColumn("__bin", F.floor(c("pos1") / width)), key).where(points(1) & points(2))
     n = hits.groupBy("event_id").agg(F.least(F.countDistinct("read_key"), F.lit(cap)).alias("near_pairs"))
     return events.join(n, "event_id", "left").withColumn("near_pairs", F.coalesce("near_pairs", F.lit(0)))
 
@@ -64,17 +67,21 @@ def nearest_variant(events: DataFrame, variants: DataFrame, reach: int = 100_000
     """Adds gbp1, gbp2, gdist: of the variants (contig1, contig2, dir1, dir2, pos1, pos2) that lie on the retained side within reach, the one of least summed distance.
 
     A downstream breakpoint looks at positions from bp - slack on, an upstream one at those up to bp + slack. Ties go to the least (pos1, pos2).
-    Events and variants meet in bins of reach, so one contig pair isn't one task.
+    Events and variants meet in bins of reach by both positions, so one contig pair isn't one task, and a variant meets its surroundings only.
     """
 
     def close(i: int) -> Column:
         b, p = c(f"bp{i}"), c(f"pos{i}")
         return F.when(c(f"dir{i}") == ev.DOWN, p.between(b - slack, b + reach)).otherwise(p.between(b - reach, b + slack))
 
-    v = variants.withColumn("__bin", F.floor(c("pos1") / reach))
-    around = F.floor(c("bp1") / reach)
-    e = events.select("event_id", "contig1", "contig2", "dir1", "dir2", "bp1", "bp2").withColumn("__bin", F.explode(F.array(around - 1, around, around + 1)))
-    hits = e.join(v, ["contig1", "contig2", "dir1", "dir2", "__bin"]).where(close(1) & close(2))
+    v = variants.withColumns({f"__bin{i}": F.floor(c(f"pos{i}") / reach) for i in (1, 2)})
+    # the retained side reaches one way, and slack bases the other
+    low = lambda i: F.floor((c(f"bp{i}") - F.when(c(f"dir{i}") == ev.DOWN, slack).otherwise(reach)) / reach)
+    high = lambda i: F.floor((c(f"bp{i}") + F.when(c(f"dir{i}") == ev.DOWN, reach).otherwise(slack)) / reach)
+    e = events.select("event_id", "contig1", "contig2", "dir1", "dir2", "bp1", "bp2")
+    for i in (1, 2):
+        e = e.withColumn(f"__bin{i}", F.explode(F.sequence(low(i), high(i))))
+    hits = e.join(v, ["contig1", "contig2", "dir1", "dir2", "__bin1", "__bin2"]).where(close(1) & close(2))
     d = F.abs(c("pos1") - c("bp1")) + F.abs(c("pos2") - c("bp2"))
     best = hits.groupBy("event_id").agg(F.min(F.struct(d.alias("d"), "pos1", "pos2")).alias("b"))
     found = best.select("event_id", c("b.pos1").alias("gbp1"), c("b.pos2").alias("gbp2"), c("b.d").alias("gdist"))

@@ -582,10 +582,34 @@ def viral_expression(t: Tables) -> DataFrame:
     return _viral(t).select("contig", "reads", "expression")
 
 
-@query()
+@query(
+    """, trim AS (WITH RECURSIVE r AS (
+      SELECT 1 AS k, avg(value) AS m, stddev_samp(value) AS s, count(value) AS n, -1e300::DOUBLE AS low, 1e300::DOUBLE AS high, -1::BIGINT AS before FROM events
+      UNION ALL
+      SELECT k + 1, avg(value), stddev_samp(value), count(value), greatest(low, m - 2 * s), least(high, m + 2 * s), n FROM r, events
+      WHERE n <> before AND value BETWEEN greatest(low, m - 2 * s) AND least(high, m + 2 * s) GROUP BY k, m, s, n, low, high, before) SELECT * FROM r)
+    SELECT round(m, 6) AS mean, round(s, 6) AS deviation, n AS kept FROM trim ORDER BY k DESC LIMIT 1"""
+)
 def iterative_trim(t: Tables) -> DataFrame:
     m, s, n = stats.iterative_trim(t.table("events"), "value", 2.0)
-    return t.spark.createDataFrame([(m, s, n)], "mean double, deviation double, kept bigint")
+    return t.spark.createDataFrame([(m, s, n)], "mean double, deviation double, kept bigint").select(F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"), "kept")
+
+
+#: Exons with neighbours and coding parts.
+EXONS = """SELECT p_partkey % 40 AS gene, p_partkey * 53 AS start, p_partkey * 53 + p_size * 3 AS {end}, CASE WHEN p_partkey % 3 > 0 THEN 1 END AS prev_end, CASE WHEN p_partkey % 5 > 1 THEN 1 END AS next_start,
+  CASE WHEN p_size % 2 = 0 THEN p_partkey * 53 + p_size % 4 END AS coding_start, CASE WHEN p_size % 2 = 0 THEN p_partkey * 53 + p_size * 3 - p_size % 3 END AS coding_end FROM {part}"""
+
+
+@query(
+    f""", x AS ({EXONS.replace("{part}", "part").replace("{end}", '"end"')}), asks AS (SELECT point, CAST(pos % 40 AS BIGINT) AS gene, pos % 11000 AS pos, CASE WHEN contig % 2 = 0 THEN 'upstream' ELSE 'downstream' END AS direction FROM points_v)
+    SELECT point, EXISTS (SELECT 1 FROM x WHERE x.gene = asks.gene AND CASE WHEN direction = 'upstream'
+        THEN abs(x.start - pos) <= 2 AND (prev_end IS NOT NULL OR (next_start IS NULL AND coding_start IS NOT NULL) OR coalesce(x.start = coding_start, false))
+        ELSE abs(x."end" - pos) <= 2 AND (next_start IS NOT NULL OR (prev_end IS NULL AND coding_start IS NOT NULL) OR coalesce(x."end" = coding_end, false)) END) AS spliced FROM asks"""
+)
+def splice_sites(t: Tables) -> DataFrame:
+    sites = intervals.splice_sites(t.spark.sql(EXONS.replace("{end}", "`end`"), part=t.table("part")))
+    asks = t.points.select("point", (F.col("pos") % 40).cast("bigint").alias("gene"), (F.col("pos") % 11000).alias("pos"), F.when(F.col("contig") % 2 == 0, F.lit("upstream")).otherwise(F.lit("downstream")).alias("direction"))
+    return intervals.spliced(asks, sites, "gene", "direction", "pos", "spliced").select("point", "spliced")
 
 
 # intervals

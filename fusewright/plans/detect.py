@@ -173,7 +173,7 @@ def detect(spark: SparkSession, alignments: str, annotation: str, opt: Options =
     genes, _, exons = annotate.build(text.gtf(spark, annotation))
     genes, exons, seg = genes.checkpoint(), exons.checkpoint(), assemble.segments(records).checkpoint()
     reads, genes = annotate.annotate_reads(assemble.reads(seg).checkpoint(), genes, exons)
-    genes, sites = genes.checkpoint(), intervals.boundary_sites(exons).checkpoint()
+    genes, sites = genes.checkpoint(), intervals.splice_sites(exons).checkpoint()
     reads = stranded(reads.checkpoint(), genes, sites, opt.strandedness)
     reads = filtered_reads(with_gene_bounds(reads, genes, sites), opt)
     contigs = seg.select("contig").distinct()
