@@ -68,6 +68,14 @@ def viral_only(pattern: str) -> Column:
     return c("m1_contig").rlike(pattern) & c("m2_contig").rlike(pattern) & F.coalesce(c("sp_contig").rlike(pattern), F.lit(True))
 
 
+def discard_contigs(reads: DataFrame, name: str, contigs: DataFrame, columns: Sequence[str] = ("m1_contig", "m2_contig", "sp_contig")) -> DataFrame:
+    """Live reads with a segment on one of contigs (contig, distinct) get the fate name."""
+    for x in columns:
+        reads = reads.join(contigs.select(c("contig").alias(x), F.lit(True).alias(f"__{x}")), x, "left")
+    hit = F.coalesce(*(c(f"__{x}") for x in columns), F.lit(False))
+    return discard(reads, name, hit).drop(*(f"__{x}" for x in columns))
+
+
 def read_through(distance: int = 10_000) -> Column:
     """A co-linear pair near the other side's gene. Gene bounds: fw_gene_end and rv_gene_start are the largest gene's (-1 if none)."""
     a_first = F.when(is_split(), ~c("m2_strand")).otherwise(c("m1_strand"))

@@ -207,6 +207,21 @@ def viral_threshold(expression: DataFrame, top: int = 5, related: DataFrame | No
     return r.withColumn("k", counted).where(c("k") <= top).agg(F.coalesce(F.min("expression"), F.lit(0.0)).alias("threshold"))
 
 
+def weak_viruses(expression: DataFrame, threshold: float, sites: DataFrame, share: float = 0.33, spared: int = 50) -> DataFrame:
+    """contig of those viruses whose reads go: expression (contig, expression; all contigs) of 0 or under the threshold.
+
+    Spared are viruses at least share of whose integration sites are intergenic (sites: contig, gene,
+    is_dummy) and whose expression is not under that of the spared-th contig from the low end.
+    """
+    n = expression.count()
+    falling = Window.orderBy(c("expression").desc(), c("contig").desc())
+    floor_ = expression.withColumn("n", F.row_number().over(falling)).where(c("n") == n - min(spared, n) + 1).agg(F.max("expression")).first()[0] if n else None
+    part = sites.distinct().groupBy("contig").agg(F.avg(c("is_dummy").cast("double")).alias("part"))
+    d = expression.join(part, "contig", "left")
+    kept = (F.coalesce("part", F.lit(0.0)) >= share) & (c("expression") > 0) & (c("expression") >= F.lit(floor_))
+    return d.where(((c("expression") == 0) | (c("expression") < threshold)) & ~F.coalesce(kept, F.lit(False))).select("contig")
+
+
 def low_coverage_contigs(cov: DataFrame, lengths: DataFrame, share: float = 0.05, least_bases: int = 100, width: int = WINDOW) -> DataFrame:
     """Contigs whose windows deeper than share of the contig's mean are too few: under share of all, or no more than least_bases."""
     total = lengths.withColumn("windows", F.floor(c("length") / width) + 1)

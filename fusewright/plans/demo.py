@@ -165,6 +165,11 @@ def duplicate_rate(t: Tables) -> DataFrame:
     return d.agg(F.avg(F.when(F.col("fate") == "duplicates", 1.0).otherwise(0.0)).alias("rate"))
 
 
+@query("SELECT read_key, CASE WHEN fate = 'none' AND (contig1 = 3 OR contig2 = 3) THEN 'low_coverage_viral_contigs' ELSE fate END AS fate FROM reads_v")
+def low_coverage_reads(t: Tables) -> DataFrame:
+    return rf.discard_contigs(t.reads, "low_coverage_viral_contigs", t.spark.range(3, 4).toDF("contig"), ("contig1", "contig2")).select("read_key", "fate")
+
+
 @query("SELECT read_key, count(*) OVER (PARTITION BY read_group) > 1 AS multimapper FROM reads_v")
 def mark_multimappers(t: Tables) -> DataFrame:
     return rf.mark_multimappers(t.reads).select("read_key", "multimapper")
@@ -577,6 +582,20 @@ def viral_top_n(t: Tables) -> DataFrame:
     return stats.viral_threshold(_viral(t))
 
 
+@query(
+    """, e AS (SELECT s_suppkey AS contig, CAST(coalesce(n, 0) AS DOUBLE) / 1000 AS expression FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_suppkey % 3 = 0 GROUP BY l_suppkey) ON l_suppkey = s_suppkey),
+    r AS (SELECT *, row_number() OVER (ORDER BY expression DESC, contig DESC) AS n, count(*) OVER () AS k FROM e), f AS (SELECT max(expression) AS least FROM r WHERE n = k - least(50, k) + 1),
+    s AS (SELECT contig, avg(CASE WHEN d THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS part FROM (SELECT DISTINCT l_suppkey AS contig, l_partkey % 7 AS gene, l_partkey % 7 < l_suppkey % 5 AS d FROM lineitem) GROUP BY contig)
+    SELECT contig FROM e LEFT JOIN s USING (contig), f WHERE (expression = 0 OR expression < 0.58::DOUBLE) AND NOT coalesce(coalesce(part, 0) >= 0.33::DOUBLE AND expression > 0 AND expression >= least, false)"""
+)
+def weak_viruses(t: Tables) -> DataFrame:
+    li = t.table("lineitem")
+    n = li.where("l_suppkey % 3 = 0").groupBy(F.col("l_suppkey").alias("contig")).agg(F.count("*").alias("n"))
+    e = t.table("supplier").select(F.col("s_suppkey").alias("contig")).join(n, "contig", "left").select("contig", (F.coalesce("n", F.lit(0)) / 1000).alias("expression"))
+    sites = li.select(F.col("l_suppkey").alias("contig"), (F.col("l_partkey") % 7).alias("gene"), (F.col("l_partkey") % 7 < F.col("l_suppkey") % 5).alias("is_dummy"))
+    return stats.weak_viruses(e, 0.58, sites)
+
+
 @query(VIRAL + " SELECT contig, reads, expression FROM e")
 def viral_expression(t: Tables) -> DataFrame:
     return _viral(t).select("contig", "reads", "expression")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,7 +22,7 @@ c = F.col
 
 
 #: Options of steps that detect() doesn't call yet; other values than the defaults are refused.
-IDLE = ("mismappers", "homologs", "mismatch_p", "quantile", "top_viruses", "covered_fraction")
+IDLE = ("mismappers", "homologs", "mismatch_p", "quantile")
 
 
 @dataclass(frozen=True)
@@ -75,16 +76,19 @@ class Options:
         return step not in self.disabled
 
 
-def filtered_reads(reads: DataFrame, opt: Options) -> DataFrame:
-    """The read-level steps in order. Predicates that follow each other are one projection."""
+def filtered_reads(reads: DataFrame, opt: Options, viral: Sequence[tuple[str, DataFrame]] = ()) -> DataFrame:
+    """The read-level steps in order. Predicates that follow each other are one projection. viral: names of steps and the contigs whose reads they discard."""
     d = rf.duplicate_key(reads)
     if opt.on("duplicates"):
         d = rf.mark_duplicates(d, ["contig1", "contig2", "pos1", "pos2"])
     d = rf.mark_multimappers(d.drop("contig1", "contig2", "pos1", "pos2"))
-    known, viral = sq.wildcard_regex(opt.interesting), sq.wildcard_regex(opt.viral)
+    known, pattern = sq.wildcard_regex(opt.interesting), sq.wildcard_regex(opt.viral)
     odd = ~c("m1_contig").rlike(known) | ~c("m2_contig").rlike(known) | F.coalesce(~c("sp_contig").rlike(known), F.lit(False))
-    steps = [("uninteresting_contigs", odd), ("viral_contigs", rf.viral_only(viral)), *rf.read_filters(opt.read_through, opt.homopolymer)]
-    d = fate.discard_all(d, [(n, p) for n, p in steps if opt.on(n)])
+    d = fate.discard_all(d, [(n, p) for n, p in (("uninteresting_contigs", odd), ("viral_contigs", rf.viral_only(pattern))) if opt.on(n)])
+    for name, contigs in viral:
+        if opt.on(name):
+            d = rf.discard_contigs(d, name, contigs)
+    d = fate.discard_all(d, [(n, p) for n, p in rf.read_filters(opt.read_through, opt.homopolymer) if opt.on(n)])
     return rf.filter_low_entropy(d, opt.kmer_content) if opt.on("low_entropy") else d
 
 
@@ -113,6 +117,26 @@ def stranded(reads: DataFrame, genes: DataFrame, sites: DataFrame, kind: str) ->
     return assemble.assign_strands(reads, kind)
 
 
+def viral_steps(reads: DataFrame, seg: DataFrame, genes: DataFrame, lengths: DataFrame, cov: DataFrame, opt: Options) -> list[tuple[str, DataFrame]]:
+    """The viral contigs whose reads go: weakly expressed ones, and those covered in few places. lengths (contig, length) of all contigs; none, no steps."""
+    viral, known = sq.wildcard_regex(opt.viral), sq.wildcard_regex(opt.interesting)
+    own = lengths.where(c("contig").rlike(viral))
+    if own.isEmpty():
+        return []
+    expression = stats.viral_expression(seg.where(~c("supplementary") & c("contig").rlike(viral)).select("contig"), lengths).checkpoint()
+    other = lambda f: F.when(c("is_split"), c(f"sp_{f}")).otherwise(c(f"m2_{f}"))
+    ends = reads.select(*(F.struct(contig.alias("contig"), genes_.alias("genes")).alias(k) for k, contig, genes_ in (("a", c("m1_contig"), c("m1_genes")), ("b", other("contig"), other("genes")))))
+    on = lambda k, p: c(f"{k}.contig").rlike(p)
+    virus = F.when(on("b", viral), c("b.contig")).when(on("a", viral), c("a.contig"))
+    host = F.when(on("b", known) & ~on("b", viral), c("b.genes")).when(on("a", known) & ~on("a", viral), c("a.genes"))
+    sites = ends.select(virus.alias("contig"), F.explode(host).alias("gene")).where("contig is not null").join(genes.select(c("id").alias("gene"), F.coalesce("is_dummy", F.lit(False)).alias("is_dummy")), "gene")
+    threshold = stats.viral_threshold(expression, opt.top_viruses).first()[0] or 0.0
+    weak = stats.weak_viruses(expression, threshold, sites.select("contig", "gene", "is_dummy")).where(c("contig").rlike(viral))
+    focal = stats.low_coverage_contigs(cov, own, opt.covered_fraction).select("contig")
+    bare = own.join(cov.select("contig").distinct(), "contig", "left_anti").select("contig")
+    return [("top_expressed_viral_contigs", weak.checkpoint()), ("low_coverage_viral_contigs", focal.union(bare).checkpoint())]
+
+
 def same_coding_exon(events: DataFrame, exons: DataFrame, longest: int, slack: int = 7) -> DataFrame:
     """Adds whether both breakpoints of a short event in one gene lie in the coding part of one exon, give or take slack."""
     asks = events.where(ev.is_tandem_duplication(longest) & c("exonic1") & c("exonic2") & c("g1_coding")).select("event_id", c("gene1").alias("gene"), "bp1", "bp2")
@@ -175,7 +199,11 @@ def detect(spark: SparkSession, alignments: str, annotation: str, opt: Options =
     reads, genes = annotate.annotate_reads(assemble.reads(seg).checkpoint(), genes, exons)
     genes, sites = genes.checkpoint(), intervals.splice_sites(exons).checkpoint()
     reads = stranded(reads.checkpoint(), genes, sites, opt.strandedness)
-    reads = filtered_reads(with_gene_bounds(reads, genes, sites), opt)
+    blocks = seg.where(~c("supplementary")).select(c("read_key").alias("fragment"), "contig", F.explode(cigar.blocks(c("start"), c("ops"))).alias("b"))
+    cov = stats.coverage(blocks.select("fragment", "contig", c("b.s").alias("s"), (c("b.e") - 1).alias("e"))).checkpoint()
+    lengths = None if alignments.endswith(".bam") else text.contig_lengths(spark, alignments)
+    viral_fates = [] if lengths is None else viral_steps(reads, seg, genes, lengths, cov, opt)
+    reads = filtered_reads(with_gene_bounds(reads, genes, sites), opt, viral_fates)
     contigs = seg.select("contig").distinct()
     at_home = lambda r: None if r is None else rule_steps.located(r, genes.where(~F.coalesce("is_dummy", F.lit(False))), contigs).checkpoint()
     rules, tags, known = at_home(rules), at_home(tags), at_home(known)
@@ -194,8 +222,6 @@ def detect(spark: SparkSession, alignments: str, annotation: str, opt: Options =
     e = with_genes(e.join(per, "event_id"), genes).join(votes, "event_id", "left").checkpoint()
     e = intervals.spliced(e, sites, "gene1", "dir1", "bp1", "spliced1")
     e = intervals.spliced(e, sites, "gene2", "dir2", "bp2", "spliced2")
-    blocks = seg.where(~c("supplementary")).select(c("read_key").alias("fragment"), "contig", F.explode(cigar.blocks(c("start"), c("ops"))).alias("b"))
-    cov = stats.coverage(blocks.select("fragment", "contig", c("b.s").alias("s"), (c("b.e") - 1).alias("e")))
     for i in (1, 2):  # depth on the retained side
         e = e.withColumn("__back", F.when(c(f"dir{i}") == ev.UP, F.lit(ev.DOWN)).otherwise(F.lit(ev.UP)))
         e = stats.depth_at(e, cov, f"contig{i}", f"bp{i}", "__back", f"cov{i}").drop("__back")

@@ -100,6 +100,13 @@ def sam(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def contig_lengths(spark: SparkSession, path: str) -> DataFrame:
+    """contig, length of a SAM file's header; none without one."""
+    d = lines(spark, path).where(c("value").startswith("@SQ\t"))
+    tag = lambda x: F.regexp_extract("value", rf"\t{x}:([^\t]+)", 1)
+    return d.select(sq.strip_chr(tag("SN")).alias("contig"), tag("LN").cast("bigint").alias("length"))
+
+
 def breakpoint_contig(text: Column) -> Column:
     """The part before the last colon."""
     return sq.strip_chr(F.regexp_extract(text, r"^(.*):([^:]*)$", 1))

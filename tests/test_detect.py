@@ -66,6 +66,19 @@ def test_the_chain_finds_the_event(spark, files, tmp_path):
     assert text.fusion_table(spark, str(tmp_path / "t")).first().split == 12
 
 
+def test_viral_contigs_go_by_expression_and_coverage(spark, files, tmp_path):
+    """One virus with reads all over, one with many reads in one place; both pair with host gene 1."""
+    reads = (files / "a.sam").read_text()
+    head = "@HD\tVN:1\n@SQ\tSN:chr1\tLN:20000\n@SQ\tSN:2\tLN:30000\n@SQ\tSN:AC_000001\tLN:3000\n@SQ\tSN:AC_000002\tLN:3000\n"
+    pair = lambda k, v, at: f"{k}\t65\t1\t{1700 + at // 20}\t60\t50M\t{v}\t{at}\t0\t{seq(50, at % 40)}\t*\n{k}\t145\t{v}\t{at}\t60\t50M\t1\t1700\t0\t{seq(50, at % 31 + 3)}\t*\n"
+    more = "".join(pair(f"w{i}", "AC_000001", 1 + i * 37) for i in range(78)) + "".join(pair(f"f{i}", "AC_000002", 101 + i % 4) for i in range(60))
+    (tmp_path / "v.sam").write_text(head + reads + more)
+    events = detect.detect(spark, str(tmp_path / "v.sam"), str(files / "a.gtf"))
+    fates = {(r.contig2, r.fate) for r in events.where("contig2 like 'AC%'").select("contig2", "fate").distinct().collect()}
+    assert ("AC_000002", "low_coverage_viral_contigs") in fates and not any(k == "AC_000001" and "viral" in f for k, f in fates)
+    assert detect.discarded(events).columns == sinks.COLUMNS and detect.discarded(events).count() == events.where("fate <> 'none'").count()
+
+
 def test_options_are_checked():
     with pytest.raises(ValueError):
         detect.Options(quantile=2)
@@ -93,7 +106,7 @@ def test_threshold(spark):
     assert ef.recovery_threshold(h([(2, 20)])) == 1
 
 
-@pytest.mark.parametrize("idle", [{"homologs": 0.5}, {"mismatch_p": 0.5}, {"mismappers": 0.5}, {"top_viruses": 3}])
+@pytest.mark.parametrize("idle", [{"homologs": 0.5}, {"mismatch_p": 0.5}, {"mismappers": 0.5}, {"quantile": 0.9}])
 def test_options_without_effect_are_refused(idle):
     with pytest.raises(ValueError, match="no effect"):
         detect.Options(**idle)
