@@ -100,6 +100,58 @@ def test_parts_of_long_runs():
         assert g.spans(x, []) == [], x
 
 
+def slow_spans(g, text, taken):
+    """Runs and parts found sign by sign, each scored by walking every automaton; covered ones by comparing with all base spans."""
+    letters = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+
+    def walk(a, run):
+        state, total = 0, 0.0
+        for c in run:
+            s = "d" if c.isdigit() else ("h" if c <= "f" else "l") if c.islower() else ("H" if c <= "F" else "U") if c.isupper() else c
+            p, nxt = a.step[state].get(s, (a.floor, state))
+            total, state = total + p, nxt
+        return total + a.end[state]
+
+    def passes(run):
+        score, kind = max((walk(a, run), k) for k, a in g.formats.items())
+        score -= max(walk(a, run) for a in g.clean)
+        return kind if score >= secrets.LEAST and score >= secrets.LEAST_EACH * len(run) else None
+
+    def parts(run):
+        out, at = [], None
+        for i, c in enumerate(run):
+            twin = c in "-_.=+/" and run[i + 1 : i + 2] == c
+            if c in "/.=" or twin:
+                out, at = out + ([(at, i)] if at is not None else []), None
+            elif at is None:
+                at = i
+        return out + ([(at, len(run))] if at is not None else [])
+
+    out, i = [], 0
+    while i < len(text):
+        j = i
+        while j < len(text) and text[j] in letters:
+            j += 1
+        if j > i:
+            run = text[i:j]
+            kind = passes(run)
+            found = [(kind, 0, len(run))] if kind else [(k, a, b) for a, b in parts(run) if (a, b) != (0, len(run)) and (k := passes(run[a:b]))]
+            out += [(k, i + a, i + b) for k, a, b in found if not any(s <= i + a and i + b <= e for _, s, e in taken)]
+        i = j + 1
+    return out
+
+
+def test_method_spans_by_brute_force():
+    import random
+
+    g, rng = secrets.learn(), random.Random(8)
+    pool = [x for v in secrets.labelled_examples(6, seed=77).values() for x in v] + ["token = ", "secret: ", "AKIA" + "Q" * 16, "ab" * 20, "plain", "words", "//", "--", "\u00e9"]
+    for _ in range(60):
+        text = "".join(rng.choice(pool) + rng.choice([" ", " ", "/", "", ", ", "--", "="]) for _ in range(rng.randint(1, 25)))
+        base = secrets.base_spans(text)
+        assert g.spans(text, base) == slow_spans(g, text, base), text
+
+
 def test_merged_states_are_a_loop():
     a = automata.infer(["ab" * k for k in range(1, 30)] * 20)
     assert len(a.end) <= 4 and a.loglik("ab" * 12) > a.loglik("ab" * 11 + "ba")

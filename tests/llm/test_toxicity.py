@@ -88,3 +88,82 @@ def test_features_of_obfuscation():
     f = dict(zip(toxicity.FEATURES, m.features("you are an 1d10t !!! s p e l l out SHOUT")))
     assert f["leet_hits"] == 1 and f["second_near"] > 0 and f["obfuscation_rate"] > 0 and f["shouted_rate"] > 0 and f["mark_rate"] > 0
     assert m.features("") == [0.0] * len(toxicity.FEATURES)
+
+
+def slow_score(m, text):
+    """The features by counting, the trees by walking, the calibration by looking up, one text at a time."""
+    chunks = text.split()
+    row = [0.0] * len(toxicity.FEATURES)
+    if chunks:
+        odds, leet = [], 0
+        for k in chunks:
+            w = k.lower().strip(toxicity.EDGES)
+            o = m.lexicon.get(w)
+            if o is None and w and not w.isalpha():
+                plain = "".join(c for c in w.translate(toxicity.LEET) if c.isspace() or c == "_" or c.isalnum())
+                o = m.lexicon.get(plain)
+                leet += o is not None
+            odds.append(o)
+        words = [k.lower().strip(toxicity.EDGES) for k in chunks]
+        hit = [i for i, o in enumerate(odds) if o is not None]
+        second = [i for i, w in enumerate(words) if w in toxicity.SECOND]
+        strong = sum(odds[i] >= m.strong for i in hit)
+        punct = sum(not (c.isalnum() or c == "_" or c.isspace()) for k in chunks for c in k)
+        runs, run = 0, 0
+        for w in [*words, "xx"]:
+            single = len(w) == 1 and w.isalpha()
+            runs += not single and run >= toxicity.SPELLED
+            run = run + 1 if single else 0
+        obfuscated = sum(toxicity._OBFUSCATED.search(k) is not None for k in chunks) + runs
+        n = len(chunks)
+        row = [
+            np.log1p(n), len(hit), len(hit) / n, len({chunks[i] for i in hit}), sum(odds[i] for i in hit), max((odds[i] for i in hit), default=0), sum(odds[i] for i in hit) / max(1, len(hit)), strong, strong / n,
+            leet, len(second) / n, sum(any(abs(i - j) <= toxicity.NEAR for j in second) for i in hit) / n, sum("A" <= c <= "Z" for c in text) / len(text),
+            sum(len(w) > 1 and k.isupper() for k, w in zip(chunks, words)) / n, punct / len(text), sum(max(0, k.count("!") + k.count("?") - 1) for k in chunks) / n, obfuscated / n, sum(i < n / 3 for i in hit) / n,
+        ]
+    total = m.trees.base
+    for f, c, v in zip(m.trees.feature, m.trees.cut, m.trees.value):
+        i = 0
+        while i < len(f):
+            i = 2 * i + 1 + (row[f[i]] > c[i])
+        total += v[i - len(f)]
+    xs, ys = m.trees.knots
+    if total <= xs[0] or total >= xs[-1]:
+        return ys[0] if total <= xs[0] else ys[-1]
+    k = max(i for i in range(len(xs)) if xs[i] <= total)
+    return ys[k] if xs[k] == total else ys[k] + (ys[k + 1] - ys[k]) * (total - xs[k]) / (xs[k + 1] - xs[k])
+
+
+def test_the_query_by_brute_force(spark):
+    rng = random.Random(3)
+    words = [f"word{i}" for i in range(300)] + ["you", "du", "vous", "a", "e", "i", "o", "Hmm,", "WHAT?!", "it's", "\u00fcber"]
+    bad = ["grubbel", "snarfle", "zonkish", "gr\u00fcbl"]
+    hidden = ["gru66el", "sn@rfle", "z0nkish!!", "GRUBBEL", "g r u b b e l", "zooooonk"]
+    rows = []
+    for i in range(900):
+        t = [rng.choice(words) for _ in range(rng.randint(1, 60))]
+        toxic = rng.random() < 0.4
+        if toxic:
+            for _ in range(rng.randint(1, 4)):
+                t.insert(rng.randint(0, len(t)), rng.choice(bad + hidden))
+        rows.append((i, " ".join(t), int(toxic)))
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t, _ in rows] + [(9000, None, "", ""), (9001, "", "", ""), (9002, "grubbel you " * 40_000, "", "")], SCHEMA)
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id bigint, quality int, toxic int")
+    model = toxicity.train(docs, labels)
+    texts = {i: t for i, t, _ in rows} | {9000: "", 9001: "", 9002: "grubbel you " * 40_000}
+    got = toxicity.score_column(docs, model).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        if r.doc_id % 3 == 0 or r.doc_id >= 9000:
+            assert abs(r.score - slow_score(model, texts[r.doc_id])) < 1e-9 if r.doc_id != 9002 else r.score > 0.5, texts[r.doc_id][:80]
+        assert r.predicted == int(r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_a_very_long_first_text_stops_nothing(spark):
+    rows = [(i, ("grubbel " if i % 2 else "") + f"w{i % 7} and more of it", i % 2) for i in range(300)]
+    first = min((i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 5), key=lambda i: __import__("hashlib").md5(str(i).encode()).hexdigest())
+    rows[first] = (first, "w " * 200_000, first % 2)
+    docs = spark.createDataFrame([(i, t, "", "") for i, t, _ in rows], SCHEMA)
+    model = toxicity.train(docs, spark.createDataFrame([(i, 0, y) for i, _, y in rows], "doc_id bigint, quality int, toxic int"))
+    assert "grubbel" in model.lexicon
+    assert "grubbel" in toxicity.train(docs, spark.createDataFrame([(i, 0, y) for i, _, y in rows], "doc_id bigint, quality int, toxic int"), longest=10**9, total=5000).lexicon
