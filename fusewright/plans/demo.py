@@ -837,14 +837,9 @@ def related_strains(t: Tables) -> DataFrame:
     return stats.containment(k)
 
 
-@query(f"SELECT item_id, list_sum(list_transform(range(0, 8), lambda i: (CASE substr(s, i + 1, 1) WHEN 'T' THEN 0 WHEN 'G' THEN 1 WHEN 'C' THEN 2 ELSE 3 END) * (4 ** (7 - i))::BIGINT))::BIGINT AS code FROM (SELECT item_id, {_DNA} AS s FROM benchmark) WHERE length(s) >= 8")
-def kmer_codes(t: Tables) -> DataFrame:
-    return _dna(t, "benchmark", "item_id").where("length(seq) >= 8").select("item_id", sq.kmer_code(F.substring("seq", 1, 8)).alias("code"))
-
-
 @query(f"SELECT item_id, pos, list_sum(list_transform(range(0, 8), lambda i: (CASE substr(s, pos + i + 1, 1) WHEN 'T' THEN 0 WHEN 'G' THEN 1 WHEN 'C' THEN 2 ELSE 3 END) * (4 ** (7 - i))::BIGINT))::BIGINT AS code FROM (SELECT item_id, s, unnest(range(0, length(s) - 7)) AS pos FROM (SELECT item_id, {_DNA} AS s FROM benchmark))")
 def kmer_index_codes(t: Tables) -> DataFrame:
-    """The codes of all 8-mers with their places from 0; kmer_codes has each sequence's first only."""
+    """The codes of all 8-mers with their places from 0."""
     places = _dna(t, "benchmark", "item_id").select("item_id", F.posexplode(sq.kmers(F.col("seq"), 8)).alias("pos", "kmer"))
     return places.select("item_id", "pos", sq.kmer_code(F.col("kmer")).alias("code"))
 
@@ -858,16 +853,18 @@ def attribute_parse(t: Tables) -> DataFrame:
     return t.table("pages").select("page_id", sq.gff3_attribute(F.col("url"), "utm_source").alias("source"), sq.gtf_attribute(html, "class").alias("css"))
 
 
-@query("SELECT page_id, url AS decoded, regexp_replace(url, '[^!-~]|[,|]', '_', 'g') AS name FROM pages")
+@query("SELECT p_partkey, 'xA~' || chr((33 + p_partkey % 94)::INT) || p_name AS decoded, regexp_replace('xA~' || chr((33 + p_partkey % 94)::INT) || p_name, '[^!-~]|[,|]', '_', 'g') AS name FROM part")
 def percent_decode(t: Tables) -> DataFrame:
-    escaped = F.replace(F.replace(F.col("url"), F.lit("%"), F.lit("%25")), F.lit("/"), F.lit("%2F"))
-    return t.table("pages").select("page_id", sq.percent_decoded(escaped).alias("decoded"), sq.domain_name(escaped).alias("name"))
+    escaped = F.concat(F.lit("x%41%7e%"), F.hex((33 + F.col("p_partkey") % 94).cast("int")), F.col("p_name"))
+    return t.table("part").select("p_partkey", sq.percent_decoded(escaped).alias("decoded"), sq.domain_name(escaped).alias("name"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_brand LIKE 'chr%' THEN p_brand ELSE p_brand END AS contig, 'ENSG' || p_partkey AS gene_id FROM part")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 2 THEN 'a' || 'chr' || p_brand ELSE p_brand END AS contig, 'ENSG' || p_partkey AS gene_id FROM part")
 def identifiers(t: Tables) -> DataFrame:
-    versioned = F.concat(F.lit("ENSG"), F.col("p_partkey"), F.lit("."), F.col("p_size"))
-    return t.table("part").select("p_partkey", sq.strip_chr(F.concat(F.lit("chr"), "p_brand")).alias("contig"), sq.strip_version(versioned).alias("gene_id"))
+    n = F.col("p_partkey") % 3
+    name = F.concat(F.when(n == 0, F.lit("chr")).when(n == 1, F.lit("")).otherwise(F.lit("achr")), "p_brand")
+    gene = F.concat(F.lit("ENSG"), "p_partkey", F.when(n == 1, F.lit("")).otherwise(F.concat(F.lit("."), "p_size")))
+    return t.table("part").select("p_partkey", sq.strip_chr(name).alias("contig"), sq.strip_version(gene).alias("gene_id"))
 
 
 @query(
