@@ -275,7 +275,11 @@ def mismappers(df: DataFrame, flagged: DataFrame, fraction: float = 0.8) -> Data
 
 
 def assign_confidence(df: DataFrame) -> DataFrame:
-    """Adds confidence: 0 low, 1 medium, 2 high. Neighbour events come from two aggregates by gene, not from pairs where one side is discarded."""
+    """Adds confidence: 0 low, 1 medium, 2 high.
+
+    Overlapping deletions of a read-through's gene with other partners are found by semi-joins on the
+    gene, with the overlap as residual; events spliced elsewhere by extremes of the gene pair.
+    """
     live = (c("fate") == NONE) & (ev.split_reads() > 0) & ev.deletion_like()
     near = df.where(live).select(c("gene1").alias("n1"), c("gene2").alias("n2"), c("bp1").alias("nb1"), c("bp2").alias("nb2"))
     asks = df.where((c("fate") == NONE) & ev.is_read_through()).select("event_id", *PAIR, "bp1", "bp2")
