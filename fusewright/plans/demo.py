@@ -868,7 +868,7 @@ def identifiers(t: Tables) -> DataFrame:
 
 
 @query(
-    f""", r AS (SELECT *, row_number() OVER (PARTITION BY {DUP} ORDER BY read_key) AS n FROM reads_v), e AS (SELECT gene1, gene2, dir1, dir2, bp1, bp2, count(*) AS support FROM r WHERE n = 1 AND fate = 'none' GROUP BY ALL),
+    f""", r AS (SELECT *, row_number() OVER (PARTITION BY {DUP} ORDER BY read_key) AS n FROM reads_v WHERE fate = 'none'), e AS (SELECT gene1, gene2, dir1, dir2, bp1, bp2, count(*) AS support FROM r WHERE n = 1 GROUP BY ALL),
     b AS (SELECT *, row_number() OVER (PARTITION BY gene1, gene2, dir1, dir2 ORDER BY support DESC, CASE WHEN dir1 = 'downstream' THEN -bp1 ELSE bp1 END, CASE WHEN dir2 = 'downstream' THEN -bp2 ELSE bp2 END) AS k FROM e WHERE support >= 1)
     SELECT gene1, gene2, dir1, dir2, bp1, bp2, support FROM b WHERE k = 1"""
 )
