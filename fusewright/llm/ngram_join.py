@@ -53,6 +53,8 @@ _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E
 _LOW = np.uint64(int(LOW * 2**64))
 #: Stands for a null doc_id where texts are read again.
 NO_ID = -(1 << 63)
+#: Whether the sizes na and nb leave room for a link.
+SIZED = f"{PART} * least(na, nb) >= {WHOLE} * greatest(na, nb)"
 
 
 class _Words(dict):
@@ -100,6 +102,10 @@ def bitmap(s: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
+#: The length of bitmap() for a set of n shingles, in SQL.
+BITMAP_BYTES = "least(131072L, greatest(8L, shiftleft(1L, length(bin(2 * n)) - 3)))"
+
+
 def least_overlap(n: int) -> int:
     """ceil(WHOLE / PART * n)"""
     return -(-WHOLE * n // PART)
@@ -431,7 +437,7 @@ class NgramJoin:
         """The links among distinct pairs of nodes (a, b)."""
         x = self.ents.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
         y = self.ents.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
-        sized = pairs.join(x, "a").join(y, "b").where(f"{PART} * least(na, nb) >= {WHOLE} * greatest(na, nb)")
+        sized = pairs.join(x, "a").join(y, "b").where(SIZED)
         near = self.scratch.table(sized.select("a", "b", "na", "bits_a", "nb", "bits_b").mapInArrow(_bits_pass, "a bigint, b bigint"), f"near-{name}")
         if near.isEmpty():
             return None
@@ -442,7 +448,7 @@ class NgramJoin:
         return self.scratch.table(near.join(one, "a").join(two, "b").select("a", "b", "full_a", "full_b").mapInArrow(_exact, "a bigint, b bigint"), f"links-{name}")
 
     def deep_members(self, hot: DataFrame) -> DataFrame:
-        """(gid, node): prefixes of the deep nodes, the rarest shingles among them first. hot: (key, hot)."""
+        """(gid, node, n): prefixes of the deep nodes, the rarest shingles among them first. hot: (key, hot)."""
         prefix = f"n - ceil({WHOLE} * n / {PART}) + 1"
         deep = self.scratch.table(self.ents.join(hot, "key", "left").where(f"n_low - coalesce(hot, 0) < {prefix}").select("key", "key2", "node", "rep", "n"), "deep")
 
@@ -457,37 +463,46 @@ class NgramJoin:
         kept = rows.join(shared, "gid").join(deep.select("node", "n"), "node")
         own = Window.partitionBy("node")
         ranked = kept.withColumn("rank", F.row_number().over(own.orderBy("df", "gid")) + F.col("n") - F.count("*").over(own))
-        return self.scratch.table(ranked.where(f"rank <= {prefix}").select("gid", "node"), "deep-members")
+        return self.scratch.table(ranked.where(f"rank <= {prefix}").select("gid", "node", "n"), "deep-members")
 
     def by_node(self, pairs: DataFrame) -> DataFrame:
-        """Pairs of keys as pairs of nodes."""
-        x, y = self.ents.select(F.col("key").alias("a"), F.col("node").alias("node_a")), self.ents.select(F.col("key").alias("b"), F.col("node").alias("node_b"))
-        return pairs.join(x, "a").join(y, "b").select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
+        """Pairs of keys as pairs of nodes, without those whose sizes leave no room for a link."""
+        x, y = (self.ents.select(F.col("key").alias(k), F.col("node").alias(f"node_{k}"), F.col("n").alias(f"n{k}")) for k in "ab")
+        return pairs.join(x, "a").join(y, "b").where(SIZED).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b"))
 
     def first_pairs(self, small: DataFrame, groups: DataFrame, deep: DataFrame) -> DataFrame:
-        """Members of small groups with one of them, hot shingles' pairs, and members of deep groups with a few."""
+        """Members of small groups with one of them, hot shingles' pairs, and members of deep groups with a few; sizes leave room for a link in all of them."""
         star = small.select(F.expr("ents[0]").alias("a"), F.explode(F.expr("slice(ents, 2, size(ents))")).alias("b"))
         star = star.unionByName(groups.where("kind = 2").select(F.expr("ents[0]").alias("a"), F.expr("ents[1]").alias("b"))).distinct()
-        centres = deep.groupBy("gid").agg(F.array_distinct(F.array(*(F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(CENTRES)))).alias("centres"))
-        around = deep.join(centres, "gid").select("node", F.explode("centres").alias("centre"))
-        around = around.where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+        centres = deep.groupBy("gid").agg(F.array_distinct(F.array(*(F.min_by(F.struct("node", "n"), F.xxhash64("node", F.lit(i))) for i in range(CENTRES)))).alias("centres"))
+        around = deep.join(centres, "gid").select("node", F.col("n").alias("na"), F.explode("centres").alias("c")).select("node", "na", F.col("c.node").alias("centre"), F.col("c.n").alias("nb"))
+        around = around.where(f"node <> centre and {SIZED}").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
         return self.by_node(star).unionByName(around).distinct()
 
+    def alike(self, m: DataFrame) -> DataFrame:
+        """The rows of groups that are one tile each, cut where sizes in their order leave no room for a link; run is the part. Parts of one root, or without a minor, go."""
+        runs = m.withColumn("apart", F.expr(f"coalesce({PART} * lag(n) over (partition by gid order by n) < {WHOLE} * n, false)").cast("int"))
+        runs = runs.withColumn("run", F.sum("apart").over(Window.partitionBy("gid").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)))
+        own = Window.partitionBy("gid", "run")
+        runs = runs.withColumns({"open": F.min("root").over(own) != F.max("root").over(own), "some": F.max("minor").over(own)})
+        return runs.where("open and some").drop("apart", "open", "some")
+
     def tiles(self, members: DataFrame, roots: DataFrame, limit: int | None, name: str, again: DataFrame | None) -> DataFrame:
-        """FOUND of the groups (gid, node) whose members have more than one root. again (node): what named as many partners as it could; all members at first."""
+        """FOUND of the groups (gid, node, n, bytes) whose members have more than one root. again (node): what named as many partners as it could; all members at first."""
         m = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         if again is not None:
             m = m.join(members.join(again, "node", "left_semi").select("gid").distinct(), "gid", "left_semi")
-        counted = m.groupBy("gid", "root").agg(F.count("*").alias("k"))
-        open_ = counted.groupBy("gid").agg(F.max_by("root", "k").alias("major"), F.sum("k").alias("members"), F.count("*").alias("roots")).where("roots > 1")
-        sizes = self.ents.select("node", "n", F.floor(F.log("n") / math.log(BAND)).alias("band"), F.octet_length("bits").alias("bytes"))
-        m = m.join(open_, "gid").join(sizes, "node")
-        m = m.withColumn("minor", F.expr("root <> major")) if again is None else m.join(again.withColumn("minor", F.lit(True)), "node", "left").withColumn("minor", F.coalesce("minor", F.lit(False)))
-        m = self.scratch.table(m.drop("major", "roots"), f"open-{name}")
+            m = m.join(again.withColumn("minor", F.lit(True)), "node", "left").withColumn("minor", F.coalesce("minor", F.lit(False)))
+        counted = m.groupBy("gid", "root").agg(F.count("*").alias("k"), F.sum("bytes").alias("size"))
+        large = (F.sum("k") > TILE_ROWS) | (F.sum("size") > TILE_BYTES)
+        open_ = counted.groupBy("gid").agg(F.max_by("root", "k").alias("major"), large.alias("large"), F.count("*").alias("roots")).where("roots > 1")
+        m = m.join(open_, "gid")
+        if again is None:
+            m = m.withColumn("minor", F.expr("root <> major"))
+        m = self.scratch.table(m.select("gid", "node", "root", "n", "bytes", "minor", "large"), f"open-{name}")
         blocks = F.ceil(F.greatest(F.count("*") / TILE_ROWS, F.sum("bytes") / TILE_BYTES))
-        large = self.scratch.table(m.groupBy("gid").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("k")).where(f"k > {TILE_ROWS} or bytes > {TILE_BYTES}").select("gid"), f"large-{name}")
-        once = m.join(large, "gid", "left_anti").select(F.col("gid").alias("tile"), "node", "root", "n", F.col("minor").alias("is_left"), F.lit(True).alias("is_right"))
-        m = m.join(large, "gid", "left_semi")
+        once = self.alike(m.where("not large")).select(F.xxhash64("gid", "run").alias("tile"), "node", "root", "n", F.col("minor").alias("is_left"), F.lit(True).alias("is_right"))
+        m = m.where("large").withColumn("band", F.floor(F.log("n") / math.log(BAND)))
         left, right = m.where("minor"), m
 
         def side(x: DataFrame, y: DataFrame, is_left: bool) -> DataFrame:
@@ -499,7 +514,7 @@ class NgramJoin:
             at = ("band", "mine", "band2", "theirs") if is_left else ("band2", "theirs", "band", "mine")
             return rows.select(F.xxhash64("gid", *at).alias("tile"), "node", "root", "n", F.lit(is_left).alias("is_left"), F.lit(not is_left).alias("is_right"))
 
-        dealt = once if large.isEmpty() else once.unionByName(side(left, right, True)).unionByName(side(right, left, False))
+        dealt = once if m.isEmpty() else once.unionByName(side(left, right, True)).unionByName(side(right, left, False))
         dealt = dealt.join(self.ents.select("node", "bits"), "node")
         dealt = dealt.select("tile", "node", "root", "n", "is_left", "is_right", "bits").repartition("tile").sortWithinPartitions("tile")
         found = dealt.mapInArrow(_tiles(limit), FOUND).groupBy("a", "b").agg(F.max("cut_a").alias("cut_a"), F.max("cut_b").alias("cut_b"))
@@ -524,8 +539,8 @@ class NgramJoin:
         tried = self.scratch.table(self.first_pairs(small, groups, deep), "first")
         links = self.verified(tried, "first")
         roots = components(links if links is not None else tried.limit(0))
-        members = small.select(F.xxhash64("ents").alias("gid"), F.explode("ents").alias("key")).join(self.ents.select("key", "node"), "key").select("gid", "node")
-        members = self.scratch.table(members.unionByName(deep), "members")
+        members = small.select(F.xxhash64("ents").alias("gid"), F.explode("ents").alias("key")).join(self.ents.select("key", "node", "n"), "key").select("gid", "node", "n")
+        members = self.scratch.table(members.unionByName(deep).withColumn("bytes", F.expr(BITMAP_BYTES)), "members")
         again = None
         for limit in LIMITS:
             name = f"upto-{limit}"

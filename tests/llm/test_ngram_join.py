@@ -104,6 +104,41 @@ def test_columns_of_helpers_names_and_a_long_text(spark):
     assert sorted((r.doc_id, r.component_id) for r in ngram_join.ngram_join(df).collect()) == [(3, 3), (5, 3)]
 
 
+def test_pairs_whose_sizes_leave_no_room_are_never_dealt(spark, monkeypatch):
+    """Texts of very different lengths share a passage: their pairs and rows of tiles are dropped before bitmaps are joined to them."""
+    rng = random.Random(4)
+    prose = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+    passage = prose(60)
+    rows = [(i, " ".join(prose(40 * 2 ** (i % 6)) + passage)) for i in range(18)] + [(30 + i, " ".join(passage[: 60 - i])) for i in range(4)]
+    asked, verified = [], ngram_join.NgramJoin.verified
+
+    def watched(self, pairs, name):
+        sizes = dict(self.ents.select("node", "n").collect())
+        asked.extend((sizes[r.a], sizes[r.b]) for r in pairs.collect())
+        return verified(self, pairs, name)
+
+    monkeypatch.setattr(ngram_join.NgramJoin, "verified", watched)
+    df = spark.createDataFrame([(d, t, 1, 2, "x") for d, t in rows], SCHEMA)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.ngram_join(df).collect()), key=str)
+    assert got == brute_force(rows)
+    assert asked and all(100 * min(p) >= 80 * max(p) for p in asked)
+
+
+def test_runs_of_like_sizes(spark):
+    m = [("g", i, i, n, True) for i, n in enumerate([100, 125, 156, 10, 13, 1000, 1251, 7, 7])] + [("h", 20, 1, 50, True), ("h", 21, 1, 50, True), ("h", 22, 2, 500, True), ("i", 30, 3, 9, False), ("i", 31, 4, 9, False)]
+    j = ngram_join.NgramJoin(spark.createDataFrame([], SCHEMA))
+    got = {}
+    for r in j.alike(spark.createDataFrame(m, "gid string, node bigint, root bigint, n bigint, minor boolean")).collect():
+        got.setdefault((r.gid, r.run), set()).add(r.node)
+    assert sorted(map(sorted, got.values())) == [[0, 1, 2], [7, 8]]
+
+
+@pytest.mark.parametrize("n", [1, 2, 31, 32, 33, 1000, 1 << 17, 1 << 19, 1 << 20])
+def test_bytes_of_bitmaps(spark, n):
+    got = spark.range(1).selectExpr(f"{n}L as n").selectExpr(ngram_join.BITMAP_BYTES).first()[0]
+    assert got == len(ngram_join.bitmap(np.arange(n, dtype=np.uint64)))
+
+
 def test_empty_table(spark):
     assert ngram_join.ngram_join(spark.createDataFrame([], SCHEMA)).count() == 0
 
