@@ -60,6 +60,8 @@ def labelled_examples(n: int = 240, seed: int = 5) -> dict[str, list[str]]:
     pick = lambda alphabet, k: "".join(rng.choice(alphabet) for _ in range(k))
     alnum, hexa, b64 = string.ascii_letters + string.digits, "0123456789abcdef", string.ascii_letters + string.digits + "+/"
     word = lambda: pick(string.ascii_lowercase, rng.randint(2, 9))
+    number = lambda: pick(string.digits, rng.randint(1, 6))
+    short = lambda k=3: rng.choice([str.lower, str.upper])(pick(string.ascii_lowercase, rng.randint(1, k)))
     formats = {
         "hexkey": lambda: pick(hexa, rng.choice([32, 40, 48, 64])),
         "accesskey": lambda: rng.choice(["AKIA", "ASIA"]) + pick(string.ascii_uppercase + "234567", 16),
@@ -90,6 +92,9 @@ def labelled_examples(n: int = 240, seed: int = 5) -> dict[str, list[str]]:
         *[lambda: pick(string.digits, rng.randint(1, 15)) + rng.choice(["", "."])] * 2,
         lambda: word() + pick(string.digits, rng.randint(1, 6)),
         lambda: f"{rng.randint(1, 31)}.{rng.randint(1, 12)}.{rng.randint(1900, 2040)}",
+        *[lambda: short() + number()] * 3,
+        lambda: short() + number() + rng.choice("-./") + rng.choice([number, lambda: short() + number()])(),
+        lambda: "".join(short(1) + pick(string.digits, 1) for _ in range(rng.randint(2, 3))),
     )
     out = {k: [f() for _ in range(n)] for k, f in formats.items()}
     out[""] = [f() for f in clean for _ in range(n // 2)]

@@ -161,3 +161,10 @@ def test_merged_states_are_a_loop():
 def test_one_example(word):
     a = automata.infer([word] * 50)
     assert a.loglik(word) > a.loglik(word + "x")
+
+
+def test_short_words_of_letters_and_digits_stay():
+    grammar = secrets.learn()
+    words = ["v124", "h264", "u2026", "T1000", "x86-64", "R2D2", "ISO-8859-1", *(f"{c}{n}" for c in "avzBQ" for n in (7, 42, 613, 9001, 123456))]
+    assert [w for w in words if grammar.within(w)] == []
+    assert secrets.redacted(" ".join(words), grammar) == " ".join(words)
