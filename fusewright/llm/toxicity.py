@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import held_out, numbered, slices, tenant
+from .common import held_out, numbered, slices, tenant, unused
 
 #: At most this many labelled rows are learnt from (by the least digests of their ids), none of them longer than so many characters.
 SAMPLE, SAMPLE_CHARS = 12_000, 200_000
@@ -171,12 +171,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int
 SCHEMA = "doc_id bigint, held_out boolean, score double, predicted int"
 
 
-def score_column(docs: DataFrame, model: Model, keep: str | None = None) -> DataFrame:
-    """keep: the columns of docs and the score under this name; else doc_id, held_out, score, predicted.
+def score_column(docs: DataFrame, model: Model, keep: str | bool | None = None) -> DataFrame:
+    """keep: the columns of docs and the score under this name (True: toxic_score, made longer if docs has it); else doc_id, held_out, score, predicted.
 
     Null and empty texts are scored like any text without words; very long ones are scored whole. Null doc_id: held_out as for an
     empty id. Repeated rows and equal texts get equal scores. Empty table: empty result.
     """
+    keep = unused(docs, "toxic_score") if keep is True else keep
     sent = docs.sparkSession.sparkContext.broadcast(model)
     src = docs if keep else docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
     at, names = src.columns.index("text"), [*src.columns, keep]
