@@ -6,7 +6,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -65,6 +65,26 @@ def small_batches(spark: SparkSession, rows: int = 256) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+#: A group with more than this share of all rows is hot; so there are at most 20,000 hot ones.
+HOT = 20_000
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], n: str) -> DataFrame:
+    """rows left joined with their groups (keys without nulls, one row each, n rows of `rows` in it), large groups unsplit by no shuffle.
+
+    Groups with more than 1 / HOT of all rows are at most HOT in number, so they are broadcast and
+    their rows stay where they are; other rows meet their groups in a shuffle, in which no key is
+    large. Both tables are read several times: settle them first.
+    """
+    total = groups.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    hot = groups.where(F.col(n) * HOT > total)
+    cold = groups.where(F.col(n) * HOT <= total)
+    few = F.broadcast(hot)
+    first = rows.join(few, list(keys), "inner")
+    rest = rows.join(F.broadcast(hot.select(*keys)), list(keys), "left_anti").join(cold, list(keys), "left")
+    return first.unionByName(rest)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
