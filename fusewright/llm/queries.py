@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fim, hamming_search, licenses, media, mixing, ngram_join, packing, pii, secrets, toxicity, urlfilter
+from . import conv_trie, exact_dedup, fim, hamming_search, licenses, media, mixing, ngram_join, packing, pii, secrets, toxicity, urlfilter
 from .common import table
 
 
@@ -58,6 +58,10 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), carry=(digest,)).withColumnRenamed("_0", "text_sha256")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conv_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fim.fill_in_middle(table(spark, sf_dir, "documents"))
     digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
@@ -65,7 +69,7 @@ def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_join, op2_toxicity, op3_packing, op4_hamming_search, op5_secrets, op6_mixing, op7_media, op8_licenses, op9_urls, op10_pii, op11_exact_dedup, op13_fim)
+    f.__name__: f for f in (op1_ngram_join, op2_toxicity, op3_packing, op4_hamming_search, op5_secrets, op6_mixing, op7_media, op8_licenses, op9_urls, op10_pii, op11_exact_dedup, op12_prefix_trie, op13_fim)
 }
 
-ORACLES: dict[str, str] = {"op4_hamming_search": hamming_search.ORACLE, "op6_mixing": mixing.ORACLE, "op9_urls": urlfilter.ORACLE, "op11_exact_dedup": exact_dedup.ORACLE, "op13_fim": fim.ORACLE}
+ORACLES: dict[str, str] = {"op4_hamming_search": hamming_search.ORACLE, "op6_mixing": mixing.ORACLE, "op9_urls": urlfilter.ORACLE, "op11_exact_dedup": exact_dedup.ORACLE, "op12_prefix_trie": conv_trie.ORACLE, "op13_fim": fim.ORACLE}
