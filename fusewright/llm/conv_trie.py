@@ -229,7 +229,7 @@ def trie(rows: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
     light = marked.where("rep is null").withColumn("top", F.first(F.struct(*KEY)).over(Window.partitionBy("conv").orderBy("depth").rowsBetween(*_UP_TO)))
     is_top = F.col("top.depth") == F.col("depth")
     label = {f"l{x}": F.when(is_top, F.col(x)).otherwise(_xor(F.col(x), F.col(f"p{x}"))) for x in "ab"}
-    buckets = marked.where("rep is null").count() // most_rows + 1
+    buckets = marked.where("rep is null").count() // max(1, most_rows) + 1
     light = light.withColumns(label).withColumn("bucket", F.pmod(F.xxhash64("top.depth", "top.a", "top.b"), F.lit(buckets)))
     light = light.select("bucket", "conv", "depth", "la", "lb", "words", (F.col("depth") == F.col("len")).alias("last"), "pa", "pb")
     shards = settled(light.groupBy("bucket").applyInArrow(_shard, NODES))
