@@ -201,8 +201,8 @@ def detect(spark: SparkSession, alignments: str, annotation: str, opt: Options =
     reads = stranded(reads.checkpoint(), genes, sites, opt.strandedness)
     blocks = seg.where(~c("supplementary")).select(c("read_key").alias("fragment"), "contig", F.explode(cigar.blocks(c("start"), c("ops"))).alias("b"))
     cov = stats.coverage(blocks.select("fragment", "contig", c("b.s").alias("s"), (c("b.e") - 1).alias("e"))).checkpoint()
-    lengths = None if alignments.endswith(".bam") else text.contig_lengths(spark, alignments)
-    viral_fates = [] if lengths is None else viral_steps(reads, seg, genes, lengths, cov, opt)
+    lengths = (bam if alignments.endswith(".bam") else text).contig_lengths(spark, alignments)
+    viral_fates = viral_steps(reads, seg, genes, lengths, cov, opt)
     reads = filtered_reads(with_gene_bounds(reads, genes, sites), opt, viral_fates)
     contigs = seg.select("contig").distinct()
     at_home = lambda r: None if r is None else rule_steps.located(r, genes.where(~F.coalesce("is_dummy", F.lit(False))), contigs).checkpoint()
