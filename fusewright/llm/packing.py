@@ -11,6 +11,7 @@ a time, so that memory doesn't grow with the partition.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 import zlib
@@ -45,6 +46,17 @@ _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|[\W_]+")
 #: The vocabulary's signs for bytes: printable ones of Latin-1 stand for themselves, the others follow from 256 on.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SIGNS = dict(zip(_PLAIN, map(chr, _PLAIN))) | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PLAIN)))}
+#: The normaliser, pre-tokenizer and word end for which words are split here; texts go whole through vocabularies with others.
+_ASSUMED = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 #: One for each worker and vocabulary.
 _encoders: dict[str, "WordEncoder"] = {}
 
@@ -64,6 +76,8 @@ class WordEncoder(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.merges = self.tokenizer.model.tokenize
+        told = json.loads(self.tokenizer.to_str())
+        self.by_words = all(told.get(k) == v for k, v in _ASSUMED.items()) and told["model"].get("end_of_word_suffix") == "</w>" and all("<|" in x["content"] for x in told["added_tokens"])
         self.forget()
 
     def forget(self) -> None:
@@ -108,10 +122,19 @@ class WordEncoder(dict):
     def __missing__(self, word: str) -> int:
         return self.keep(word, self.parts(word) if _LATIN.fullmatch(word) and "<|" not in word else self.whole(word).tolist())
 
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+    def encode_whole(self, text: str, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """encode() by the vocabulary alone: a sentence ends with the token that ends with its sign, or with a line."""
+        e = self.tokenizer.encode(text, add_special_tokens=False)
+        ids = np.array([*e.ids, end], "<u4")
+        stops = [i + 1 for i, (a, b) in enumerate(e.offsets) if b > a and (text[b - 1] == "\n" or (text[b - 1] in ".!?" and text[b : b + 1].isspace()))]
+        return ids, np.array([*(x for x in dict.fromkeys(stops) if x < len(e.ids)), len(ids)])
+
+    def encode(self, text: str, end: int = END) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a text with the end id, and the places where its sentences end, the last one where the text ends."""
+        if not self.by_words:
+            return self.encode_whole(text, end)
         if _LINE in text or (any(x in text for x in "\x1c\x1d\x1e\x1f") if text.isascii() else _ODD_SPACE.search(text)):
-            ids = np.append(self.whole(text), np.uint32(END)).astype("<u4")
+            ids = np.append(self.whole(text), np.uint32(end)).astype("<u4")
             return ids, np.array([len(ids)])
         if len(self) > REMEMBERED:
             self.forget()
@@ -123,7 +146,7 @@ class WordEncoder(dict):
         total = int(after[-1]) if len(w) else 0
         ids = np.empty(total + 1, "<u4")
         ids[:total] = flat[np.repeat(begin[w] - (after - n), n) + np.arange(total)]
-        ids[total] = END
+        ids[total] = end
         ends = after[stops[w]]
         return ids, np.append(np.unique(ends[(ends > 0) & (ends < total)]), total + 1)
 
@@ -204,14 +227,14 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
 
 
-def _packer(path: str, window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _packer(path: str, window: int, end: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder.of(path)
         tenant(f"packing {path}", encoder.forget)
         next_id, docs, held = TaskContext.get().partitionId() << 40, [], 0
         for b in slices(batches, 1):
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                docs.append((doc_id, *encoder.encode(text or "")))
+                docs.append((doc_id, *encoder.encode(text or "", end)))
                 held += len(docs[-1][1])
                 if held >= BLOCK:
                     rows, next_id = pack_block(docs, next_id, window)
@@ -229,12 +252,14 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, end: int = END) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Ids of a whole document, very long ones too, then the end id, each in exactly one piece; a
     sequence's pieces lie without gaps from offset 0. Sequences are numbered within their partition of the input, so
     there is no shuffle and no global counter. Null and blank text: the end id alone. Null doc_id
-    stays null; repeated rows are packed each. Empty table: empty result. Other columns are ignored.
+    stays null; repeated rows are packed each. Of plans that cost the same the one whose windows begin first is taken.
+    Empty table: empty result. Other columns are ignored, whatever their names. Any vocabulary file of tokenizers gives
+    its own ids; only those that split as _ASSUMED says are remembered by words.
     """
-    return docs.select("doc_id", "text").mapInArrow(_packer(vocabulary or default_vocabulary(), window), SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(_packer(vocabulary or default_vocabulary(), window, end), SCHEMA)

@@ -149,16 +149,18 @@ def fit(texts: list[str], labels: list[int]) -> Model:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int = SAMPLE_CHARS, total: int = SAMPLE_ALL) -> Model:
     """A model of a bounded sample of the labelled documents, none of them held out.
 
-    The sample: rows in the order of md5(doc_id), at most sample of them and at most total
-    characters; texts longer than longest characters, and rows with which the sum would exceed
-    total, are passed over and the next ones taken. It bounds what is learnt from only; all rows
-    are scored, whole.
+    The sample: labelled documents with a text of at most longest characters, in the order of
+    md5(doc_id), the first `sample` of them; of these, rows with which the sum would exceed total
+    characters are left out. It bounds what is learnt from only; all rows are scored, whole. Labels
+    without such a document, null texts and longer ones take no place. Columns of any names may stand by.
     """
     key = F.md5(F.col("doc_id").cast("string").cast("binary"))
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label")).orderBy(key, "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most sample rows
-    rows = rows.where(F.col("text").isNotNull() & (F.length("text") <= longest)).groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
+    usable = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= longest))
+    ids = known.join(usable.select("doc_id"), "doc_id", "left_semi").orderBy(key, "doc_id").limit(sample)
+    rows = usable.join(F.broadcast(ids), "doc_id")  # at most sample rows
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     texts, ys, held = [], [], 0
     for r in rows.select(key.alias("key"), "label", "text").orderBy("key").toLocalIterator():
         if held + len(r.text) <= total:

@@ -103,3 +103,17 @@ def test_cuts_lie_at_sentence_ends():
 
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_another_vocabulary(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    texts = ["Hello there. How are you? " * 400, None, "", " \n ", "It's 3.14!\n\nNew line. é", "word " * 5000]
+    rows = packing.pack(spark.createDataFrame([(i, t, "en", "s", 0, 7, "x") for i, t in enumerate(texts)], SCHEMA), path, end=50256).collect()
+    for i, t in enumerate(texts):
+        ids, at = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 50256], "<u4"), 0
+        for r in sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+    assert packing.WordEncoder.of(public_tokenizers.path("word_bpe_49k.json")).by_words and not packing.WordEncoder.of(path).by_words

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import zlib
 
@@ -167,3 +168,14 @@ def test_a_very_long_first_text_stops_nothing(spark):
     model = toxicity.train(docs, spark.createDataFrame([(i, 0, y) for i, _, y in rows], "doc_id bigint, quality int, toxic int"))
     assert "grubbel" in model.lexicon
     assert "grubbel" in toxicity.train(docs, spark.createDataFrame([(i, 0, y) for i, _, y in rows], "doc_id bigint, quality int, toxic int"), longest=10**9, total=5000).lexicon
+
+
+def test_what_cannot_be_learnt_from_takes_no_place(spark):
+    """Labels without a document, null and very long texts come first by key here; the sample is as large as what is left of it."""
+    ids = sorted((i for i in range(3000) if zlib.crc32(str(i).encode()) % 5), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    useless, good = ids[:300], ids[300:500]
+    docs = [(i, None if k % 3 else "x " * 60) for k, i in enumerate(useless) if k % 7] + [(i, ("you vile wretch " if k % 2 else "a fine calm day ") * 3) for k, i in enumerate(good)]
+    labels = [(i, 0, k % 2) for k, i in enumerate(useless)] + [(i, 0, k % 2) for k, i in enumerate(good)]
+    model = toxicity.train(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"), sample=200, longest=100)
+    low, high = model.score(["a fine calm day " * 3, "you vile wretch " * 3])
+    assert "vile" in model.lexicon and low < 0.3 < 0.7 < high
