@@ -41,6 +41,15 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return secrets.redact(docs)
 
 
+def _unhashable(t: T.DataType) -> bool:
+    """Whether a type is or holds a map or a variant, which have no hash."""
+    if isinstance(t, T.ArrayType):
+        return _unhashable(t.elementType)
+    if isinstance(t, T.StructType):
+        return any(_unhashable(f.dataType) for f in t)
+    return isinstance(t, (T.MapType, T.VariantType))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, the last time perhaps only its first words; those not taken go.
 
@@ -50,7 +59,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Columns of any names stay.
     """
     a, b, size, taken, copy = (unused(docs, x) for x in ("row_a", "row_b", "row_size", "row_taken", "row_copy"))
-    hashed = [c for c, f in zip(columns_of(docs), docs.schema) if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    hashed = [F.to_json(F.struct(c.alias("v"))) if _unhashable(f.dataType) else c for c, f in zip(columns_of(docs), docs.schema)]
     keyed = docs.withColumns({a: F.xxhash64(F.lit(1), *hashed), b: F.xxhash64(F.lit(2), *hashed)})
     mixed = mixing.mix(keyed, carry=(F.col(a), F.col(b))).where("taken > 0")
     mixed = mixed.select(F.col("_0").alias(a), F.col("_1").alias(b), F.col("size").alias(size), F.col("taken").alias(taken))
