@@ -134,3 +134,12 @@ def test_empty_tables(spark, tmp_path):
 def test_the_stages_keep_their_order():
     assert [f.__name__ for _, f in corpus_pipeline.STAGES] == ["drop_toxic", "drop_near_duplicates", "redact_secrets", "mix_sources", "pack_tokens"]
     assert ngram_join.GRAM == 5 and zlib.crc32(b"") == 0
+
+
+def test_mixing_tells_rows_apart_that_differ_in_a_map(spark):
+    rows = [(1, "a b c", "s", {"k": v}, [{"k": v}]) for v in range(4)] + [(1, "a b c", "s", None, None)] + [(2, "a b", "s", {"k": 1}, None)] * 2
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, m map<string,int>, `n.x` array<map<string,int>>")
+    out = corpus_pipeline.mix_sources(spark, docs, "").collect()
+    taken = {(r.doc_id, str(r.m), str(r["n.x"])) for r in out}
+    assert taken == {(r[0], str(r[3]), str(r[4])) for r in rows}  # one and a half epochs take each row at least once
+    assert sum(len(r.text.split()) for r in out) == int(1.5 * sum(len(r[1].split()) for r in rows))
