@@ -7,16 +7,32 @@ from dataclasses import dataclass
 from math import log, sqrt
 
 
+#: Log probability of a stop in a state where no example stops, and of a length under that of all examples.
+NEVER = log(1e-9)
+
+
 @dataclass
 class Automaton:
-    """Per state: log probabilities of ending and of each symbol with the next state; floor for what was never seen."""
+    """Per state: log probabilities of ending and of each symbol with the next state; floor for what was never seen.
+
+    least, most: the lengths of the shortest and the longest example. What is shorter than all
+    examples costs as much as a stop where none stops; beyond the longest each symbol costs the
+    floor, if `closed`.
+    """
 
     end: list[float]
     step: list[dict[str, tuple[float, int]]]
     floor: float = log(1e-4)
+    least: int = 0
+    most: int = 0
+    closed: bool = False
 
     def loglik(self, symbols: str) -> float:
         state, total = 0, 0.0
+        if len(symbols) < self.least:
+            total += NEVER
+        if self.closed and len(symbols) > self.most:
+            total += self.floor * (len(symbols) - self.most)
         for s in symbols:
             got = self.step[state].get(s)
             if got is None:
@@ -78,8 +94,11 @@ class _Tree:
                     self.next[p][s] = y
 
 
-def infer(examples: Iterable[str], alpha: float = 0.01) -> Automaton:
-    """Merges states in breadth-first order: each is folded into the first kept state that it is compatible with, or is kept."""
+def infer(examples: Iterable[str], alpha: float = 0.01, strict: bool = False, closed: bool = False) -> Automaton:
+    """strict: stops and lengths that no example has cost NEVER; closed: see Automaton.
+
+    Merges states in breadth-first order: each is folded into the first kept state that it is compatible with, or is kept.
+    """
     examples = sorted(examples)
     t, bound = _Tree(examples), sqrt(0.5 * log(2 / alpha))
     kept, held = [0], {0}
@@ -105,9 +124,10 @@ def infer(examples: Iterable[str], alpha: float = 0.01) -> Automaton:
             uses[q][s] += 1
             q = at[t.next[kept[q]][s]]
         ends[q] += 1
-    out = Automaton([], [])
+    sizes = [len(x) for x in examples] or [0]
+    out = Automaton([], [], least=min(sizes) if strict else 0, most=max(sizes), closed=closed)
     for q, used in enumerate(uses):
         n = ends[q] + sum(used.values()) + 1.0
-        out.end.append(log((ends[q] + 0.01) / n))
+        out.end.append(NEVER if strict and not ends[q] else log((ends[q] + 0.01) / n))
         out.step.append({s: (log((c + 1e-3) / n), at[t.next[kept[q]][s]]) for s, c in used.items()})
     return out

@@ -13,8 +13,9 @@ import random
 import re
 import string
 from bisect import bisect_right
-from collections.abc import Iterator, Mapping, Sequence
-from dataclasses import dataclass
+from collections import Counter
+from collections.abc import Iterable, Iterator, Mapping, Sequence
+from dataclasses import dataclass, field
 from functools import lru_cache
 from itertools import accumulate
 
@@ -39,8 +40,10 @@ _PART = re.compile(r"(?:(?!([-_.=+/])\1)[A-Za-z0-9+_-])+")
 REMEMBERED, SHORT = 300_000, 64
 #: Symbols of the automata: digits, letters that are hexadecimal digits, other letters; signs stay.
 _CLASSES = str.maketrans({**dict.fromkeys("0123456789", "d"), **dict.fromkeys("abcdef", "h"), **dict.fromkeys("ghijklmnopqrstuvwxyz", "l"), **dict.fromkeys("ABCDEF", "H"), **dict.fromkeys("GHIJKLMNOPQRSTUVWXYZ", "U")})
+#: Characters of a head that is common to a format.
+HEAD = 3
 #: Log likelihood ratio that a candidate needs, in all and by character.
-LEAST, LEAST_EACH = 15.0, 0.5
+LEAST, LEAST_EACH = 10.0, 0.4
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -113,14 +116,75 @@ def plain_runs(n: int = 120, seed: int = 5) -> list[str]:
     return [f() for f in kinds for _ in range(n)]
 
 
+def clean_families(n: int = 160, seed: int = 5) -> dict[str, list[str]]:
+    """Strings that are no credentials though they look made by chance, by family; each family has an automaton of its own."""
+    rng = random.Random(seed)
+    pick = lambda alphabet, k: "".join(rng.choice(alphabet) for _ in range(k))
+    low, up, dig, hexa = string.ascii_lowercase, string.ascii_uppercase, string.digits, "0123456789abcdef"
+    word = lambda a=2, b=9: pick(low, rng.randint(a, b))
+    case = lambda x: rng.choice([x, x.title(), x.upper()])
+    number = lambda a=1, b=4: pick(dig, rng.randint(a, b))
+    version = lambda: ".".join(number(1, 2) for _ in range(rng.randint(2, 4)))
+    stamp = lambda: f"{rng.randint(1990, 2035)}{rng.randint(1, 12):02d}{rng.randint(1, 28):02d}"
+    uuid = lambda a: "-".join(pick(a, k) for k in (8, 4, 4, 4, 12))
+    families = {
+        # serial, product and tracking numbers, plates, video ids: short, of any letters and digits
+        "code": (
+            lambda: pick(up + dig, rng.randint(6, 14)),
+            lambda: "-".join(pick(up + dig, rng.randint(2, 6)) for _ in range(rng.randint(2, 4))),
+            lambda: pick(up, rng.randint(2, 4)) + "-" + pick(up, 2) + pick(dig, 2) + pick(up, 2) + pick(dig, 2) + pick(up, 2),
+            lambda: "1Z" + pick(up + dig, 16),
+            lambda: pick(up.replace("I", "").replace("O", "").replace("Q", "") + dig, 17),
+            lambda: pick(low + up + dig + "_-", 11),
+            lambda: pick(low + dig, rng.randint(5, 12)),
+            lambda: pick(hexa, rng.choice([7, 8, 10, 12, 16])),
+        ),
+        "uuid": (lambda: uuid(hexa), lambda: uuid("0123456789ABCDEF"), lambda: "urn-uuid-" + uuid(hexa), lambda: word() + "-" + uuid(hexa), lambda: word() + "/" + uuid(hexa)),
+        "address": (lambda: "0x" + pick(hexa, rng.choice([1, 2, 4, 8, 12, 16])), lambda: "0x" + pick("0123456789ABCDEF", rng.choice([2, 4, 8, 16]))),
+        # models, identifiers, packages, files and hosts: words with digits and other words between
+        "name": (
+            lambda: rng.choice([low, up])[rng.randrange(26)] + word(3, 8).title() + number(1, 4) + word(2, 6).title() + rng.choice(["", word(2, 6).title()]),
+            lambda: "".join(word(2, 8).title() + rng.choice(["", number(1, 3)]) for _ in range(rng.randint(2, 6))),
+            lambda: word() + "".join(word(2, 8).title() + rng.choice(["", "", number(1, 2), up[rng.randrange(26)]]) for _ in range(rng.randint(1, 6))),
+            lambda: "_".join(case(word() + rng.choice(["", "", number(1, 3)])) for _ in range(rng.randint(2, 7))),
+            lambda: "-".join(case(word() + rng.choice(["", "", number(1, 3)])) for _ in range(rng.randint(2, 7))),
+            lambda: f"{word()}-{version()}-{word(2, 4)}{number(2, 3)}-{word(2, 4)}{number(2, 3)}-{word()}_{number(1, 2)}_{number(1, 2)}_{word()}_{number(2, 2)}." + word(2, 4),
+            lambda: f"{word()}-{version()}" + rng.choice(["", "." + word(2, 4), f"-{number(1, 3)}-g{pick(hexa, 7)}", f"-{word()}.{number(1, 2)}"]),
+            lambda: f"{case(word(2, 4))}_{stamp()}_{number(4, 6)}" + rng.choice(["", "." + word(3, 4)]),
+            lambda: f"{stamp()}-{number(4, 6)}-{word()}" + rng.choice(["", "." + word(3, 4)]),
+            lambda: f"{word()}{number(1, 2)}-{number(1, 3)}-{number(1, 3)}-{number(1, 3)}.{word()}-{number(1, 1)}.{word()}.{word(2, 3)}",
+            lambda: f"10.{number(4, 5)}/{word(2, 8)}.{number(4, 4)}.{number(2, 6)}",
+            lambda: "/".join(rng.choice([word(), word().title(), number(1, 6), word() + number(1, 3), stamp()]) for _ in range(rng.randint(3, 8))),
+            lambda: ".".join(rng.choice([word(), word().title(), word() + number(1, 2)]) for _ in range(rng.randint(3, 7))),
+            lambda: word(2, 5) + "=" + rng.choice([word(), number(1, 9), word() + number(1, 3)]),
+        ),
+    }
+    return {k: [f() for f in v for _ in range(n)] for k, v in families.items()}
+
+
+def common_heads(examples: Iterable[Sequence[str]], share: float = 0.03) -> dict[str, str]:
+    """The first HEAD characters that at least this share of a format's examples has, each with a symbol of its own."""
+    found = set()
+    for e in examples:
+        found |= {h for h, n in Counter(x[:HEAD] for x in e).items() if n >= share * len(e)}
+    return {h: chr(0xE000 + i) for i, h in enumerate(sorted(found))}
+
+
+def symbols_of(candidate: str, heads: Mapping[str, str]) -> str:
+    """One symbol for a common head, then one for each character by its class."""
+    head = heads.get(candidate[:HEAD])
+    return head + candidate[HEAD:].translate(_CLASSES) if head else candidate.translate(_CLASSES)
+
+
 @dataclass
 class Grammar:
     formats: dict[str, automata.Automaton]
     clean: tuple[automata.Automaton, ...]
+    heads: dict[str, str] = field(default_factory=dict)
 
     def classify(self, candidate: str) -> tuple[str, float]:
         """The likeliest format of the whole candidate and its log likelihood ratio to no credential."""
-        symbols = candidate.translate(_CLASSES)
+        symbols = symbols_of(candidate, self.heads)
         best = max(((a.loglik(symbols), k) for k, a in self.formats.items()))
         return best[1], best[0] - max(a.loglik(symbols) for a in self.clean)
 
@@ -175,14 +239,21 @@ def _cleared(g: Grammar) -> set[str]:
 
 
 def learn(examples: Mapping[str, Sequence[str]] | None = None, alpha: float = 0.01) -> Grammar:
-    """examples: by format; those of "" are no credentials. With none given, labelled_examples() and plain_runs().
+    """examples: by format; those of "" are no credentials. With none given, labelled_examples(), plain_runs() and clean_families().
 
-    What is no credential has two automata: one of all its examples, one of those without digits.
+    What is no credential has an automaton of all its examples, one of those without digits, and one
+    for each family; the likeliest counts. Formats are strict: ends and lengths that no example has
+    cost as much as whole evidence. Families of codes end at their longest example.
     """
-    by = {k: [x.translate(_CLASSES) for x in v] for k, v in (examples or labelled_examples()).items()}
+    told = dict(examples or labelled_examples())
+    heads = common_heads(v for k, v in told.items() if k)
+    by = {k: [symbols_of(x, heads) for x in v] for k, v in told.items()}
     clean = by.pop("")
-    plain = [x for x in clean if "d" not in x] + ([] if examples else [x.translate(_CLASSES) for x in plain_runs()])
-    return Grammar({k: automata.infer(v, alpha) for k, v in sorted(by.items())}, tuple(automata.infer(v, alpha) for v in ((clean, plain) if plain else (clean,))))
+    plain = [x for x in clean if "d" not in x] + ([] if examples else [symbols_of(x, heads) for x in plain_runs()])
+    others = [automata.infer(v, alpha) for v in ((clean, plain) if plain else (clean,))]
+    if not examples:
+        others += [automata.infer([symbols_of(x, heads) for x in v], alpha, closed=k != "name") for k, v in clean_families().items()]
+    return Grammar({k: automata.infer(v, alpha, strict=True) for k, v in sorted(by.items())}, tuple(others), heads)
 
 
 def all_spans(text: str, grammar: Grammar) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:

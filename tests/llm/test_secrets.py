@@ -105,9 +105,12 @@ def slow_spans(g, text, taken):
     letters = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
 
     def walk(a, run):
-        state, total = 0, 0.0
-        for c in run:
-            s = "d" if c.isdigit() else ("h" if c <= "f" else "l") if c.islower() else ("H" if c <= "F" else "U") if c.isupper() else c
+        state, total = 0, automata.NEVER if len(run) - 2 * (run[:3] in g.heads) < a.least else 0.0
+        steps = [g.heads[run[:3]], *run[3:]] if run[:3] in g.heads else list(run)
+        if a.closed:
+            total += a.floor * max(0, len(steps) - a.most)
+        for c in steps:
+            s = c if c >= "\ue000" else "d" if c.isdigit() else ("h" if c <= "f" else "l") if c.islower() else ("H" if c <= "F" else "U") if c.isupper() else c
             p, nxt = a.step[state].get(s, (a.floor, state))
             total, state = total + p, nxt
         return total + a.end[state]
@@ -168,3 +171,46 @@ def test_short_words_of_letters_and_digits_stay():
     words = ["v124", "h264", "u2026", "T1000", "x86-64", "R2D2", "ISO-8859-1", *(f"{c}{n}" for c in "avzBQ" for n in (7, 42, 613, 9001, 123456))]
     assert [w for w in words if grammar.within(w)] == []
     assert secrets.redacted(" ".join(words), grammar) == " ".join(words)
+
+
+#: Names, models, numbers and files as prose, code and shops have them; none is a credential.
+CLEAN = """iPhone14ProMax B07XJ8C8F5 SKU-AB12CD34EF 0x7ffeefbff5c8 550e8400-e29b-41d4-a716-446655440000 dQw4w9WgXcQ 6ba7b810-9dad-11d1-80b4-00c04fd430c8
+getElementsByTagNameNS2 numpy-1.26.4-cp311-cp311-manylinux_2_17_x86_64.manylinux2014_x86_64.whl ec2-54-12-3-4.compute-1.amazonaws.com v1.2.3-45-gabcdef0
+10.1038/s41586-020-2649-2 1Z999AA10123456784 WAUZZZ8K9BA123456 IMG_20230415_123456.jpg SamsungGalaxyS23Ultra RTX4090Ti i7-12700K AbstractSingletonProxyFactoryBean
+java.util.concurrent.ThreadPoolExecutor X86_64_V3 ISO8601DateTimeFormatter ThinkPadX1CarbonGen10 sha256sum test_convert_utf8_to_latin1 com.example.app.v2.MainActivity
+//docs.python.org/3/library/functions.html b2b-saas-2023-q4 A1B2C3D4 ABCD-1234-EFGH-5678 LG-OLED55C1PUB WH-1000XM4 MT29F64G08CBABA S3BucketNotFoundException
+kubernetes-deployment-7d4b9c6f5-x2x9z covid19vaccine2021 MacBookPro16-inch2021 deepspeech-0.9.3-models.pbmm ISBN-978-3-16-148410-0 DE89370400440532013000
+F81D4FAE-7DEC-11D0-A765-00A0C91E6BF6 HttpServletRequestWrapper2 libstdc++.so.6.0.30 linux-image-5.15.0-91-generic Win32_OperatingSystem XMLHttpRequest2
+PlayStation5DigitalEdition GeForceGTX1660Super CVE-2021-44228 RFC2616 HTTP/1.1 UTF-16LE base64url tf.keras.layers.Conv2DTranspose _ZN4llvm5ValueC2EPNS_4TypeEj
+2024-03-15T10:30:00.000Z DSC_0042.NEF MP3-Player-4GB Boeing737MAX8 AirbusA320neo NGC-4414 SN2011fe PSRB1919 HD209458b Kepler-186f TRAPPIST-1e GRCh38.p14 rs1801133
+NM_000546.6 ENSG00000141510.18 ENST00000269305.9 P04637 1TUP COVID-19 SARS-CoV-2 H1N1pdm09 CD4+CD25+ HLA-DRB1 BRCA1-associated TNF-alpha IL-6R
+M1A2Abrams F-35B-Lightning-II SpaceX-CRS-25 Apollo-11 STS-135 ISO-9001-2015 DIN-EN-60335-1 IEEE-802.11ax PCIe4.0x16 DDR5-6000-CL30 NVMe-M.2-2280
+WD40EFRX-68N32N0 ST8000VN004 CT1000MX500SSD1 KF432C16BB1K2/32 BX8071512700K 100-100000059WOF TUF-GAMING-B550M-PLUS ROG-STRIX-Z690-E
+ORD-2023-000123 INV20230405-0017 PO-4500012345 TCK-99812 JIRA-12345 CASE00123456 RMA7788321 EAN4006381333931 UPC036000291452 LOT-A23B19
+Q3FY2024 1stQuarter2023Results FY23-24Budget.xlsx Report_v2_final_FINAL3.docx 2023_Annual_Report-EN.pdf screenshot-2024-01-02-at-10.11.12.png
+org.springframework.boot.autoconfigure.SpringBootApplication com.google.common.collect.ImmutableList kotlinx.coroutines.flow.MutableStateFlow
+jquery-3.6.0.min.js bootstrap.bundle.min.js main.8f2a3c1b.chunk.css vendor~main.a1b2c3d4.js react-dom.production.min.js polyfills-es2015.js
+SELECT_FROM_WHERE_2 MAX_INT32_VALUE kMaxBufferSize4K EVENT_TYPE_V2_CREATED AWS_REGION_US_EAST_1 us-east-1a eu-west-3 ap-southeast-2 gcr.io/project-42/image
+debian-12.4.0-amd64-netinst.iso ubuntu-22.04.3-live-server-amd64.iso python3.11-venv node_modules/.bin/webpack5 /usr/lib/x86_64-linux-gnu/libc.so.6
+user1234 JohnDoe1985 sunny_day_2022 Player1Ready x1y2z3 abc123def456 qwerty12345 test1234test 1234abcd5678 a1b2c3d4e5f6 deadbeefcafe 0123456789abcdef
+CamelCase2SnakeCase utf8mb4_unicode_520_ci latin1_swedish_ci TIMESTAMP_WITH_TZ9 arm64-v8a armeabi-v7a x86_64-pc-windows-msvc aarch64-apple-darwin22.6.0
+Node.js-v18.17.1 python-3.11.4 openjdk-17.0.8+7 gcc-12.3.0 clang-15.0.7 cmake-3.27.1-linux-x86_64.sh Dockerfile.prod2 docker-compose.v3.yml tsconfig.es2020.json
+NVIDIA-A100-SXM4-80GB AMD-EPYC-7763 XeonE5-2690v4 Snapdragon8Gen2 Exynos2200 A16Bionic M2Ultra24Core IntelCoreUltra9-185H RyzenThreadripperPRO5995WX
+BMW-M340i MercedesBenzC63AMG AudiRS6Avant TeslaModel3Performance ToyotaGR86 FordF150Lightning VolkswagenID.4 PorscheTaycan4S HondaCivicTypeR2023
+Canon-EOS-R5 NikonZ9 SonyA7RV FujifilmX-T5 GoProHero12Black DJI-Mavic3Pro OculusQuest2-256GB KindlePaperwhite11 AirPodsPro2ndGen EchoDot5thGen
+Lorem-ipsum-2-dolor-sit-amet Donaudampfschifffahrtsgesellschaft Rindfleischetikettierungsueberwachung antidisestablishmentarianism pneumonoultramicroscopic""".split()
+
+
+def test_everyday_names_are_no_credentials():
+    g = secrets.learn()
+    assert len(CLEAN) > 200
+    assert [x for x in CLEAN if g.spans(x, [])] == []
+    families = secrets.clean_families(60, seed=77)
+    assert sum(bool(g.spans(x, [])) for v in families.values() for x in v) <= 0.005 * sum(map(len, families.values()))
+
+
+def test_each_format_is_found_on_new_examples():
+    g = secrets.learn()
+    for kind, examples in secrets.labelled_examples(120, seed=3).items():
+        if kind:
+            assert sum(bool(secrets.all_spans(x, g)[1]) for x in examples) >= 0.95 * len(examples), kind
