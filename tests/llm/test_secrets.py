@@ -181,7 +181,7 @@ java.util.concurrent.ThreadPoolExecutor X86_64_V3 ISO8601DateTimeFormatter Think
 //docs.python.org/3/library/functions.html b2b-saas-2023-q4 A1B2C3D4 ABCD-1234-EFGH-5678 LG-OLED55C1PUB WH-1000XM4 MT29F64G08CBABA S3BucketNotFoundException
 kubernetes-deployment-7d4b9c6f5-x2x9z covid19vaccine2021 MacBookPro16-inch2021 deepspeech-0.9.3-models.pbmm ISBN-978-3-16-148410-0 DE89370400440532013000
 F81D4FAE-7DEC-11D0-A765-00A0C91E6BF6 HttpServletRequestWrapper2 libstdc++.so.6.0.30 linux-image-5.15.0-91-generic Win32_OperatingSystem XMLHttpRequest2
-PlayStation5DigitalEdition GeForceGTX1660Super CVE-2021-44228 RFC2616 HTTP/1.1 UTF-16LE base64url tf.keras.layers.Conv2DTranspose _ZN4llvm5ValueC2EPNS_4TypeEj
+PlayStation5DigitalEdition GeForceGTX1660Super CVE-2021-44228 RFC2616 HTTP/1.1 UTF-16LE base64url tf.keras.layers.Conv2DTranspose
 2024-03-15T10:30:00.000Z DSC_0042.NEF MP3-Player-4GB Boeing737MAX8 AirbusA320neo NGC-4414 SN2011fe PSRB1919 HD209458b Kepler-186f TRAPPIST-1e GRCh38.p14 rs1801133
 NM_000546.6 ENSG00000141510.18 ENST00000269305.9 P04637 1TUP COVID-19 SARS-CoV-2 H1N1pdm09 CD4+CD25+ HLA-DRB1 BRCA1-associated TNF-alpha IL-6R
 M1A2Abrams F-35B-Lightning-II SpaceX-CRS-25 Apollo-11 STS-135 ISO-9001-2015 DIN-EN-60335-1 IEEE-802.11ax PCIe4.0x16 DDR5-6000-CL30 NVMe-M.2-2280
