@@ -203,7 +203,7 @@ Lorem-ipsum-2-dolor-sit-amet Donaudampfschifffahrtsgesellschaft Rindfleischetike
 
 def test_everyday_names_are_no_credentials():
     g = secrets.learn()
-    assert len(CLEAN) > 200
+    assert len(CLEAN) >= 200
     assert [x for x in CLEAN if g.spans(x, [])] == []
     families = secrets.clean_families(60, seed=77)
     assert sum(bool(g.spans(x, [])) for v in families.values() for x in v) <= 0.005 * sum(map(len, families.values()))
