@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import events as ev
 from . import intervals
 
 c = F.col
@@ -124,30 +125,33 @@ def assigned_domains(domains: DataFrame, genes: DataFrame) -> DataFrame:
     return domains.join(by_id, "gene_id", "left").join(by_name, "gene_name", "left").withColumn("gene", F.coalesce("__i", "__n")).where(c("gene").isNotNull()).drop("__i", "__n")
 
 
-def spliced_distance(exons: DataFrame, events: DataFrame) -> DataFrame:
-    """event_id, spliced_distance of events within one gene: the shortest walk from bp1 to bp2 over its transcripts' introns, greedily.
+def spliced_distance(exons: DataFrame, events: DataFrame, salts: int = 16) -> DataFrame:
+    """event_id, spliced_distance of events within one gene or near each other's genes: the shortest walk from bp1 to bp2 over gene1's introns, greedily.
 
-    A walk depends on its own earlier steps, so it is a grouped pandas function: one group is one gene's exons and events.
+    A walk depends on its own earlier steps, so it is a grouped pandas function: one group is a part of a
+    gene's breakpoint pairs and the gene's exons, which go to as many parts as there are.
     """
     import pandas as pd
 
-    asks = events.where("gene1 = gene2").select("event_id", c("gene1").alias("gene"), "bp1", "bp2")
-    e = exons.select("gene", "start", "end", "next_start")
+    inside = ev.same_gene() | ev.overlaps_both_genes() | ev.is_intragenic()
+    asks = events.where(inside).select("event_id", c("gene1").alias("gene"), F.least("bp1", "bp2").cast("bigint").alias("p"), F.greatest("bp1", "bp2").cast("bigint").alias("q"))
+    pairs = asks.select("gene", "p", "q").distinct().withColumn("salt", F.pmod(F.xxhash64("p", "q"), F.lit(salts)))
+    parts = pairs.select(c("gene").alias("of"), c("salt").alias("part")).distinct()
+    e = exons.select(c("gene").alias("of"), "start", "end", "next_start").join(parts, "of")
 
     def walk(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         edges = sorted({*right["end"], *(right["start"] - 1)})
-        rows = right.to_dict("records")
-        out = []
-        for k, a, b in zip(left["event_id"], left["bp1"], left["bp2"]):
-            out.append((k, greedy_distance(min(a, b), max(a, b), edges, rows)))
-        return pd.DataFrame(out, columns=["event_id", "spliced_distance"])
+        rows = right.sort_values("start").to_dict("records")
+        firsts = [x["start"] for x in rows]
+        return left[["gene", "p", "q"]].assign(spliced_distance=[greedy_distance(a, b, edges, rows, firsts) for a, b in zip(left["p"], left["q"])])
 
-    return asks.groupBy("gene").cogroup(e.groupBy("gene")).applyInPandas(walk, "event_id string, spliced_distance bigint")
+    got = pairs.groupBy("gene", "salt").cogroup(e.groupBy("of", "part")).applyInPandas(walk, "gene bigint, p bigint, q bigint, spliced_distance bigint")
+    return asks.join(got, ["gene", "p", "q"]).select("event_id", "spliced_distance")
 
 
-def greedy_distance(p: int, q: int, edges: list[int], exons: list[dict]) -> int:
-    """From one exon boundary to the next, take the intron that spares most and ends before q."""
-    from bisect import bisect_left
+def greedy_distance(p: int, q: int, edges: list[int], exons: list[dict], firsts: list[int] | None = None) -> int:
+    """From one exon boundary to the next, take the intron that spares most and ends before q. firsts: the starts of exons, if these are sorted by them."""
+    from bisect import bisect_left, bisect_right
 
     i, total = bisect_left(edges, p), 0
     if i < len(edges) and edges[i] < q:
@@ -156,7 +160,7 @@ def greedy_distance(p: int, q: int, edges: list[int], exons: list[dict]) -> int:
         at = edges[i]
         if at >= p:
             best = None
-            for x in exons:
+            for x in exons if firsts is None else exons[: bisect_right(firsts, at)]:
                 nxt = x["next_start"]
                 if x["start"] <= at <= x["end"] and nxt == nxt and nxt is not None and nxt <= q:
                     s, e = max(p, x["start"]), min(q, x["end"])
@@ -171,4 +175,4 @@ def greedy_distance(p: int, q: int, edges: list[int], exons: list[dict]) -> int:
 
 
 def intronic_fraction(genes: DataFrame) -> Column:
-    return 1 - c("exonic_length") / F.greatest(c("end") - c("start"), F.lit(1))
+    return 1 - c("exonic_length") / (c("end") - c("start") + 1)

@@ -7,7 +7,7 @@ reads of any fate), event_id (unique).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,29 +26,93 @@ def _bool(x: str) -> Column:
     return c(x).cast("int")
 
 
-def merge_adjacent(df: DataFrame, reach: int = 5) -> DataFrame:
-    """Of events with split reads that are shifts of each other by up to reach, the best supported takes the others' split reads.
+#: Counts of an event that a tandem duplication takes over with the reads it merges.
+LISTED = ("listed_split", "listed", "all_split", "spared_split1", "spared_split2")
 
-    A shift keeps bp1 + bp2 if the directions are equal, else bp2 - bp1, so this diagonal is part of
-    the window's key and no pairs are formed. The best is the one of most supporting reads, then of
-    most listed split reads of any fate (listed_split), then the first by bp1; a discarded one gets
-    the fate merge_adjacent.
+
+def merge_run(run: list[dict], reach: int, longest: int) -> list[dict]:
+    """One scan over events of a key by (bp1, bp2); counts change while it goes, and it doesn't matter whether an event was merged before.
+
+    An event with at least as many supporting reads as each of its neighbours (then as many listed
+    split reads) takes their split reads, and they are merged. Neighbours are shifts of each other by
+    up to reach; of a tandem duplication all whose breakpoints are that near, and its listed reads count.
     """
-    live = (c("fate") == NONE) & (ev.split_reads() > 0)
-    line = F.when(c("dir1") == c("dir2"), c("bp1") + c("bp2")).otherwise(c("bp2") - c("bp1"))
-    near = Window.partitionBy(*KEY, "contig1", "contig2", "__line", "__live").orderBy("bp1").rangeBetween(-reach, reach)
-    best = F.max(F.struct(ev.support().alias("n"), c("listed_split").alias("listed"), (-c("bp1")).alias("at"))).over(near)
-    marked = df.withColumn("__line", line).withColumn("__live", live).withColumn("__best", best)
-    wins = c("__best.at") == -c("bp1")
-    marked = marked.withColumn("__wins", wins)
-    total1, total2 = F.sum("split1").over(near), F.sum("split2").over(near)
-    out = marked.withColumn("__s1", total1).withColumn("__s2", total2)
-    return (
-        out.withColumn("split1", F.when(c("__live") & c("__wins"), c("__s1")).otherwise(c("split1")))
-        .withColumn("split2", F.when(c("__live") & c("__wins"), c("__s2")).otherwise(c("split2")))
-        .withColumn("fate", F.when(c("__live") & ~c("__wins"), F.lit("merge_adjacent")).otherwise(c("fate")))
-        .drop("__line", "__live", "__best", "__wins", "__s1", "__s2")
-    )
+    itd = [e["same_gene"] and e["up_down"] and 0 <= e["bp2"] - e["bp1"] < longest for e in run]
+    line = [e["bp1"] + e["bp2"] if e["same_dir"] else e["bp2"] - e["bp1"] for e in run]
+    first = 0
+    for i, e in enumerate(run):
+        while run[first]["bp1"] < e["bp1"] - reach:
+            first += 1
+        if not (e["listed_split"] if itd[i] else e["split1"] + e["split2"]):
+            continue
+        near, j = [], first
+        while j < len(run) and run[j]["bp1"] <= e["bp1"] + reach:
+            x = run[j]
+            close = line[j] == line[i] or (itd[i] and abs(x["bp2"] - e["bp2"]) <= reach)
+            if j != i and close and (x["split1"] + x["split2"] or (itd[i] and x["listed_split"])):
+                near.append(x)
+            j += 1
+        rank = lambda x: (x["split1"] + x["split2"] + x["disc"], x["listed_split"])
+        if any(rank(x) > rank(e) for x in near):
+            continue
+        for x in near:
+            x["merged"] = True
+        for k in ("split1", "split2", *(LISTED if itd[i] else ())):
+            e[k] += sum(x[k] for x in near)
+    return run
+
+
+def merge_adjacent(df: DataFrame, reach: int = 5, longest: int = 100) -> DataFrame:
+    """Best supported events take the split reads of events that are shifts of them by up to reach; those get the fate merge_adjacent.
+
+    Live events count, and tandem duplications up to longest bases of any fate. A shift keeps bp1 +
+    bp2 if the directions are equal, else bp2 - bp1: such a diagonal, or the whole key where tandem
+    duplications may stand, falls into runs whose steps in bp1 are at most reach. Events that are
+    alone in their run stay in the plan; others are streamed by run through merge_run(), whose order
+    matters. Neither a hot gene pair nor a diagonal is one task, only a run is.
+    """
+    import pandas as pd
+
+    listed = [k for k in LISTED if k in df.columns]
+    ours = ev.is_tandem_duplication(longest)
+    both = c("same_gene") & c("up_down")
+    line = F.when(both, F.lit(0)).when(c("same_dir"), c("bp1") + c("bp2")).otherwise(c("bp2") - c("bp1"))
+    key = ["gene1", "gene2", "dir1", "dir2", "contig1", "contig2"]
+    live = df.where((c("fate") == NONE) | ours).select("event_id", *key, "bp1", "bp2", *(c(k).cast("bigint").alias(k) for k in ("split1", "split2", "disc", *listed)))
+    live = live.withColumns({"same_gene": ev.same_gene(), "same_dir": c("dir1") == c("dir2"), "up_down": (c("dir1") == UP) & (c("dir2") == DOWN)}).withColumn("line", line)
+    by = Window.partitionBy(*key, "line").orderBy("bp1", "bp2", "event_id")
+    live = live.withColumn("step", (c("bp1") - F.lag("bp1").over(by) > reach).cast("int")).withColumn("run", F.sum(F.coalesce("step", F.lit(0))).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    live = live.withColumn("n", F.count("*").over(Window.partitionBy(*key, "line", "run"))).where("n > 1").drop("n", "step")
+    for k in LISTED:
+        if k not in listed:
+            live = live.withColumn(k, c("split1") + c("split2") if k == "listed_split" else F.lit(0).cast("bigint"))
+    run = [*key, "line", "run"]
+    live = live.repartition(*run).sortWithinPartitions(*run, "bp1", "bp2", "event_id")
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[dict] = []
+        columns = ["event_id", "merged", "split1", "split2", *LISTED]
+
+        def done(rows: list[dict]) -> pd.DataFrame:
+            return pd.DataFrame([{k: x.get(k, False) for k in columns} for x in merge_run(rows, reach, longest)], columns=columns)
+
+        for frame in frames:
+            out = []
+            for x in frame.to_dict("records"):
+                if held and any(held[-1][k] != x[k] for k in run):
+                    out.append(done(held))
+                    held = []
+                held.append(x)
+            if out:
+                yield pd.concat(out)
+        if held:
+            yield done(held)
+
+    counts = ["split1", "split2", *listed]
+    changed = live.mapInPandas(scan, "event_id string, merged boolean, " + ", ".join(f"{k} bigint" for k in ("split1", "split2", *LISTED)))
+    changed = changed.select("event_id", c("merged").alias("__merged"), *(c(k).alias(f"__{k}") for k in counts))
+    out = df.join(changed, "event_id", "left").withColumns({k: F.coalesce(c(f"__{k}"), c(k)).cast(df.schema[k].dataType) for k in counts})
+    return out.withColumn("fate", F.when(c("__merged"), F.lit("merge_adjacent")).otherwise(c("fate"))).drop("__merged", *(f"__{k}" for k in counts))
 
 
 def multimappers(evidence: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -249,10 +313,17 @@ def filter_in_vitro(df: DataFrame, threshold: int | Column) -> DataFrame:
 
 
 def tandem_duplications(df: DataFrame, longest: int = 100, least: int = 10, share: float = 0.07, enough: int = 300) -> DataFrame:
-    """Recovers internal tandem duplications in one coding exon: all_split reads of any spared fate, allele fraction after duplicates."""
+    """Recovers internal tandem duplications in one coding exon: all_split reads of any spared fate, allele fraction after duplicates.
+
+    The reads that other steps discarded (spared_split1, spared_split2) are live again and count as split reads from here on.
+    """
     ok = ev.is_tandem_duplication(longest) & c("same_coding_exon") & (c("all_split") >= least)
     vaf = c("all_split") / F.greatest(F.greatest("cov1", "cov2") * (1 - c("duplicate_rate")), F.lit(1.0))
-    return recover(df, ("relative_support", "intragenic_exonic", "hairpin", "inconsistently_clipped", "mismatches"), ok & ((vaf > share) | (c("all_split") >= enough)))
+    from_ = ("relative_support", "intragenic_exonic", "hairpin", "inconsistently_clipped", "mismatches")
+    back = c("fate").isin(*from_) & F.coalesce(ok & ((vaf > share) | (c("all_split") >= enough)), F.lit(False))
+    out = df.withColumn("__back", back)
+    more = {f"split{i}": F.when(c("__back"), c(f"split{i}") + c(f"spared_split{i}")).otherwise(c(f"split{i}")).cast(df.schema[f"split{i}"].dataType) for i in (1, 2)}
+    return out.withColumns(more).withColumn("fate", F.when(c("__back"), F.lit(NONE)).otherwise(c("fate"))).drop("__back")
 
 
 def no_coverage(near: int = 200) -> Column:

@@ -63,27 +63,41 @@ def discordant_support(events: DataFrame, pairs: DataFrame, gap: int, cap: int =
     return events.join(n, "event_id", "left").withColumn("near_pairs", F.coalesce("near_pairs", F.lit(0)))
 
 
-def nearest_variant(events: DataFrame, variants: DataFrame, reach: int = 100_000, slack: int = 5) -> DataFrame:
-    """Adds gbp1, gbp2, gdist: of the variants (contig1, contig2, dir1, dir2, pos1, pos2) that lie on the retained side within reach, the one of least summed distance.
-
-    A downstream breakpoint looks at positions from bp - slack on, an upstream one at those up to bp + slack. Ties go to the least (pos1, pos2).
-    Events and variants meet in bins of reach by both positions, so one contig pair isn't one task, and a variant meets its surroundings only.
+def nearest_variant(events: DataFrame, variants: DataFrame, reach: int = 100_000, slack: int = 5, longest: int = 100) -> DataFrame:
+    """Adds gbp1, gbp2, gdist: of the variants (contig1, contig2, dir1, dir2, pos1, pos2) that can explain the event, the one of least summed distance.
+
+    A position counts on the retained side up to reach beyond the gene's bound (beyond the breakpoint
+    for dummy genes), or up to slack on the other side. Upstream all first positions count (those
+    under bp1 + slack), downstream the nearest only, whatever its partners. On one contig a deletion's
+    positions lie between the breakpoints, one of an inversion's does, and those of a tandem
+    duplication under longest bases are nearer than that. Ties go to the first position nearest to
+    the event, then to the least pos2.
+
+    Events and variants meet in bins by both positions, so one contig pair isn't one task, and a
+    variant meets its surroundings only.
     """
-
-    def close(i: int) -> Column:
-        b, p = c(f"bp{i}"), c(f"pos{i}")
-        return F.when(c(f"dir{i}") == ev.DOWN, p.between(b - slack, b + reach)).otherwise(p.between(b - reach, b + slack))
-
-    v = variants.withColumns({f"__bin{i}": F.floor(c(f"pos{i}") / reach) for i in (1, 2)})
-    # the retained side reaches one way, and slack bases the other
-    low = lambda i: F.floor((c(f"bp{i}") - F.when(c(f"dir{i}") == ev.DOWN, slack).otherwise(reach)) / reach)
-    high = lambda i: F.floor((c(f"bp{i}") + F.when(c(f"dir{i}") == ev.DOWN, reach).otherwise(slack)) / reach)
-    e = events.select("event_id", "contig1", "contig2", "dir1", "dir2", "bp1", "bp2")
-    for i in (1, 2):
-        e = e.withColumn(f"__bin{i}", F.explode(F.sequence(low(i), high(i))))
-    hits = e.join(v, ["contig1", "contig2", "dir1", "dir2", "__bin1", "__bin2"]).where(close(1) & close(2))
+    keys, up1 = ["contig1", "contig2", "dir1", "dir2"], c("dir1") == ev.UP
+    v = variants.select(*keys, "pos1", "pos2").distinct()
+    low = lambda i: F.when(c(f"dir{i}") == ev.UP, F.when(c(f"g{i}_dummy"), c(f"bp{i}")).otherwise(c(f"g{i}_start")) - reach).otherwise(c(f"bp{i}") - slack)
+    high = lambda i: F.when(c(f"dir{i}") == ev.UP, c(f"bp{i}") + (slack - (i == 1))).otherwise(F.when(c(f"g{i}_dummy"), c(f"bp{i}")).otherwise(c(f"g{i}_end")) + reach)
+    e = events.select("event_id", *keys, "bp1", "bp2", ev.is_tandem_duplication(longest).alias("__itd"), *(f(i).alias(f"__{n}{i}") for i in (1, 2) for n, f in (("low", low), ("high", high))))
+    e = e.where("__low1 <= __high1 and __low2 <= __high2")
+    wide = {1: max(reach, 1), 2: max(10 * reach, 1)}
+    bins = lambda d, i: d.withColumn(f"__bin{i}", F.explode(F.sequence(F.floor(c(f"__low{i}") / wide[i]), F.floor(c(f"__high{i}") / wide[i]))))
+    v = v.withColumns({f"__bin{i}": F.floor(c(f"pos{i}") / wide[i]) for i in (1, 2)})
+    ahead = bins(e.where(~up1), 1).join(v.select(*keys, "__bin1", "pos1").distinct(), [*keys, "__bin1"]).where(c("pos1").between(c("__low1"), c("__high1")))
+    only = ahead.groupBy("event_id").agg(F.min("pos1").alias("__low1"))
+    e = e.where(up1).unionByName(e.where(~up1).drop("__low1", "__high1").join(only, "event_id").withColumn("__high1", c("__low1")))
+    between = (
+        F.when(c("contig1") != c("contig2"), True)
+        .when(up1 & (c("dir2") == ev.DOWN), ~c("__itd") | ((c("bp1") - c("pos1") < longest) & (c("pos2") - c("bp2") < longest)))
+        .when(~up1 & (c("dir2") == ev.UP), (c("pos1") < c("bp2")) & (c("pos2") > c("bp1")))
+        .when(up1, c("pos2") > c("bp1"))
+        .otherwise(c("pos1") < c("bp2"))
+    )
+    hits = bins(bins(e, 1), 2).join(v, [*keys, "__bin1", "__bin2"]).where(c("pos1").between(c("__low1"), c("__high1")) & c("pos2").between(c("__low2"), c("__high2")) & between)
     d = F.abs(c("pos1") - c("bp1")) + F.abs(c("pos2") - c("bp2"))
-    best = hits.groupBy("event_id").agg(F.min(F.struct(d.alias("d"), "pos1", "pos2")).alias("b"))
+    best = hits.groupBy("event_id").agg(F.min(F.struct(d.alias("d"), F.when(up1, -c("pos1")).otherwise(c("pos1")).alias("near"), "pos2", "pos1")).alias("b"))
     found = best.select("event_id", c("b.pos1").alias("gbp1"), c("b.pos2").alias("gbp2"), c("b.d").alias("gdist"))
     return events.join(found, "event_id", "left")
 

@@ -86,7 +86,7 @@ DEFAULT_SHARES = {"spliced": 10.0, "exonic": 65.0, "intronic": 10.0, "mixed": 15
 
 
 def evalue(df: DataFrame, mapped: int, shares: dict[str, float] | None = None) -> Column:
-    """Expected random events like this one. p1, p2: partners of the genes; l1, l2: exonic lengths; spliced_distance: within one gene.
+    """Expected random events like this one. p1, p2: partners of the genes; l1, l2: exonic lengths; spliced_distance: of intragenic events. Distances count for events with supporting reads only.
 
     shares: numbers of spliced, exonic, intronic and mixed events; of duplications and inversions; of
     same-gene and other events; read_through is their fraction. Defaults stand for too few events.
@@ -100,12 +100,12 @@ def evalue(df: DataFrame, mapped: int, shares: dict[str, float] | None = None) -
     down_up, up_down = ev.deletion_like(), (c("dir1") == ev.UP) & (c("dir2") == ev.DOWN)
     d = F.greatest(c("spliced_distance"), F.lit(1)).cast("double")
     inner = base * (2.0 / (x["dup"] + x["inv"])) * F.when(up_down, x["dup"]).when(same_dir, x["inv"]).otherwise(1.0)
-    inner = inner * F.when(s >= 1, F.pow(s - 0.42, -2.11) * 10**-1.11).otherwise(1.0)
-    inner = inner * F.when(d < 1000, F.pow(F.greatest(F.lit(400.0), d) / 1000, -2.0)).otherwise(1.0) * F.when(d < 400, F.pow(d / 400, -4.58)).otherwise(1.0)
+    near = F.when(d < 1000, F.pow(F.greatest(F.lit(400.0), d) / 1000, -2.0)).otherwise(1.0) * F.when(d < 400, F.pow(d / 400, -4.58)).otherwise(1.0)
+    inner = inner * F.when(s >= 1, F.pow(s - 0.42, -2.11) * 10**-1.11 * near).otherwise(1.0)
     inner = inner * max(1.0, x["same"] / 0.25 / x["different"])
     dist = F.greatest(ev.distance(), F.lit(1)) / 400_000
-    outer = base * F.when(s >= 1, F.pow(s - 0.73, -2.28) * 10**-1.75).otherwise(1.0)
-    outer = outer * F.when(ev.is_read_through(), F.pow(dist, -0.63)).when(ev.same_contig() & (ev.distance() < 400_000), F.pow(dist, -1.53)).otherwise(1.0)
+    far = F.when(ev.is_read_through(), F.pow(dist, -0.63)).when(ev.same_contig() & (ev.distance() < 400_000), F.pow(dist, -1.53)).otherwise(1.0)
+    outer = base * F.when(s >= 1, F.pow(s - 0.73, -2.28) * 10**-1.75 * far).otherwise(1.0)
     total = x["spliced"] + x["exonic"] + x["intronic"] + x["mixed"]
     place = (
         F.when(c("spliced1") | c("spliced2"), x["spliced"])

@@ -54,7 +54,7 @@ SELECT *, concat_ws(':', CAST(gene1 AS STRING), CAST(gene2 AS STRING), CAST(bp1
        (bp1 + bp2) % 3 = 0 AS ambiguous, bp1 % 2 = 0 AS strand1, bp2 % 2 = 0 AS strand2,
        gene1 * 7 % 50 AS x1, gene2 * 11 % 60 AS x2, bp1 % 3 AS clipped1, bp2 % 4 AS clipped2, gene1 % 10 AS neighbours,
        gene1 % 6 = 0 AS terminal1, gene2 % 6 = 1 AS terminal2, bp1 % 4 <> 0 AS side_covered1, bp2 % 3 <> 0 AS side_covered2,
-       gene1 % 2 = 0 AS same_coding_exon, (split1 + split2) * 4 AS all_split, 0.1 AS duplicate_rate,
+       gene1 % 2 = 0 AS same_coding_exon, (split1 + split2) * 4 AS all_split, listed_split % 3 AS spared_split1, listed_split % 2 AS spared_split2, 0.1 AS duplicate_rate,
        gene1 % 4 + 1 AS p1, gene2 % 5 + 1 AS p2, 1000 + gene1 * 10 AS l1, 2000 + gene2 * 10 AS l2, CAST((bp1 + bp2) % 3 AS INT) AS confidence
 FROM (SELECT gene1, gene2, contig1, contig2, bp1, bp2, dir1, dir2,
              CAST(count(CASE WHEN role = 'split1' AND fate = 'none' THEN 1 END) AS BIGINT) AS split1,
@@ -323,11 +323,12 @@ def genomic_support(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""SELECT event_id, CASE WHEN fate IN ('relative_support', 'intragenic_exonic', 'hairpin', 'inconsistently_clipped', 'mismatches') AND {ITD} AND same_coding_exon AND all_split >= 10
-    AND (all_split / greatest(greatest(cov1, cov2) * (1 - 0.1::DOUBLE), 1) > 0.07::DOUBLE OR all_split >= 300) THEN 'none' ELSE fate END AS fate FROM events_v"""
+    f"""SELECT event_id, CASE WHEN back THEN 'none' ELSE fate END AS fate, split1 + CASE WHEN back THEN spared_split1 ELSE 0 END AS split1, split2 + CASE WHEN back THEN spared_split2 ELSE 0 END AS split2 FROM (
+    SELECT *, fate IN ('relative_support', 'intragenic_exonic', 'hairpin', 'inconsistently_clipped', 'mismatches') AND {ITD} AND same_coding_exon AND all_split >= 10
+    AND (all_split / greatest(greatest(cov1, cov2) * (1 - 0.1::DOUBLE), 1) > 0.07::DOUBLE OR all_split >= 300) AS back FROM events_v)"""
 )
 def tandem_duplications(t: Tables) -> DataFrame:
-    return fates(ef.tandem_duplications(t.events.withColumn("duplicate_rate", F.lit(0.1).cast("double"))))
+    return ef.tandem_duplications(t.events.withColumn("duplicate_rate", F.lit(0.1).cast("double"))).select("event_id", "fate", "split1", "split2")
 
 
 # rankers and recoveries over groups
@@ -348,16 +349,30 @@ def select_best(t: Tables) -> DataFrame:
     return fates(ef.select_best(t.events))
 
 
+#: A scan of each key's events by breakpoints, whose counts change as it goes: one step of the recursion is one event.
+_NEAR = """x.i <> n AND abs(x.bp1 - me.bp1) <= 7 AND ((CASE WHEN dir1 = dir2 THEN x.bp1 + x.bp2 = me.bp1 + me.bp2 ELSE x.bp2 - x.bp1 = me.bp2 - me.bp1 END) OR (me.itd AND abs(x.bp2 - me.bp2) <= 7))
+      AND (x.s1 + x.s2 > 0 OR (me.itd AND x.listed > 0))"""
+
+
 @query(
-    """, live AS (SELECT *, CASE WHEN dir1 = dir2 THEN bp1 + bp2 ELSE bp2 - bp1 END AS line FROM events_v WHERE fate = 'none' AND split1 + split2 > 0),
-    best AS (SELECT a.event_id, sum(b.split1)::BIGINT AS s1, sum(b.split2)::BIGINT AS s2, arg_max(b.event_id, (b.split1 + b.split2 + b.disc, b.listed_split, -b.bp1)) AS winner FROM live a JOIN live b
-      ON a.gene1 = b.gene1 AND a.gene2 = b.gene2 AND a.dir1 = b.dir1 AND a.dir2 = b.dir2 AND a.contig1 = b.contig1 AND a.contig2 = b.contig2 AND a.line = b.line AND abs(a.bp1 - b.bp1) <= 7 GROUP BY a.event_id)
-    SELECT e.event_id, CASE WHEN winner IS NULL OR winner = e.event_id THEN e.fate ELSE 'merge_adjacent' END AS fate,
-      CASE WHEN winner = e.event_id THEN s1 ELSE e.split1 END AS split1, CASE WHEN winner = e.event_id THEN s2 ELSE e.split2 END AS split2
-    FROM events_v e LEFT JOIN best ON best.event_id = e.event_id"""
+    f""", scan AS (WITH RECURSIVE r AS (
+      SELECT gene1, gene2, dir1, dir2, contig1, contig2, 1 AS n, list({{'i': i, 'id': event_id, 'bp1': bp1, 'bp2': bp2, 's1': split1, 's2': split2, 'disc': disc, 'listed': listed_split, 'itd': itd, 'merged': false}} ORDER BY i) AS s
+      FROM (SELECT *, {ITD} AS itd, row_number() OVER (PARTITION BY gene1, gene2, dir1, dir2, contig1, contig2 ORDER BY bp1, bp2, event_id) AS i FROM events_v WHERE fate = 'none' OR {ITD}) GROUP BY ALL
+      UNION ALL
+      SELECT gene1, gene2, dir1, dir2, contig1, contig2, n + 1,
+        CASE WHEN (CASE WHEN me.itd THEN me.listed ELSE me.s1 + me.s2 END) > 0 AND len(list_filter(near, lambda x: x.s1 + x.s2 + x.disc > me.s1 + me.s2 + me.disc OR (x.s1 + x.s2 + x.disc = me.s1 + me.s2 + me.disc AND x.listed > me.listed))) = 0
+        THEN list_transform(s, lambda x: {{'i': x.i, 'id': x.id, 'bp1': x.bp1, 'bp2': x.bp2, 's1': x.s1 + CASE WHEN x.i = n THEN coalesce(list_sum(list_transform(near, lambda y: y.s1)), 0) ELSE 0 END::BIGINT,
+             's2': x.s2 + CASE WHEN x.i = n THEN coalesce(list_sum(list_transform(near, lambda y: y.s2)), 0) ELSE 0 END::BIGINT, 'disc': x.disc,
+             'listed': x.listed + CASE WHEN x.i = n AND me.itd THEN coalesce(list_sum(list_transform(near, lambda y: y.listed)), 0) ELSE 0 END::BIGINT, 'itd': x.itd,
+             'merged': x.merged OR list_contains(list_transform(near, lambda y: y.i), x.i)}})
+        ELSE s END
+      FROM (SELECT *, list_filter(s, lambda x: {_NEAR}) AS near FROM (SELECT *, s[n] AS me FROM r WHERE n <= len(s)))
+    ) SELECT unnest(s) AS x FROM r WHERE n = len(s) + 1)
+    SELECT event_id, CASE WHEN x.merged THEN 'merge_adjacent' ELSE fate END AS fate, coalesce(x.s1, split1) AS split1, coalesce(x.s2, split2) AS split2, coalesce(x.listed, listed_split) AS listed_split
+    FROM events_v LEFT JOIN scan ON x.id = event_id"""
 )
 def merge_adjacent_best(t: Tables) -> DataFrame:
-    return ef.merge_adjacent(t.events, 7).select("event_id", "fate", "split1", "split2")
+    return ef.merge_adjacent(t.events, 7).select("event_id", "fate", "split1", "split2", "listed_split")
 
 
 MANY = f"NOT {RT} AND (spliced1 OR spliced2) AND gene1 <> gene2 AND NOT {OVER}"
@@ -512,10 +527,10 @@ def partner_counts(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""SELECT event_id, round(ln(greatest(base * CASE WHEN {INTRA} THEN 2.0::DOUBLE / 2 * CASE WHEN {SUP} >= 1 THEN pow({SUP} - 0.42::DOUBLE, -2.11::DOUBLE) * pow(10::DOUBLE, -1.11::DOUBLE) ELSE 1 END
-        * CASE WHEN d < 1000 THEN pow(greatest(400.0::DOUBLE, d) / 1000, -2.0::DOUBLE) ELSE 1 END * CASE WHEN d < 400 THEN pow(d / 400, -4.58::DOUBLE) ELSE 1 END
-      ELSE CASE WHEN {SUP} >= 1 THEN pow({SUP} - 0.73::DOUBLE, -2.28::DOUBLE) * pow(10::DOUBLE, -1.75::DOUBLE) ELSE 1 END
-        * CASE WHEN {RT} THEN pow(greatest(bp2 - bp1, 1) / 400000::DOUBLE, -0.63::DOUBLE) WHEN contig1 = contig2 AND bp2 - bp1 < 400000 THEN pow(greatest(bp2 - bp1, 1) / 400000::DOUBLE, -1.53::DOUBLE) ELSE 1 END END
+    f"""SELECT event_id, round(ln(greatest(base * CASE WHEN {INTRA} THEN 2.0::DOUBLE / 2 * CASE WHEN {SUP} >= 1 THEN pow({SUP} - 0.42::DOUBLE, -2.11::DOUBLE) * pow(10::DOUBLE, -1.11::DOUBLE)
+        * CASE WHEN d < 1000 THEN pow(greatest(400.0::DOUBLE, d) / 1000, -2.0::DOUBLE) ELSE 1 END * CASE WHEN d < 400 THEN pow(d / 400, -4.58::DOUBLE) ELSE 1 END ELSE 1 END
+      ELSE CASE WHEN {SUP} >= 1 THEN pow({SUP} - 0.73::DOUBLE, -2.28::DOUBLE) * pow(10::DOUBLE, -1.75::DOUBLE)
+        * CASE WHEN {RT} THEN pow(greatest(bp2 - bp1, 1) / 400000::DOUBLE, -0.63::DOUBLE) WHEN contig1 = contig2 AND bp2 - bp1 < 400000 THEN pow(greatest(bp2 - bp1, 1) / 400000::DOUBLE, -1.53::DOUBLE) ELSE 1 END ELSE 1 END END
       * CASE WHEN spliced1 OR spliced2 THEN 10 WHEN exonic1 AND exonic2 THEN 65 WHEN NOT exonic1 AND NOT exonic2 THEN 10 ELSE 15 END * 0.04::DOUBLE, 1e-30)), 6) AS log_evalue
     FROM (SELECT *, greatest(spliced_distance, 1)::DOUBLE AS d, greatest(10000.0::DOUBLE / l1 * greatest(p1 - 1, 1), 10000.0::DOUBLE / l2 * greatest(p2 - 1, 1))
       * CASE WHEN {SUP} < 2 THEN 1 ELSE greatest(1.0::DOUBLE, 2.5::DOUBLE * pow(0.02::DOUBLE, {SUP} - 2)) END AS base FROM events_v)"""
@@ -768,10 +783,17 @@ VARIANTS = "SELECT o_orderkey % 4 AS contig1, o_custkey % 4 AS contig2, CASE WHE
 
 
 @query(
-    f""", v AS ({VARIANTS.replace("{orders}", "orders")}), h AS (SELECT event_id, min((abs(pos1 - bp1) + abs(pos2 - bp2), pos1, pos2)) AS b FROM events_v e JOIN v ON v.contig1 = e.contig1 AND v.contig2 = e.contig2 AND v.dir1 = e.dir1 AND v.dir2 = e.dir2
-      AND CASE WHEN e.dir1 = 'downstream' THEN pos1 BETWEEN bp1 - 5 AND bp1 + 100000 ELSE pos1 BETWEEN bp1 - 100000 AND bp1 + 5 END
-      AND CASE WHEN e.dir2 = 'downstream' THEN pos2 BETWEEN bp2 - 5 AND bp2 + 100000 ELSE pos2 BETWEEN bp2 - 100000 AND bp2 + 5 END GROUP BY event_id)
-    SELECT e.event_id, b[2] AS gbp1, b[3] AS gbp2, b[1] AS gdist FROM events_v e LEFT JOIN h USING (event_id)"""
+    f""", v AS ({VARIANTS.replace("{orders}", "orders")}),
+    e AS (SELECT *, dir1 = 'upstream' AS up1, CASE WHEN g1_dummy THEN bp1 ELSE g1_start END - 100000 AS lo1, CASE WHEN g1_dummy THEN bp1 ELSE g1_end END + 100000 AS hi1,
+      CASE WHEN g2_dummy THEN bp2 ELSE g2_start END - 100000 AS lo2, CASE WHEN g2_dummy THEN bp2 ELSE g2_end END + 100000 AS hi2 FROM events_v),
+    ahead AS (SELECT event_id, min(pos1) AS first_ FROM e JOIN v USING (contig1, contig2, dir1, dir2) WHERE NOT up1 AND pos1 >= bp1 - 5 GROUP BY event_id),
+    h AS (SELECT event_id, min((abs(pos1 - bp1) + abs(pos2 - bp2), CASE WHEN up1 THEN -pos1 ELSE pos1 END, pos2, pos1)) AS b FROM e LEFT JOIN ahead USING (event_id) JOIN v USING (contig1, contig2, dir1, dir2)
+      WHERE CASE WHEN up1 THEN pos1 >= lo1 AND pos1 < bp1 + 5 ELSE pos1 = first_ AND pos1 <= hi1 END
+        AND CASE WHEN dir2 = 'upstream' THEN pos2 BETWEEN lo2 AND bp2 + 5 ELSE pos2 BETWEEN bp2 - 5 AND hi2 END
+        AND CASE WHEN contig1 <> contig2 THEN true WHEN up1 AND dir2 = 'downstream' THEN NOT {ITD} OR (bp1 - pos1 < 100 AND pos2 - bp2 < 100)
+          WHEN NOT up1 AND dir2 = 'upstream' THEN pos1 < bp2 AND pos2 > bp1 WHEN up1 THEN pos2 > bp1 ELSE pos1 < bp2 END
+      GROUP BY event_id)
+    SELECT e.event_id, b[4] AS gbp1, b[3] AS gbp2, b[1] AS gdist FROM events_v e LEFT JOIN h USING (event_id)"""
 )
 def nearest_sv(t: Tables) -> DataFrame:
     return pivot.nearest_variant(t.events.drop("gbp1", "gbp2"), t.spark.sql(VARIANTS, orders=t.table("orders"))).select("event_id", "gbp1", "gbp2", "gdist")

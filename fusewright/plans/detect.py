@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cigar
@@ -21,6 +21,8 @@ from ..sources import bam, sinks, text
 c = F.col
 
 
+#: Fates of split reads that tandem duplications get back.
+SPARED = ("hairpin", "inconsistently_clipped", "mismatches")
 #: Options of steps that detect() doesn't call yet; other values than the defaults are refused.
 IDLE = ("mismappers", "homologs", "mismatch_p", "quantile")
 
@@ -213,7 +215,8 @@ def detect(spark: SparkSession, alignments: str, annotation: str, opt: Options =
     per = own.groupBy("event_id").agg(
         F.sum(F.when((c("fate") == fate.NONE) & ~c("multimapper"), 1).otherwise(0)).alias("unique_reads"),
         F.sum(F.when((c("fate") == fate.NONE) & (c("exonic1") | c("exonic2")), 1).otherwise(0)).alias("exonic_reads"),
-        F.sum(F.when((c("role") != "discordant") & c("fate").isin(fate.NONE, "hairpin", "inconsistently_clipped", "mismatches"), 1).otherwise(0)).alias("all_split"),
+        F.sum(F.when((c("role") != "discordant") & c("fate").isin(fate.NONE, *SPARED), 1).otherwise(0)).alias("all_split"),
+        *(F.sum(F.when((c("role") == f"split{i}") & c("fate").isin(*SPARED), 1).otherwise(0)).alias(f"spared_split{i}") for i in (1, 2)),
         F.array_join(F.array_sort(F.collect_set("read_group")), ",").alias("read_identifiers"),
     )
     votes = stats.strand_vote(own.select("event_id", "role", "forward", c("fate").alias("read_fate")))
@@ -232,9 +235,9 @@ def detect(spark: SparkSession, alignments: str, annotation: str, opt: Options =
         e = e.withColumn("gbp1", F.lit(None).cast("int")).withColumn("gbp2", F.lit(None).cast("int"))
     else:
         v = variants.select(*[f"{x}{i}" for x in ("contig", "pos", "dir") for i in (1, 2)])
-        e = pivot.nearest_variant(e, v, opt.sv_distance)
+        e = pivot.nearest_variant(e, v, opt.sv_distance, longest=opt.itd_length)
     if opt.on("merge_adjacent"):
-        e = ef.merge_adjacent(e).checkpoint()
+        e = ef.merge_adjacent(e, longest=opt.itd_length).checkpoint()
     partners = stats.partner_counts(e)
     for i in (1, 2):
         e = e.join(partners.select(c("gene").alias(f"gene{i}"), c("partners").alias(f"p{i}")), f"gene{i}", "left").fillna(1, [f"p{i}"])
@@ -295,7 +298,3 @@ def discarded(events: DataFrame) -> DataFrame:
 def remaining(events: DataFrame) -> DataFrame:
     """How many events each step discarded."""
     return events.groupBy("fate").agg(F.count("*").alias("events")).orderBy(c("events").desc(), "fate")
-
-
-def numbered_genes(genes: DataFrame) -> DataFrame:
-    return genes.withColumn("number", F.row_number().over(Window.orderBy("contig", "end", "start", "id")))

@@ -43,7 +43,7 @@ def parse_bindings(text: str) -> dict[str, str]:
 
 def fasta(spark: SparkSession, path: str, interesting: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """contig, original_name, length, chunk_no, start (0-based), seq: upper-case chunks that overlap, so no row of a join holds a whole contig."""
-    d = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
+    d = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value")).where(F.trim("value") != "")
     d = d.select(F.regexp_extract("value", r"^(\S+)", 1).alias("original_name"), F.upper(F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "")).alias("seq"))
     d = d.withColumn("contig", sq.strip_chr(c("original_name"))).withColumn("length", F.length("seq"))
     if interesting:
