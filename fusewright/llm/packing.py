@@ -61,6 +61,13 @@ _ASSUMED = {
 _encoders: dict[str, "WordEncoder"] = {}
 
 
+def splits_as_assumed(path: str) -> bool:
+    """Whether a vocabulary file normalises and splits as words are here."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    return all(told.get(k) == v for k, v in _ASSUMED.items()) and told["model"].get("end_of_word_suffix") == "</w>" and all("<|" in x["content"] for x in told["added_tokens"])
+
+
 class WordEncoder(dict):
     """Ids of texts, by words: the vocabulary's own splitting never crosses white space, so a word's ids hold anywhere.
 
@@ -70,14 +77,13 @@ class WordEncoder(dict):
     vocabulary whole. A full memory is emptied between texts.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, by_words: bool = True):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.merges = self.tokenizer.model.tokenize
-        told = json.loads(self.tokenizer.to_str())
-        self.by_words = all(told.get(k) == v for k, v in _ASSUMED.items()) and told["model"].get("end_of_word_suffix") == "</w>" and all("<|" in x["content"] for x in told["added_tokens"])
+        self.by_words = by_words
         self.forget()
 
     def forget(self) -> None:
@@ -86,9 +92,9 @@ class WordEncoder(dict):
         self.keep(_LINE, ())
 
     @staticmethod
-    def of(path: str) -> WordEncoder:
+    def of(path: str, by_words: bool = True) -> WordEncoder:
         if path not in _encoders:
-            _encoders[path] = WordEncoder(path)
+            _encoders[path] = WordEncoder(path, by_words)
         return _encoders[path]
 
     def whole(self, text: str) -> np.ndarray:
@@ -227,9 +233,9 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
 
 
-def _packer(path: str, window: int, end: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _packer(path: str, window: int, end: int, by_words: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder.of(path)
+        encoder = WordEncoder.of(path, by_words)
         tenant(f"packing {path}", encoder.forget)
         next_id, docs, held = TaskContext.get().partitionId() << 40, [], 0
         for b in slices(batches, 1):
@@ -262,4 +268,5 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, e
     Empty table: empty result. Other columns are ignored, whatever their names. Any vocabulary file of tokenizers gives
     its own ids; only those that split as _ASSUMED says are remembered by words.
     """
-    return docs.select("doc_id", "text").mapInArrow(_packer(vocabulary or default_vocabulary(), window, end), SCHEMA)
+    path = vocabulary or default_vocabulary()
+    return docs.select("doc_id", "text").mapInArrow(_packer(path, window, end, splits_as_assumed(path)), SCHEMA)

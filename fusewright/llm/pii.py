@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import string
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
@@ -68,21 +69,25 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-#: Generators: kind and pattern, wider than the base ones. Runs are entered at their start only, so that long ones cost no more than their length.
+#: Generators: kind and pattern, wider than the base ones (mail_words is a function). Runs are entered at their start only, so that long ones cost no more than their length.
 GENERATORS = (
-    ("mail_words", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+ ?[\[({<]? ?(?i:\bat\b|(?<=\s)@(?=\s)) ?[\])}>]? ?[A-Za-z0-9-]+(?: ?[\[({<]? ?(?i:\bdot\b) ?[\])}>]? ?[A-Za-z0-9-]{2,})+")),
+    ("mail_words", None),
     ("digits", re.compile(r"(?<![\w.])[+(]?[0-9](?:[ ()./-]{0,3}[0-9]){6,}(?![\w])")),
     ("iban", re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")),
     ("hexpairs", re.compile(r"(?<![\w:-])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![\w:-])")),
     ("ipv6", re.compile(r"(?<![\w:.])(?=[0-9A-Fa-f]*:)(?!(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![\w:]))(?:[0-9A-Fa-f]{1,4})?(?:::?[0-9A-Fa-f]{1,4}){2,8}(?:::)?(?![\w:])")),
 )
+#: A mail address in words grows from its "at": labels end before the next "at" or "dot", so no run is read twice.
 _MAIL_HINT = re.compile(r"\bdot\b", re.IGNORECASE)
+_AT = re.compile(r"(?i:\bat\b)|(?<=\s)@(?=\s)")
+_LABEL = r"(?:(?!(?i:\b(?:at|dot)\b))[A-Za-z0-9-])"
+_AFTER = re.compile(rf" ?[\])}}>]? ?{_LABEL}++(?: ?[\[({{<]? ?(?i:\bdot\b) ?[\])}}>]? ?{_LABEL}{{2,}}+)+")
+_BEFORE = re.compile(r"[A-Za-z0-9._%+-]")
 #: Words before a span that speak for and against personal data.
 FOR = frozenset("phone tel telephone mobile cell call fax contact reach text whatsapp email mail mailto write ssn social passport iban account card visa mastercard born dob device mac".split())
 AGAINST = frozenset("version isbn order invoice ref page pages figure eq section model build serial price total sku part date year years km mb id".split())
 TLDS = "com org net edu gov io de fr es it uk eu info".split()
 _CONTEXT = re.compile(r"[A-Za-z]+")
-_LAST = re.compile(r"[A-Za-z]*$")
 FEATURES = (
     "kind", "length", "digits", "groups", "longest_group", "shortest_group", "spaces", "dashes", "dots", "brackets", "plus", "luhn", "ssn_shape", "phone_shape",
     "year_first", "distinct_digits", "for", "against", "letters", "currency", "percent", "iban_check", "colons", "dates", "bracketed", "tld",
@@ -105,15 +110,36 @@ def features(text: str, kind: int, a: int, b: int) -> list[float]:
         kind, b - a, len(digits), len(groups), max(sizes), min(sizes), s.count(" "), s.count("-"), s.count("."), s.count("(") + s.count("["), s.count("+"),
         bool(digits) and luhn(digits), sizes == [3, 2, 4], sizes in ([3, 3, 4], [3, 4], [2, 4, 4], [1, 3, 3, 4], [4, 3, 3], [2, 2, 2, 2, 2]), digits[:2] in ("19", "20") and sizes[0] == 4,
         len(set(digits)), sum(w in FOR for w in before), sum(w in AGAINST for w in before), sum(c.isalpha() for c in s), any(c in around for c in "$€£"), "%" in around,
-        kind == 2 and iban_check(s), s.count(":"), sum(1900 <= int(g) <= 2040 for g in groups if len(g) == 4), sum(c in "[({<" for c in s), _LAST.search(s).group().lower() in TLDS,
+        kind == 2 and iban_check(s), s.count(":"), sum(1900 <= int(g) <= 2040 for g in groups if len(g) == 4), sum(c in "[({<" for c in s), s[len(s.rstrip(string.ascii_letters)) :].lower() in TLDS,
     ]
 
 
+def mail_words(text: str) -> Iterator[tuple[int, int]]:
+    """Spans like "name at host dot com", brackets and blanks about the words allowed, in linear time."""
+    last = 0
+    if not _MAIL_HINT.search(text):
+        return
+    for m in _AT.finditer(text):
+        if m.start() < last or not (after := _AFTER.match(text, m.end())):
+            continue
+        a = m.start()
+        a -= a > last and text[a - 1] == " "
+        a -= a > last and text[a - 1] in "[({<"
+        a -= a > last and text[a - 1] == " "
+        end = a
+        while a > last and _BEFORE.match(text, a - 1):
+            a -= 1
+        if a < end:
+            last = after.end()
+            yield a, last
+
+
 def candidates(text: str) -> list[tuple[int, int, int]]:
     """(generator, start, end), overlapping ones too."""
     out = []
     for k, (kind, pattern) in enumerate(GENERATORS):
-        if kind == "mail_words" and not _MAIL_HINT.search(text):
+        if pattern is None:
+            out += [(k, *x) for x in mail_words(text)]
             continue
         out += [(k, *m.span()) for m in pattern.finditer(text)]
     return out
@@ -252,8 +278,9 @@ SCHEMA = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone big
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """Per row of docs: doc_id, counts of the base kinds, base_sha256, spans.
 
-    Null and empty texts have no spans. Whole texts are scanned, however long. Repeated rows give equal results;
-    null doc_id stays null. Empty table: empty result. Other columns are ignored.
+    Null and empty texts have no spans. Whole texts are scanned, however long, in linear time. Spans may overlap; those
+    that begin at one place go by kind as listed, and of one kind's candidates the first one counts. Repeated rows give
+    equal results; null doc_id stays null. Empty table: empty result. Other columns are ignored, whatever their names.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model or learn())
 

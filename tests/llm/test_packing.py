@@ -116,4 +116,4 @@ def test_another_vocabulary(spark):
             assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
             at += r.length
         assert at == len(ids)
-    assert packing.WordEncoder.of(public_tokenizers.path("word_bpe_49k.json")).by_words and not packing.WordEncoder.of(path).by_words
+    assert packing.splits_as_assumed(public_tokenizers.path("word_bpe_49k.json")) and not packing.splits_as_assumed(path)

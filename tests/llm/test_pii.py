@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 
@@ -100,3 +101,13 @@ def test_redacted():
     m = pii.learn()
     assert pii.redacted("write a@b.c or +1 (743) 555-3824.", m) == "write [email] or [phone]."
     assert pii.redacted("clean", m) == "clean"
+
+
+def test_long_runs_are_linear():
+    model = pii.learn()
+    for text in ("a" * 1_000_000 + " at foo dot com", "x" + "-at-b" * 200_000 + " dot com", "-at-b" * 200_000, "a at " * 200_000 + "b dot com", "1 " * 500_000 + "x"):
+        began = time.time()
+        pii.all_spans(text, model)
+        assert time.time() - began < 6
+    assert [text[a:b] for text in ["write jane [at] mail (dot) example dot org now"] for a, b in pii.mail_words(text)] == ["jane [at] mail (dot) example dot org"]
+    assert list(pii.mail_words("x-at-y-at-b dot com")) == [(0, 19)]

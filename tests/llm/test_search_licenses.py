@@ -1,5 +1,7 @@
 import pytest
 import random
+import re
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -167,7 +169,7 @@ MORE = {
     "Zlib": "This software is provided 'as-is', without any express or implied warranty. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it.",
     "Unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, in any form.",
     "BSL-1.0": "Distributed under the Boost Software License, Version 1.0.",
-    "EPL": "All content is made available under the terms of the Eclipse Public License v2.0.",
+    "EPL-2.0": "All content is made available under the terms of the Eclipse Public License v2.0.",
     "BSD": "This code is released under the BSD 3-Clause License.",
     "CC-BY-SA": "This text is licensed under CC BY-SA 4.0.",
     "CC-BY-ND": "This text is licensed under Creative Commons Attribution-NoDerivatives 4.0.",
@@ -188,3 +190,71 @@ def test_more_licences(name):
 
 def test_every_licence_has_a_family():
     assert {n for n, _ in licenses.RULES} == set(licenses.FAMILY) and {w for _, ws in licenses.RULES for w in ws} <= {k for k, _ in licenses.SENTENCES}
+
+
+TAGGED = {
+    "# SPDX-License-Identifier: MIT": "MIT",
+    "License: BSD-3-Clause\nmore words": "BSD-3-Clause",
+    "/* SPDX-License-Identifier: (GPL-2.0-or-later OR MIT) */": "GPL-2.0-or-later,MIT",
+    "This file is licensed under GPL-2.0-or-later.": "GPL-2.0-or-later",
+    "Released under the Artistic License 2.0.": "Artistic-2.0",
+    "Licensed under the EUPL version 1.2 or later.": "EUPL-1.2",
+    "Licensed under CC BY-NC-ND 4.0.": "CC-BY-NC-ND-4.0",
+    "Distributed under the GNU Lesser General Public License version 2.1.": "LGPL-2.1",
+    "Distributed under the GNU Lesser General Public License version 3.": "LGPL-3.0",
+    "made available under the Eclipse Public License 2.0": "EPL-2.0",
+    "made available under the Eclipse Public License v1.0": "EPL-1.0",
+    "Code under the terms of the LGPL-2.1-only is fine": "",
+    "My driving license: B. The license: none. License: see below.": "",
+    "It was released under pressure 3 times; mitigation is simple.": "",
+}
+
+
+def test_tags_and_references_by_identifier():
+    for t, want in TAGGED.items():
+        known = licenses.identify(t)
+        assert ",".join(n for n, _, _ in licenses.match([k for k, _, _ in known])) == want, t
+        assert all(0 <= a < b <= len(t) for _, a, b in known)
+
+
+def slow_identify(text):
+    """Each sentence and line against the patterns as they are written, by full matches of all readings."""
+    wrapped = [(k, re.compile(next(f"{lead}({p[len(own):].replace(' ', '[ ' + chr(10) + ']')})" for own, lead in ((".*", ".*?"), ("(?:.* )?", "(?:.*?[ \n])?"), ("", "(?:.*?\n)?")) if p.startswith(own)), re.DOTALL)) for k, p in licenses.SENTENCES]
+    plain = [(k, re.compile(p)) for k, p in licenses.SENTENCES]
+    found = []
+    for a, b in licenses.pieces(text, re.compile(r"[.!?;:](?=\s|$)|\n\s*\n"), 0, len(text)):
+        own = []
+        for p, q in licenses.pieces(text, re.compile(r"\n(?=\S)"), a, b):
+            k = next((k for k, x in plain if x.fullmatch(licenses.normalised(text[p:q]))), None)
+            own += [(k, p, q)] if k else []
+        starts, lines, at = [], [], a
+        for line in text[a:b].split("\n"):
+            if licenses.normalised(line):
+                starts.append(at)
+                lines.append(licenses.normalised(line))
+            at += len(line) + 1
+        joined = "\n".join(lines)
+        hit = next(((k, m) for k, x in wrapped if (m := x.fullmatch(joined))), None) if len(lines) > 1 else None
+        if hit:
+            whole = (hit[0], starts[joined.count("\n", 0, hit[1].start(1))], b)
+            if not any(k == whole[0] and p <= whole[1] < q for k, p, q in own):
+                own = sorted([x for x in own if not x[1] <= whole[1] < x[2]] + [whole], key=lambda x: x[1])
+        found += own
+    return found
+
+
+def test_identify_by_full_matches():
+    rng = random.Random(8)
+    bits = ["Released under the MIT License", "the software is provided", "as is", "by someone", "without any", "Permission is hereby granted free of charge to any person obtaining a copy of this software", "and more", "All rights reserved",
+            "redistribution and use in source and binary forms", "with changes are permitted provided", "This program is distributed in the hope that it will be useful but without any warranty", "gnu general public license version 2", "licensed under the", "GNU General Public License version 3 of it", "Apache License", "2 0",
+            "You may obtain a copy of the license at", "You may not use this file except in compliance with the license", "Mozilla Public License v 2 0", "subject to the terms of the", "dedicated to the public domain", "words"]
+    for _ in range(1500):
+        text = "".join(rng.choice(bits) + rng.choice([" ", " ", "\n", "\n", ". ", "\n\n", ": "]) for _ in range(rng.randint(1, 9)))
+        assert licenses.identify(text) == slow_identify(text), text
+
+
+def test_a_long_passage_without_sentence_ends_is_linear():
+    began = time.time()
+    for text in ("this software is provided by x\n" * 33_000, "this software is provided by x " * 33_000, "licensed under the " * 55_000):
+        licenses.identify(text)
+    assert time.time() - began < 20
