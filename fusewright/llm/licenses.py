@@ -173,7 +173,7 @@ def normalised(sentence: str) -> str:
 
 
 _BY_NAME = {k.lower(): k for ids in IDENTIFIERS.values() for k in ids.split()}
-_BY_WORDS = {normalised(k) + (" or later" if k.endswith("+") else ""): k for k in _BY_NAME.values()}
+_BY_WORDS = {normalised(k): k for k in _BY_NAME.values() if not k.endswith("+")}
 #: Plain names as prose has them keep the rules' names for them.
 for _k in ("MIT", "ISC", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", *(f"CC-{k}-{v}.0" for k in ("BY", "BY-SA", "BY-NC", "BY-ND") for v in "34")):
     del _BY_WORDS[normalised(_k)]
