@@ -219,7 +219,7 @@ def test_tags_and_references_by_identifier():
 
 def slow_identify(text):
     """Each sentence and line against the patterns as they are written, by full matches of all readings."""
-    wrapped = [(k, re.compile(next(f"{lead}({p[len(own):].replace(' ', '[ ' + chr(10) + ']')})" for own, lead in ((".*", ".*?"), ("(?:.* )?", "(?:.*?[ \n])?"), ("", "(?:.*?\n)?")) if p.startswith(own)), re.DOTALL)) for k, p in licenses.SENTENCES]
+    wrapped = [(k, re.compile(next(f"{lead}({p[len(own):].replace(' ', '[ ' + chr(10) + ']')})" for own, lead in ((".*", ".*?"), ("(?:.* )?", "(?:.*?[ \n])??"), ("", "(?:.*?\n)??")) if p.startswith(own)), re.DOTALL)) for k, p in licenses.SENTENCES]
     plain = [(k, re.compile(p)) for k, p in licenses.SENTENCES]
     found = []
     for a, b in licenses.pieces(text, re.compile(r"[.!?;:](?=\s|$)|\n\s*\n"), 0, len(text)):
