@@ -82,3 +82,39 @@ def has_long_gap(ops: Column, deletion: Column, least: int = 700_000, most: int
         return (op["op"] == "N") & long & (side(F.reverse(F.slice(ops, F.lit(1), i))) <= short) & (side(F.slice(ops, i + 2, size)) <= short)
 
     return F.exists(places, bad)
+
+
+def text(ops: Column) -> Column:
+    """The CIGAR string of operations."""
+    return F.array_join(F.transform(ops, lambda x: F.concat(x["len"].cast("string"), x["op"])), "")
+
+
+def spanning_intron(start: Column, ops: Column, end1: Column, start2: Column) -> Column:
+    """The first skip that spans the end of one gene or the start of the next: struct of i (its place, null without one), q (bases of the read before it), at and after (where it begins and what follows).
+
+    A fold over the operations; fewer than three have no skip between others.
+    """
+    state = F.struct(F.lit(0).alias("k"), start.cast("int").alias("at"), F.lit(0).alias("q"), F.lit(None).cast("struct<i:int,q:int,at:int,after:int>").alias("hit"))
+
+    def step(a: Column, x: Column) -> Column:
+        after = (a["at"] + F.when(x["op"].isin(*REFERENCE), x["len"]).otherwise(F.lit(0))).cast("int")
+        spans = ((a["at"] <= end1) & (after > end1)) | ((a["at"] < start2) & (after >= start2))
+        found = F.when(a["hit"].isNull() & (x["op"] == "N") & spans, F.struct(a["k"].alias("i"), a["q"].alias("q"), a["at"].alias("at"), after.alias("after")))
+        q = (a["q"] + F.when(x["op"].isin(*QUERY), x["len"]).otherwise(F.lit(0))).cast("int")
+        return F.struct((a["k"] + 1).alias("k"), after.alias("at"), q.alias("q"), F.coalesce(a["hit"], found).alias("hit"))
+
+    return F.when(F.size(ops) >= 3, F.aggregate(ops, state, step)["hit"])
+
+
+def _clip(beside: Column, length: Column) -> Column:
+    return F.array(F.struct(F.when(beside["op"] == "H", F.lit("H")).otherwise(F.lit("S")).alias("op"), length.cast("int").alias("len")))
+
+
+def from_intron(ops: Column, hit: Column) -> Column:
+    """What follows the skip, with all before it clipped."""
+    return F.concat(_clip(F.get(ops, F.lit(0)), hit["q"]), F.slice(ops, hit["i"] + 2, F.size(ops)))
+
+
+def to_intron(ops: Column, hit: Column, read_length: Column) -> Column:
+    """What precedes the skip, with all after it clipped."""
+    return F.concat(F.slice(ops, F.lit(1), hit["i"]), _clip(F.try_element_at(ops, F.lit(-1)), read_length - hit["q"]))

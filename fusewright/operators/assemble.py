@@ -85,23 +85,51 @@ def disjoint(df: DataFrame, least: int = 10) -> DataFrame:
 
 
 def read_through(seg: DataFrame, genes: DataFrame) -> DataFrame:
-    """Proper pairs whose ends lie in different genes, as discordant pairs (forward mate first). genes: (contig, start, end, id)."""
-    from .intervals import point_join
-
-    p = seg.where(~c("supplementary") & c("paired") & c("proper"))
-    f = p.where("strand").select("read_key", "read_group", *[c(x).alias(f"m1_{x}") for x in FIELDS])
-    r = p.where("not strand").select("read_key", *[c(x).alias(f"m2_{x}") for x in FIELDS])
-    pair = f.join(r, "read_key").where("m1_contig = m2_contig and m1_start < m2_end")
+    """Fragments of proper alignments that begin and end in different genes, in the columns of reads(). genes: (contig, start, end, id).
 
-    def at(side: str, pos: str) -> DataFrame:
-        pts = pair.select("read_key", c(f"{side}_contig").alias("contig"), c(f"{side}_{pos}").alias("pos"))
-        return point_join(pts, genes).groupBy("read_key").agg(F.array_sort(F.collect_set("id")).alias(f"__{side}"))
+    A mate with a skip that spans the end of the first gene or the start of the second becomes a split
+    read and its supplementary, cut at the skip; if both mates have one, the mate whose anchor behind
+    the skip is longer is split, and the other is clipped at its skip. Without a skip, mates that lie
+    each within their genes are a discordant pair; mates that merely reach out of a gene are left out.
+    Of a fragment only its ends are shuffled and looked up; its segments are joined once it has passed.
+    """
+    from .intervals import point_join
 
-    d = pair.join(at("m1", "start"), "read_key", "left").join(at("m2", "end"), "read_key", "left")
-    none = F.array().cast("array<bigint>")
-    a, b = F.coalesce("__m1", none), F.coalesce("__m2", none)
-    d = d.where((F.size(a) + F.size(b) > 0) & ~F.arrays_overlap(a, b))
-    return d.drop("__m1", "__m2").withColumn("is_split", F.lit(False)).withColumn("fate", F.lit("none"))
+    own = route(seg)
+    ends = own.groupBy("read_key").agg(
+        F.max(c("route") != "proper").alias("__odd"), F.first("contig").alias("contig"), F.count(F.when(c("strand"), 1)).alias("__f"), F.count(F.when(~c("strand"), 1)).alias("__r"),
+        F.min(F.when(c("strand"), c("start"))).alias("fs"), F.max(F.when(c("strand"), c("end"))).alias("fe"), F.min(F.when(~c("strand"), c("start"))).alias("rs"), F.max(F.when(~c("strand"), c("end"))).alias("re"),
+        F.max("paired").alias("__paired"),
+    )
+    ends = ends.where("not __odd and ((__paired and __f = 1 and __r = 1) or (not __paired and __f + __r = 1))")
+    points = ends.select("read_key", "contig", F.explode(F.array(F.struct(F.lit("f").alias("side"), F.coalesce("fs", "rs").alias("pos")), F.struct(F.lit("r").alias("side"), (F.coalesce("re", "fe") + 1).alias("pos")))).alias("p")).select("read_key", "contig", "p.*")
+    of = lambda side, what: F.when(c("side") == side, what)
+    g = point_join(points, genes.select("contig", c("start").alias("g_start"), c("end").alias("g_end"), "id"), start="g_start", end="g_end")
+    g = g.groupBy("read_key").agg(
+        F.collect_set(of("f", c("id"))).alias("__fg"), F.collect_set(of("r", c("id"))).alias("__rg"), F.max(of("f", c("g_end"))).alias("__e"), F.min(of("r", c("g_start"))).alias("__s"),
+    ).where(~F.arrays_overlap("__fg", "__rg"))
+    g = g.select("read_key", F.coalesce("__e", c("__s") - 1).cast("int").alias("end1"), F.coalesce("__s", c("__e") + 1).cast("int").alias("start2"))
+    passed = ends.select("read_key", "__paired").join(g, "read_key")
+    side = lambda p, forward: F.first(F.when(c("strand") == forward, F.struct(*(c(x) for x in FIELDS))), ignorenulls=True).alias(p)
+    d = own.join(passed, "read_key").groupBy("read_key", "read_group", "__paired", "end1", "start2").agg(side("f", True), side("r", False), F.max("dup_flag").alias("dup_flag"))
+    hit = lambda p: cigar.spanning_intron(c(f"{p}.start"), c(f"{p}.ops"), c("end1"), c("start2"))
+    d = d.withColumns({"fh": hit("f"), "rh": hit("r")})
+    forward = c("fh").isNotNull() & (c("rh").isNull() | (c("fh.q") < F.length("r.seq") - c("rh.q")))
+    d = d.withColumn("kind", F.when(forward, F.lit("forward")).when(c("rh").isNotNull(), F.lit("reverse")).when((c("r.start") >= c("start2")) & (c("f.end") + 1 <= c("end1")), F.lit("pair"))).where("kind is not null")
+    whole = lambda p: F.struct(*(c(f"{p}.{x}").alias(x) for x in FIELDS))
+    after = lambda p: whole(p).withField("start", c(f"{p}h.after")).withField("ops", cigar.from_intron(c(f"{p}.ops"), c(f"{p}h")))
+    before = lambda p: whole(p).withField("end", c(f"{p}h.at") - 1).withField("ops", cigar.to_intron(c(f"{p}.ops"), c(f"{p}h"), F.length(c(f"{p}.seq"))))
+    kind, single = c("kind"), ~c("__paired")
+    d = d.withColumns(
+        {
+            "m2": F.when(kind == "forward", after("f")).when(kind == "reverse", before("r")).otherwise(whole("r")),
+            "sp": F.when(kind == "forward", before("f")).when(kind == "reverse", after("r")),
+            "m1": F.when(kind == "pair", whole("f")).when(kind == "forward", F.when(c("rh").isNotNull(), after("r")).otherwise(whole("r"))).otherwise(F.when(c("fh").isNotNull(), before("f")).otherwise(whole("f"))),
+        }
+    )
+    # a single-ended read's first mate is a copy that faces the split read
+    d = d.withColumn("m1", F.when(single, c("m2").withField("strand", ~c("m2.strand"))).otherwise(c("m1")))
+    return d.select("read_key", "read_group", (kind != "pair").alias("is_split"), (single & (kind != "pair")).alias("single_end"), "dup_flag", *[c(f"{p}.{f}").alias(f"{p}_{f}") for p in ("m1", "m2", "sp") for f in FIELDS], F.lit("none").alias("fate"))
 
 
 def tandem_duplications(clips: DataFrame, longest: int = 100) -> DataFrame:

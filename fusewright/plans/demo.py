@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import events as ev
 from ..functions import sequence as sq
+from ..functions import cigar
 from ..operators import event_filters as ef
 from ..operators import fate, intervals, pivot, rules, stats
 from ..operators import read_filters as rf
@@ -331,6 +332,31 @@ def tandem_duplications(t: Tables) -> DataFrame:
     return ef.tandem_duplications(t.events.withColumn("duplicate_rate", F.lit(0.1).cast("double"))).select("event_id", "fate", "split1", "split2")
 
 
+#: Gapped alignments of lineitem rows, with the bounds of two genes.
+GAPPED = """SELECT concat_ws('.', CAST(l_orderkey AS STRING), CAST(l_linenumber AS STRING), CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING)) AS read_key, l_partkey % 50 * 10 AS start,
+  concat(CASE WHEN l_orderkey % 3 = 0 THEN CAST(l_linenumber AS STRING) || 'S' WHEN l_orderkey % 7 = 0 THEN '4H' ELSE '' END, CAST(10 + l_suppkey % 30 AS STRING), 'M', CAST(100 + l_orderkey % 40 * 10 AS STRING), CASE WHEN l_partkey % 5 = 0 THEN 'D' ELSE 'N' END,
+    CAST(5 + l_partkey % 20 AS STRING), 'M', CASE WHEN l_suppkey % 2 = 0 THEN '3I' || CAST(6 + l_orderkey % 5 AS STRING) || 'M200N8M' ELSE '' END, CASE WHEN l_linenumber > 4 THEN CAST(l_linenumber AS STRING) || 'S' ELSE '' END) AS cigar,
+  300 + l_suppkey % 60 * 10 AS end1, 330 + l_suppkey % 60 * 10 + l_partkey % 9 * 15 AS start2 FROM {lineitem}"""
+
+
+@query(
+    f""", g AS ({GAPPED.replace("{lineitem}", "lineitem").replace("STRING", "VARCHAR")}),
+    o AS (SELECT *, list_transform(regexp_extract_all(cigar, '[0-9]+[MIDNSHP=X]'), lambda x: {{'n': x[:-2]::INT, 'op': x[-1:]}}) AS ops FROM g),
+    w AS (SELECT *, len(ops) AS k, list_transform(range(1, len(ops) + 1), lambda i: start + coalesce(list_sum(list_transform(list_filter(ops[1:i], lambda x: x.op IN ('M', 'D', 'N', '=', 'X')), lambda x: x.n)), 0)) AS after_,
+        list_transform(range(1, len(ops) + 1), lambda i: coalesce(list_sum(list_transform(list_filter(ops[1:i - 1], lambda x: x.op IN ('M', 'I', 'S', '=', 'X')), lambda x: x.n)), 0)) AS q_ FROM o),
+    h AS (SELECT *, list_concat([start], after_) AS at_, list_filter(range(1, k + 1), lambda i: ops[i].op = 'N' AND ((list_concat([start], after_)[i] <= end1 AND after_[i] > end1) OR (list_concat([start], after_)[i] < start2 AND after_[i] >= start2)))[1] AS i FROM w WHERE k >= 3),
+    t AS (SELECT *, list_transform(ops, lambda x: x.n::VARCHAR || x.op) AS s, list_sum(list_transform(list_filter(ops, lambda x: x.op IN ('M', 'I', 'S')), lambda x: x.n)) AS whole FROM h WHERE i IS NOT NULL)
+    SELECT read_key, (i - 1)::INT AS place, q_[i]::INT AS q, at_[i]::INT AS at_intron, after_[i]::INT AS behind,
+      q_[i]::BIGINT || CASE WHEN ops[1].op = 'H' THEN 'H' ELSE 'S' END || array_to_string(s[i + 1:], '') AS tail, array_to_string(s[1:i - 1], '') || (whole - q_[i])::BIGINT || CASE WHEN ops[k].op = 'H' THEN 'H' ELSE 'S' END AS head FROM t"""
+)
+def split_at_introns(t: Tables) -> DataFrame:
+    """Gapped alignments cut at the skip that spans two genes."""
+    c = F.col
+    d = t.spark.sql(GAPPED, lineitem=t.table("lineitem")).withColumn("ops", cigar.parse(c("cigar")))
+    d = d.withColumn("hit", cigar.spanning_intron(c("start"), c("ops"), c("end1"), c("start2"))).where("hit is not null")
+    return d.select("read_key", c("hit.i").alias("place"), "hit.q", c("hit.at").alias("at_intron"), c("hit.after").alias("behind"), cigar.text(cigar.from_intron(c("ops"), c("hit"))).alias("tail"), cigar.text(cigar.to_intron(c("ops"), c("hit"), cigar.query_length(c("ops")))).alias("head"))
+
+
 # rankers and recoveries over groups
 
 RANK = "CASE WHEN split1 > 0 AND split2 > 0 THEN 3 WHEN (split1 > 0 OR split2 > 0) AND disc > 0 THEN 2 WHEN split1 > 0 OR split2 > 0 THEN 1 ELSE 0 END"

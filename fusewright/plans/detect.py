@@ -198,7 +198,8 @@ def detect(spark: SparkSession, alignments: str, annotation: str, opt: Options =
     records = bam.bam(spark, alignments) if alignments.endswith(".bam") else text.sam(spark, alignments)
     genes, _, exons = annotate.build(text.gtf(spark, annotation))
     genes, exons, seg = genes.checkpoint(), exons.checkpoint(), assemble.segments(records).checkpoint()
-    reads, genes = annotate.annotate_reads(assemble.reads(seg).checkpoint(), genes, exons)
+    chimeric = assemble.reads(seg).unionByName(assemble.read_through(seg, genes)).checkpoint()
+    reads, genes = annotate.annotate_reads(chimeric, genes, exons)
     genes, sites = genes.checkpoint(), intervals.splice_sites(exons).checkpoint()
     reads = stranded(reads.checkpoint(), genes, sites, opt.strandedness)
     blocks = seg.where(~c("supplementary")).select(c("read_key").alias("fragment"), "contig", F.explode(cigar.blocks(c("start"), c("ops"))).alias("b"))
