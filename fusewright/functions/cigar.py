@@ -118,3 +118,18 @@ def from_intron(ops: Column, hit: Column) -> Column:
 def to_intron(ops: Column, hit: Column, read_length: Column) -> Column:
     """What precedes the skip, with all after it clipped."""
     return F.concat(F.slice(ops, F.lit(1), hit["i"]), _clip(F.try_element_at(ops, F.lit(-1)), read_length - hit["q"]))
+
+
+def junctions(start: Column, ops: Column) -> Column:
+    """Clips and skips as array<struct<i, direction, pos>>: a clip at the start asks for an exon's start there, another clip for an exon's end, a skip for an end before it or a start behind it."""
+    kind = "array<struct<i:int,direction:string,pos:int>>"
+    state = F.struct(F.lit(0).alias("i"), start.cast("int").alias("at"), F.array().cast(kind).alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        after = (a["at"] + F.when(x["op"].isin(*REFERENCE), x["len"]).otherwise(F.lit(0))).cast("int")
+        at = lambda way, pos: F.struct(a["i"].alias("i"), F.lit(way).alias("direction"), pos.alias("pos"))
+        clip = F.array(F.when(a["i"] == 0, at("upstream", a["at"])).otherwise(at("downstream", a["at"])))
+        more = F.when(x["op"].isin("S", "H"), clip).when(x["op"] == "N", F.array(at("downstream", a["at"]), at("upstream", after))).otherwise(F.array().cast(kind))
+        return F.struct((a["i"] + 1).alias("i"), after.alias("at"), F.concat(a["out"], more).cast(kind).alias("out"))
+
+    return F.aggregate(ops, state, step)["out"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import cigar
 from ..functions import events as ev
 from . import intervals
 
@@ -53,34 +54,123 @@ def genes_of_ranges(df: DataFrame, features: DataFrame, key: str = "key", gene:
     return d.withColumn("genes", intervals.combine(c("__a"), c("__b"))).withColumn("exonic", F.size("genes") > 0).drop("__a", "__b")
 
 
-def dummy_genes(points: DataFrame, gap: int = 10_000) -> DataFrame:
-    """contig, start, end, island of positions without a gene: runs with steps of at most gap."""
-    d = intervals.islands(points.select("contig", "pos").distinct(), ["contig"], "pos", gap)
+def dummy_genes(points: DataFrame, gap: int = 10_000, genes: DataFrame | None = None) -> DataFrame:
+    """contig, start, end, island of positions without a gene: runs with steps of at most gap, none across a bound of a known gene."""
+    d = points.select("contig", "pos").distinct()
+    if genes is not None:
+        edges = genes.select("contig", F.explode(F.array("start", "end")).alias("pos")).withColumn("__edge", F.lit(1))
+        order = Window.partitionBy("contig").orderBy("pos", F.col("__edge").desc()).rowsBetween(Window.unboundedPreceding, 0)
+        both = d.withColumn("__edge", F.lit(0)).unionByName(edges).withColumn("__before", F.sum("__edge").over(order))
+        d = both.where("__edge = 0").select("contig", "pos", "__before")
+        return intervals.islands(d, ["contig", "__before"], "pos", gap).groupBy("contig", "__before", "island").agg(F.min("pos").alias("start"), F.max("pos").alias("end")).drop("__before")
+    d = intervals.islands(d, ["contig"], "pos", gap)
     return d.groupBy("contig", "island").agg(F.min("pos").alias("start"), F.max("pos").alias("end"))
 
 
-def annotate_reads(reads: DataFrame, genes: DataFrame, exons: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """reads with _genes and _exonic of each segment, and genes with the dummy ones added.
+PARTS = ("m1", "m2", "sp")
+_NO_GENES = "array<bigint>"
 
-    Exons first; a segment without any takes the genes that hold it; what is left gets dummy genes.
+
+def _parts(reads: DataFrame, where: str = "{p}_contig is not null") -> DataFrame:
+    """One row a segment that passes: key (read key and segment), contig, start, end, strand."""
+    fields = ("contig", "start", "end", "strand")
+    each = [F.when(F.expr(where.format(p=p)), F.struct(F.lit(p).alias("p"), *(c(f"{p}_{f}").alias(f) for f in fields))) for p in PARTS]
+    d = reads.select("read_key", F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("s"))
+    return d.select(F.concat_ws("/", "read_key", c("s.p")).alias("key"), *(c(f"s.{f}").alias(f) for f in fields))
+
+
+def _wide(parts: DataFrame, *values: str) -> DataFrame:
+    """key and values, a row a segment -> read_key and m1_..., m2_..., sp_... with a leading __, a row a read."""
+    d = parts.withColumns({"read_key": F.regexp_replace("key", "/[^/]*$", ""), "__p": F.substring("key", -2, 2)})
+    return d.groupBy("read_key").agg(*(F.first(F.when(c("__p") == p, c(v)), ignorenulls=True).alias(f"__{p}_{v}") for p in PARTS for v in values))
+
+
+def exon_genes(reads: DataFrame, exons: DataFrame) -> DataFrame:
+    """reads with _genes of each segment, those whose exons hold both its ends (either, if none holds both), and _exonic: whether there are any."""
+    hit = _wide(genes_of_ranges(_parts(reads), exons).where("exonic"), "genes")
+    out = reads.join(hit, "read_key", "left")
+    for p in PARTS:
+        out = out.withColumns({f"{p}_genes": F.coalesce(f"__{p}_genes", F.array().cast(_NO_GENES)), f"{p}_exonic": c(f"__{p}_genes").isNotNull()}).drop(f"__{p}_genes")
+    return out
+
+
+def by_splice_sites(reads: DataFrame, genes: DataFrame, sites: DataFrame) -> DataFrame:
+    """Genes and predicted strands of segments by the splice sites that their clips and skips meet, then by their mates.
+
+    The first junction of a segment that is a site of some of its genes leaves these only; if they
+    have one strand and the library tells none, that strand is the segment's. An equi-join on gene,
+    direction and position, for segments of several genes or of unknown strand. Then mates infer from
+    each other what one of them knows, and what they contradict each other in is unknown; a split read
+    and its first mate share their genes.
+    """
+    asks = []
+    for p in PARTS:
+        asks_it = (F.size(f"{p}_ops") > 1) & (F.size(f"{p}_genes") > 0) & ((F.size(f"{p}_genes") > 1) | c(f"{p}_predicted").isNull())
+        d = reads.where(F.coalesce(asks_it, F.lit(False))).select(F.concat_ws("/", "read_key", F.lit(p)).alias("key"), c(f"{p}_genes").alias("own"), F.explode(cigar.junctions(c(f"{p}_start"), c(f"{p}_ops"))).alias("j"))
+        asks.append(d.select("key", F.explode("own").alias("gene"), "j.i", "j.direction", "j.pos"))
+    asked = asks[0].unionByName(asks[1]).unionByName(asks[2])
+    site = sites.join(genes.select(c("id").alias("gene"), c("strand").alias("g_strand")), "gene")
+    met = asked.join(site, ["gene", "direction", "pos"]).groupBy("key", "i").agg(F.array_sort(F.collect_set("gene")).alias("met"), F.min("g_strand").alias("lo"), F.max("g_strand").alias("hi"))
+    met = met.groupBy("key").agg(F.min_by(F.struct("met", "lo", "hi"), "i").alias("hit"))
+    d = reads.join(_wide(met, "hit"), "read_key", "left")
+    for p in PARTS:
+        h = c(f"__{p}_hit")
+        d = d.withColumn(f"{p}_genes", F.when(F.size(h["met"]) < F.size(f"{p}_genes"), h["met"]).otherwise(c(f"{p}_genes")))
+        d = d.withColumn(f"{p}_predicted", F.when(c(f"{p}_predicted").isNull() & (h["lo"] == h["hi"]), h["lo"]).otherwise(c(f"{p}_predicted"))).drop(f"__{p}_hit")
+    return shared_genes(mate_strands(d))
+
+
+def mate_strands(reads: DataFrame) -> DataFrame:
+    """Predicted strands (null: unknown) of first mate and second mate (or split read), then of split read and supplementary, each from the other."""
+    unknown = F.lit(None).cast("boolean")
+    a, b, s = c("m1_predicted"), c("m2_predicted"), c("sp_predicted")
+    same = c("m1_strand") == c("m2_strand")
+    odd = F.coalesce((a != b) != same, F.lit(False))
+    d = reads.withColumns({"m1_predicted": F.when(odd, unknown).otherwise(F.coalesce(a, b != same)), "m2_predicted": F.when(odd, unknown).otherwise(F.coalesce(b, a != same))})
+    flips = c("m2_strand") != c("sp_strand")
+    odd = F.coalesce((b != s) != flips, F.lit(False))
+    from_sp = c("is_split") & b.isNull() & s.isNotNull()
+    return d.withColumns(
+        {
+            "m1_predicted": F.when(c("is_split") & odd, unknown).when(from_sp, s != flips).otherwise(a),
+            "m2_predicted": F.when(c("is_split") & odd, unknown).when(from_sp, s != flips).otherwise(b),
+            "sp_predicted": F.when(c("is_split") & ~odd, F.coalesce(s, b != flips)),
+        }
+    )
+
+
+def shared_genes(reads: DataFrame) -> DataFrame:
+    """A split read and its first mate keep the genes they share (all of both, if none); one without genes takes the other's."""
+    both = intervals.combine(c("m2_genes"), c("m1_genes"))
+    pick = lambda p: F.when(c("is_split") & ((F.size(f"{p}_genes") == 0) | (F.size("__both") < F.size(f"{p}_genes"))), F.array_sort("__both")).otherwise(c(f"{p}_genes"))
+    return reads.withColumn("__both", both).withColumns({f"{p}_genes": pick(p) for p in ("m1", "m2")}).drop("__both")
+
+
+def remaining_genes(reads: DataFrame, genes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Segments without an exon take the genes that hold them, and those without a gene a dummy gene; returns reads, and genes with the dummy ones.
+
+    A dummy gene is a run of such breakpoints with steps of at most 10,000 between known genes.
     """
-    parts = None
-    for p in ("m1", "m2", "sp"):
-        s = reads.where(c(f"{p}_contig").isNotNull()).select(F.concat_ws("/", "read_key", F.lit(p)).alias("key"), c(f"{p}_contig").alias("contig"), c(f"{p}_start").alias("start"), c(f"{p}_end").alias("end"), c(f"{p}_strand").alias("strand"))
-        parts = s if parts is None else parts.unionByName(s)
-    hit = genes_of_ranges(parts, exons)
-    bare = genes_of_ranges(hit.where(~c("exonic")).drop("genes", "exonic"), genes.withColumnRenamed("id", "gene")).withColumn("exonic", F.lit(False))
-    known = hit.where("exonic").unionByName(bare.where(F.size("genes") > 0))
-    lost = bare.where(F.size("genes") == 0).withColumn("pos", F.when(c("strand"), c("end")).otherwise(c("start")))
-    islands = dummy_genes(lost)
+    bare = "{p}_contig is not null and size({p}_genes) = 0"
+
+    def filled(d: DataFrame, found: DataFrame) -> DataFrame:
+        d = d.join(_wide(found.select("key", "genes"), "genes"), "read_key", "left")
+        for p in PARTS:
+            d = d.withColumn(f"{p}_genes", F.when(F.size(f"{p}_genes") == 0, F.coalesce(f"__{p}_genes", f"{p}_genes")).otherwise(c(f"{p}_genes"))).drop(f"__{p}_genes")
+        return shared_genes(d)
+
+    held = genes_of_ranges(_parts(reads, bare), genes.withColumnRenamed("id", "gene")).where(F.size("genes") > 0)
+    reads = filled(reads, held).checkpoint()
+    # breakpoints: a split read's on the side of its clip, all others' where the fragment goes on
+    at = F.when(c("strand") != (c("key").endswith("/m2") & c("__split")), c("end")).otherwise(c("start"))
+    lost = _parts(reads, bare + " and not ('{p}' = 'm1' and is_split)").withColumn("read_key", F.regexp_replace("key", "/[^/]*$", ""))
+    lost = lost.join(reads.select("read_key", c("is_split").alias("__split")), "read_key").withColumn("pos", at).select("key", "contig", "pos")
+    islands = dummy_genes(lost, genes=genes)
     most = F.coalesce(F.lit(genes.agg(F.max("id")).first()[0]), F.lit(-1))
     extra = islands.withColumn("id", (most + F.row_number().over(Window.orderBy("contig", "start"))).cast("bigint"))
     dummies = extra.select("id", "contig", "start", "end", F.lit(True).alias("strand"), F.concat(F.lit("dummy_"), "id").alias("name"), F.lit(True).alias("is_dummy"), F.lit(False).alias("is_coding"), F.lit(10_000).cast("bigint").alias("exonic_length"))
-    placed = intervals.point_join(lost.select("key", "contig", "pos"), dummies.select(c("contig"), "start", "end", c("id").alias("gene"))).groupBy("key").agg(F.array_sort(F.collect_set("gene")).alias("genes")).withColumn("exonic", F.lit(False))
-    every = known.select("key", "genes", "exonic").unionByName(placed)
-    for p in ("m1", "m2", "sp"):
-        reads = reads.join(every.select(c("key"), c("genes").alias(f"{p}_genes"), c("exonic").alias(f"{p}_exonic")), F.concat_ws("/", "read_key", F.lit(p)) == c("key"), "left").drop("key")
-    return reads, genes.unionByName(dummies, allowMissingColumns=True)
+    placed = intervals.point_join(lost, dummies.select("contig", "start", "end", c("id").alias("gene"))).groupBy("key").agg(F.array_sort(F.collect_set("gene")).alias("genes"))
+    return filled(reads, placed), genes.unionByName(dummies, allowMissingColumns=True)
 
 
 def site_label(df: DataFrame) -> DataFrame:

@@ -199,9 +199,10 @@ def detect(spark: SparkSession, alignments: str, annotation: str, opt: Options =
     genes, _, exons = annotate.build(text.gtf(spark, annotation))
     genes, exons, seg = genes.checkpoint(), exons.checkpoint(), assemble.segments(records).checkpoint()
     chimeric = assemble.reads(seg).unionByName(assemble.read_through(seg, genes)).checkpoint()
-    reads, genes = annotate.annotate_reads(chimeric, genes, exons)
-    genes, sites = genes.checkpoint(), intervals.splice_sites(exons).checkpoint()
-    reads = stranded(reads.checkpoint(), genes, sites, opt.strandedness)
+    sites = intervals.splice_sites(exons).checkpoint()
+    reads = stranded(annotate.exon_genes(chimeric, exons).checkpoint(), genes, sites, opt.strandedness)
+    reads, genes = annotate.remaining_genes(annotate.by_splice_sites(reads, genes, sites), genes)
+    genes, reads = genes.checkpoint(), reads.checkpoint()
     blocks = seg.where(~c("supplementary")).select(c("read_key").alias("fragment"), "contig", F.explode(cigar.blocks(c("start"), c("ops"))).alias("b"))
     cov = stats.coverage(blocks.select("fragment", "contig", c("b.s").alias("s"), (c("b.e") - 1).alias("e"))).checkpoint()
     lengths = (bam if alignments.endswith(".bam") else text).contig_lengths(spark, alignments)
