@@ -15,7 +15,7 @@ from ..functions import events as ev
 from ..functions import sequence as sq
 from ..functions import cigar
 from ..operators import event_filters as ef
-from ..operators import fate, intervals, pivot, rules, stats
+from ..operators import annotate, fate, intervals, pivot, rules, stats
 from ..operators import read_filters as rf
 
 GENE = "{g} * 20000 AS g{i}_start, {g} * 20000 + 30000 + ({g} % 3) * 40000 AS g{i}_end, {g} % 3 <> 0 AS g{i}_strand, {g} % 11 = 5 AS g{i}_dummy, {g} % 2 = 0 AS g{i}_coding"
@@ -357,6 +357,44 @@ def split_at_introns(t: Tables) -> DataFrame:
     return d.select("read_key", c("hit.i").alias("place"), "hit.q", c("hit.at").alias("at_intron"), c("hit.after").alias("behind"), cigar.text(cigar.from_intron(c("ops"), c("hit"))).alias("tail"), cigar.text(cigar.to_intron(c("ops"), c("hit"), cigar.query_length(c("ops")))).alias("head"))
 
 
+SITES = "SELECT DISTINCT p_partkey % 40 AS gene, CASE WHEN p_size % 2 = 0 THEN 'upstream' ELSE 'downstream' END AS direction, CAST((p_partkey * 53) % 1200 + d AS INT) AS pos FROM {part}, {slack}"
+
+
+@query(
+    f""", g AS ({GAPPED.replace("{lineitem}", "lineitem").replace("STRING", "VARCHAR")}),
+    r AS (SELECT g.*, l_partkey % 40 AS g1, (l_partkey + 1) % 40 AS g2, l_orderkey % 2 = 0 AS fw1, l_suppkey % 2 = 0 AS fw2, CASE WHEN l_linenumber = 1 THEN l_orderkey % 4 = 1 END AS known2
+      FROM g JOIN (SELECT DISTINCT concat_ws('.', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS read_key, l_partkey, l_orderkey, l_suppkey, l_linenumber FROM lineitem) l USING (read_key)),
+    o AS (SELECT *, list_transform(regexp_extract_all(cigar, '[0-9]+[MIDNSHP=X]'), lambda x: {{'n': x[:-2]::INT, 'op': x[-1:]}}) AS ops FROM r),
+    w AS (SELECT *, list_transform(range(0, len(ops) + 1), lambda i: start + coalesce(list_sum(list_transform(list_filter(ops[1:i], lambda x: x.op IN ('M', 'D', 'N', '=', 'X')), lambda x: x.n)), 0)) AS at_ FROM o WHERE len(ops) > 1),
+    j AS (SELECT read_key, g1, g2, i, ops[i].op AS op, at_[i] AS before_, at_[i + 1] AS after_ FROM (SELECT *, unnest(range(1, len(ops) + 1)) AS i FROM w)),
+    p AS (SELECT read_key, i, unnest([g1, g2]) AS gene, CASE WHEN i = 1 THEN 'upstream' ELSE 'downstream' END AS direction, before_ AS pos FROM j WHERE op IN ('S', 'H')
+      UNION ALL SELECT read_key, i, unnest([g1, g2]), 'downstream', before_ FROM j WHERE op = 'N' UNION ALL SELECT read_key, i, unnest([g1, g2]), 'upstream', after_ FROM j WHERE op = 'N'),
+    s AS ({SITES.replace("{part}", "part").replace("{slack}", "(SELECT unnest([-2, -1, 0, 1, 2]) AS d)")}),
+    m AS (SELECT read_key, i, list(DISTINCT gene ORDER BY gene) AS met, min(gene % 3 <> 0) AS lo, max(gene % 3 <> 0) AS hi FROM p JOIN s USING (gene, direction, pos) GROUP BY ALL),
+    f AS (SELECT read_key, arg_min(met, i) AS met, arg_min(lo, i) AS lo, arg_min(hi, i) AS hi FROM m GROUP BY read_key),
+    q AS (SELECT read_key, CASE WHEN len(met) < 2 THEN met ELSE list_sort([g1, g2]) END AS genes, CASE WHEN lo = hi THEN lo END AS a, known2 AS b, fw1 = fw2 AS same FROM r LEFT JOIN f USING (read_key))
+    SELECT DISTINCT read_key, array_to_string(genes, ',') AS genes, CASE WHEN a IS NULL AND b IS NOT NULL THEN b <> same WHEN a IS NOT NULL AND b IS NOT NULL AND (a <> b) <> same THEN NULL ELSE a END AS strand1,
+      CASE WHEN b IS NULL AND a IS NOT NULL THEN a <> same WHEN a IS NOT NULL AND b IS NOT NULL AND (a <> b) <> same THEN NULL ELSE b END AS strand2 FROM q"""
+)
+def splice_aware_genes(t: Tables) -> DataFrame:
+    """Genes and strands of gapped alignments by the splice sites that their junctions meet, and by their mates."""
+    c = F.col
+    lines = t.table("lineitem")
+    key = F.concat_ws(".", *(c(f"l_{x}").cast("string") for x in ("orderkey", "linenumber", "partkey", "suppkey")))
+    own = lines.select(key.alias("read_key"), "l_partkey", "l_orderkey", "l_suppkey", "l_linenumber").distinct()
+    d = t.spark.sql(GAPPED, lineitem=lines).distinct().join(own, "read_key")
+    none = F.lit(None)
+    d = d.select(
+        "read_key", F.lit(False).alias("is_split"), c("start").cast("int").alias("m1_start"), cigar.parse(c("cigar")).alias("m1_ops"), F.array_sort(F.array(c("l_partkey") % 40, (c("l_partkey") + 1) % 40)).alias("m1_genes"), (c("l_orderkey") % 2 == 0).alias("m1_strand"), none.cast("boolean").alias("m1_predicted"),
+        F.lit(0).alias("m2_start"), cigar.parse(F.lit("50M")).alias("m2_ops"), F.array(c("l_partkey") % 40).alias("m2_genes"), (c("l_suppkey") % 2 == 0).alias("m2_strand"), F.when(c("l_linenumber") == 1, c("l_orderkey") % 4 == 1).alias("m2_predicted"),
+        F.lit(0).alias("sp_start"), cigar.parse(F.lit("*")).alias("sp_ops"), F.array().cast("array<bigint>").alias("sp_genes"), none.cast("boolean").alias("sp_strand"), none.cast("boolean").alias("sp_predicted"),
+    )
+    genes = t.spark.range(40).select("id", (c("id") % 3 != 0).alias("strand"))
+    sites = t.spark.sql(SITES, part=t.table("part"), slack=t.spark.range(-2, 3).withColumnRenamed("id", "d"))
+    out = annotate.by_splice_sites(d, genes, sites)
+    return out.select("read_key", F.array_join("m1_genes", ",").alias("genes"), c("m1_predicted").alias("strand1"), c("m2_predicted").alias("strand2"))
+
+
 # rankers and recoveries over groups
 
 RANK = "CASE WHEN split1 > 0 AND split2 > 0 THEN 3 WHEN (split1 > 0 OR split2 > 0) AND disc > 0 THEN 2 WHEN split1 > 0 OR split2 > 0 THEN 1 ELSE 0 END"
