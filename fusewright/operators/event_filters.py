@@ -326,12 +326,27 @@ def tandem_duplications(df: DataFrame, longest: int = 100, least: int = 10, shar
     return out.withColumns(more).withColumn("fate", F.when(c("__back"), F.lit(NONE)).otherwise(c("fate"))).drop("__back")
 
 
-def no_coverage(near: int = 200) -> Column:
-    """side_covered1, side_covered2: a normal fragment starts or ends near the breakpoint; terminal1, terminal2: the gene's outer exon."""
+def needs_coverage() -> Column:
+    """Weak events that stay only with normal fragments about their breakpoints."""
     strong = ~ev.is_read_through() & (((c("split1") + c("split2") > 0) & (c("split1") + c("disc") > 0) & (c("split2") + c("disc") > 0)) | c("spliced1") | c("spliced2"))
     spliced_through = ev.is_read_through() & c("spliced1") & c("spliced2")
+    return ~strong & ~spliced_through
+
+
+def no_coverage() -> Column:
+    """side_covered1, side_covered2: a normal fragment starts or ends near the breakpoint; terminal1, terminal2: the gene's outer exon."""
     bare = (~c("terminal1") & ~c("side_covered1")) | (~c("terminal2") & ~c("side_covered2"))
-    return ~strong & ~spliced_through & bare
+    return needs_coverage() & bare
+
+
+def filter_no_coverage(df: DataFrame, edges: DataFrame, exons: DataFrame, near: int = 200) -> DataFrame:
+    """The step, with both of its inputs looked up for the events that ask for them. edges: stats.fragment_edges()."""
+    from . import stats
+
+    asks = df.where((c("fate") == NONE) & needs_coverage()).select("event_id", "gene1", "gene2", "contig1", "contig2", "bp1", "bp2", "dir1", "dir2", "anchor1", "anchor2", "split1", "split2")
+    told = stats.terminal_exons(stats.covered_sides(asks, edges, near), exons).select("event_id", "side_covered1", "side_covered2", "terminal1", "terminal2")
+    d = discard(df.drop("side_covered1", "side_covered2", "terminal1", "terminal2").join(told, "event_id", "left"), "no_coverage", no_coverage())
+    return d.drop("side_covered1", "side_covered2", "terminal1", "terminal2")
 
 
 def homologs(df: DataFrame, shared: DataFrame, fraction: float = 0.3, k: int = 8) -> DataFrame:

@@ -41,6 +41,52 @@ def starts_near(points: DataFrame, starts: DataFrame, contig: str, low: str, hig
     return points.join(hit.withColumn(name, F.lit(True)), "point_id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
+def fragment_edges(seg: DataFrame, extracted: DataFrame | None = None, width: int = WINDOW) -> DataFrame:
+    """contig, kind (start or end), win: windows in which a proper fragment, or a single-ended read, starts or ends.
+
+    A pair starts with its forward mate and ends with its reverse one. extracted (read_key): fragments
+    that were taken for chimeric though they are proper; discordant mates and supplementary segments
+    don't count, while clipped ends do, as they do in the reference.
+    """
+    d = seg.where(~c("supplementary") & (~c("paired") | c("proper")))
+    if extracted is not None:
+        d = d.join(extracted.select("read_key").distinct(), "read_key", "left_anti")
+    edge = lambda kind, pos: F.struct(F.lit(kind).alias("kind"), F.floor(c(pos) / width).alias("win"))
+    first, last = F.when(~c("paired") | c("strand"), edge("start", "start")), F.when(~c("paired") | ~c("strand"), edge("end", "end"))
+    return d.select("contig", F.explode(F.filter(F.array(first, last), lambda x: x.isNotNull())).alias("e")).select("contig", "e.*").distinct()
+
+
+def covered_sides(events: DataFrame, edges: DataFrame, near: int = 200, width: int = WINDOW, bin_: int = 512) -> DataFrame:
+    """Adds side_covered1, side_covered2: whether a fragment of the retained side starts (upstream) or ends (downstream) near the breakpoint.
+
+    Upstream windows after that of the breakpoint up to that of the anchor count, or near bases on;
+    downstream those from there up to the breakpoint's, which is left out. Without split reads near
+    bases on the other side count too. Windows and events meet in bins of windows.
+    """
+    slack = F.when(ev.split_reads() == 0, near).otherwise(0)
+    for i in (1, 2):
+        bp, anchor, up = c(f"bp{i}"), c(f"anchor{i}"), c(f"dir{i}") == ev.UP
+        low = F.when(up, bp - slack).otherwise(F.least(bp - near, anchor))
+        high = F.when(up, F.greatest(bp + near, anchor)).otherwise(bp + slack)
+        d = events.select("event_id", c(f"contig{i}").alias("contig"), F.when(up, F.lit("start")).otherwise(F.lit("end")).alias("kind"), low.cast("bigint").alias("low"), high.cast("bigint").alias("high"), up.alias("up"))
+        d = d.withColumns({"low": F.expr(f"low div {width}") + c("up").cast("int"), "high": F.expr(f"high div {width}") - (~c("up")).cast("int")}).where("low <= high")
+        d = d.withColumn("bin", F.explode(F.sequence(F.floor(c("low") / bin_), F.floor(c("high") / bin_))))
+        e = edges.withColumn("bin", F.floor(c("win") / bin_))
+        hit = d.join(e, ["contig", "kind", "bin"]).where(c("win").between(c("low"), c("high"))).select("event_id").distinct().withColumn(f"side_covered{i}", F.lit(True))
+        events = events.join(hit, "event_id", "left").withColumn(f"side_covered{i}", F.coalesce(f"side_covered{i}", F.lit(False)))
+    return events
+
+
+def terminal_exons(events: DataFrame, exons: DataFrame) -> DataFrame:
+    """Adds terminal1, terminal2: whether a transcript's first or last exon of the gene holds the breakpoint. Only such exons are joined, by gene."""
+    outer = exons.where("prev_end is null or next_start is null").select("gene", "start", "end").distinct()
+    for i in (1, 2):
+        hit = events.select("event_id", c(f"gene{i}").alias("gene"), c(f"bp{i}").alias("at")).join(outer, "gene").where(c("at").between(c("start"), c("end")))
+        hit = hit.select("event_id").distinct().withColumn(f"terminal{i}", F.lit(True))
+        events = events.join(hit, "event_id", "left").withColumn(f"terminal{i}", F.coalesce(f"terminal{i}", F.lit(False)))
+    return events
+
+
 def iterative_trim(df: DataFrame, value: str, sigmas: float = 3.0, rounds: int = 50) -> tuple[float, float, int]:
     """Mean, sample deviation and count once nothing lies outside mean +- sigmas * deviation. A round is one aggregate; three numbers come to the driver."""
     low, high = None, None

@@ -641,6 +641,28 @@ def fragment_starts_semi(t: Tables) -> DataFrame:
     return stats.starts_near(points, starts, "contig1", "lo", "hi", "hit").select(F.col("point_id").alias("event_id"), "hit")
 
 
+EDGES = "SELECT contig1 AS contig, CASE WHEN read_group % 2 = 0 THEN 'start' ELSE 'end' END AS kind, CAST(floor((start1 + read_group % 5 * 60) / 20) AS BIGINT) AS win FROM {reads} WHERE read_group % 3 = 0"
+OUTER_EXONS = "SELECT p_partkey % 50 AS gene, p_partkey % 50 * 20000 + p_size * 6 AS start, p_partkey % 50 * 20000 + p_size * 6 + 20 AS {end}, CASE WHEN p_size % 3 = 0 THEN 1 END AS prev_end, CASE WHEN p_size % 2 = 0 THEN 1 END AS next_start FROM {part}"
+
+
+def _side(i: int) -> str:
+    up = f"dir{i} = 'upstream'"
+    slack = "CASE WHEN split1 + split2 = 0 THEN 200 ELSE 0 END"
+    return f"""EXISTS (SELECT 1 FROM edges WHERE edges.contig = contig{i} AND CASE WHEN {up} THEN kind = 'start' AND win > (bp{i} - {slack}) // 20 AND win <= greatest(bp{i} + 200, anchor{i}) // 20
+      ELSE kind = 'end' AND win >= least(bp{i} - 200, anchor{i}) // 20 AND win < (bp{i} + {slack}) // 20 END) OR EXISTS (SELECT 1 FROM exons WHERE exons.gene = gene{i} AND bp{i} BETWEEN start AND "end" AND (prev_end IS NULL OR next_start IS NULL))"""
+
+
+@query(
+    f""", edges AS (SELECT DISTINCT * FROM ({EDGES.replace("{reads}", "reads_v")})), exons AS ({OUTER_EXONS.replace("{part}", "part").replace("{end}", chr(34) + "end" + chr(34))})
+    SELECT event_id, CASE WHEN fate = 'none' AND NOT (NOT {RT} AND ((split1 + split2 > 0 AND split1 + disc > 0 AND split2 + disc > 0) OR spliced1 OR spliced2)) AND NOT ({RT} AND spliced1 AND spliced2)
+      AND (NOT ({_side(1)}) OR NOT ({_side(2)})) THEN 'no_coverage' ELSE fate END AS fate FROM events_v"""
+)
+def coverage_by_edges(t: Tables) -> DataFrame:
+    """Weak events without normal fragments about a breakpoint, by the windows in which fragments start and end."""
+    edges = t.spark.sql(EDGES, reads=t.reads).distinct()
+    return fates(ef.filter_no_coverage(t.events, edges, t.spark.sql(OUTER_EXONS.replace("{end}", "`end`"), part=t.table("part"))))
+
+
 @query(COVERAGE + """, len_ AS (SELECT DISTINCT s_suppkey % 4 AS contig, 20100 AS length FROM supplier), m AS (SELECT contig, sum(depth) / 1006 AS mean FROM cov GROUP BY contig)
     SELECT cov.contig, count(*) AS deep FROM cov JOIN m USING (contig) JOIN len_ USING (contig) WHERE depth > mean * 1.6::DOUBLE GROUP BY cov.contig HAVING count(*) < 1.6::DOUBLE * 1006 OR count(*) * 20 <= 100""")
 def low_coverage_contigs(t: Tables) -> DataFrame:

@@ -198,7 +198,8 @@ def detect(spark: SparkSession, alignments: str, annotation: str, opt: Options =
     records = bam.bam(spark, alignments) if alignments.endswith(".bam") else text.sam(spark, alignments)
     genes, _, exons = annotate.build(text.gtf(spark, annotation))
     genes, exons, seg = genes.checkpoint(), exons.checkpoint(), assemble.segments(records).checkpoint()
-    chimeric = assemble.reads(seg).unionByName(assemble.read_through(seg, genes)).checkpoint()
+    through = assemble.read_through(seg, genes).checkpoint()
+    chimeric = assemble.reads(seg).unionByName(through).checkpoint()
     sites = intervals.splice_sites(exons).checkpoint()
     reads = stranded(annotate.exon_genes(chimeric, exons).checkpoint(), genes, sites, opt.strandedness)
     reads, genes = annotate.remaining_genes(annotate.by_splice_sites(reads, genes, sites), genes)
@@ -272,6 +273,8 @@ def detect(spark: SparkSession, alignments: str, annotation: str, opt: Options =
         e = fate.discard(e.join(hit, "event_id", "left"), "blacklist", c("__hit")).drop("__hit")
     late = [("short_anchor", ef.short_anchor(opt.anchor)), ("end_to_end", ef.end_to_end())]
     e = fate.discard_all(e, [(n, p) for n, p in late if opt.on(n)])
+    if opt.on("no_coverage"):
+        e = ef.filter_no_coverage(e.checkpoint(), stats.fragment_edges(seg, through).checkpoint(), exons)
     if variants is not None and opt.on("genomic_support"):
         e = ef.recover_genomic(e)
     if opt.on("select_best") and (opt.on("many_spliced") or (variants is not None and opt.on("genomic_support"))):
