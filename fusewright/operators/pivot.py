@@ -82,7 +82,7 @@ def nearest_variant(events: DataFrame, variants: DataFrame, reach: int = 100_000
     high = lambda i: F.when(c(f"dir{i}") == ev.UP, c(f"bp{i}") + (slack - (i == 1))).otherwise(F.when(c(f"g{i}_dummy"), c(f"bp{i}")).otherwise(c(f"g{i}_end")) + reach)
     e = events.select("event_id", *keys, "bp1", "bp2", ev.is_tandem_duplication(longest).alias("__itd"), *(f(i).alias(f"__{n}{i}") for i in (1, 2) for n, f in (("low", low), ("high", high))))
     e = e.where("__low1 <= __high1 and __low2 <= __high2")
-    wide = {1: max(reach, 1), 2: max(10 * reach, 1)}
+    wide = {1: max(reach, 1), 2: max(reach, 1)}
     bins = lambda d, i: d.withColumn(f"__bin{i}", F.explode(F.sequence(F.floor(c(f"__low{i}") / wide[i]), F.floor(c(f"__high{i}") / wide[i]))))
     v = v.withColumns({f"__bin{i}": F.floor(c(f"pos{i}") / wide[i]) for i in (1, 2)})
     ahead = bins(e.where(~up1), 1).join(v.select(*keys, "__bin1", "pos1").distinct(), [*keys, "__bin1"]).where(c("pos1").between(c("__low1"), c("__high1")))
