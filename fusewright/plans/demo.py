@@ -15,7 +15,7 @@ from ..functions import events as ev
 from ..functions import sequence as sq
 from ..functions import cigar
 from ..operators import event_filters as ef
-from ..operators import annotate, fate, intervals, pivot, rules, stats
+from ..operators import annotate, conflicts, fate, intervals, pivot, rules, stats
 from ..operators import read_filters as rf
 
 GENE = "{g} * 20000 AS g{i}_start, {g} * 20000 + 30000 + ({g} % 3) * 40000 AS g{i}_end, {g} % 3 <> 0 AS g{i}_strand, {g} % 11 = 5 AS g{i}_dummy, {g} % 2 = 0 AS g{i}_coding"
@@ -439,6 +439,20 @@ def merge_adjacent_best(t: Tables) -> DataFrame:
     return ef.merge_adjacent(t.events, 7).select("event_id", "fate", "split1", "split2", "listed_split")
 
 
+RIVALS = "SELECT DISTINCT least(o_custkey, o_orderkey * 7919 % 997) AS strong, greatest(o_custkey, o_orderkey * 7919 % 997) AS weak FROM {orders} WHERE o_custkey <> o_orderkey * 7919 % 997"
+
+
+@query(
+    f""", edges AS ({RIVALS.replace("{orders}", "orders")}), adj AS (SELECT strong, list(weak) AS weaks, row_number() OVER (ORDER BY strong) AS i FROM edges GROUP BY strong),
+    loop AS (WITH RECURSIVE r AS (SELECT 1::BIGINT AS n, []::BIGINT[] AS gone UNION ALL
+      SELECT n + 1, CASE WHEN list_contains(gone, strong) THEN gone ELSE list_distinct(list_concat(gone, weaks)) END FROM r JOIN adj ON i = n) SELECT arg_max(gone, n) AS gone FROM r)
+    SELECT unnest(gone) AS id FROM loop"""
+)
+def conflict_rounds(t: Tables) -> DataFrame:
+    """Who loses when rivals are settled from the strongest on."""
+    return conflicts.losers(t.spark.sql(RIVALS, orders=t.table("orders")))
+
+
 MANY = f"NOT {RT} AND (spliced1 OR spliced2) AND gene1 <> gene2 AND NOT {OVER}"
 LOWS = "'inconsistently_clipped', 'relative_support', 'min_support', 'select_best'"
 
