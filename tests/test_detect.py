@@ -1,5 +1,7 @@
 """A small genome: two genes on two contigs, joined by split reads and pairs."""
 
+from statistics import mean, stdev
+
 import pytest
 
 from fusewright.operators import annotate, intervals, stats
@@ -100,6 +102,18 @@ def test_trimming_and_quantile(spark):
     assert stats.order_statistic(n, "reads", 0.998).first()[0] == 9 and stats.order_statistic(n, "reads", 0.5).first()[0] == 3
 
 
+def test_trimming_takes_as_many_rounds_as_it_needs(spark):
+    """Each power of three lies outside what the smaller ones leave, so a round drops one: more than 50 rounds."""
+    kept = [3.0**i for i in range(64)]
+    df, n = spark.range(0, 64, 1, 1).select(F.pow(F.lit(3.0), "id").alias("v")), 0
+    while n != len(kept):
+        n, m, s = len(kept), mean(kept), stdev(kept)
+        kept = [x for x in kept if m - 2 * s <= x <= m + 2 * s]
+    assert n < 14
+    got = stats.iterative_trim(df, "v", 2.0)
+    assert got[2] == n and abs(got[0] - mean(kept)) < 1e-9
+
+
 def test_threshold(spark):
     h = lambda rows: spark.createDataFrame(rows, "reads int, n int")
     assert ef.recovery_threshold(h([(2, 500), (3, 150), (5, 60)])) == 4
