@@ -76,3 +76,12 @@ def test_strandedness(spark):
     one = lambda first: ("1", True, 100, 150, [7], "1", True, 5000, False, not first, first, True)
     df = lambda n, k: spark.createDataFrame([one(i < k) for i in range(n)], cols)
     assert [stats.strandedness(df(*x), sites) for x in ((120, 119), (120, 60), (120, 2), (90, 90))] == ["yes", "no", "reverse", "no"]
+
+
+def test_sites_are_never_broadcast(spark):
+    """A few exons grow into many positions, whose estimated size is that of the exons."""
+    exons = spark.range(3).select(c("id").alias("gene"), (c("id") * 100).alias("start"), (c("id") * 100 + 50).alias("end"))
+    at = spark.createDataFrame([(0, D, 52), (0, D, 53), (1, U, 98), (2, U, 250), (5, U, 0)], "gene bigint, way string, pos bigint")
+    out = intervals.spliced(at, intervals.boundary_sites(exons), "gene", "way", "pos", "hit")
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r.gene, r.pos): r.hit for r in out.collect()} == {(0, 52): True, (0, 53): False, (1, 98): True, (2, 250): False, (5, 0): False}
