@@ -1,5 +1,7 @@
 """Steps by hand-computed cases."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from fusewright.operators import event_filters as ef
@@ -85,3 +87,19 @@ def test_sites_are_never_broadcast(spark):
     out = intervals.spliced(at, intervals.boundary_sites(exons), "gene", "way", "pos", "hit")
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     assert {(r.gene, r.pos): r.hit for r in out.collect()} == {(0, 52): True, (0, 53): False, (1, 98): True, (2, 250): False, (5, 0): False}
+
+
+def test_neighbours_across_bins(spark):
+    """Bins of ten bases: neighbours may stand many bins away, at the same base they don't count, and an unknown position has none."""
+    rng = random.Random(3)
+    spots = [(str(rng.randrange(2)), s, s + rng.randrange(40), i) for i, s in enumerate(rng.sample(range(900), 30))] + [("0", 1400, 1410, 30)]
+    asked = [(i, str(rng.randrange(3)), rng.choice([rng.randrange(1500), spots[i % 30][1], spots[i % 30][2]])) for i in range(200)] + [(200, "0", None)]
+    points = spark.createDataFrame(asked, "k int, contig string, pos bigint")
+    got = {r.k: r for r in intervals.flanking(points, spark.createDataFrame(spots, "contig string, start bigint, end bigint, id int"), width=10).collect()}
+    for k, contig, pos in asked:
+        left = max(((e, -i) for t, _, e, i in spots if pos is not None and t == contig and e < pos), default=None)
+        right = min(((s, i) for t, s, _, i in spots if pos is not None and t == contig and s > pos), default=None)
+        r = got[k]
+        assert (r.left_id, r.left_distance) == ((-left[1], pos - left[0]) if left else (None, None))
+        assert (r.right_id, r.right_distance) == ((right[1], right[0] - pos) if right else (None, None))
+    assert len(got) == 201
