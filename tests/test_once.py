@@ -12,3 +12,7 @@ def plan(spark, name):
 def test_pair_support_reads_its_events_once(spark):
     for name in ("reciprocal_pairs", "both_spliced_threshold"):
         assert "lineitem.parquet" not in plan(spark, name)
+
+
+def test_coverage_reads_events_and_edges_once(spark):
+    assert "lineitem.parquet" not in plan(spark, "coverage_by_edges")
