@@ -16,3 +16,8 @@ def test_pair_support_reads_its_events_once(spark):
 
 def test_coverage_reads_events_and_edges_once(spark):
     assert "lineitem.parquet" not in plan(spark, "coverage_by_edges")
+
+
+def test_multimappers_are_dealt_by_fragment_only(spark):
+    for name in ("multimapper_reads", "multimapper_events"):
+        assert "hashpartitioning(read_key" not in plan(spark, name) and "hashpartitioning(read_group" in plan(spark, name)
