@@ -6,12 +6,15 @@ discordant pairs): _contig, _start, _end, _strand (true: forward), _ops (parsed
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import cache
+from itertools import product
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import cigar, sequence
+from ..functions import cigar
 from .fate import NONE, discard
 
 c = F.col
@@ -146,11 +149,26 @@ def too_many_mismatches(k: Column, n: Column, p: float = 0.01, cutoff: float = 0
     return (binomial_point(k, n, p) < cutoff) | ((k > 0) & ((places <= genome_size) | (chance > 0.01)))
 
 
+@cache
+def _most_frequent(k: int) -> Callable[[Column], Column]:
+    """low_entropy_counts() of one k, a function of its own so that equal calls in a projection are one."""
+    bases = bytes(x if x in b"TGC" else ord("A") for x in range(256))
+    every = [bytes(w) for w in product(b"ATGC", repeat=k)] if k <= 4 else None
+
+    def most(seq: str | None) -> int:
+        looked = (seq or "").encode("ascii", "replace").translate(bases)[:-1]
+        return max(map(looked.count, every or {looked[i : i + k] for i in range(len(looked) - k + 1)}), default=0)
+
+    @F.pandas_udf("int")
+    def counted(seqs: pd.Series) -> pd.Series:
+        return pd.Series([most(s) for s in seqs], dtype="int32")
+
+    return counted
+
+
 def low_entropy_counts(seq: Column, k: int = 3) -> Column:
-    """The largest number of non-overlapping occurrences of one k-mer, found from the left; the last k-mer isn't looked at."""
-    looked = F.substring(F.regexp_replace(seq, "[^TGC]", "A"), F.lit(1), F.greatest(F.length(seq) - 1, F.lit(0)))
-    counts = F.transform(F.array_distinct(sequence.kmers(looked, k)), lambda w: (F.length(looked) - F.length(F.replace(looked, w, F.lit("")))) / k)
-    return F.coalesce(F.array_max(counts).cast("int"), F.lit(0))
+    """The largest number of non-overlapping occurrences of one k-mer, found from the left; the last k-mer isn't looked at. Linear in the sequence."""
+    return _most_frequent(k)(seq)
 
 
 def low_entropy(seq: Column, content: float = 0.6, k: int = 3) -> Column:

@@ -1,5 +1,7 @@
 """Read-level steps on single rows: each holds, doesn't hold, or meets a row that was discarded before."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,3 +67,19 @@ def test_mismatch_probability(spark):
     p = [r[0] for r in d.select(rf.binomial_point(c("k"), c("n"), 0.01)).collect()]
     assert abs(p[0] - 0.99**50) < 1e-12 and abs(p[1] - 50 * 0.01 * 0.99**49) < 1e-12
     assert [r[0] for r in d.select(rf.too_many_mismatches(c("k"), c("n"))).collect()] == [False, False, True, True, False]
+
+
+def test_most_frequent_word_by_brute_force(spark):
+    """From the left, without overlaps, the last word left out; equal calls are one, whatever asks for them."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ACGTNx\u00e9\U0001f600"[:n]) for _ in range(rng.randrange(40))) for n in (1, 2, 4, 8) for _ in range(40)] + ["", None, "A" * 9, "ATATATATA"]
+
+    def most(s, k):
+        s = "".join(x if x in "TGC" else "A" for x in s or "")[:-1]
+        return max((s.count(s[i : i + k]) for i in range(len(s) - k + 1)), default=0)
+
+    d = spark.createDataFrame([(i, s) for i, s in enumerate(texts)], "i int, s string")
+    for k in (2, 3, 5):
+        assert {r.i: r.m for r in d.select("i", rf.low_entropy_counts(c("s"), k).alias("m")).collect()} == {i: most(s, k) for i, s in enumerate(texts)}
+    plan = d.select(rf.low_entropy_counts(c("s")), rf.low_entropy(c("s")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("counted(s") == 1 or plan.count("[counted(") == 1
