@@ -11,7 +11,7 @@ MATCH, REFERENCE, QUERY = ("M", "=", "X"), ("M", "=", "X", "D", "N"), ("M", "=",
 def parse(cigar: Column) -> Column:
     """array<struct<op string, len int>>; * and null are empty."""
     ops = F.regexp_extract_all(F.coalesce(cigar, F.lit("")), F.lit(r"(\d+[MIDNSHP=X])"))
-    return F.transform(ops, lambda x: F.struct(F.substring(x, -1, 1).alias("op"), F.regexp_extract(x, r"\d+", 0).cast("int").alias("len")))
+    return F.transform(ops, lambda x: F.struct(F.substring(x, -1, 1).alias("op"), F.left(x, F.length(x) - 1).cast("int").alias("len")))
 
 
 def _sum(ops: Column, kinds: tuple[str, ...]) -> Column:

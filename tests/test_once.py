@@ -21,3 +21,7 @@ def test_coverage_reads_events_and_edges_once(spark):
 def test_multimappers_are_dealt_by_fragment_only(spark):
     for name in ("multimapper_reads", "multimapper_events"):
         assert "hashpartitioning(read_key" not in plan(spark, name) and "hashpartitioning(read_group" in plan(spark, name)
+
+
+def test_operations_are_parsed_once(spark):
+    assert plan(spark, "split_at_introns").count("regexp_extract_all(") == 1
