@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cigar
 from ..functions import events as ev
+from ..session import stored
 from . import intervals
 
 c = F.col
@@ -69,6 +70,8 @@ def dummy_genes(points: DataFrame, gap: int = 10_000, genes: DataFrame | None =
 
 PARTS = ("m1", "m2", "sp")
 _NO_GENES = "array<bigint>"
+#: So many splice sites at most are broadcast; of more, the junctions that ask for them are dealt out.
+FEW_SITES = 200_000
 
 
 def _parts(reads: DataFrame, where: str = "{p}_contig is not null") -> DataFrame:
@@ -99,20 +102,25 @@ def by_splice_sites(reads: DataFrame, genes: DataFrame, sites: DataFrame) -> Dat
 
     The first junction of a segment that is a site of some of its genes leaves these only; if they
     have one strand and the library tells none, that strand is the segment's. An equi-join on gene,
-    direction and position, for segments of several genes or of unknown strand. Then mates infer from
+    direction and position, for segments of several genes or of unknown strand; sites are stored and
+    counted, and only few are broadcast. Then mates infer from
     each other what one of them knows, and what they contradict each other in is unknown; a split read
     and its first mate share their genes.
     """
     asks = []
     for p in PARTS:
         asks_it = (F.size(f"{p}_ops") > 1) & (F.size(f"{p}_genes") > 0) & ((F.size(f"{p}_genes") > 1) | c(f"{p}_predicted").isNull())
-        d = reads.where(F.coalesce(asks_it, F.lit(False))).select(F.concat_ws("/", "read_key", F.lit(p)).alias("key"), c(f"{p}_genes").alias("own"), F.explode(cigar.junctions(c(f"{p}_start"), c(f"{p}_ops"))).alias("j"))
-        asks.append(d.select("key", F.explode("own").alias("gene"), "j.i", "j.direction", "j.pos"))
-    asked = asks[0].unionByName(asks[1]).unionByName(asks[2])
-    site = sites.join(genes.select(c("id").alias("gene"), c("strand").alias("g_strand")), "gene")
-    met = asked.join(site, ["gene", "direction", "pos"]).groupBy("key", "i").agg(F.array_sort(F.collect_set("gene")).alias("met"), F.min("g_strand").alias("lo"), F.max("g_strand").alias("hi"))
-    met = met.groupBy("key").agg(F.min_by(F.struct("met", "lo", "hi"), "i").alias("hit"))
-    d = reads.join(_wide(met, "hit"), "read_key", "left")
+        asks.append(F.when(asks_it, F.struct(F.lit(p).alias("p"), c(f"{p}_genes").cast(_NO_GENES).alias("own"), cigar.junctions(c(f"{p}_start"), c(f"{p}_ops")).alias("js"))))
+    asked = reads.select("read_key", F.explode(F.filter(F.array(*asks), lambda x: x.isNotNull())).alias("s")).select("read_key", "s.p", "s.own", F.explode("s.js").alias("j"))
+    asked = asked.select("read_key", "p", F.explode("own").alias("gene"), "j.*")
+    site = stored(sites.select("gene", "direction", "pos").join(genes.select(c("id").alias("gene"), c("strand").alias("g_strand")), "gene"))
+    site = F.broadcast(site) if site.count() <= FEW_SITES else site.hint("merge")
+    # dealt by read once: the groups below are parts of it, and so is the join with the reads
+    met = asked.join(site, ["gene", "direction", "pos"]).select("read_key", "p", "i", "gene", "g_strand").repartition("read_key")
+    met = met.groupBy("read_key", "p", "i").agg(F.array_sort(F.collect_set("gene")).alias("met"), F.min("g_strand").alias("lo"), F.max("g_strand").alias("hi"))
+    hit = [F.min_by(F.when(c("p") == p, F.struct("met", "lo", "hi")), F.when(c("p") == p, c("i"))).alias(f"__{p}_hit") for p in PARTS]
+    met = met.groupBy("read_key").agg(*hit)
+    d = reads.join(met, "read_key", "left")
     for p in PARTS:
         h = c(f"__{p}_hit")
         d = d.withColumn(f"{p}_genes", F.when(F.size(h["met"]) < F.size(f"{p}_genes"), h["met"]).otherwise(c(f"{p}_genes")))

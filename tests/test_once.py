@@ -25,3 +25,8 @@ def test_multimappers_are_dealt_by_fragment_only(spark):
 
 def test_operations_are_parsed_once(spark):
     assert plan(spark, "split_at_introns").count("regexp_extract_all(") == 1
+
+
+def test_junctions_are_dealt_by_read_once(spark):
+    p = plan(spark, "splice_aware_genes")
+    assert "hashpartitioning(key#" not in p and p.count("Exchange hashpartitioning(read_key#") == 2

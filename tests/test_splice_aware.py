@@ -103,3 +103,8 @@ def test_what_has_no_exon_takes_genes_then_dummies(spark):
     assert r["held"].m1_genes == [3] and r["held"].m2_genes == [dummies[7100, 8050]] and not r["held"].m1_exonic
     assert r["split"].m2_genes == r["split"].m1_genes == [dummies[7100, 8050]] and r["split"].sp_genes == [dummies[20_050, 20_050]]
     assert r["beside"].m2_genes == [dummies[4950, 4950]]
+
+
+def test_many_sites_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(annotate, "FEW_SITES", 0)
+    test_splice_sites_choose_genes_and_strands(spark)
